@@ -416,12 +416,12 @@ def mcclellan(s: Series, advances="advances", declines="declines", out="mcclella
     return s.add({out: F.col("_f") - F.col("_s")}).drop("_f", "_s")
 
 
-def ewma_var(s: Series, r="ret", lam=0.94, out="ewma_var") -> Series:
+def ewma_var(s: Series, r="ret", lam=0.94, out="ewma_var", at=1) -> Series:
     """Variance forecast for row t from returns before t, started with the first squared return."""
     s = s.ready([r], 1)
     s = s.add(_r2=s.lag(F.col(r) * F.col(r))).flat()
     prev = F.col("_r2")
-    return affine(s, {out: _seeded(prev, 1, lam, (1 - lam) * prev)}).drop("_r2")
+    return affine(s, {out: _seeded(prev, at, lam, (1 - lam) * prev)}).drop("_r2")
 
 
 @indicator("daily_vol", "volatility", lambda: 2, {"span": (50, 5, 200)})

@@ -261,9 +261,12 @@ def next_bar_pnl(s: Series, decided="decided", open_="open", cost_bps=2.0) -> Se
 
 
 def equity_curve(s: Series, pnl="pnl") -> Series:
-    """Compounded equity, running peak and drawdown."""
-    s = s.flat().running({"_le": ("sum", F.log1p(col(pnl)))})
-    s = s.add(equity=F.exp("_le")).drop("_le")
+    """Compounded equity, running peak and drawdown.  The product keeps its sign when a row loses more than all."""
+    g = 1 + col(pnl)
+    s = s.running({"_le": ("sum", F.when(g != 0, F.log(F.abs(g)))), "_ng": ("count", F.when(g < 0, 1)),
+                   "_z": ("count", F.when(g == 0, 1))})
+    sign = F.when(F.col("_z") > 0, 0.0).when(F.col("_ng") % 2 == 1, -1.0).otherwise(1.0)
+    s = s.add(equity=sign * F.exp(F.coalesce("_le", F.lit(0.0)))).drop("_le", "_ng", "_z")
     s = s.running({"peak": ("max", F.col("equity"))})
     return s.add(drawdown=F.col("equity") / F.col("peak") - 1)
 
@@ -274,7 +277,7 @@ def quick_eval(s: Series, decided="decided", open_="open", cost_bps=2.0, periods
     n = F.count(F.lit(1))
     sd = F.stddev_pop("pnl")
     return s.df.groupBy(*s.keys).agg(
-        (F.pow(F.exp(F.sum(F.log1p("pnl"))), F.lit(float(periods)) / n) - 1).alias("cagr"),
+        (F.pow(F.max_by("equity", RN), F.lit(float(periods)) / n) - 1).alias("cagr"),
         F.when(sd > 0, F.avg("pnl") / sd * math.sqrt(periods)).alias("sharpe"),
         F.min("drawdown").alias("max_dd"),
         F.avg((F.col("pos") != 0).cast("double")).alias("exposure"),
