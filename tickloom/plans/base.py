@@ -53,7 +53,7 @@ class Tables:
 
     # daily bars: one symbol per order priority
     def bars(self) -> DataFrame:
-        p = F.col("o_totalprice") / 1000.0
+        p = F.col("o_totalprice") / 997.0
         return self.orders.groupBy(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts")).agg(
             F.min_by(p, "o_orderkey").alias("open"), F.max(p).alias("high"),
             F.min(p).alias("low"), F.max_by(p, "o_orderkey").alias("close"),
@@ -90,7 +90,7 @@ PANEL_SPEC = SeriesSpec(("symbol",), ("month",), "year(month)")
 
 BARS_SQL = """bars AS (SELECT o_orderpriority AS symbol, o_orderdate AS ts, arg_min(p, o_orderkey) AS open,
  max(p) AS high, min(p) AS low, arg_max(p, o_orderkey) AS close,
- count(*)::DOUBLE AS volume FROM (SELECT *, o_totalprice / 1000.0::DOUBLE AS p FROM orders) GROUP BY 1, 2),
+ count(*)::DOUBLE AS volume FROM (SELECT *, o_totalprice / 997.0::DOUBLE AS p FROM orders) GROUP BY 1, 2),
 b AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1)::BIGINT AS rn FROM bars)"""
 TRADES_SQL = """trades AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price,
  (1 + user_id % 10)::BIGINT AS size, user_id FROM events)"""
