@@ -1,0 +1,86 @@
+"""Data-quality rules over bars and ticks, and secret scans over text."""
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..series import Series, col
+from .patterns import robust_z
+
+BAR_RULES = ("not increasing", "duplicate timestamps", "high below open/close", "low above open/close", "negative volume")
+
+
+def validate_bars(df: DataFrame, keys: list[str], order="seq", ts="ts") -> DataFrame:
+    """Findings per key in rule order.  `order` is the arrival order the times are checked against."""
+    from ..series import SeriesSpec
+    s = Series.of(df, SeriesSpec(tuple(keys), (order,), f"{order} div 1000000"), back=1)
+    d = s.add(_back=col(ts) < s.lag(ts)).done()
+    dup = df.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_m")).groupBy(*keys).agg((F.max("_m") > 1).alias("_dup"))
+    g = d.groupBy(*keys).agg(
+        F.max(F.coalesce("_back", F.lit(False))).alias("_0"),
+        F.max(F.col("high") < F.greatest("open", "close")).alias("_2"),
+        F.max(F.col("low") > F.least("open", "close")).alias("_3"), F.max(F.col("volume") < 0).alias("_4"))
+    g = g.join(dup, keys)
+    flags = [F.col("_0"), F.col("_dup"), F.col("_2"), F.col("_3"), F.col("_4")]
+    found = F.array_compact(F.array(*[F.when(f, F.struct(F.lit(i).alias("rule_no"), F.lit(r).alias("finding")))
+                                      for i, (f, r) in enumerate(zip(flags, BAR_RULES))]))
+    return g.select(*keys, F.inline(found))
+
+
+def bad_bar(o="open", h="high", low="low", c="close", v="volume") -> Column:
+    return ((col(h) < F.greatest(col(o), col(c))) | (col(low) > F.least(col(o), col(c)))
+            | (F.least(col(o), col(h), col(low), col(c)) <= 0) | (col(v) < 0))
+
+
+def find_gaps(bars: DataFrame, keys: list[str], minutes=1, session=("14:30", "21:00"), ts="ts") -> DataFrame:
+    """Missing bar times inside the session of every day that has a bar (half-open window)."""
+    (h0, m0), (h1, m1) = ((int(x) for x in t.split(":")) for t in session)
+    day = F.date_trunc("day", col(ts))
+    days = bars.select(*keys, day.alias("_d")).distinct()
+    a = F.expr(f"_d + interval '{h0}:{m0}' hour to minute")
+    b = F.expr(f"_d + interval '{h1}:{m1}' hour to minute - interval {minutes} minutes")
+    want = days.withColumn(ts, F.explode(F.sequence(a, b, F.expr(f"interval {minutes} minutes")))).drop("_d")
+    return want.join(bars.select(*keys, ts), [*keys, ts], "left_anti")
+
+
+def stale_gaps(s: Series, max_gap: float, ts="ts") -> DataFrame:
+    """Last tick before a silence longer than `max_gap` seconds."""
+    s = s.ready([ts], 0, 1)
+    s = s.add(_gap=(F.unix_micros(s.lead(ts, 1)) - F.unix_micros(ts)) / 1e6)
+    return s.done().where(F.col("_gap") > max_gap).withColumnRenamed("_gap", "gap")
+
+
+def bad_ticks(s: Series, x="price", window=21, stream=500, threshold=8.0) -> Series:
+    """Deviation from the centred median, then a robust z over earlier deviations."""
+    h = window // 2
+    s = s.ready([x], stream + h, h)
+    med = F.percentile(col(x), 0.5).over(s.rows(-h, h))
+    s = s.add(_dev=col(x) / med - 1, back=h, uses=[x])
+    return robust_z(s, "_dev", stream, 50, threshold, "bad").drop("_dev", "bad").add(
+        bad_tick=F.col("bad_flag")).drop("bad_flag")
+
+
+SECRET_RULES = {   # fixed values: rule name -> pattern
+    "api_key": r"sk-ant-[A-Za-z0-9_-]{16,}",
+    "aws_access_key": r"AKIA[0-9A-Z]{16}",
+    "hardcoded_password": r"(?i)password\s*[=:]\s*['\"][^'\"$]{4,}['\"]",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+}
+
+
+def scan_secrets(df: DataFrame, name: str, text: str, rules: dict[str, str] | None = None) -> DataFrame:
+    """(name, line, rule) of every match; lines are numbered from 1."""
+    rules = rules or SECRET_RULES
+    lines = df.select(name, F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("_i", "_line"))
+    hits = F.array_compact(F.array(*[F.when(F.col("_line").rlike(p), F.lit(r)) for r, p in sorted(rules.items())]))
+    return lines.select(name, (F.col("_i") + 1).alias("line"), F.explode(hits).alias("rule"))
+
+
+def orphans(child: DataFrame, parent: DataFrame, child_key: list[str], parent_key: list[str]) -> DataFrame:
+    """Rows of the child whose key has no parent."""
+    cond = [F.col(f"c.{a}") == F.col(f"p.{b}") for a, b in zip(child_key, parent_key)]
+    return child.alias("c").join(parent.alias("p"), cond, "left_anti")
+
+
+def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)

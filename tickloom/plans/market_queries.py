@@ -1,0 +1,528 @@
+"""Bars, point-in-time joins, sources, data quality."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+from ..joins import asof_join
+from ..operators import bars as B
+from ..operators import indicators as I
+from ..operators import point_in_time as T
+from ..operators import quality as Q
+from ..operators import strategies as P
+from ..quantiles import percentiles
+from ..series import Series, SeriesSpec
+from ..sources import market as M
+from .base import BARS_SPEC, BARS_SQL, PANEL_SPEC, PANEL_SQL, TICKS_SPEC, TRADES_SQL, query, sel
+from .indicator_queries import W, bars, gate
+
+
+@query("flagship", f"""WITH {TRADES_SQL}, b AS (SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_min(price, seq) AS open, arg_max(price, seq) AS close FROM trades GROUP BY 1, 2),
+ d AS (SELECT *, {gate('CASE WHEN close < avg(close) @ - stddev_pop(close) @ THEN 1 WHEN close > avg(close) @ + stddev_pop(close) @ THEN -1 ELSE 0 END', 20)} * 0.001 AS dec FROM b {W}),
+ q AS (SELECT *, coalesce(lag(dec) OVER w, 0) AS pos, coalesce(lag(dec, 2) OVER w, 0) AS pp, coalesce(lead(open) OVER w / open - 1, 0) AS ret FROM d {W}),
+ p AS (SELECT *, pos * ret - abs(pos - pp) * 2e-4 AS pnl, abs(pos - pp) AS turnover FROM q), e AS (SELECT *, exp(sum(ln(1 + pnl)) OVER w) AS equity FROM p {W}),
+ f AS (SELECT *, max(equity) OVER w AS peak FROM e {W}) {sel('symbol s, cagr f, sharpe f, max_dd f, exposure f, turnover f', '''(SELECT symbol, pow(arg_max(equity, ts), 252.0 / count(*)) - 1 AS cagr,
+ avg(pnl) / stddev_pop(pnl) * sqrt(252) AS sharpe, min(equity / peak - 1) AS max_dd, avg((pos <> 0)::INT) AS exposure, sum(turnover) / count(*) * 252 AS turnover FROM f GROUP BY symbol)''')}""")
+def _(t):
+    """Ticks to hourly bars, Bollinger fade at the next open, tear-sheet row per symbol."""
+    s = Series.of(B.tick_bars(t.trades(), "1 hour"), TICKS_SPEC.with_(order=("ts",)), 20)
+    s = I.bbands(s, "close", 20, 1.0)
+    side = F.when(F.col("close") < F.col("bb_lower"), 1).when(F.col("close") > F.col("bb_upper"), -1).otherwise(0)
+    return P.quick_eval(s.add(decided=0.001 * side))
+
+
+@query("tick_bars", f"""WITH {TRADES_SQL} {sel('symbol s, ts t, open f, high f, low f, close f, volume i, n_ticks i', '''(SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_min(price, seq) AS open,
+ max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, sum(size) AS volume, count(*) AS n_ticks FROM trades GROUP BY 1, 2)''')}""")
+def _(t):
+    return B.tick_bars(t.trades(), "1 hour")
+
+
+@query("time_bars", f"""WITH {TRADES_SQL} {sel('symbol s, ts t, open f, high f, low f, close f, volume i', '''(SELECT symbol, time_bucket(INTERVAL '30 minutes', ts - INTERVAL 1 microsecond) + INTERVAL '30 minutes' AS ts,
+ arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, sum(size) AS volume FROM trades GROUP BY 1, 2)''')}""")
+def _(t):
+    return B.time_bars(t.trades(), "30 minutes")
+
+
+_WEEK = "make_timestamp(epoch_us(ts) // 604800000000 * 604800000000)"
+
+
+@query("resample_ohlcv", f"""WITH {BARS_SQL} {sel('symbol s, ts t, open f, high f, low f, close f, volume f', f'''(SELECT symbol, {_WEEK} AS wk, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low,
+ arg_max(close, ts) AS close, sum(volume) AS volume, min({_WEEK}) AS ts FROM b GROUP BY 1, 2)''')}""")
+def _(t):
+    return B.resample_ohlcv(t.bars(), "7 days")
+
+
+@query("dollar_bars", f"""WITH {TRADES_SQL}, c AS (SELECT *, floor(sum(price::DECIMAL(12,2) * size) OVER (PARTITION BY symbol ORDER BY ts, seq) / 5000)::BIGINT AS bar_id FROM trades)
+ {sel('symbol s, bar_id i, open f, high f, low f, close f, volume i, ts t', '''(SELECT symbol, bar_id, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, sum(size) AS volume, max(ts) AS ts
+ FROM c GROUP BY 1, 2)''')}""")
+def _(t):
+    d = t.trades().withColumn("price", F.col("price").cast("decimal(12,2)"))
+    return B.dollar_bars(d, TICKS_SPEC, 5000)
+
+
+@query("bar_stats", f"""WITH {BARS_SQL}, r AS (SELECT *, ln(close / lag(close) OVER w) AS r FROM b {W}), q AS (SELECT *, lag(r) OVER w AS p, avg(r) OVER (PARTITION BY symbol) AS m FROM r {W})
+ {sel('symbol s, jb f, ac1 f, n i', '''(SELECT symbol, count(r) / 6.0 * (pow(avg(pow(r - m, 3)) / pow(var_pop(r), 1.5), 2) + pow(avg(pow(r - m, 4)) / pow(var_pop(r), 2) - 3, 2) / 4) AS jb,
+ corr(r, p) AS ac1, count(r) AS n FROM q GROUP BY symbol)''')}""")
+def _(t):
+    return B.bar_stats(bars(t, 2))
+
+
+@query("session_vwap", f"""WITH {TRADES_SQL} {sel('symbol s, seq i, vwap f', '''(SELECT symbol, seq, sum(price / 7 * size) OVER w / sum(size) OVER w AS vwap FROM trades
+ WINDOW w AS (PARTITION BY symbol, (ts - INTERVAL 5 hours)::DATE ORDER BY ts, seq))''')}""")
+def _(t):
+    # January: New York is five hours behind UTC
+    s = Series.of(t.trades().withColumn("price", F.col("price") / 7), TICKS_SPEC)
+    return I.session_vwap(s, S.session_date("ts"), "price", "size").done().select("symbol", "seq", "vwap")
+
+
+@query("anchored_vwap", f"""WITH {TRADES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) - 1 AS rn FROM trades) {sel('symbol s, seq i, avwap f', '''(SELECT symbol, seq,
+ CASE WHEN rn >= 100 THEN sum(CASE WHEN rn >= 100 THEN price / 7 * size END) OVER w / sum(CASE WHEN rn >= 100 THEN size END) OVER w END AS avwap FROM n WINDOW w AS (PARTITION BY symbol ORDER BY rn))''')}""")
+def _(t):
+    return I.anchored_vwap(Series.of(t.trades().withColumn("price", F.col("price") / 7), TICKS_SPEC), F.lit(100), "price", "size").done().select("symbol", "seq", "avwap")
+
+
+@query("vwap", f"WITH {TRADES_SQL} {sel('symbol s, vwap f, volume i, no_volume b', '(SELECT symbol, sum(price * size) / sum(size) AS vwap, sum(size) AS volume, sum(size) = 0 AS no_volume FROM trades GROUP BY symbol)')}")
+def _(t):
+    return B.vwap(t.trades(), ["symbol"])
+
+
+@query("volume_profile", f"""WITH RECURSIVE {TRADES_SQL}, sp AS (SELECT symbol, min(price) AS lo, max(price) AS hi FROM trades GROUP BY symbol),
+ h0 AS (SELECT t.symbol, least(floor((price - lo) / ((hi - lo) / 50)), 49)::INT AS k, sum(size)::DOUBLE AS v FROM trades t JOIN sp USING (symbol) GROUP BY 1, 2),
+ h AS (SELECT sp.symbol, r.k::INT AS k, coalesce(v, 0) AS v FROM sp CROSS JOIN range(50) r(k) LEFT JOIN h0 ON h0.symbol = sp.symbol AND h0.k = r.k),
+ g AS (SELECT symbol, arg_min(k, -v * 1000 + k * 1e-6) AS poc, max(v) AS mv, sum(v) AS tot FROM h GROUP BY symbol),
+ a(symbol, a0, a1, acc, tot) AS (SELECT symbol, poc, poc, mv, tot FROM g UNION ALL
+  SELECT a.symbol, CASE WHEN coalesce(r.v, -1) >= coalesce(l.v, -1) THEN a0 ELSE a0 - 1 END, CASE WHEN coalesce(r.v, -1) >= coalesce(l.v, -1) THEN a1 + 1 ELSE a1 END,
+  acc + CASE WHEN coalesce(r.v, -1) >= coalesce(l.v, -1) THEN r.v ELSE l.v END, tot FROM a LEFT JOIN h l ON l.symbol = a.symbol AND l.k = a0 - 1 LEFT JOIN h r ON r.symbol = a.symbol AND r.k = a1 + 1 WHERE acc < 0.7 * tot)
+ {sel('symbol s, poc f, val f, vah f', '''(SELECT z.symbol, lo + (hi - lo) / 50 * (g.poc + 0.5) AS poc, lo + (hi - lo) / 50 * z.a0 AS val, lo + (hi - lo) / 50 * (z.a1 + 1) AS vah
+ FROM (SELECT symbol, arg_max(a0, acc) AS a0, arg_max(a1, acc) AS a1 FROM a GROUP BY symbol) z JOIN g USING (symbol) JOIN sp USING (symbol))''')}""")
+def _(t):
+    return B.volume_profile(t.trades(), ["symbol"], "price", "size")
+
+
+_HTF = f"h0 AS (SELECT symbol, {_WEEK} AS wk, arg_max(close, ts) AS close FROM b GROUP BY 1, 2), h1 AS (SELECT *, CASE WHEN count(*) OVER f = 3 THEN avg(close) OVER f END AS m FROM h0 WINDOW f AS (PARTITION BY symbol ORDER BY wk ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"
+
+
+@query("align_higher_tf", f"""WITH {BARS_SQL}, {_HTF}, h2 AS (SELECT symbol, wk, lag(m) OVER (PARTITION BY symbol ORDER BY wk) AS htf FROM h1)
+ {sel('symbol s, ts t, htf f, leaky f', '(SELECT b.symbol, b.ts, h2.htf, h1.m AS leaky FROM b JOIN h2 ON h2.symbol = b.symbol AND h2.wk = make_timestamp(epoch_us(b.ts) // 604800000000 * 604800000000) JOIN h1 ON h1.symbol = b.symbol AND h1.wk = h2.wk)')}""")
+def _(t):
+    b, spec = t.bars().select("symbol", "ts", "close"), BARS_SPEC
+    safe = B.align_higher_tf(b, lambda s: I.sma(s, "close", 3, "htf"), spec, "7 days", "0 days", 2)
+    leak = B.align_higher_tf(b, lambda s: I.sma(s, "close", 3, "leaky"), spec, "7 days", "0 days", 2, out="leaky", safe=False)
+    return safe.drop("close").join(leak.drop("close"), ["symbol", "ts"])
+
+
+@query("pct_above_ma", f"""WITH {PANEL_SQL}, m AS (SELECT *, CASE WHEN count(*) OVER w = 12 THEN avg(close) OVER w END AS ma FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))
+ {sel('month d, breadth f', '(SELECT month, avg((close > ma)::INT) AS breadth FROM m GROUP BY month)')}""")
+def _(t):
+    return B.pct_above_ma(Series.of(t.panel(), PANEL_SPEC, 11), 12, date="month")
+
+
+@query("monthly_table", f"""WITH {BARS_SQL}, m AS (SELECT symbol, year(ts) AS y, month(ts) AS m, exp(sum(ln(1 + (close / open - 1) * 0.001))) - 1 AS r FROM b GROUP BY ALL)
+ {sel('symbol s, year i, ' + ', '.join(f'm{i} f' for i in range(1, 13)), '(SELECT symbol, y AS year, ' + ', '.join(f'max(r) FILTER (WHERE m = {i}) AS m{i}' for i in range(1, 13)) + ' FROM m GROUP BY symbol, y)')}""")
+def _(t):
+    d = t.bars().withColumn("ret", (F.col("close") / F.col("open") - 1) * 0.001)
+    return B.monthly_table(d, ["symbol"])
+
+
+@query("attribution", f"""WITH {TRADES_SQL}, p AS (SELECT symbol AS strategy, ts::DATE AS d, sum(price - 50) AS pnl FROM trades GROUP BY 1, 2) {sel('strategy s, total f, sharpe f, share f', '''(SELECT strategy,
+ sum(pnl) AS total, avg(pnl) / stddev_samp(pnl) * sqrt(252) AS sharpe, sum(pnl) / (SELECT sum(pnl) FROM p) AS share FROM p GROUP BY strategy)''')}""")
+def _(t):
+    p = t.trades().groupBy(F.col("symbol").alias("strategy"), F.to_date("ts").alias("d")).agg(F.sum(F.col("price") - 50).alias("pnl"))
+    return B.attribution(p)
+
+
+@query("latency_histogram", f"""WITH {TRADES_SQL}, u AS (SELECT symbol, price / 1000 AS x, b.le FROM trades CROSS JOIN (VALUES (0.001), (0.005), (0.01), (0.025), (0.05), (0.1), (1e9)) b(le))
+ {sel('symbol s, le f, cum i, n i, total f', '(SELECT symbol, le, count(*) FILTER (WHERE x <= le) AS cum, count(*) AS n, sum(x) AS total FROM u GROUP BY symbol, le)')}""")
+def _(t):
+    d = t.trades().withColumn("x", F.col("price") / 1000)
+    h = B.latency_histogram(d, ["symbol"], "x")
+    return h.withColumn("le", F.least("le", F.lit(1e9)))
+
+
+@query("histogram_quantile", f"""WITH {TRADES_SQL}, u AS (SELECT symbol, price / 1000 AS x, b.le FROM trades CROSS JOIN (VALUES (0.001), (0.005), (0.01), (0.025), (0.05), (0.1), (1e9)) b(le)),
+ h AS (SELECT symbol, le, count(*) FILTER (WHERE x <= le) AS cum, count(*) AS n FROM u GROUP BY symbol, le) {sel('symbol s, quantile f', '(SELECT symbol, min(le) AS quantile FROM h WHERE cum >= 0.9 * n GROUP BY symbol)')}""")
+def _(t):
+    h = B.latency_histogram(t.trades().withColumn("x", F.col("price") / 1000), ["symbol"], "x")
+    return B.histogram_quantile(h.withColumn("le", F.least("le", F.lit(1e9))), ["symbol"], 0.9)
+
+
+@query("slo_report", f"WITH {TRADES_SQL} {sel('symbol s, compliance f, met b, budget_used f', '(SELECT symbol, avg((price <= 150)::INT) AS compliance, avg((price <= 150)::INT) >= 0.999 AS met, (1 - avg((price <= 150)::INT)) / (1 - 0.999) AS budget_used FROM trades GROUP BY symbol)')}")
+def _(t):
+    return B.slo_report(t.trades(), ["symbol"], "price", 150.0)
+
+
+_QT = f"""z AS (SELECT symbol, ts, (close - avg(close) OVER f) / stddev_pop(close) OVER f AS s0, count(close) OVER f AS c, ln(lead(open, 6) OVER w / lead(open, 1) OVER w) AS fwd FROM b
+ WINDOW w AS (PARTITION BY symbol ORDER BY ts), f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), y AS (SELECT s0 AS s, fwd FROM z WHERE c = 20 AND fwd IS NOT NULL)"""
+
+
+@query("quintile_table", f"""WITH {BARS_SQL}, {_QT}, e AS (SELECT quantile_cont(s, 0.2) AS a, quantile_cont(s, 0.4) AS b, quantile_cont(s, 0.6) AS c, quantile_cont(s, 0.8) AS d FROM y)
+ {sel('bucket i, n i, mean_fwd f, hit_rate f', '(SELECT 1 + (s > a)::INT + (s > b)::INT + (s > c)::INT + (s > d)::INT AS bucket, count(*) AS n, avg(fwd) AS mean_fwd, avg((fwd > 0)::INT) AS hit_rate FROM y CROSS JOIN e GROUP BY 1)')}""")
+def _(t):
+    s = I.forward_returns(I.zscore(bars(t, 19, 6), out="s"), 5)
+    d = s.done().where(F.col("s").isNotNull() & F.col("fwd").isNotNull()).select("s", "fwd")
+    names = ["_q1", "_q2", "_q3", "_q4"]
+    e = percentiles(d, [], "s", [0.2, 0.4, 0.6, 0.8], names)
+    return B.quantile_buckets(d, "s", e, names).groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("fwd").alias("mean_fwd"), F.avg((F.col("fwd") > 0).cast("double")).alias("hit_rate"))
+
+
+@query("exact_percentiles", sel("l_suppkey i, p01 f, p50 f, p99 f", "(SELECT l_suppkey, quantile_cont(l_extendedprice, 0.01) AS p01, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1)"))
+def _(t):
+    return percentiles(t.lineitem, ["l_suppkey"], "l_extendedprice", [0.01, 0.5, 0.99], ["p01", "p50", "p99"])
+
+
+@query("reliability_table", sel("bin i, mean_pred f, observed f, n i", "(SELECT least(floor((n_chars % 1000) / 1000.0 * 5), 4)::BIGINT AS bin, avg((n_chars % 1000) / 1000.0) AS mean_pred, avg(quality) AS observed, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1)"))
+def _(t):
+    d = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").withColumn("p", (F.col("n_chars") % 1000) / 1000.0)
+    return B.reliability_table(d, "p", "quality")
+
+
+@query("regime_sharpe", f"""WITH {BARS_SQL} {sel('symbol s, y i, sharpe f, mean f, n i', '''(SELECT symbol, year(ts) AS y, CASE WHEN count(*) >= 20 AND stddev_samp(close / open - 1) > 0 THEN
+ avg(close / open - 1) / stddev_samp(close / open - 1) * sqrt(252) END AS sharpe, avg(close / open - 1) AS mean, count(*) AS n FROM b GROUP BY 1, 2)''')}""")
+def _(t):
+    d = t.bars().withColumn("ret", F.col("close") / F.col("open") - 1).withColumn("y", F.year("ts"))
+    return B.regime_sharpe(d, ["symbol", "y"])
+
+
+# ---------------------------------------------------------------- journal
+JOURNAL_SQL = """j AS (SELECT *, CASE WHEN stop IS NOT NULL THEN side * ("exit" - entry) / abs(entry - stop) END AS r_multiple FROM (SELECT o_orderkey AS trade_id, o_orderdate + (o_orderkey % 24) * INTERVAL 1 hour AS entry_time,
+ o_orderpriority AS setup_tag, o_orderstatus AS regime, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS side, 1 + o_custkey % 100 AS qty, 90 AS planned_qty, o_totalprice AS entry,
+ CASE WHEN o_orderkey % 37 <> 0 THEN o_totalprice * (1 - CASE WHEN o_orderkey % 2 = 0 THEN 0.02 ELSE -0.02 END)::DOUBLE END AS stop, o_totalprice * (1 + (o_custkey % 21 - 10) / 100.0)::DOUBLE AS "exit" FROM orders))"""
+
+
+def journal(t):
+    o, key = t.orders, F.col("o_orderkey")
+    side = F.when(key % 2 == 0, 1).otherwise(-1)
+    d = o.select(key.alias("trade_id"), (F.timestamp_micros(F.unix_micros("o_orderdate") + (key % 24) * 3_600_000_000)).alias("entry_time"),
+                 F.col("o_orderpriority").alias("setup_tag"), F.col("o_orderstatus").alias("regime"), side.alias("side"),
+                 (1 + F.col("o_custkey") % 100).alias("qty"), F.lit(90).alias("planned_qty"), F.col("o_totalprice").alias("entry"),
+                 F.when(key % 37 != 0, F.col("o_totalprice") * (1 - side * 0.02)).alias("stop"),
+                 (F.col("o_totalprice") * (1 + (F.col("o_custkey") % 21 - 10) / 100.0)).alias("exit"))
+    return B.r_multiples(d)
+
+
+@query("journal_stats", f"""WITH {JOURNAL_SQL} {sel('setup_tag s, regime s, trades i, win_rate f, avg_win_R f, avg_loss_R f, expectancy_R f', '''(SELECT setup_tag, regime, count(*) AS trades, avg((r_multiple > 0)::INT) AS win_rate,
+ avg(r_multiple) FILTER (WHERE r_multiple > 0) AS avg_win_R, avg(r_multiple) FILTER (WHERE r_multiple <= 0) AS avg_loss_R, avg(r_multiple) AS expectancy_R FROM j WHERE r_multiple IS NOT NULL GROUP BY 1, 2)''')}""")
+def _(t):
+    return B.journal_stats(journal(t), ["setup_tag", "regime"])
+
+
+_VIOL = """(SELECT trade_id, 'no_stop' AS rule FROM j WHERE stop IS NULL UNION ALL SELECT trade_id, 'outside_hours' FROM j WHERE NOT (strftime(entry_time, '%H:%M') >= '09:30' AND strftime(entry_time, '%H:%M') < '16:00')
+ UNION ALL SELECT trade_id, 'oversized' FROM j WHERE qty > planned_qty)"""
+
+
+@query("rule_violations", f"WITH {JOURNAL_SQL} {sel('trade_id i, rule s', _VIOL)}")
+def _(t):
+    return B.rule_violations(journal(t))
+
+
+@query("journal_findings", f"WITH {JOURNAL_SQL} {sel('rule s, n i', f'(SELECT rule, count(*) AS n FROM {_VIOL} GROUP BY rule)')}")
+def _(t):
+    return B.rule_violations(journal(t)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("daily_report", f"""WITH {TRADES_SQL}, e AS (SELECT symbol, ts::DATE AS d, sum(price) AS equity FROM trades GROUP BY 1, 2), l AS (SELECT symbol, arg_max(equity, d) AS e1, max(equity) AS pk, max(d) AS d1 FROM e GROUP BY 1),
+ p AS (SELECT e.symbol, arg_max(equity, d) AS e0 FROM e JOIN l ON l.symbol = e.symbol AND e.d < l.d1 GROUP BY 1), f AS (SELECT symbol, count(*) AS n_fills, sum((price - 50) / 50 * 1e4 * size) / sum(size) AS slippage_bps FROM trades GROUP BY 1)
+ {sel('symbol s, pnl f, ret f, drawdown f, n_fills i, slippage_bps f', '(SELECT symbol, e1 - e0 AS pnl, e1 / e0 - 1 AS ret, e1 / pk - 1 AS drawdown, n_fills, slippage_bps FROM l JOIN p USING (symbol) JOIN f USING (symbol))')}""")
+def _(t):
+    f = t.trades().select("symbol", "price", F.col("size").alias("qty"), F.lit(1).alias("side"), F.lit(50.0).alias("arrival_mid"))
+    e = t.trades().groupBy("symbol", F.to_date("ts").alias("ts")).agg(F.sum("price").alias("equity"))
+    return B.daily_report(f, e, ["symbol"]).withColumnRenamed("return", "ret")
+
+
+@query("weekly_decisions", f"""WITH {TRADES_SQL}, i AS (SELECT symbol, ts::DATE AS d, date_trunc('week', ts)::DATE AS wk, avg(price) < 50 AS inside FROM trades GROUP BY ALL),
+ n AS (SELECT symbol, date_trunc('week', ts)::DATE AS wk, count(*) AS incidents FROM trades WHERE price > 300 GROUP BY ALL)
+ {sel('symbol s, wk d, share f, incidents i, decision s', '''(SELECT symbol, wk, share, coalesce(incidents, 0) AS incidents, CASE WHEN share < 0.5 OR coalesce(incidents, 0) >= 2 THEN 'demote'
+ WHEN share = 1 AND coalesce(incidents, 0) = 0 THEN 'scale' ELSE 'hold' END AS decision FROM (SELECT symbol, wk, avg(inside::INT) AS share FROM i GROUP BY ALL) LEFT JOIN n USING (symbol, wk))''')}""")
+def _(t):
+    wk = F.to_date(F.date_trunc("week", F.col("ts"))).alias("wk")
+    i = t.trades().groupBy("symbol", F.to_date("ts").alias("d"), wk).agg((F.avg("price") < 50).alias("inside"))
+    n = t.trades().where(F.col("price") > 300).groupBy("symbol", wk).agg(F.count(F.lit(1)).alias("incidents"))
+    return B.weekly_decisions(i, n, ["symbol", "wk"])
+
+
+# ---------------------------------------------------------------- point in time
+_TQ = """tr AS (SELECT user_id, event_id, ts, value AS price FROM events WHERE event_type = 'purchase'), qu AS (SELECT user_id, event_id AS qid, ts, value AS bid, value + 1 AS ask FROM events WHERE event_type = 'view')"""
+
+
+def _tq(t):
+    e = t.events
+    tr = e.where(F.col("event_type") == "purchase").select("user_id", "event_id", "ts", F.col("value").alias("price"))
+    qu = e.where(F.col("event_type") == "view").select("user_id", F.col("event_id").alias("qid"), "ts", F.col("value").alias("bid"), (F.col("value") + 1).alias("ask"))
+    return tr, qu
+
+
+@query("asof_join", f"WITH {_TQ} {sel('event_id i, price f, qid i, bid f, ask f', '(SELECT tr.*, qid, bid, ask FROM tr ASOF LEFT JOIN qu ON tr.user_id = qu.user_id AND tr.ts >= qu.ts)')}")
+def _(t):
+    tr, qu = _tq(t)
+    return T.last_quote_before(tr, qu, ["user_id"], ["qid", "bid", "ask"]).select("event_id", "price", "qid", "bid", "ask")
+
+
+@query("asof_forward_nearest", f"""WITH {_TQ}, f AS (SELECT tr.*, qid AS fid, qu.ts AS ft FROM tr ASOF LEFT JOIN qu ON tr.user_id = qu.user_id AND tr.ts <= qu.ts), k AS (SELECT tr.event_id, qid AS kid, qu.ts AS kt FROM tr ASOF LEFT JOIN qu ON tr.user_id = qu.user_id AND tr.ts >= qu.ts)
+ {sel('event_id i, forward_id i, nearest_id i, near_id i', '''(SELECT event_id, fid AS forward_id, CASE WHEN ft IS NOT NULL AND (kt IS NULL OR ft - ts < ts - kt) THEN fid ELSE kid END AS nearest_id,
+ CASE WHEN ts - kt <= INTERVAL 12 hours THEN kid END AS near_id FROM f JOIN k USING (event_id))''')}""")
+def _(t):
+    tr, qu = _tq(t)
+    a = asof_join(tr, qu, ["user_id"], "ts", "ts", ["qid"], direction="forward", prefix="f_")
+    a = asof_join(a, qu, ["user_id"], "ts", "ts", ["qid"], direction="nearest", prefix="n_")
+    a = asof_join(a, qu, ["user_id"], "ts", "ts", ["qid"], tolerance="12 hours", prefix="b_")
+    return a.select("event_id", F.col("f_qid").alias("forward_id"), F.col("n_qid").alias("nearest_id"), F.col("b_qid").alias("near_id"))
+
+
+@query("pit_join", f"""WITH {BARS_SQL}, r AS (SELECT n_name, o_orderdate + INTERVAL 10 days AS available_at, o_orderpriority AS symbol, max(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+ WHERE n_name = 'NATION_3' GROUP BY ALL) {sel('symbol s, ts t, v f', '(SELECT b.symbol, b.ts, r.v FROM b ASOF LEFT JOIN r ON b.symbol = r.symbol AND b.ts >= r.available_at)')}""")
+def _(t):
+    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).where(F.col("n_name") == "NATION_3").select("c_custkey")
+    r = (t.orders.join(c, F.col("o_custkey") == F.col("c_custkey"))
+         .groupBy(F.col("o_orderpriority").alias("symbol"), (F.col("o_orderdate") + F.expr("interval 10 days")).alias("available_at"))
+         .agg(F.max("o_totalprice").alias("v")))
+    return T.pit_join(t.bars().select("symbol", "ts"), r, ["symbol"], ["v"], bucket_us=365 * 86_400_000_000)
+
+
+@query("spread_measures", f"""WITH {_TQ}, a AS (SELECT tr.*, bid, ask, (bid + ask) / 2 AS mid FROM tr ASOF LEFT JOIN qu ON tr.user_id = qu.user_id AND tr.ts >= qu.ts),
+ l AS (SELECT *, ts + INTERVAL 1 hour AS tl FROM a), m AS (SELECT l.*, (qu.bid + qu.ask) / 2 AS ml, CASE WHEN sign(price - mid) <> 0 THEN sign(price - mid) END AS sd FROM l ASOF LEFT JOIN qu ON l.user_id = qu.user_id AND l.tl >= qu.ts)
+ {sel('event_id i, quoted_bps f, effective_bps f, realized_bps f, impact_bps f', '''(SELECT event_id, (ask - bid) / mid * 1e4 AS quoted_bps, 2 * sd * (price - mid) / mid * 1e4 AS effective_bps, 2 * sd * (price - ml) / mid * 1e4 AS realized_bps,
+ 2 * sd * (price - mid) / mid * 1e4 - 2 * sd * (price - ml) / mid * 1e4 AS impact_bps FROM m)''')}""")
+def _(t):
+    tr, qu = _tq(t)
+    d = T.spread_measures(tr, qu, ["user_id"], "1 hour")
+    return d.select("event_id", "quoted_bps", "effective_bps", "realized_bps", "impact_bps")
+
+
+@query("decay_index", f"""WITH {_TQ} {sel('event_id i, sentiment f', '''(SELECT tr.event_id, coalesce(sum((bid - 50) * exp(-(epoch_us(tr.ts) - epoch_us(qu.ts)) / 3.6e9 / 24)), 0) AS sentiment FROM tr LEFT JOIN qu ON qu.user_id = tr.user_id AND qu.ts <= tr.ts GROUP BY 1)''')}""")
+def _(t):
+    tr, qu = _tq(t)
+    return T.decay_index(qu.withColumn("score", F.col("bid") - 50), tr, "user_id", out="sentiment").select("event_id", "sentiment")
+
+
+@query("daily_signal", """WITH o AS (SELECT DISTINCT ts::DATE + INTERVAL '14 hours 30 minutes' AS open_at FROM events), s AS (SELECT event_type AS ticker, ts, value - 50 AS sentiment FROM events),
+ a AS (SELECT ticker, o.open_at, sum(sentiment) AS sg FROM s ASOF JOIN o ON s.ts <= o.open_at GROUP BY ALL), g AS (SELECT DISTINCT ticker, o.open_at FROM s CROSS JOIN o) """
+       + sel("ticker s, open_at t, signal f", "(SELECT g.ticker, g.open_at, coalesce(sg, 0) AS signal FROM g LEFT JOIN a ON a.ticker = g.ticker AND a.open_at = g.open_at)"))
+def _(t):
+    s = t.events.select(F.col("event_type").alias("ticker"), F.col("ts").alias("usable_at"), (F.col("value") - 50).alias("sentiment"))
+    o = t.events.select((F.date_trunc("day", "ts") + F.expr("interval '14:30' hour to minute")).alias("open_at")).distinct()
+    return T.daily_signal(s, o, "ticker")
+
+
+@query("feature_store", """WITH r AS (SELECT user_id AS symbol, event_type AS feature, ts::DATE AS ts, ts::DATE + INTERVAL 1 day AS available_at, value, event_id AS seq FROM events),
+ l AS (SELECT symbol, feature, ts, arg_max(available_at, seq) AS available_at, arg_max(value, seq) AS value FROM r GROUP BY 1, 2, 3),
+ k AS (SELECT symbol, feature, arg_max(value, ts) AS v FROM l WHERE available_at <= TIMESTAMP '2024-01-16' GROUP BY 1, 2) """
+       + sel("symbol i, click f, view f, purchase f", "(SELECT u.symbol, max(v) FILTER (WHERE feature = 'click') AS click, max(v) FILTER (WHERE feature = 'view') AS view, max(v) FILTER (WHERE feature = 'purchase') AS purchase FROM (SELECT DISTINCT symbol FROM r) u LEFT JOIN k USING (symbol) GROUP BY 1)"))
+def _(t):
+    d = t.events.select(F.col("user_id").alias("symbol"), F.col("event_type").alias("feature"), F.date_trunc("day", "ts").alias("ts"),
+                        (F.date_trunc("day", "ts") + F.expr("interval 1 day")).alias("available_at"), "value", F.col("event_id").alias("ingest_seq"))
+    return T.feature_snapshot(d, d, ["click", "view", "purchase"], F.lit("2024-01-16").cast("timestamp"))
+
+
+_VT = """v AS (SELECT p.l_partkey AS series, date_trunc('month', l_shipdate)::DATE AS date, l_extendedprice AS value, rs AS realtime_start, coalesce(lead(rs) OVER (PARTITION BY l_partkey, date_trunc('month', l_shipdate) ORDER BY rs) - 1, DATE '9999-12-31') AS realtime_end
+ FROM (SELECT l_partkey, min(l_shipdate) AS l_shipdate, arg_min(l_extendedprice, l_orderkey * 10 + l_linenumber) AS l_extendedprice, l_shipdate::DATE AS rs FROM lineitem GROUP BY l_partkey, l_shipdate::DATE) p)"""
+
+
+def vintages(t):
+    from pyspark.sql import Window
+    d = t.lineitem.groupBy(F.col("l_partkey").alias("series"), F.to_date("l_shipdate").alias("realtime_start")).agg(
+        F.min_by("l_extendedprice", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("value"))
+    d = d.withColumn("date", F.trunc("realtime_start", "month"))
+    # releases of one series and month: at most one per day
+    w = Window.partitionBy("series", "date").orderBy("realtime_start")
+    return d.withColumn("realtime_end", F.coalesce(F.date_sub(F.lead("realtime_start").over(w), 1), F.lit("9999-12-31").cast("date")))
+
+
+@query("first_release_revisions", f"""WITH {_VT} {sel('series i, date d, first_value f, published d, latest_value f, revision f', '''(SELECT series, date, arg_min(value, realtime_start) AS first_value, min(realtime_start) AS published,
+ arg_max(value, realtime_start) AS latest_value, arg_max(value, realtime_start) - arg_min(value, realtime_start) AS revision FROM v GROUP BY 1, 2)''')}""")
+def _(t):
+    return T.revisions(vintages(t), ["series", "date"])
+
+
+@query("vintage_as_of", f"WITH {_VT} {sel('series i, date d, value f', 'v', chr(39).join(['realtime_start <= DATE ', '1999-06-15', ' AND realtime_end >= DATE ', '1999-06-15', '']))}")
+def _(t):
+    return T.vintage_as_of(vintages(t), F.lit("1999-06-15").cast("date")).select("series", "date", "value")
+
+
+@query("vintages_on_days", f"""WITH {_VT}, d AS (SELECT DISTINCT series, realtime_start + 3 AS day FROM v) {sel('series i, day d, date d, value f', '(SELECT d.series, d.day, v.date, v.value FROM d JOIN v ON v.series = d.series AND d.day BETWEEN v.realtime_start AND v.realtime_end)')}""")
+def _(t):
+    v = vintages(t)
+    days = v.select("series", F.date_add("realtime_start", 3).alias("day")).distinct()
+    return T.vintages_on_days(v, days, ["series"]).select("series", "day", "date", "value")
+
+
+@query("members_on", sel("o_custkey i", "(SELECT o_custkey, min(o_orderdate) AS s, CASE WHEN max(o_orderdate) < TIMESTAMP '2000-01-01' THEN max(o_orderdate) END AS e FROM orders GROUP BY 1)", "s <= TIMESTAMP '1999-01-01' AND (e IS NULL OR TIMESTAMP '1999-01-01' < e)"))
+def _(t):
+    m = t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("start"), F.max("o_orderdate").alias("_m")).withColumn(
+        "end", F.when(F.col("_m") < F.lit("2000-01-01").cast("timestamp"), F.col("_m")))
+    return T.members_on(m, F.lit("1999-01-01").cast("timestamp")).select("o_custkey")
+
+
+@query("universe_turnover", sel("n_new i, n_added i, turnover f", "(SELECT count(*) AS n_new, count(*) FILTER (WHERE o.o_custkey IS NULL) AS n_added, count(*) FILTER (WHERE o.o_custkey IS NULL)::DOUBLE / count(*) AS turnover FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01') n LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01') o USING (o_custkey))"))
+def _(t):
+    cut = lambda c: t.orders.where(c).select("o_custkey").distinct()
+    d = F.col("o_orderdate")
+    return T.universe_turnover(cut(d < F.lit("1996-01-01").cast("timestamp")), cut(d >= F.lit("2000-01-01").cast("timestamp")), ["o_custkey"])
+
+
+@query("latest_snapshot", """WITH s AS (SELECT o_custkey, o_orderdate AS saved_at, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2), r AS (SELECT o_custkey, o_orderkey, o_orderdate AS ts FROM orders WHERE o_orderstatus <> 'F') """
+       + sel("o_orderkey i, v f", "(SELECT r.o_orderkey, s.v FROM r ASOF LEFT JOIN s ON r.o_custkey = s.o_custkey AND r.ts >= s.saved_at)"))
+def _(t):
+    o = t.orders
+    s = o.where(F.col("o_orderstatus") == "F").groupBy("o_custkey", F.col("o_orderdate").alias("saved_at")).agg(F.max("o_totalprice").alias("v"))
+    r = o.where(F.col("o_orderstatus") != "F").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("ts"))
+    return T.latest_snapshot(r, s, ["o_custkey"], ["v"]).select("o_orderkey", "v")
+
+
+@query("macro_series", f"""WITH {PANEL_SQL}, y AS (SELECT symbol, month, (close / lag(close, 12) OVER w - 1) * 100 AS yoy, close > lag(close, 3) OVER w AS g, n > lag(n, 3) OVER w AS i, lag(close, 3) OVER w AS l3 FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY month))
+ {sel('symbol s, month d, yoy f, growth_up b, inflation_up b, regime s', '''(SELECT symbol, month, yoy, g AS growth_up, i AS inflation_up, CASE WHEN g AND NOT i THEN 'growth up, inflation down' WHEN g AND i THEN 'growth up, inflation up'
+ WHEN NOT g AND i THEN 'growth down, inflation up' WHEN NOT g AND NOT i THEN 'growth down, inflation down' END AS regime FROM y)''')}""")
+def _(t):
+    s = T.yoy_pct(Series.of(t.panel(), PANEL_SPEC, 12), "close")
+    return T.growth_inflation_regime(s, "close", "n").done().select("symbol", "month", "yoy", "growth_up", "inflation_up", "regime")
+
+
+@query("intents_in_force", f"""WITH {BARS_SQL}, i AS (SELECT o_orderpriority AS symbol, o_orderdate AS ts, arg_max(o_totalprice / 1000, o_orderkey) AS w FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1, 2), j AS (SELECT b.symbol, b.ts, i.w FROM b LEFT JOIN i USING (symbol, ts))
+ {sel('symbol s, ts t, decided f', '(SELECT symbol, ts, coalesce(last_value(w IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS decided FROM j)')}""")
+def _(t):
+    i = t.orders.where(F.col("o_orderkey") % 5 == 0).select(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts"),
+                                                           (F.col("o_totalprice") / 1000).alias("weight"), F.col("o_orderkey").alias("seq"))
+    return T.intents_in_force(t.bars().select("symbol", "ts"), i, BARS_SPEC)
+
+
+# ---------------------------------------------------------------- sources
+@query("daily_summary", f"WITH {TRADES_SQL} {sel('symbol s, date d, bars i, high f, low f, volume i', '(SELECT symbol, ts::DATE AS date, count(*) AS bars, max(price) AS high, min(price) AS low, sum(size) AS volume FROM trades GROUP BY 1, 2)')}")
+def _(t):
+    d = t.trades().select("symbol", F.to_date("ts").alias("date"), F.col("price").alias("high"), F.col("price").alias("low"), F.col("size").alias("volume"))
+    return M.daily_summary(d)
+
+
+_FX = """f AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_orderkey % 11 = 0 THEN 'Mars/Phobos' WHEN l_orderkey % 2 = 0 THEN 'UTC' ELSE 'Asia/Tokyo' END AS tz, CASE WHEN l_orderkey % 13 = 0 THEN 'soon' ELSE strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') END AS ts,
+ CASE WHEN l_returnflag = 'R' THEN ' sell' WHEN l_linenumber = 7 THEN 'HOLD' ELSE 'BUY' END AS side, CASE WHEN l_linenumber = 6 THEN '-5' ELSE l_quantity::BIGINT::VARCHAR END AS qty, CASE WHEN l_orderkey % 17 = 0 THEN 'n/a' ELSE (l_extendedprice::DECIMAL(12,2))::VARCHAR END AS price,
+ CASE WHEN l_tax = 0 THEN '' ELSE '1.25' END AS fee, l_shipdate FROM lineitem)"""
+
+
+@query("parse_fills", f"""WITH {_FX} {sel('id i, utc t, q f, p f, e s', '''(SELECT id, err AS e, CASE WHEN tz <> 'Mars/Phobos' AND ts <> 'soon' THEN l_shipdate - CASE WHEN tz = 'Asia/Tokyo' THEN INTERVAL 9 hours ELSE INTERVAL 0 hours END
+ WHEN ts <> 'soon' THEN l_shipdate END AS utc, CASE WHEN side = 'BUY' THEN 1 ELSE -1 END * qty::DOUBLE AS q, try_cast(price AS DOUBLE) AS p FROM (SELECT *, CASE WHEN tz = 'Mars/Phobos' THEN 'unknown time zone' WHEN ts = 'soon' THEN 'bad timestamp'
+ WHEN side = 'HOLD' THEN 'bad side' WHEN qty::INT <= 0 THEN 'bad qty' WHEN price = 'n/a' THEN 'bad price' END AS err FROM f))''')}""")
+def _(t):
+    c = F.col
+    li = t.lineitem
+    raw = li.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"),
+                    F.when(c("l_orderkey") % 11 == 0, "Mars/Phobos").when(c("l_orderkey") % 2 == 0, "UTC").otherwise("Asia/Tokyo").alias("tz"),
+                    F.when(c("l_orderkey") % 13 == 0, "soon").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).alias("ts"),
+                    F.lit("x").alias("symbol"),
+                    F.when(c("l_returnflag") == "R", " sell").when(c("l_linenumber") == 7, "HOLD").otherwise("BUY").alias("side"),
+                    F.when(c("l_linenumber") == 6, "-5").otherwise(c("l_quantity").cast("bigint").cast("string")).alias("qty"),
+                    F.when(c("l_orderkey") % 17 == 0, "n/a").otherwise(c("l_extendedprice").cast("decimal(12,2)").cast("string")).alias("price"),
+                    F.when(c("l_tax") == 0, "").otherwise("1.25").alias("fee"))
+    zones = t.spark.createDataFrame([("UTC",), ("Asia/Tokyo",), ("America/New_York",)], "zone string")
+    d = M.check_fills(raw, zones)
+    return d.select("id", c("ts").alias("utc"), c("qty").alias("q"), c("price").alias("p"), c("error").alias("e"))
+
+
+@query("vendor_bars", """WITH a AS (SELECT o_orderdate AS ts, o_orderpriority AS symbol, arg_min(o_totalprice, o_orderkey) AS close, CASE WHEN arg_min(o_custkey, o_orderkey) % 3 <> 0 THEN arg_min(o_custkey, o_orderkey)::DOUBLE END AS volume FROM orders GROUP BY 1, 2) """
+       + sel("ts t, symbol s, close f, volume f, source s", "(SELECT *, 'vendor_a' AS source FROM a UNION ALL SELECT o_orderdate, o_orderpriority, o_totalprice, o_custkey, 'vendor_b_iex' FROM orders WHERE o_orderstatus = 'P')"))
+def _(t):
+    c = F.col
+    px = [c("o_totalprice").alias(x) for x in ("open", "high", "low", "close")]
+    vol = F.when(c("o_custkey") % 3 == 0, -1).otherwise(c("o_custkey"))
+    raw = t.orders.select(c("o_orderdate").alias("ts"), c("o_orderpriority").alias("sym"), *px, vol.alias("volume"), vol.alias("vwap"), vol.alias("trade_count"), c("o_orderkey").alias("seq"))
+    a = M.normalize_vendor_a(raw, c("sym"), "1d")
+    b = t.orders.where(c("o_orderstatus") == "P").select(c("o_orderdate").alias("timestamp"), c("o_orderpriority").alias("symbol"), *px, c("o_custkey").alias("volume"), c("o_custkey").alias("vwap"), c("o_custkey").alias("trade_count"))
+    return a.unionByName(M.normalize_vendor_b(b, "1d")).select("ts", "symbol", "close", "volume", "source")
+
+
+@query("chain_sources", """WITH r AS (SELECT p_partkey, (DATE '2026-01-16' + (p_partkey % 12)::INT * 7) AS expiry, (p_size * 5)::DOUBLE AS strike, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END AS cp, CASE WHEN p_partkey % 10 <> 0 THEN p_retailprice / 100 END AS bid, p_retailprice / 100 + 0.1 AS ask, p_partkey % 23 = 0 AS bad FROM part) """
+       + sel("expiry d, strike f, cp i, bid f, ask f, mid f, source s", "(SELECT expiry, strike, cp, bid, ask, (bid + ask) / 2 AS mid, 'vendor_a' AS source FROM r UNION ALL SELECT expiry, strike, cp, p_retailprice / 100, ask, (p_retailprice / 100 + ask) / 2, 'vendor_b' FROM r JOIN part USING (p_partkey) WHERE NOT bad)"))
+def _(t):
+    c = F.col
+    p = t.part.withColumn("e", F.expr("date_add(date'2026-01-16', cast(p_partkey % 12 as int) * 7)")).withColumn("right", F.when(c("p_partkey") % 2 == 0, "C").otherwise("P"))
+    ask = c("p_retailprice") / 100 + 0.1
+    rows = p.select(F.date_format("e", "yyyyMMdd").alias("expiry"), (c("p_size") * 5).alias("strike"), "right",
+                    F.when(c("p_partkey") % 10 == 0, -1.0).otherwise(c("p_retailprice") / 100).alias("bid"), ask.alias("ask"), F.lit(None).cast("double").alias("iv"), F.lit(None).cast("double").alias("delta"))
+    code = F.when(c("p_partkey") % 23 == 0, F.lit("not-a-code")).otherwise(S.occ_symbol(F.lit("SPY"), "e", "right", c("p_size") * 5))
+    snap = F.struct(F.struct((c("p_retailprice") / 100).alias("bid_price"), ask.alias("ask_price")).alias("latest_quote"), F.lit(None).cast("double").alias("implied_volatility"),
+                    F.struct(F.lit(0.5).alias("delta")).alias("greeks"))
+    chain, _bad = M.chain_from_snapshots(p.select(F.create_map(code, snap).alias("m")), "m")
+    return M.chain_from_rows(rows).unionByName(chain).select("expiry", "strike", "cp", "bid", "ask", "mid", "source")
+
+
+@query("option_codes", sel("p_partkey i, code s, root s, expiry d, cp i, strike f, fut s", "(SELECT p_partkey, 'SPY' || strftime(e, '%y%m%d') || r || lpad((p_size * 2500)::VARCHAR, 8, '0') AS code, 'SPY' AS root, e AS expiry, CASE WHEN r = 'C' THEN 1 ELSE -1 END AS cp, p_size * 2.5 AS strike, 'ES' || substr('FGHJKMNQUVXZ', month(e)::INT, 1) || (year(e) % 10)::VARCHAR AS fut FROM (SELECT *, (DATE '2026-01-16' + (p_partkey % 300)::INT) AS e, CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'P' END AS r FROM part))"))
+def _(t):
+    c = F.col
+    p = t.part.withColumn("e", F.expr("date_add(date'2026-01-16', cast(p_partkey % 300 as int))")).withColumn("r", F.when(c("p_partkey") % 2 == 0, "C").otherwise("P"))
+    d = p.withColumn("code", S.occ_symbol(F.lit("SPY"), "e", "r", c("p_size") * 2.5)).withColumn("o", S.parse_occ("code"))
+    return d.select("p_partkey", "code", "o.root", "o.expiry", "o.cp", "o.strike", S.canonical_symbol(F.lit("future"), F.lit("ES"), c("e")).alias("fut"))
+
+
+@query("missing_ranges", """WITH h AS (SELECT user_id, epoch_us(ts) AS lo, epoch_us(ts) + 43200000000 AS hi FROM events), w AS (SELECT 1704067200000000::BIGINT AS a, 1706659200000000::BIGINT AS b),
+ i AS (SELECT user_id, lo, hi FROM h, w WHERE hi > a AND lo < b UNION ALL SELECT DISTINCT user_id, b, b FROM h, w), r AS (SELECT user_id, lo, greatest(coalesce(max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a), a) AS fr FROM i, w) """
+       + sel("user_id i, lo i, hi i", "(SELECT user_id, fr AS lo, lo AS hi FROM r WHERE lo > fr)"))
+def _(t):
+    us = F.unix_micros("ts")
+    have = t.events.select("user_id", us.alias("lo"), (us + 43_200_000_000).alias("hi"))
+    want = t.events.select("user_id").distinct().withColumns({"lo": F.lit(1704067200000000), "hi": F.lit(1706659200000000)})
+    return M.missing_ranges(have, want, ["user_id"])
+
+
+@query("incremental_rows", sel("o_orderkey i", "orders", "o_orderstatus <> 'F'"))
+def _(t):
+    o = t.orders.select("o_orderkey", "o_orderstatus")
+    return M.new_rows(o, o.where(F.col("o_orderstatus") == "F"), ["o_orderkey"]).select("o_orderkey")
+
+
+@query("stable_ids", sel("event_id i, story s, cfg s", """(SELECT event_id, substr(sha1(event_type || '/' || event_id::VARCHAR || '/' || props), 1, 32) AS story,
+ substr(sha256('{"a":"' || event_type || '","b":"' || user_id::VARCHAR || '"}'), 1, 12) AS cfg FROM events)"""))
+def _(t):
+    c = F.col
+    m = F.create_map(F.lit("b"), c("user_id").cast("string"), F.lit("a"), c("event_type"))
+    return t.events.select("event_id", M.story_id(c("event_type"), c("event_id").cast("string"), c("props")).alias("story"), M.config_hash(m).alias("cfg"))
+
+
+@query("wide_to_long", sel("month d, symbol s, close f", "(SELECT date_trunc('month', o_orderdate)::DATE AS month, o_orderstatus AS symbol, avg(o_totalprice) AS close FROM orders GROUP BY 1, 2)"))
+def _(t):
+    wide = t.orders.groupBy(F.trunc("o_orderdate", "month").alias("month")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.avg("o_totalprice"))
+    return M.wide_to_long(wide, "month")
+
+
+# ---------------------------------------------------------------- quality
+@query("bad_bars", f"WITH {BARS_SQL} {sel('symbol s, ts t, bad b', '(SELECT symbol, ts, high * 0.999 < greatest(open, close) OR low > least(open, close) OR least(open, high, low, close) <= 0 OR volume - 3 < 0 AS bad FROM b)')}")
+def _(t):
+    d = t.bars().withColumns({"high": F.col("high") * 0.999, "volume": F.col("volume") - 3})
+    return d.select("symbol", "ts", Q.bad_bar().alias("bad"))
+
+
+@query("validate_bars", f"""WITH {BARS_SQL}, x AS (SELECT symbol, high < 1.0 * greatest(open, close) OR (symbol = '5-LOW' AND volume > 3) AS h, symbol = '2-HIGH' AND volume > 3 AS v FROM b)
+ {sel('symbol s, rule_no i, finding s', '''(SELECT symbol, 2 AS rule_no, 'high below open/close' AS finding FROM x WHERE h GROUP BY symbol UNION ALL SELECT symbol, 4, 'negative volume' FROM x WHERE v GROUP BY symbol UNION ALL SELECT '4-NOT SPECIFIED', 0, 'not increasing')''')}""")
+def _(t):
+    c = F.col
+    d = t.bars().withColumn("seq", F.unix_micros("ts") * F.when(c("symbol") == "4-NOT SPECIFIED", -1).otherwise(1))
+    d = d.withColumn("high", F.when((c("symbol") == "5-LOW") & (c("volume") > 3), c("low") - 1).otherwise(c("high")))
+    d = d.withColumn("volume", F.when((c("symbol") == "2-HIGH") & (c("volume") > 3), -c("volume")).otherwise(c("volume")))
+    return Q.validate_bars(d, ["symbol"])
+
+
+@query("find_gaps", f"""WITH {TRADES_SQL}, b AS (SELECT DISTINCT symbol, time_bucket(INTERVAL '30 minutes', ts) AS ts FROM trades), d AS (SELECT DISTINCT symbol, ts::DATE AS d FROM b),
+ w AS (SELECT symbol, d + INTERVAL '14 hours 30 minutes' + k * INTERVAL 30 minutes AS ts FROM d CROSS JOIN range(13) r(k)) {sel('symbol s, ts t', '(SELECT w.* FROM w ANTI JOIN b ON b.symbol = w.symbol AND b.ts = w.ts)')}""")
+def _(t):
+    b = t.trades().select("symbol", F.window("ts", "30 minutes").start.alias("ts")).distinct()
+    return Q.find_gaps(b, ["symbol"], 30)
+
+
+@query("stale_gaps", f"WITH {TRADES_SQL}, g AS (SELECT symbol, seq, (epoch_us(lead(ts) OVER (PARTITION BY symbol ORDER BY ts, seq)) - epoch_us(ts)) / 1e6 AS gap FROM trades) {sel('symbol s, seq i, gap f', 'g', 'gap > 3600')}")
+def _(t):
+    return Q.stale_gaps(Series.of(t.trades(), TICKS_SPEC, 0, 1), 3600).select("symbol", "seq", "gap")
+
+
+@query("bad_ticks", None)
+def _(t):
+    return Q.bad_ticks(Series.of(t.trades(), TICKS_SPEC, 110, 10), "price", 21, 100).done().select("symbol", "seq", "bad_tick")
+
+
+@query("scan_secrets", """WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line, generate_subscripts(string_split_regex(text, '\\r\\n|\\r|\\n'), 1) AS n FROM documents) """
+       + sel("doc_id i, line i, rule s", "(SELECT doc_id, n AS line, 'api_key' AS rule FROM l WHERE regexp_matches(line, 'sk-ant-[A-Za-z0-9_-]{16,}') UNION ALL SELECT doc_id, n, 'aws_access_key' FROM l WHERE regexp_matches(line, 'AKIA[0-9A-Z]{16}') UNION ALL SELECT doc_id, n, 'hardcoded_password' FROM l WHERE regexp_matches(line, '(?i)password\\s*[=:]\\s*[''\"][^''\"$]{4,}[''\"]') UNION ALL SELECT doc_id, n, 'private_key' FROM l WHERE regexp_matches(line, '-----BEGIN [A-Z ]*PRIVATE KEY-----'))"))
+def _(t):
+    return Q.scan_secrets(t.documents, "doc_id", "text")
+
+
+@query("integrity", sel("kind s, n i", "(SELECT 'orphan' AS kind, count(*) AS n FROM documents d ANTI JOIN labels l ON l.doc_id = d.doc_id UNION ALL SELECT 'duplicate', count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1))"))
+def _(t):
+    a = Q.orphans(t.documents, t.labels, ["doc_id"], ["doc_id"]).agg(F.count(F.lit(1)).alias("n")).select(F.lit("orphan").alias("kind"), "n")
+    b = Q.duplicate_keys(t.orders, ["o_custkey"]).agg(F.count(F.lit(1)).alias("n")).select(F.lit("duplicate").alias("kind"), "n")
+    return a.unionByName(b)
