@@ -146,7 +146,7 @@ def occ_symbol(root, expiry, cp, strike) -> Column:
     return F.concat(c(root), F.date_format(c(expiry), "yyMMdd"), c(cp), F.lpad(thousandths, 8, "0"))
 
 
-OCC_PATTERN = r"^([A-Z]{1,6})(\d{6})([CP])(\d{8})$"   # fixed value: option symbol layout
+OCC_PATTERN = r"^([A-Z.]{1,6})(\d{6})([CP])(\d{8})$"   # fixed value: option symbol layout
 
 
 def parse_occ(symbol) -> Column:
@@ -158,16 +158,14 @@ def parse_occ(symbol) -> Column:
         (part[3].cast("bigint") / 1000.0).alias("strike")))
 
 
-def canonical_symbol(asset_class, symbol, expiry=None, quote=None, cp=None, strike=None) -> Column:
-    a = c(asset_class)
-    out = F.when(a.isin("equity", "etf", "index"), c(symbol))
+def canonical_symbol(asset_class, symbol, expiry=None, currency=None) -> Column:
+    """One symbol per asset class; NULL for an unsupported class."""
+    a, s = F.upper(c(asset_class)), c(symbol)
+    out = F.when(a == "EQUITY", s).when(a == "FX", F.concat_ws(".", F.substring(s, 1, 3), F.substring(s, 4, 9)))
     if expiry is not None:
-        out = out.when(a == "future", contract_code(symbol, expiry))
-        if cp is not None:
-            out = out.when(a == "option", occ_symbol(symbol, expiry, cp, strike))
-    if quote is not None:
-        out = out.when(a == "forex", F.concat_ws(".", c(symbol), c(quote)))
-        out = out.when(a == "crypto", F.concat_ws("/", c(symbol), c(quote)))
+        out = out.when(a == "FUTURE", contract_code(symbol, expiry))
+    if currency is not None:
+        out = out.when(a == "CRYPTO", F.concat_ws("/", s, c(currency)))
     return out
 
 
@@ -239,12 +237,12 @@ def bet_size(prob, n_classes: int = 2) -> Column:
     p = c(prob)
     base = 1.0 / n_classes
     z = (p - base) / F.sqrt(p * (1 - p))
-    return (F.when(p >= 1, 1.0).when(p <= 0, -1.0)
-            .otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * normal_cdf(z) - 1))))
+    return (F.when(p >= 1, 1.0).when(p <= 0, 0.0)
+            .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * normal_cdf(z) - 1))))
 
 
 def discretize(size, step: float = 0.1) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.bround(c(size) / step) * step))
+    return F.bround(c(size) / step) * step
 
 
 def futures_hedge_contracts(portfolio_value, beta, fut_price, multiplier, hedge_ratio=1.0) -> Column:

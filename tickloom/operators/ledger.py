@@ -216,7 +216,7 @@ def normalize_events(df: DataFrame, raw: str) -> DataFrame:
     kind = F.when(fill, "fill").when(a_stat | b, "status")
     error = (F.when(~F.coalesce(a | b, F.lit(False)), "unknown broker").when(kind.isNull(), "unknown type")
              .when(~fill & state.isNull(), "unknown status"))
-    return e.select(*df.columns, F.when(a, x["orderRef"]).otherwise(x["order.client_order_id"]).alias("coid"), kind.alias("kind"),
+    return e.select(*df.columns, F.when(a, x["orderRef"]).otherwise(x["order"]["client_order_id"]).alias("coid"), kind.alias("kind"),
                     state.alias("state"), F.when(a_fill, x["execId"]).when(b_fill, x["execution_id"]).alias("exec_id"),
                     F.when(a_fill, x["shares"].cast("decimal(18,6)")).when(b_fill, x["qty"].cast("decimal(18,6)")).alias("qty"),
                     F.when(fill, x["price"].cast("decimal(18,6)")).alias("price"), error.alias("error"))

@@ -131,34 +131,71 @@ def pair_states(s: Series, z="z", entry=2.0, exit_=0.5, out="pos") -> Series:
 
 def pair_positions(s: Series, z="z", entry=2.0, exit_=0.5, stop=4.0, max_hold: int | None = None, out="pos"
                    ) -> Series:
-    """Entry, exit, stop and time stop; after a stop the side stays blocked until |z| < exit."""
+    """Flat: enter against z between entry and stop.  In a trade: out below exit, beyond stop or after max_hold bars.
+
+    After a stop or time stop there is no new entry until |z| has been below `entry`.  A missing z changes nothing.
+    """
     import numpy as np
     limit = math.inf if max_hold is None else max_hold
 
     def step(rows, st):
         pos, held, blocked = st
         out_v = np.zeros(len(rows[RN]))
-        for i, v in enumerate(rows[z]):
-            if np.isnan(v):
-                if pos:
+        for i, v in enumerate(rows[z].tolist()):
+            if v is not None and v == v:
+                if pos == 0:
+                    blocked = 1.0 if blocked and abs(v) >= entry else 0.0
+                    if not blocked and entry < abs(v) < stop:
+                        pos, held = (1.0 if v < 0 else -1.0), 0.0
+                else:
                     held += 1
-                out_v[i] = pos
-                continue
-            if blocked and abs(v) < exit_:
-                blocked = 0.0
-            if pos:
-                held += 1
-                if abs(v) >= stop or held > limit:
-                    pos, held, blocked = 0.0, 0.0, 1.0
-                elif abs(v) < exit_:
-                    pos, held = 0.0, 0.0
-            elif not blocked and entry < abs(v) < stop:
-                pos, held = (1.0 if v < 0 else -1.0), 0.0
+                    if abs(v) < exit_:
+                        pos = 0.0
+                    elif abs(v) > stop or held >= limit:
+                        pos, blocked = 0.0, 1.0
             out_v[i] = pos
-        return {out: out_v}, [pos, held, blocked]
+        # the count only matters inside a trade
+        return {out: out_v}, [pos, held if pos else 0.0, blocked]
     return sequential(s, [z], step, [0.0, 0.0, 0.0], {out: T.DoubleType()})
 
 
+def ensemble_positions(s: Series, z="z", entries=(1.75, 2.0, 2.25), exits=(0.25, 0.5, 0.75), stop=4.0,
+                       max_hold: int | None = None, out="pos") -> DataFrame:
+    """Mean position over the grid of entries and exits; the grid multiplies the series, not the work of one task."""
+    grid = F.explode(F.array(*[F.struct(F.lit(e).alias("e"), F.lit(x).alias("x")) for e in entries for x in exits]))
+    base = s.flat().df.drop("_blk", RN).withColumn("_g", grid)
+    parts = []
+    for e in entries:
+        for x in exits:
+            spec = s.spec.with_(keys=(*s.spec.keys, "_e", "_x"))
+            d = base.where((F.col("_g.e") == e) & (F.col("_g.x") == x)).withColumns({"_e": F.lit(e), "_x": F.lit(x)}).drop("_g")
+            parts.append(pair_positions(Series.of(d, spec), z, e, x, stop, max_hold, "_p").done())
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    keep = [c for c in s.flat().df.columns if c not in ("_blk", RN, z)]
+    return u.groupBy(*keep).agg(F.avg("_p").alias(out))
+
+
+def pair_pnl(s: Series, pos="pos", y="y", x="x", beta="beta", cost_bps=5.0, borrow_bps=50.0, out="pnl") -> Series:
+    """Return on gross capital of a spread held from the next bar, less two-leg costs and borrow on the short leg."""
+    s = s.ready([pos, y, x], 2)
+    held, before = F.coalesce(s.lag(pos), F.lit(0.0)), F.coalesce(s.lag(pos, 2), F.lit(0.0))
+    b = col(beta)
+    gross = 1 + F.abs(b)
+    ret = F.coalesce(held * ((col(y) - s.lag(y)) - b * (col(x) - s.lag(x))) / gross, F.lit(0.0))
+    cost = F.abs(held - before) * cost_bps / 1e4 * 2
+    short = F.when(held < 0, 1 / gross).when(held > 0, F.abs(b) / gross).otherwise(0.0)
+    return s.add({out: ret - cost - F.coalesce(short, F.lit(0.0)) * borrow_bps / 1e4 / 252})
+
+
+def pairs_pnl(s: Series, pos="pos", y="y", x="x", beta="beta", out="pnl") -> Series:
+    """Lagged spread profit without costs."""
+    s = s.ready([pos, y, x, beta], 1)
+    v = s.lag(pos) * ((col(y) - s.lag(y)) - s.lag(beta) * (col(x) - s.lag(x)))
+    return s.add({out: F.coalesce(v, F.lit(0.0))})
+
+
 def s_score_states(s: Series, score="s", open_=1.25, close_long=0.5, close_short=0.75, out="pos") -> Series:
     """Open long under -open, close above -close_long; mirrored for shorts; a missing score closes."""
     v = col(score)

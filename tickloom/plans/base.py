@@ -80,7 +80,7 @@ class Tables:
             F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").alias("ts"),
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), side.alias("side"),
             (F.col("l_quantity") * side).alias("qty"),
-            F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"),
+            F.col("l_extendedprice").alias("price"),
             F.round(F.col("l_tax") * 10, 2).alias("fee"))
 
 
@@ -100,7 +100,7 @@ PANEL_SQL = """panel AS (SELECT n_name AS symbol, n_regionkey AS sector, date_tr
 FILLS_SQL = """fills AS (SELECT l_suppkey AS symbol, l_shipdate AS ts, l_orderkey * 10 + l_linenumber AS seq,
  CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS side,
  l_quantity * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS qty,
- round(l_extendedprice / l_quantity, 2) AS price, round(l_tax * 10, 2) AS fee FROM lineitem)"""
+ l_extendedprice AS price, round(l_tax * 10, 2) AS fee FROM lineitem)"""
 
 
 def finish(df: DataFrame) -> DataFrame:
