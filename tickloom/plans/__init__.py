@@ -1,5 +1,5 @@
 """Importing the package registers every query."""
-from . import indicator_queries, ledger_queries, market_queries, pattern_queries
+from . import indicator_queries, ledger_queries, market_queries, pattern_queries, stats_queries
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "indicator_queries", "ledger_queries", "market_queries", "pattern_queries"]
+__all__ = ["ORACLES", "QUERIES", "indicator_queries", "ledger_queries", "market_queries", "pattern_queries", "stats_queries"]
