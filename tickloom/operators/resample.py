@@ -119,8 +119,8 @@ def reality_check(df: DataFrame, spec: SeriesSpec, strategy="strategy", r="ret",
     sums = block_sums(b, p, [], ["s1"], [strategy]).join(m, strategy)
     v = sums.groupBy("rep").agg(F.max(F.sqrt("_T") * (F.col("s1") / F.col("_T") - F.col("_m"))).alias("_v"))
     obs = m.agg(F.max(F.struct(F.sqrt("_T") * F.col("_m"), strategy, F.col("_m") / (F.col("_sd") / F.sqrt("_T")))).alias("_o")).select(
-        F.col("_o")["col1"].alias("_V"), F.col(f"_o.{strategy}").alias("best"), F.col("_o")["col3"].alias("_t"))
-    return v.crossJoin(F.broadcast(obs)).groupBy("best", "_t").agg(F.avg((F.col("_v") >= F.col("_V")).cast("double")).alias("p_value")).select(
+        F.col("_o")["col1"].alias("_obs"), F.col(f"_o.{strategy}").alias("best"), F.col("_o")["col3"].alias("_t"))
+    return v.crossJoin(F.broadcast(obs)).groupBy("best", "_t").agg(F.avg((F.col("_v") >= F.col("_obs")).cast("double")).alias("p_value")).select(
         "best", "p_value", normal_cdf(-F.col("_t")).alias("naive_p"))
 
 
@@ -346,7 +346,8 @@ def plateau_scores(results: DataFrame, x: str, y: str, score="score", radius=1)
     r = results.join(F.broadcast(ax), x).join(F.broadcast(ay), y)
     near = r.select(F.col("_i").alias("_i2"), F.col("_j").alias("_j2"), F.col(score).alias("_s"))
     offs = F.sequence(F.lit(-radius), F.lit(radius))
-    near = near.withColumn("_i", F.col("_i2") + F.explode(offs)).withColumn("_j", F.col("_j2") + F.explode(offs))
+    near = near.withColumn("_di", F.explode(offs)).withColumn("_dj", F.explode(offs))
+    near = near.withColumns({"_i": F.col("_i2") + F.col("_di"), "_j": F.col("_j2") + F.col("_dj")})
     m = near.groupBy("_i", "_j").agg(F.avg("_s").alias("plateau"))
     return r.join(m, ["_i", "_j"]).select(x, y, score, "plateau")
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.scalar import div
 from ..functions.special import chi2_sf_1, chi2_sf_2, f_sf, kolmogorov_sf, normal_cdf, normal_ppf, normal_ppf_value
 from ..quantiles import percentiles
-from ..series import RN, Series, SeriesSpec, col, index_rows
+from ..series import RN, Series, SeriesSpec, col, index_rows, kept
 from .patterns import consecutive
 from .strategies import equity_curve, pct_rank
 
@@ -94,7 +94,7 @@ def kpss(s: Series, x: str, lags: int) -> DataFrame:
     mean = s.flat().df.groupBy(*keys).agg(F.avg(x).alias("_m"), F.count(x).alias("_n"))
     base = s.flat().df.drop("_blk", RN)
     d = (base.join(mean, keys) if keys else base.crossJoin(F.broadcast(mean))).withColumn("_e", F.col(x) - F.col("_m"))
-    t = Series.of(d, s.spec, back=lags).shared()
+    t = Series.of(kept(d), s.spec, back=lags)
     prods = {f"_g{j}": F.col("_e") * t.lag("_e", j) for j in range(1, lags + 1)}
     cov = t.add(prods).flat().df.groupBy(*keys).agg(F.sum(F.col("_e") * F.col("_e")).alias("_g0"), *[F.sum(k).alias(k) for k in prods])
     cum = t.running({"_S": ("sum", F.col("_e"))}).df.groupBy(*keys, "_n").agg(F.sum(F.col("_S") * F.col("_S")).alias("_eta"))
@@ -126,7 +126,7 @@ def engle_granger(df: DataFrame, spec: SeriesSpec, y="y", x="x") -> DataFrame:
     """OLS of y on x per pair, one-lag cointegration test of the spread and its half-life."""
     keys = list(spec.keys)
     ols = regress(df, keys, F.col(y), [F.lit(1.0), F.col(x)]).select(*keys, F.col("coef")[0].alias("alpha"), F.col("coef")[1].alias("beta"))
-    d = df.join(ols, keys).withColumn("_spread", F.col(y) - F.col("beta") * F.col(x) - F.col("alpha"))
+    d = kept(df.join(ols, keys).withColumn("_spread", F.col(y) - F.col("beta") * F.col(x) - F.col("alpha")))
     s = Series.of(d, spec, back=2)
     test = adf(s, "_spread", 2, const=False).select(*keys, F.col("p_value").alias("pvalue"))
     hl = fit_ou(s, "_spread").select(*keys, "half_life")
@@ -269,7 +269,7 @@ def trades_from_positions(s: Series, pos="pos") -> DataFrame:
 
 def trade_stats(trades: DataFrame, spec: SeriesSpec, r="ret") -> DataFrame:
     keys = list(spec.keys)
-    runs = consecutive(Series.of(trades, spec).add(_loss=F.col(r) < 0), "_loss", "_run").df
+    runs = consecutive(Series.of(kept(trades), spec).add(_loss=F.col(r) < 0), "_loss", "_run").df
     win, loss = F.when(F.col(r) > 0, F.col(r)), F.when(F.col(r) < 0, F.col(r))
     return runs.groupBy(*keys).agg(F.avg((F.col(r) > 0).cast("double")).alias("win_rate"), div(F.avg(win), F.abs(F.avg(loss))).alias("payoff"), F.avg(r).alias("expectancy"),
                                    div(F.sum(win), F.abs(F.sum(loss))).alias("profit_factor"), F.max("_run").alias("max_consecutive_losses"))
@@ -349,7 +349,7 @@ def evt_var_es(df: DataFrame, keys: list[str], r="ret", q=0.99, threshold_q=0.95
     e = j.where(F.col("_l") > F.col("u")).select(*keys, (F.col("_l") - F.col("u")).alias("_x"))
     stat = e.groupBy(*keys).agg(F.max("_x").alias("_mx"), F.avg("_x").alias("_av"), F.count("_x").alias("nu"))
     cur = stat.withColumns({"_lo": -0.95 / F.col("_mx"), "_hi": 20.0 / F.col("_av")})
-    x = e.join(cur.select(*keys, "_mx"), keys) if keys else e.crossJoin(F.broadcast(cur.select("_mx")))
+    x, cur = kept(e), kept(cur)
     for _ in range(rounds):
         g = cur.select(*keys, "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(grid))).alias("_i"))
         # denser near zero, where the heavy-tail range is
@@ -359,7 +359,7 @@ def evt_var_es(df: DataFrame, keys: list[str], r="ret", q=0.99, threshold_q=0.95
         ll = ll.withColumn("_ll", F.when(F.abs("xi") < 1e-9, F.lit(None)).otherwise(-F.log(F.col("xi") / F.col("_t")) - F.col("xi") - 1))
         best = ll.groupBy(*keys).agg(F.max_by("_t", "_ll").alias("_bt"), F.max_by("_i", "_ll").alias("_bi"))
         nb = ll.join(best, keys) if keys else ll.crossJoin(best)
-        cur = (nb.groupBy(*keys, "_bt").agg(F.max(F.when(F.col("_i") == F.greatest(F.col("_bi") - 1, F.lit(0)), F.col("_t"))).alias("_lo"),
+        cur = kept(nb.groupBy(*keys, "_bt").agg(F.max(F.when(F.col("_i") == F.greatest(F.col("_bi") - 1, F.lit(0)), F.col("_t"))).alias("_lo"),
                                             F.max(F.when(F.col("_i") == F.least(F.col("_bi") + 1, F.lit(grid)), F.col("_t"))).alias("_hi")))
     f = x.join(cur, keys) if keys else x.crossJoin(F.broadcast(cur))
     fit = f.groupBy(*keys, "_bt").agg(F.avg(F.log1p(F.col("_bt") * F.col("_x"))).alias("xi")).withColumn("beta", F.col("xi") / F.col("_bt"))
@@ -421,7 +421,7 @@ def cusum_residuals(s: Series, y: str, x: str) -> DataFrame:
     keys = s.keys
     ols = regress(s.flat().df, keys, F.col(y), [F.lit(1.0), F.col(x)]).select(*keys, F.col("coef").alias("_c"), F.col("ssr").alias("_ssr"), F.col("n").alias("_n"))
     d = s.flat().df.drop("_blk", RN).join(ols, keys).withColumn("_e", F.col(y) - F.col("_c")[0] - F.col("_c")[1] * F.col(x))
-    t = Series.of(d, s.spec).running({"_S": ("sum", F.col("_e"))})
+    t = Series.of(kept(d), s.spec).running({"_S": ("sum", F.col("_e"))})
     # variance with two degrees of freedom removed
     stat = F.max(F.abs("_S") / F.sqrt(F.col("_ssr") / (F.col("_n") - 2) * F.col("_n")))
     return t.df.groupBy(*keys).agg(stat.alias("stat")).withColumn("p_value", kolmogorov_sf("stat"))
@@ -477,7 +477,8 @@ def ks_two_sample(df: DataFrame, keys: list[str], value: str, sample: str) -> Da
 def rank_ic(df: DataFrame, by: list[str], pred: str, realized: str) -> DataFrame:
     d = df.where(F.col(pred).isNotNull() & F.col(realized).isNotNull())
     d = d.withColumn("_p", pct_rank(pred, by)).withColumn("_r", pct_rank(realized, by))
-    return d.groupBy(*by).agg(F.corr("_p", "_r").alias("ic"), F.count(F.lit(1)).alias("n"))
+    ic = F.try_divide(F.covar_pop("_p", "_r"), F.stddev_pop("_p") * F.stddev_pop("_r"))
+    return d.groupBy(*by).agg(ic.alias("ic"), F.count(F.lit(1)).alias("n"))
 
 
 def average_precision(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
@@ -572,14 +573,14 @@ def num_concurrent(bars: DataFrame, spans: DataFrame, spec: SeriesSpec) -> DataF
     up = spans.groupBy(*keys, F.col("t0_rn").alias(RN)).agg(F.count(F.lit(1)).alias("_u"))
     dn = spans.groupBy(*keys, (F.col("t1_rn") + 1).alias(RN)).agg(F.count(F.lit(1)).alias("_d"))
     j = d.join(up, [*keys, RN], "left").join(dn, [*keys, RN], "left").withColumn("_st", F.coalesce("_u", F.lit(0)) - F.coalesce("_d", F.lit(0))).withColumnRenamed(RN, "rn")
-    s = Series.of(j, spec).running({"concurrent": ("sum", F.col("_st"))})
+    s = Series.of(kept(j), spec).running({"concurrent": ("sum", F.col("_st"))})
     return s.done().drop("_u", "_d", "_st")
 
 
 def avg_uniqueness(concurrent: DataFrame, spans: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Mean of 1 / concurrency over each span, from prefix sums joined at both ends."""
     keys = list(spec.keys)
-    s = Series.of(concurrent, spec).running({"_cum": ("sum", F.when(F.col("concurrent") > 0, 1 / F.col("concurrent")).otherwise(0.0))})
+    s = Series.of(kept(concurrent), spec).running({"_cum": ("sum", F.when(F.col("concurrent") > 0, 1 / F.col("concurrent")).otherwise(0.0))})
     c = s.done().select(*keys, "rn", "_cum")
     a = c.select(*keys, (F.col("rn") + 1).alias("t0_rn"), F.col("_cum").alias("_c0"))
     b = c.select(*keys, F.col("rn").alias("t1_rn"), F.col("_cum").alias("_c1"))

@@ -97,12 +97,12 @@ def _(t):
 def _(t):
     """ADF p-value and correlation with the original per difference order; the smallest order below 5 % per symbol."""
     parts = []
-    for d in (0.0, 0.2, 0.4):
+    for d in (0.0, 0.4):
         s = I.frac_diff(bars(t, 60).add(lc=F.log("close")), "lc", d, 1e-2, "fd")
         x = s.done().where(C("fd").isNotNull())
         test = S.adf(Series.of(x, BARS_SPEC, 2), "fd").select("symbol", C("p_value").alias("adf_p"))
         parts.append(x.groupBy("symbol").agg(F.corr("fd", "lc").alias("corr")).join(test, "symbol").withColumn("d", F.lit(d)))
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    u = parts[0].unionByName(parts[1])
     best = u.where(C("adf_p") < 0.05).groupBy("symbol").agg(F.min("d").alias("min_d"))
     return u.join(best, "symbol", "left")
 
@@ -292,9 +292,9 @@ def _(t):
     return S.average_precision(d, [], "p", "quality")
 
 
-@query("pinball_coverage", agg("avg(greatest(0.9 * (ret - mkt), (0.9 - 1) * (ret - mkt))) AS loss, avg((ret >= -mkt AND ret <= mkt)::INT) AS cover", "loss f, cover f"))
+@query("pinball_coverage", agg("avg(greatest(0.9 * (ret - mkt), (0.9 - 1) * (ret - mkt))) AS loss, avg((ret >= -mkt * 0.9 AND ret <= mkt * 0.9)::INT) AS cover", "loss f, cover f"))
 def _(t):
-    return _ret_df(t).groupBy("symbol").agg(S.pinball(C("mkt"), C("ret"), 0.9).alias("loss"), S.coverage(-C("mkt"), C("mkt"), C("ret")).alias("cover"))
+    return _ret_df(t).groupBy("symbol").agg(S.pinball(C("mkt"), C("ret"), 0.9).alias("loss"), S.coverage(-C("mkt") * 0.9, C("mkt") * 0.9, C("ret")).alias("cover"))
 
 
 @query("conformal_interval", f"WITH {BARS_SQL}, {_RET}, k AS (SELECT symbol, abs(ret) AS a, row_number() OVER (PARTITION BY symbol ORDER BY abs(ret)) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM r) {sel('symbol s, half_width f', '(SELECT symbol, a AS half_width FROM k WHERE k = ceil((n + 1) * 0.9))')}")
@@ -316,9 +316,9 @@ def _(t):
     return d.select("symbol", "ts", F.aggregate("window", F.lit(0.0), lambda a, v: a + v).alias("s"), C("window")[0].alias("f0"), S.time_split(C("n"), C(RN), gap=5).alias("role"))
 
 
-@query("implied_vs_realized", agg("avg(mkt) AS mean_implied, avg(abs(ret)) AS mean_realized, avg((abs(ret) > mkt)::INT) AS share_exceeded, avg(mkt - abs(ret)) AS mean_premium, count(*) AS n", "mean_implied f, mean_realized f, share_exceeded f, mean_premium f, n i"))
+@query("implied_vs_realized", agg("avg(mkt * 0.9) AS mean_implied, avg(abs(ret)) AS mean_realized, avg((abs(ret) > mkt * 0.9)::INT) AS share_exceeded, avg(mkt * 0.9 - abs(ret)) AS mean_premium, count(*) AS n", "mean_implied f, mean_realized f, share_exceeded f, mean_premium f, n i"))
 def _(t):
-    return S.implied_vs_realized(_ret_df(t), ["symbol"], "mkt", "ret")
+    return S.implied_vs_realized(_ret_df(t).withColumn("mkt", C("mkt") * 0.9), ["symbol"], "mkt", "ret")
 
 
 @query("event_study", f"""WITH {BARS_SQL}, {_RET}, ev AS (SELECT symbol, rn AS e FROM r WHERE rn % 97 = 96), j AS (SELECT ev.symbol, ev.e, r.rn - ev.e AS o, ret, mkt FROM ev JOIN r ON r.symbol = ev.symbol AND r.rn BETWEEN ev.e - 60 AND ev.e + 5),

@@ -48,6 +48,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Cache a costly frame that several branches of one job read; lazy, spills to disk, rebuilt from lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def index_rows(df: DataFrame, spec: SeriesSpec, name: str = RN) -> DataFrame:
     """Zero-based position of every row inside its key, in two phases (bucket-local, then bucket offsets)."""
     keys = list(spec.keys)
