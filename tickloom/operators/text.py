@@ -29,9 +29,15 @@ def lexicon_clauses(text, positive: list[str], negative: list[str], window=2) ->
     pos, neg, nots = (F.array(*[F.lit(w) for w in ws]) for ws in (positive, negative, NEGATORS))
 
     def signs(clause):
+        # shifted copies of the negator flags are zipped, so every token is looked at once
         tk = F.regexp_extract_all(clause, F.lit(TOKEN), F.lit(0))
-        return F.transform(tk, lambda w, i: F.when(F.array_contains(pos, w), 1).when(F.array_contains(neg, w), -1).otherwise(0) * F.when(
-            F.arrays_overlap(F.slice(tk, F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window))), nots), -1).otherwise(1))
+        sign = F.transform(tk, lambda w: F.when(F.array_contains(pos, w), 1).when(F.array_contains(neg, w), -1).otherwise(0))
+        no = F.transform(tk, lambda w: F.array_contains(nots, w))
+        near = None
+        for k in range(1, window + 1):
+            sh = F.concat(F.array(*[F.lit(False)] * k), no)
+            near = sh if near is None else F.zip_with(near, sh, lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)))
+        return F.zip_with(sign, near, lambda v, n: F.coalesce(F.when(n, -v).otherwise(v), F.lit(0)))
     s = F.filter(F.flatten(F.transform(F.split(F.lower(col(text)), CLAUSE), signs)), lambda v: v != 0)
     return F.coalesce(F.try_divide(F.aggregate(s, F.lit(0), lambda a, v: a + v), F.size(s)), F.lit(0.0))
 
@@ -58,7 +64,7 @@ def dedupe_news(df: DataFrame, symbol: str, headline: str, ts: str, tie: str) ->
 
 def first_amount(text) -> Column:
     """First '$x million' as a number of millions."""
-    return F.expr("try_cast(_v as double)") if False else F.try_to_number(F.nullif(F.regexp_replace(F.regexp_extract(col(text), AMOUNT, 1), ",", ""), F.lit("")), F.lit("999999999999.99999")).cast("double")
+    return F.try_to_number(F.nullif(F.regexp_replace(F.regexp_extract(col(text), AMOUNT, 1), ",", ""), F.lit("")), F.lit("999999999999.99999")).cast("double")
 
 
 def injection_hits(text) -> Column:
@@ -123,16 +129,16 @@ def bm25(queries: DataFrame, query: str, qtext: str, docs: DataFrame, doc: str,
     if as_of:
         when = docs.select(doc, as_of[1])
         visible = queries.select(*scope, query, as_of[0]).join(size, scope) if scope else queries.select(query, as_of[0]).crossJoin(size)
-        stat = visible.where(F.col(as_of[1]) <= F.col(as_of[0])).groupBy(query).agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avgdl"))
+        stat = visible.where(F.col(as_of[1]) <= F.col(as_of[0])).groupBy(query).agg(F.count(F.lit(1)).alias("_N"), F.avg("len").alias("avgdl"))
         j = q.join(p, [*scope, "term"]).join(when, doc).where(F.col(as_of[1]) <= F.col(as_of[0]))
         df_ = j.groupBy(query, "term").agg(F.count(F.lit(1)).alias("n"))
         j = j.join(df_, [query, "term"]).join(stat, query)
     else:
-        stat = size.groupBy(*scope).agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avgdl"))
+        stat = size.groupBy(*scope).agg(F.count(F.lit(1)).alias("_N"), F.avg("len").alias("avgdl"))
         df_ = p.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("n"))
         j = q.join(df_, [*scope, "term"]).join(p, [*scope, "term"])
         j = j.join(stat, scope) if scope else j.crossJoin(F.broadcast(stat))
-    idf = F.log((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5) + 1)
+    idf = F.log((F.col("_N") - F.col("n") + 0.5) / (F.col("n") + 0.5) + 1)
     f = F.col("tf")
     s = F.col("qf") * idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     return j.groupBy(query, doc).agg(F.sum(s).alias("score"))

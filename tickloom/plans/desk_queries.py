@@ -388,7 +388,7 @@ def _(t):
     return Q.fama_macbeth(d, "month", "nx", ["n"])[1]
 
 
-@query("neutralize", f"WITH {_PR}, d AS (SELECT symbol, month, ret - avg(ret) OVER w AS s, n - avg(n) OVER w AS b FROM pn WINDOW w AS (PARTITION BY month, sector)), k AS (SELECT month, sum(s * b) / sum(b * b) AS k FROM d GROUP BY 1) {sel('symbol s, month d, neutral f', '(SELECT symbol, month, s - k * b AS neutral FROM d JOIN k USING (month))')}")
+@query("neutralize", f"WITH {_PR}, d AS (SELECT symbol, month, ret - avg(ret) OVER w AS s, n - avg(n) OVER w AS b FROM pn WINDOW w AS (PARTITION BY month, sector)), k AS (SELECT month, coalesce(sum(s * b) / nullif(sum(b * b), 0), 0) AS k FROM d GROUP BY 1) {sel('symbol s, month d, neutral f', '(SELECT symbol, month, s - k * b AS neutral FROM d JOIN k USING (month))')}")
 def _(t):
     return Q.neutralize(panel(t), "month", "ret", "sector", "n").select("symbol", "month", "neutral")
 
@@ -430,8 +430,8 @@ def _(t):
 
 
 @query("bm25", f"""WITH dt AS (SELECT doc_id, unnest({_TOK}) AS w FROM documents), d AS (SELECT * FROM dt WHERE w <> '' AND w NOT IN ({_STOP})), ln AS (SELECT x.doc_id, count(w) AS len FROM documents x LEFT JOIN d USING (doc_id) GROUP BY 1), tf AS (SELECT doc_id, w, count(*) AS tf FROM d GROUP BY 1, 2),
- st AS (SELECT count(*) AS N, avg(len) AS av FROM ln), df AS (SELECT w, count(*) AS n FROM tf GROUP BY 1), qt AS (SELECT item_id, unnest({_TOK}) AS w FROM benchmark), q AS (SELECT item_id, w, count(*) AS qf FROM qt WHERE w <> '' AND w NOT IN ({_STOP}) GROUP BY 1, 2),
- sc AS (SELECT item_id, doc_id, sum(qf * ln((N - n + 0.5) / (n + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / av))) AS score FROM q JOIN df USING (w) JOIN tf USING (w) JOIN ln USING (doc_id) CROSS JOIN st GROUP BY 1, 2),
+ st AS (SELECT count(*) AS nd, avg(len) AS av FROM ln), df AS (SELECT w, count(*) AS n FROM tf GROUP BY 1), qt AS (SELECT item_id, unnest({_TOK}) AS w FROM benchmark), q AS (SELECT item_id, w, count(*) AS qf FROM qt WHERE w <> '' AND w NOT IN ({_STOP}) GROUP BY 1, 2),
+ sc AS (SELECT item_id, doc_id, sum(qf * ln((nd - n + 0.5) / (n + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / av))) AS score FROM q JOIN df USING (w) JOIN tf USING (w) JOIN ln USING (doc_id) CROSS JOIN st GROUP BY 1, 2),
  rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc) {sel('item_id i, rank i, score f', 'rk', 'rank <= 5')}""")
 def _(t):
     s = X.bm25(t.benchmark, "item_id", "text", t.documents, "doc_id", "text", [])
@@ -522,11 +522,11 @@ def _(t):
     return v.select("doc_id", F.size("v").alias("dim"))
 
 
-@query("field_scores", sel("field s, precision f, recall f", "(WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS g1, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity * 1.001 END AS p1, l_tax AS g2, l_tax * CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 2 END AS p2 FROM lineitem) SELECT 'q' AS field, count(*) FILTER (WHERE abs(p1 - g1) <= 0.005 * abs(g1)) / count(p1)::DOUBLE AS precision, count(*) FILTER (WHERE abs(p1 - g1) <= 0.005 * abs(g1)) / count(g1)::DOUBLE AS recall FROM x UNION ALL SELECT 't', count(*) FILTER (WHERE abs(p2 - g2) <= 0.005 * abs(g2)) / count(p2)::DOUBLE, count(*) FILTER (WHERE abs(p2 - g2) <= 0.005 * abs(g2)) / count(g2)::DOUBLE FROM x)"))
+@query("field_scores", sel("field s, precision f, recall f", "(WITH x AS (SELECT n_chars AS g1, CASE WHEN doc_id % 3 <> 0 THEN n_chars * 1.001 END AS p1, doc_id + 1 AS g2, (doc_id + 1) * CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS p2 FROM documents) SELECT 'q' AS field, count(*) FILTER (WHERE abs(p1 - g1) <= 0.005 * abs(g1)) / count(p1)::DOUBLE AS precision, count(*) FILTER (WHERE abs(p1 - g1) <= 0.005 * abs(g1)) / count(g1)::DOUBLE AS recall FROM x UNION ALL SELECT 't', count(*) FILTER (WHERE abs(p2 - g2) <= 0.005 * abs(g2)) / count(p2)::DOUBLE, count(*) FILTER (WHERE abs(p2 - g2) <= 0.005 * abs(g2)) / count(g2)::DOUBLE FROM x)"))
 def _(t):
-    ln = C("l_linenumber")
-    g = t.lineitem.select((C("l_orderkey") * 10 + ln).alias("id"), C("l_quantity").alias("q"), C("l_tax").alias("t")).dropDuplicates(["id"])
-    p = t.lineitem.select((C("l_orderkey") * 10 + ln).alias("id"), F.when(ln % 3 != 0, C("l_quantity") * 1.001).alias("q"), (C("l_tax") * F.when(ln % 2 == 0, 1).otherwise(2)).alias("t")).dropDuplicates(["id"])
+    i = C("doc_id")
+    g = t.documents.select(i.alias("id"), C("n_chars").alias("q"), (i + 1).alias("t"))
+    p = t.documents.select(i.alias("id"), F.when(i % 3 != 0, C("n_chars") * 1.001).alias("q"), ((i + 1) * F.when(i % 2 == 0, 1).otherwise(2)).alias("t"))
     return X.field_scores(p, g, "id", ["q", "t"])
 
 

@@ -67,18 +67,18 @@ def _(t):
     return B.bar_stats(bars(t, 2))
 
 
-@query("session_vwap", f"""WITH {TRADES_SQL} {sel('symbol s, seq i, vwap f', '''(SELECT symbol, seq, sum(price / 6.97::DOUBLE * size) OVER w / sum(size) OVER w AS vwap FROM trades
+@query("session_vwap", f"""WITH {TRADES_SQL} {sel('symbol s, seq i, vwap f', '''(SELECT symbol, seq, sum(price / 7.1317::DOUBLE * size) OVER w / sum(size) OVER w AS vwap FROM trades
  WINDOW w AS (PARTITION BY symbol, (ts - INTERVAL 5 hours)::DATE ORDER BY ts, seq))''')}""")
 def _(t):
     # January: New York is five hours behind UTC
-    s = Series.of(t.trades().withColumn("price", F.col("price") / 6.97), TICKS_SPEC)
+    s = Series.of(t.trades().withColumn("price", F.col("price") / 7.1317), TICKS_SPEC)
     return I.session_vwap(s, S.session_date("ts"), "price", "size").done().select("symbol", "seq", "vwap")
 
 
 @query("anchored_vwap", f"""WITH {TRADES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) - 1 AS rn FROM trades) {sel('symbol s, seq i, avwap f', '''(SELECT symbol, seq,
- CASE WHEN rn >= 100 THEN sum(CASE WHEN rn >= 100 THEN price / 6.97::DOUBLE * size END) OVER w / sum(CASE WHEN rn >= 100 THEN size END) OVER w END AS avwap FROM n WINDOW w AS (PARTITION BY symbol ORDER BY rn))''')}""")
+ CASE WHEN rn >= 100 THEN sum(CASE WHEN rn >= 100 THEN price / 7.1317::DOUBLE * size END) OVER w / sum(CASE WHEN rn >= 100 THEN size END) OVER w END AS avwap FROM n WINDOW w AS (PARTITION BY symbol ORDER BY rn))''')}""")
 def _(t):
-    return I.anchored_vwap(Series.of(t.trades().withColumn("price", F.col("price") / 6.97), TICKS_SPEC), F.lit(100), "price", "size").done().select("symbol", "seq", "avwap")
+    return I.anchored_vwap(Series.of(t.trades().withColumn("price", F.col("price") / 7.1317), TICKS_SPEC), F.lit(100), "price", "size").done().select("symbol", "seq", "avwap")
 
 
 @query("vwap", f"WITH {TRADES_SQL} {sel('symbol s, vwap f, volume i, no_volume b', '(SELECT symbol, sum(price * size) / sum(size) AS vwap, sum(size) AS volume, sum(size) = 0 AS no_volume FROM trades GROUP BY symbol)')}")

@@ -143,7 +143,7 @@ def linear(s: Series, name: str, a: Column, b: Column) -> Series:
         _, q = _prefix_pairs(_floats(table, "_p"), _floats(table, "_q"))
         return table.select([*keys, BLK]).append_column("_c", pa.array(np.r_[0.0, q[:-1]]))
 
-    carry = tails.groupBy(*(keys or [F.lit(0)])).applyInArrow(
+    carry = tails.withColumn("_all", F.lit(0)).groupBy(*(keys or ["_all"])).applyInArrow(
         carries, T.StructType([*key_fields, T.StructField("_c", T.DoubleType())]))
     base = s.df.columns
 
@@ -173,7 +173,7 @@ def states(s: Series, name: str, values: tuple[int, ...], nxt: Callable[[int], C
     s = s.flat().shared()
     keys, k = s.keys, len(values)
     place = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])
-    cols = {f"_m{i}": place[nxt(v).cast("int")] for i, v in enumerate(values)}
+    cols = {f"_m{i}": F.element_at(place, nxt(v).cast("int")) for i, v in enumerate(values)}
     work = s.df.withColumns(cols)
     start_i = values.index(start)
 
@@ -196,7 +196,7 @@ def states(s: Series, name: str, values: tuple[int, ...], nxt: Callable[[int], C
         m = _prefix_maps(np.array(table.column("_map").to_pylist(), dtype=np.int64))
         return table.select([*keys, BLK]).append_column("_c", pa.array(np.r_[start_i, m[:-1, start_i]]))
 
-    carry = tails.groupBy(*(keys or [F.lit(0)])).applyInArrow(
+    carry = tails.withColumn("_all", F.lit(0)).groupBy(*(keys or ["_all"])).applyInArrow(
         carries, T.StructType([*key_fields, T.StructField("_c", T.LongType())]))
     base = s.df.columns
     lookup = np.array(values, dtype=np.int32)
