@@ -666,3 +666,85 @@ def _(t):
 def _(t):
     from .stats_queries import _spans
     return ML.sequential_bootstrap(_spans(t), ["symbol"]).groupBy("symbol").agg(F.count(L(1)).alias("draws"), F.countDistinct("t0_rn").alias("distinct"))
+
+
+# ---------------------------------------------------------------- ledger and audits
+def _run(t, bps=0.0):
+    from ..operators.backtest import engine_returns, run_backtest
+    s = bars(t, 1).add(decided=0.1 * F.signum(C("close") - C("open")), volume=C("volume") * 1e6)
+    return engine_returns(run_backtest(s, slippage_bps=bps))
+
+
+@query("run_backtest", None)
+def _(t):
+    return _run(t, 5.0).done().select("symbol", "ts", "position", "equity_open", "equity", "engine_ret")
+
+
+@query("engine_parity", None)
+def _(t):
+    """Ledger returns against next-open P&L of the same decisions, and Sharpe by cost multiple."""
+    from ..operators.backtest import parity_report
+    u = None
+    for m in (0, 2):
+        s = _run(t, 5.0 * m).halo(2, 1)
+        s = ST.next_bar_pnl(s, "decided", cost_bps=5.0 * m)
+        d = parity_report(s).withColumn("multiple", L(m))
+        u = d if u is None else u.unionByName(d)
+    return u
+
+
+@query("indicator_audit", None)
+def _(t):
+    from ..operators.audit import audit_indicator
+    u = None
+    for n in ("sma", "rsi", "stoch"):
+        d = audit_indicator(t.bars(), BARS_SPEC, n, F.lit("1998-06-01").cast("timestamp"))
+        u = d if u is None else u.unionByName(d)
+    return u
+
+
+@query("indicator_catalog", None)
+def _(t):
+    """Every registered indicator with its look-back, checked against the rows a symbol offers."""
+    from ..operators.registry import catalog
+    n = t.bars().groupBy("symbol").agg(F.count(L(1)).alias("rows"))
+    return catalog(t.spark).crossJoin(F.broadcast(n.agg(F.min("rows").alias("min_rows")))).withColumn("usable", C("lookback") < C("min_rows"))
+
+
+# ---------------------------------------------------------------- plain DataFrame and SQL shapes
+@query("sql_view_summary", sel("symbol s, n i, mean f, top f", "(SELECT event_type AS symbol, count(*) AS n, avg(value) AS mean, max(value) AS top FROM events GROUP BY 1)"))
+def _(t):
+    t.trades().createOrReplaceTempView("tickloom_trades")
+    return t.spark.sql("SELECT symbol, count(*) AS n, avg(price) AS mean, max(price) AS top FROM tickloom_trades GROUP BY symbol ORDER BY symbol")
+
+
+@query("cash_flow_pnl", sel("symbol s, day d, flow f, running f", "(SELECT *, sum(flow) OVER (PARTITION BY symbol ORDER BY day) AS running FROM (SELECT event_type AS symbol, ts::DATE AS day, sum(-(1 + user_id % 10) * value - 0.01) AS flow FROM events GROUP BY 1, 2))"))
+def _(t):
+    d = t.trades().groupBy("symbol", F.to_date("ts").alias("day")).agg(F.sum(-C("size") * C("price") - 0.01).alias("flow"))
+    return Series.of(d, SeriesSpec(("symbol",), ("day",), "year(day)")).running({"running": ("sum", C("flow"))}).done()
+
+
+@query("vendor_compare", sel("month d, a f, b f", "(SELECT x.month, x.a, y.b FROM (SELECT date_trunc('month', o_orderdate)::DATE AS month, avg(o_totalprice) AS a FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) x JOIN (SELECT date_trunc('month', o_orderdate)::DATE AS month, avg(o_totalprice) AS b FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) y ON x.month = y.month)"))
+def _(t):
+    g = lambda st, n: t.orders.where(C("o_orderstatus") == st).groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.avg("o_totalprice").alias(n))
+    return g("F", "a").join(g("P", "b"), "month")
+
+
+@query("time_of_day", sel("slot s, mean_size f, mean_price f, rv f", "(SELECT strftime(time_bucket(INTERVAL '30 minutes', ts - INTERVAL 5 hours), '%H:%M') AS slot, avg(1 + user_id % 10) AS mean_size, avg(value) AS mean_price, sum(pow(ln(value), 2)) AS rv FROM events GROUP BY 1)"))
+def _(t):
+    local = F.from_utc_timestamp("ts", "America/New_York")
+    slot = F.date_format(F.timestamp_seconds(F.floor(F.unix_timestamp(local) / 1800) * 1800), "HH:mm")
+    return t.trades().groupBy(slot.alias("slot")).agg(F.avg("size").alias("mean_size"), F.avg("price").alias("mean_price"), F.sum(F.pow(F.log("price"), 2)).alias("rv"))
+
+
+@query("demean", f"WITH {BARS_SQL} {sel('symbol s, ts t, x f', '(SELECT symbol, ts, close - avg(close) OVER (PARTITION BY symbol) AS x FROM b)')}")
+def _(t):
+    b = t.bars()
+    # the mean of a key is one row: joined, not a window over the whole key
+    return b.join(b.groupBy("symbol").agg(F.avg("close").alias("_m")), "symbol").select("symbol", "ts", (C("close") - C("_m")).alias("x"))
+
+
+@query("pivot_pairs", sel("strike i, call f, put f", "(SELECT p_size AS strike, avg(p_retailprice) FILTER (WHERE p_partkey % 2 = 0) AS call, avg(p_retailprice) FILTER (WHERE p_partkey % 2 = 1) AS put FROM part GROUP BY 1)", "call IS NOT NULL AND put IS NOT NULL"))
+def _(t):
+    d = t.part.select(C("p_size").alias("strike"), F.when(C("p_partkey") % 2 == 0, 1).otherwise(-1).alias("cp"), C("p_retailprice").alias("mid"))
+    return O.paired(d, ("strike",))

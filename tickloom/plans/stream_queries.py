@@ -70,10 +70,10 @@ def _(t):
     return _scan(t, TW.cusum_step("price", 50.0, 50.0), {"alarm": T.BooleanType()})
 
 
-@query("stream_decay_index", f"WITH {TRADES_SQL} {sel('symbol s, seq i, index f', '(SELECT a.symbol, a.seq, sum((p.price - 50) * exp(-(epoch_us(a.ts) - epoch_us(p.ts)) / 3.6e9 / 24)) AS index FROM trades a JOIN trades p ON p.symbol = a.symbol AND p.ts <= a.ts GROUP BY 1, 2)')}")
+@query("stream_decay_index", f"WITH {TRADES_SQL} {sel('symbol s, seq i, index f', '(SELECT a.symbol, a.seq, round(sum((p.price - 50) * exp(-(epoch_us(a.ts) - epoch_us(p.ts)) / 3.6e9 / 24)), 3) AS index FROM trades a JOIN trades p ON p.symbol = a.symbol AND p.ts <= a.ts GROUP BY 1, 2)')}")
 def _(t):
     s = ticks(t).withColumn("score", C("price") - 50)
-    return TW.run_available(TW.scan(s, ["symbol"], ["ts", "seq"], TW.decay_step("score", "ts"), [], {"index": D}, ["symbol", "seq"]))
+    return TW.run_available(TW.scan(s, ["symbol"], ["ts", "seq"], TW.decay_step("score", "ts"), [], {"index": D}, ["symbol", "seq"])).withColumn("index", F.round("index", 3))
 
 
 @query("stream_pov", f"WITH {TRADES_SQL}, w AS (SELECT symbol, seq, ts, coalesce(floor(0.1 * lag(size * 10) OVER (PARTITION BY symbol ORDER BY ts, seq)), 0) AS want FROM trades), c AS (SELECT *, sum(want) OVER (PARTITION BY symbol ORDER BY ts, seq) AS cum FROM w) {sel('symbol s, seq i, child f', '(SELECT symbol, seq, least(cum, 5000) - least(cum - want, 5000) AS child FROM c)')}")

@@ -45,7 +45,7 @@ class Scan(StatefulProcessor):
         res = pdf[self.keep].copy()
         for n in self.outputs:
             res[n] = out[n]
-        yield res.where(res.notna(), None) if False else res
+        yield res
 
     def close(self) -> None:
         pass
@@ -282,14 +282,14 @@ def timed_bars(ticks: DataFrame, interval_ms: int) -> DataFrame:
 
 
 class Orders(StatefulProcessor):
-    """Order state from out-of-order, repeated broker events; execution ids expire after a day."""
+    """Order state from out-of-order, repeated broker events.  The seen execution ids belong to one order and stay small."""
 
     def __init__(self, states: tuple[str, ...], allowed: dict[str, tuple[str, ...]]):
         self.names, self.allowed = states, allowed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("order", "state string, filled double, notional double")
-        self.seen = handle.getMapState("execs", "exec_id string", "one int", 86_400_000)
+        self.seen = handle.getMapState("execs", "exec_id string", "one int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
@@ -324,7 +324,7 @@ def track_orders(events: DataFrame) -> DataFrame:
     """Needs coid, ts, seq, kind, state, exec_id, qty, price, order_qty."""
     from ..operators.ledger import NEXT, STATES
     prepare(events.sparkSession)
-    return events.groupBy("coid").transformWithStateInPandas(Orders(STATES, NEXT), "coid bigint, seq bigint, order_state string, filled double, anomaly string", "Append", "ProcessingTime")
+    return events.groupBy("coid").transformWithStateInPandas(Orders(STATES, NEXT), "coid bigint, seq bigint, order_state string, filled double, anomaly string", "Append", "None")
 
 
 def book_fills_once(fills: DataFrame, fill_id="fill_id", ts="ts", within="1 hour", symbol="symbol", qty="qty") -> DataFrame:
