@@ -236,8 +236,9 @@ def sequential(s: Series, inputs: list[str], step: Callable, init: list[float],
         _, arrays = rows_of(table)
         entry = table.column("_entry")[0].as_py()
         _, leave = step(arrays, list(entry))
-        out = table.slice(0, 1).select([*keys, BLK, "_entry"])
-        return out.append_column("_exit", pa.array([[float(v) for v in leave]], type=pa.list_(pa.float64())))
+        kind = pa.list_(pa.float64())
+        out = table.slice(0, 1).select([*keys, BLK]).append_column("_entry", pa.array([entry], type=kind))
+        return out.append_column("_exit", pa.array([[float(v) for v in leave]], type=kind))
 
     entries = None
     if many:
