@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import div
-from ..series import col
+from ..joins import asof_join
+from ..series import Series, SeriesSpec, col, kept
 
 # fixed values: word lists and patterns
 STOPWORDS = ("the", "a", "an", "of", "and", "in", "to", "for", "was", "what", "is", "our", "we", "with", "on", "its", "does", "do", "by", "are", "as", "at", "or", "from")
@@ -18,10 +19,9 @@ INJECTION = (r"ignore (all |any )?(previous|prior|above) instructions", r"disreg
 
 
 def tokens(text, stop=STOPWORDS) -> Column:
-    """Lowercase alphanumeric tokens without stop words, repeats kept."""
-    t = F.regexp_extract_all(F.lower(col(text)), F.lit("[a-z0-9]+"), F.lit(0))
-    s = F.array(*[F.lit(w) for w in stop])
-    return F.filter(t, lambda w: ~F.array_contains(s, w)) if stop else t
+    """Lowercase alphanumeric tokens without stop words, repeats kept; one regular expression does both."""
+    skip = f"(?!(?:{'|'.join(stop)})(?![a-z0-9]))" if stop else ""
+    return F.regexp_extract_all(F.lower(col(text)), F.lit(f"(?<![a-z0-9]){skip}[a-z0-9]+"), F.lit(0))
 
 
 def lexicon_clauses(text, positive: list[str], negative: list[str], window=2) -> Column:
@@ -110,10 +110,15 @@ def chunk_filings(df: DataFrame, doc: str, text: str, meta: list[str], max_words
 
 
 # ---------------------------------------------------------------- retrieval
-def postings(docs: DataFrame, doc: str, text: str, scope: list[str]) -> DataFrame:
-    """(scope, doc, term, tf, len): one row per distinct term of a document."""
-    t = docs.select(*scope, doc, tokens(text).alias("_t"))
-    return (t.select(*scope, doc, F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy(*scope, doc, "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+def postings(docs: DataFrame, doc: str, text: str, scope: list[str], terms: DataFrame | None = None) -> DataFrame:
+    """(scope, doc, len, term, tf): one row per distinct term of a document, for the wanted terms only where given.
+
+    Terms nobody asks for are dropped by a semi join before anything is shuffled by document.
+    """
+    t = docs.select(*scope, doc, tokens(text).alias("_t")).select(*scope, doc, F.size("_t").alias("len"), F.explode("_t").alias("term"))
+    if terms is not None:
+        t = t.join(terms, [*scope, "term"], "left_semi")
+    return t.groupBy(*scope, doc, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(queries: DataFrame, query: str, qtext: str, docs: DataFrame, doc: str, text: str, scope: list[str], as_of: tuple[str, str] | None = None, k1=1.5, b=0.75) -> DataFrame:
@@ -123,13 +128,16 @@ def bm25(queries: DataFrame, query: str, qtext: str, docs: DataFrame, doc: str,
     documents filed by then.  Without as_of they are per scope; with it the document counts per (query, term) come from
     the joined postings.
     """
-    p = postings(docs, doc, text, scope)
     q = queries.select(*scope, query, *([as_of[0]] if as_of else []), F.explode(tokens(qtext)).alias("term")).groupBy(*scope, query, *([as_of[0]] if as_of else []), "term").agg(F.count(F.lit(1)).alias("qf"))
+    p = kept(postings(docs, doc, text, scope, q.select(*scope, "term").distinct()))
     size = docs.select(*scope, doc, *([as_of[1]] if as_of else []), F.size(tokens(text)).alias("len"))
     if as_of:
         when = docs.select(doc, as_of[1])
-        visible = queries.select(*scope, query, as_of[0]).join(size, scope) if scope else queries.select(query, as_of[0]).crossJoin(size)
-        stat = visible.where(F.col(as_of[1]) <= F.col(as_of[0])).groupBy(query).agg(F.count(F.lit(1)).alias("_N"), F.avg("len").alias("avgdl"))
+        # what a query may see is a prefix of its scope in filing order: running totals, then one as-of join
+        per = size.groupBy(*scope, as_of[1]).agg(F.count(F.lit(1)).alias("_c"), F.sum("len").alias("_w"))
+        run = Series.of(per, SeriesSpec(tuple(scope), (as_of[1],), f"unix_micros({as_of[1]}) div 86400000000")).running({"_cn": ("sum", F.col("_c")), "_cw": ("sum", F.col("_w"))}).done()
+        stat = asof_join(queries.select(*scope, query, as_of[0]), run.select(*scope, as_of[1], F.col("_cn").alias("_n1"), F.col("_cw").alias("_w1")), scope, as_of[0], as_of[1], ["_n1", "_w1"], bucket_us=30 * 86_400_000_000)
+        stat = stat.select(query, F.col("_n1").alias("_N"), (F.col("_w1") / F.col("_n1")).alias("avgdl"))
         j = q.join(p, [*scope, "term"]).join(when, doc).where(F.col(as_of[1]) <= F.col(as_of[0]))
         df_ = j.groupBy(query, "term").agg(F.count(F.lit(1)).alias("n"))
         j = j.join(df_, [query, "term"]).join(stat, query)
