@@ -172,10 +172,10 @@ def _(t):
     return show(I.roll_spread(bars(t, 21)), "roll")
 
 
-@query("amihud", f"""WITH {BARS_SQL}, p AS (SELECT *, abs(ln(close / lag(close) OVER w)) / (close * volume) AS i FROM b {W})
+@query("amihud", f"""WITH {BARS_SQL}, p AS (SELECT *, abs(ln(close / lag(close) OVER w)) / (close * volume * 1e6) AS i FROM b {W})
  {sel('symbol s, ts t, amihud f', '(SELECT symbol, ts, ' + gate('avg(i) @ * 1e9', 20, 'i') + f' AS amihud FROM p {W})')}""")
 def _(t):
-    return show(I.amihud(bars(t, 20)), "amihud")
+    return show(I.amihud(bars(t, 20).add(volume=F.col("volume") * 1e6)), "amihud")
 
 
 @query("rolling_beta", win(gate("regr_slope(close, open) @", 60) + " AS beta, " + gate("corr(close, open) @", 60) + " AS corr", "beta f, corr f"))
