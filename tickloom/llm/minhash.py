@@ -189,10 +189,13 @@ def stage(docs: DataFrame) -> DataFrame:
     """One row of each group stays, with all its columns: the row with the smallest id, and of fully tied rows one. Rows
     without a shingle stay; so do rows without an id whose group has none."""
     c = components(docs)
-    keep = written(c.where("component_id is null or doc_id = component_id").groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("ties"), F.max("n_shingles").alias("size")))
+    rows = c.groupBy("doc_id", "row_hash", "component_id").agg(F.count(F.lit(1)).alias("ties"), F.max("n_shingles").alias("size"))
+    alone = rows.where("size = 0 or component_id is null").select("doc_id", "row_hash", F.lit(1).alias("ties"))
+    least = rows.where("size > 0 and doc_id = component_id").groupBy("doc_id").agg(F.min(F.struct("row_hash", "ties")).alias("m")).select("doc_id", "m.row_hash", "m.ties")
+    keep = written(alone.union(least))
     mine, tag, same = (f"_{uuid.uuid4().hex}" for _ in range(3))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    k = keep.select(F.col("row_hash").alias(mine), F.col("doc_id").alias(same), F.when(F.col("size") > 0, F.col("ties")).otherwise(1).alias(tag))
+    k = keep.select(F.col("row_hash").alias(mine), F.col("doc_id").alias(same), F.col("ties").alias(tag))
     d = docs.withColumn(mine, key)
     kept = d.join(k, (d[mine] == k[mine]) & d["doc_id"].cast("long").eqNullSafe(k[same])).drop(k[mine])
     once, tied = kept.where(F.col(tag) == 1), kept.where(F.col(tag) > 1).dropDuplicates([mine])

@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -25,10 +26,10 @@ from .common import written
 
 CAPACITY = 4096
 CLOSING = 1
-CACHED, LONGEST = 400_000, 40         # words kept per worker and their largest length
-SLICE = 1 << 21                       # characters encoded at once
+CACHED, LONGEST = 300_000, 40         # words kept per worker and their largest length
+SLICE = 1 << 21                       # characters of a text encoded at once
+GATHERED = 3 << 20                    # characters of the texts whose words are looked up together
 RANKED = 20_000                       # rows of one length numbered in one group
-BREAKS = str.maketrans("\n\t\r", "   ")
 
 
 def default_vocabulary() -> str:
@@ -50,15 +51,20 @@ class Words(dict):
 
     def learn(self, words: set[str]) -> None:
         self.rare = {}
-        plain = {w: p for w in words if w not in self and (p := self.parts(w))}
-        whole = {w for w in words if w not in self and w not in plain}
-        new = [w for w in {x for p in plain.values() for x in p} | whole if w not in self]
-        ids = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        for w, e in zip(new, ids):
-            self.keep(w, np.array(e.ids, "<u4").tobytes())
-        for w, p in plain.items():
-            if w not in self and w not in self.rare:
-                self.keep(w, b"".join(self[x] for x in p))
+        plain, new = [], set()
+        for w in words.difference(self):
+            p = self.parts(w)
+            if p:
+                plain.append((w, p))
+                new.update(p)
+            else:
+                new.add(w)
+        fresh = list(new.difference(self))
+        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            self.keep(w, pack(f"<{len(e.ids)}I", *e.ids))
+        for w, p in plain:
+            if p != (w,):
+                self.keep(w, self[p[0]] + self[p[1]] if len(p) > 1 else self[p[0]])
 
     def keep(self, word: str, ids: bytes) -> None:
         (self if len(self) < CACHED and len(word) <= LONGEST else self.rare)[word] = ids
@@ -93,7 +99,7 @@ def _slices(text: str):
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text and the closing id, as the tokenizer gives them for the whole text."""
     known, out = words(path), []
-    plain = [(t or "").translate(BREAKS) if t and ("\n" in t or "\t" in t or "\r" in t) else (t or "") for t in texts]
+    plain = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
     short = [t.split(" ") if len(t) <= SLICE else None for t in plain]
     known.learn(set().union(*(s for s in short if s is not None)))
     done = [None if s is None else b"".join(map(known.__getitem__, s)) for s in short]
@@ -110,67 +116,78 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
     return out
 
 
+class Stock:
+    """Pieces left of each length, and the available lengths as two bit sets: bit x, and mirrored bit capacity - x.  A sum of
+    two lengths is then one shift and one `and` of the sets."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left, self.capacity, self.bits, self.mirror = [0] * (capacity + 1), capacity, 0, 0
+        for x, n in counts.items():
+            self.change(x, n)
+
+    def change(self, x: int, n: int) -> None:
+        had = self.left[x] > 0
+        self.left[x] += n
+        if had != (self.left[x] > 0):
+            self.bits ^= 1 << x
+            self.mirror ^= 1 << (self.capacity - x)
+
+    def longest(self, most: int) -> int:
+        """The longest available length of at most `most`, 0 if there is none."""
+        return (self.bits & ((2 << most) - 1)).bit_length() - 1 if self.bits & ((2 << most) - 1) else 0
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        """Two available lengths with this sum, the longer one as long as possible."""
+        both = self.bits & (self.mirror >> (self.capacity - total))
+        if total % 2 == 0 and self.left[total // 2] == 1:
+            both &= ~(1 << (total // 2))
+        x = both.bit_length() - 1
+        return (x, total - x) if both else None
+
+    def exact(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that fill the gap exactly."""
+        if self.left[gap] > 0:
+            return (gap,)
+        if two := self.pair(gap):
+            return two
+        x = self.longest(gap - 2) if gap > 2 else 0
+        while x:
+            self.change(x, -1)
+            rest = self.pair(gap - x)
+            self.change(x, 1)
+            if rest:
+                return (x, *rest)
+            x = self.longest(x - 1)
+        return None
+
+
 def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """(lengths and how many of each, number of sequences) so that every piece is placed."""
-    have = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        have[length] = n
-    out = []
-    top = capacity
-    while True:
-        while top > 0 and have[top] == 0:
-            top -= 1
-        if top == 0:
-            return out
+    stock, out = Stock(counts, capacity), []
+    while top := stock.longest(capacity):
         use: dict[int, int] = {}
-        _take(have, use, top)
+
+        def take(x):
+            stock.change(x, -1)
+            use[x] = use.get(x, 0) + 1
+
+        take(top)
         gap = capacity - top
         while gap > 0:
-            exact = _exact(have, gap)
-            for x in exact or ():
-                _take(have, use, x)
-            if exact:
+            if exact := stock.exact(gap):
+                for x in exact:
+                    take(x)
                 break
-            fit = np.flatnonzero(have[1: gap + 1])
-            if not len(fit):
+            x = stock.longest(gap)
+            if not x:
                 break
-            x = int(fit[-1]) + 1
-            _take(have, use, x)
+            take(x)
             gap -= x
-        times = 1 + min(int(have[x]) // k for x, k in use.items())
+        more = min(stock.left[x] // k for x, k in use.items())
         for x, k in use.items():
-            have[x] -= k * (times - 1)
-        out.append((use, times))
-
-
-def _take(have: np.ndarray, use: dict[int, int], x: int) -> None:
-    have[x] -= 1
-    use[x] = use.get(x, 0) + 1
-
-
-def _pair(have: np.ndarray, gap: int) -> tuple[int, int] | None:
-    """Two available lengths with this sum, the longer one as long as possible."""
-    if gap < 2:
-        return None
-    both = (have[1:gap] > 0) & (have[gap - 1: 0: -1] > 0)
-    if gap % 2 == 0 and have[gap // 2] < 2:
-        both[gap // 2 - 1] = False
-    at = np.flatnonzero(both)
-    return (int(at[-1]) + 1, gap - int(at[-1]) - 1) if len(at) else None
-
-
-def _exact(have: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    if have[gap] > 0:
-        return (gap,)
-    if two := _pair(have, gap):
-        return two
-    for x in np.flatnonzero(have[1:gap])[::-1] + 1:
-        have[x] -= 1
-        rest = _pair(have, gap - int(x))
-        have[x] += 1
-        if rest:
-            return (int(x), *rest)
-    return None
+            stock.change(x, -k * more)
+        out.append((use, 1 + more))
+    return out
 
 
 def ranges(found: list[tuple[dict[int, int], int]]) -> np.ndarray:
@@ -186,12 +203,25 @@ def ranges(found: list[tuple[dict[int, int], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
+def _gathered(batches):
+    """Arrow batches joined until they hold enough text."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += int(b["text"].str.len().fillna(0).sum()) if len(b) else 0
+        if size >= GATHERED:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of `docs` (doc_id, text)."""
     path = path or default_vocabulary()
 
     def run(batches):
-        for b in batches:
+        for b in _gathered(batches):
             out = []
             for d, ids in zip(b["doc_id"], encode(list(b["text"]), path)):
                 for k, at in enumerate(range(0, len(ids), 4 * CAPACITY)):
@@ -203,7 +233,7 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     return d.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(cut: DataFrame) -> DataFrame:
+def place_pieces(cut: DataFrame) -> DataFrame:
     """Adds sequence_id and offset to pieces that have a length of at most `CAPACITY`."""
     cut = written(cut)
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}   # at most CAPACITY rows
@@ -229,4 +259,4 @@ def pack(cut: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return pack(pieces(docs, path))
+    return place_pieces(pieces(docs, path))
