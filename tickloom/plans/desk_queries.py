@@ -303,11 +303,14 @@ def _(t):
     return P.min_cvar(kept(panel(t).select("month", "symbol", "ret")), "month", "symbol", "ret", steps=5)
 
 
-@query("stress_report", sel("scenario s, nation s, pnl f", """(WITH p AS (SELECT c_nationkey, sum(c_acctbal) AS v FROM customer GROUP BY 1), s AS (SELECT * FROM (VALUES ('2020-03-16', -0.1198), ('rally +5%', 0.05)) x(scenario, shock)), q AS (SELECT scenario, c_nationkey::VARCHAR AS nation, v * (0.5 + c_nationkey / 20.0) * shock AS pnl FROM p, s)
+_SHOCKED = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in P.SHOCKS.items())
+
+
+@query("stress_report", sel("scenario s, nation s, pnl f", f"""(WITH p AS (SELECT c_nationkey, sum(c_acctbal) AS v FROM customer GROUP BY 1), s AS (SELECT * FROM (VALUES {_SHOCKED}) x(scenario, shock)), q AS (SELECT scenario, c_nationkey::VARCHAR AS nation, v * (0.5 + c_nationkey / 20.0) * shock AS pnl FROM p, s)
  SELECT * FROM q UNION ALL SELECT scenario, 'TOTAL', sum(pnl) FROM q GROUP BY 1)"""))
 def _(t):
     p = t.customer.groupBy(C("c_nationkey").alias("nation")).agg(F.sum("c_acctbal").alias("value")).withColumn("beta", 0.5 + C("nation") / 20.0)
-    return P.stress(p, ["nation"], {k: P.SHOCKS[k] for k in ("2020-03-16", "rally +5%")})
+    return P.stress(p, ["nation"], P.SHOCKS)
 
 
 @query("recommend", sel("method s", "(WITH t AS (SELECT s_name AS method, s_acctbal / 1e4 AS sharpe, (s_suppkey % 37) / 40.0 AS turnover FROM supplier), o AS (SELECT * FROM t WHERE turnover <= 0.5), b AS (SELECT max(sharpe) AS m FROM o) SELECT method FROM o, b WHERE sharpe >= m - 0.1 ORDER BY turnover, method LIMIT 1)"))
@@ -480,7 +483,7 @@ def _(t):
     return c.select("doc_id", "start", F.size(w).alias("n"), w[0].alias("first_word"), F.element_at(w, -1).alias("last_word"))
 
 
-@query("injection_flags", sel("doc_id i, flagged b", "(SELECT doc_id, regexp_matches(text, '(?i)(ignore (all |any )?(previous|prior|above) instructions|disregard (the|all|any|your)|system prompt|you are now)') AS flagged FROM documents)"))
+@query("injection_flags", sel("doc_id i, flagged b", "(SELECT doc_id, regexp_matches(text, '(?i)(ignore (all )?(previous|prior|above) instructions|system (prompt|note)|you are now|disregard (the|your) (rules|instructions))') AS flagged FROM documents)"))
 def _(t):
     return t.documents.select("doc_id", (F.size(X.injection_hits("text")) > 0).alias("flagged"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..paths import reflected_alarms, trailing
 from ..session import ROCKSDB
 
 _STATE = T.StructType([T.StructField("v", T.ArrayType(T.DoubleType()))])
@@ -103,62 +104,30 @@ def rsi_step(x: str, n: int = 14):
     return step
 
 
-def rolling_max_step(x: str, n: int):
-    """The state is the decreasing queue of (position, value) pairs, at most n of them."""
+def window_step(x: str, n: int, measures: dict[str, Callable[[np.ndarray], np.ndarray]]):
+    """Measures of the last n values of every row; the last n - 1 values are the state."""
     def step(rows, st):
-        i0, q = (st[0], list(zip(st[1::2], st[2::2]))) if st else (0.0, [])
-        out = np.full(len(rows[x]), np.nan)
-        for k, v in enumerate(rows[x].tolist()):
-            while q and q[-1][1] <= v:
-                q.pop()
-            q.append((i0, v))
-            if q[0][0] <= i0 - n:
-                q.pop(0)
-            i0 += 1
-            if i0 >= n:
-                out[k] = q[0][1]
-        return {"rolling_max": out}, [i0, *[z for p in q for z in p]]
+        at, win, carried = trailing(rows[x], st, n)
+        out = {}
+        for name, f in measures.items():
+            out[name] = np.full(len(rows[x]), np.nan)
+            if len(at):
+                out[name][at] = f(win)
+        return out, carried
     return step
 
 
+def rolling_max_step(x: str, n: int):
+    return window_step(x, n, {"rolling_max": lambda w: w.max(axis=1)})
+
+
 def bollinger_step(x: str, n: int = 20, k: float = 2.0):
-    """Rolling mean and squared deviations, replaced in one update per row; the state also holds the window."""
-    def step(rows, st):
-        mean, m2, win = (st[0], st[1], list(st[2:])) if st else (0.0, 0.0, [])
-        m = len(rows[x])
-        up, mid, lo = np.full(m, np.nan), np.full(m, np.nan), np.full(m, np.nan)
-        for i, v in enumerate(rows[x].tolist()):
-            win.append(v)
-            if len(win) <= n:
-                d = v - mean
-                mean += d / len(win)
-                m2 += d * (v - mean)
-            else:
-                old = win.pop(0)
-                new = mean + (v - old) / n
-                m2 += (v - old) * (v - new + old - mean)
-                mean = new
-            if len(win) == n:
-                sd = math.sqrt(max(m2, 0.0) / n)
-                up[i], mid[i], lo[i] = mean + k * sd, mean, mean - k * sd
-        return {"upper": up, "middle": mid, "lower": lo}, [mean, m2, *win]
-    return step
+    """Mean of the window and k population deviations around it."""
+    return window_step(x, n, {"upper": lambda w: w.mean(axis=1) + k * w.std(axis=1), "middle": lambda w: w.mean(axis=1), "lower": lambda w: w.mean(axis=1) - k * w.std(axis=1)})
 
 
 def rolling_step(x: str, n: int):
-    """Rolling mean and sample std; the ring of the last n values is the state."""
-    def step(rows, st):
-        win = list(st)
-        m = len(rows[x])
-        mean, sd = np.full(m, np.nan), np.full(m, np.nan)
-        for i, v in enumerate(rows[x].tolist()):
-            win.append(v)
-            if len(win) > n:
-                win.pop(0)
-            if len(win) == n:
-                mean[i], sd[i] = np.mean(win), np.std(win, ddof=1)
-        return {"mean": mean, "std": sd}, win
-    return step
+    return window_step(x, n, {"mean": lambda w: w.mean(axis=1), "std": lambda w: w.std(axis=1, ddof=1)})
 
 
 def robust_z_step(x: str, window=500, min_obs=50, threshold=6.0):
@@ -181,15 +150,9 @@ def robust_z_step(x: str, window=500, min_obs=50, threshold=6.0):
 
 def cusum_step(x: str, mean: float, sd: float, k=0.5, h=5.0):
     def step(rows, st):
-        up, dn = st or (0.0, 0.0)
-        flag = np.zeros(len(rows[x]), dtype=bool)
-        for i, v in enumerate(rows[x].tolist()):
-            z = (v - mean) / sd
-            up, dn = max(0.0, up + z - k), max(0.0, dn - z - k)
-            if up > h or dn > h:
-                up = dn = 0.0
-                flag[i] = True
-        return {"alarm": flag}, [up, dn]
+        z = (rows[x] - mean) / sd
+        flag, level = reflected_alarms(np.stack([z - k, -z - k]), np.array(st or (0.0, 0.0)), h)
+        return {"alarm": flag}, level.tolist()
     return step
 
 
