@@ -96,14 +96,27 @@ def cv_predictions(df: DataFrame, folds: list[tuple[Column, Column]], kind="logi
     return out
 
 
-def walk_forward_logit(df: DataFrame, rn: str, n: int, train: int, step: int, label="y", fwd="fwd", cost_bps=5.0) -> DataFrame:
-    """Expanding refits every `step` rows; sign positions, next return less the cost of position changes."""
-    folds = [(F.col(rn) < k, (F.col(rn) >= k) & (F.col(rn) < k + step)) for k in range(train, n, step)]
+def walk_forward_logit(df: DataFrame, keys: list[str], rn: str, place: str, cuts: list[float], label="y", fwd="fwd", cost_bps=5.0) -> DataFrame:
+    """Expanding refits at the shares `cuts` of each key's rows (`place`: row number over row count); the model is pooled over
+    the keys.  Sign positions, next return less the cost of position changes."""
+    ends = [*cuts[1:], 2.0]
+    folds = [(F.col(place) < lo, (F.col(place) >= lo) & (F.col(place) < hi)) for lo, hi in zip(cuts, ends)]
     p = cv_predictions(df, folds, "logit", label=label).withColumn("pos", F.when(F.col("prob") > 0.5, 1.0).otherwise(-1.0))
-    s = Series.of(kept(p.select(rn, "pos", fwd, label)), SeriesSpec((), (rn,), f"{rn} div 100000"), 1)
+    s = Series.of(kept(p.select(*keys, rn, "pos", fwd, label)), SeriesSpec(tuple(keys), (rn,), f"{rn} div 100000"), 1)
     return s.add(net=F.col("pos") * F.col(fwd) - cost_bps / 1e4 * F.abs(F.col("pos") - F.coalesce(s.lag("pos"), F.lit(0.0)))).done()
 
 
+def purged_predicates(rn: str, n: str, k=5, horizon=5, embargo=0.01) -> list[tuple[Column, Column]]:
+    """(train, test) of k contiguous folds from each row's number and the row count of its key."""
+    from .resample import equal_blocks
+    out = []
+    for i in range(k):
+        lo, hi = equal_blocks(F.col(n), k, F.lit(i))
+        test = F.col(rn).between(lo, hi)
+        out.append(((F.col(rn) + horizon < lo) | (F.col(rn) > hi + F.ceil(embargo * F.col(n))), test))
+    return out
+
+
 def calibrate(cal: DataFrame, apply_to: DataFrame, score="prob", label="y", method="isotonic") -> DataFrame:
     """Calibrated probability from a later set: isotonic regression or a one-variable logit."""
     from pyspark.ml.classification import LogisticRegression

@@ -364,28 +364,35 @@ def pareto_front(df: DataFrame, maximize: str, minimize: str, buckets=1024) -> D
     return df.withColumn("_neg", -F.col(maximize)).join(keep, ["_neg", minimize], "left_semi").drop("_neg")
 
 
-def robustness_scorecard(pnl: DataFrame, spec: SeriesSpec, base="base") -> DataFrame:
-    """Verdicts per variant from a long P&L table (variant names: base, param..., delay, costs); base halves and trimmed days are added."""
-    sr = sharpe_by(pnl, ["variant"])
-    b = pnl.where(F.col("variant") == base)
-    idx = index_rows(b.drop("variant"), spec)
-    n = idx.agg((F.max(RN) + 1).alias("_n"))
-    half = idx.crossJoin(F.broadcast(n)).withColumn("variant", F.when(F.col(RN) < F.floor(F.col("_n") / 2), "first half").otherwise("second half"))
-    top = b.orderBy(F.col("pnl").desc(), *[F.col(c) for c in spec.order]).limit(5).select(*spec.order)
-    trimmed = b.join(top, list(spec.order), "left_anti").withColumn("variant", F.lit("without best 5 days"))
-    more = sharpe_by(half, ["variant"]).unionByName(sharpe_by(trimmed, ["variant"]))
-    ref = sr.where(F.col("variant") == base).select(F.col("sharpe").alias("_b"))
-    allv = sr.where(F.col("variant") != base).unionByName(more).crossJoin(F.broadcast(ref))
+def robustness_scorecard(pnl: DataFrame, spec: SeriesSpec, base="base", keys: list[str] | None = None) -> DataFrame:
+    """Verdicts per key and variant from a long P&L table (variant names: base, param..., delay, costs); base halves and
+    trimmed days are added."""
+    keys = list(keys or [])
+    b = pnl.where(F.col("variant") == base).drop("variant")
+    idx = index_rows(b, spec)
+    n = idx.groupBy(*keys).agg((F.max(RN) + 1).alias("_n"))
+    idx = idx.join(n, keys) if keys else idx.crossJoin(F.broadcast(n))
+    half = idx.withColumn("variant", F.when(F.col(RN) < F.floor(F.col("_n") / 2), "first half").otherwise("second half"))
+    best = Window.partitionBy(*keys).orderBy(F.col("pnl").desc(), *[F.col(c) for c in spec.order])
+    trimmed = b.withColumn("_k", F.row_number().over(best))
+    top = trimmed.where("_k <= 5").select(*keys, *spec.order)
+    trimmed = b.join(top, [*keys, *spec.order], "left_anti").withColumn("variant", F.lit("without best 5 days"))
+    by = [*keys, "variant"]
+    sr = sharpe_by(pnl, by)
+    more = sharpe_by(half, by).unionByName(sharpe_by(trimmed, by))
+    ref = sr.where(F.col("variant") == base).select(*keys, F.col("sharpe").alias("_b"))
+    allv = sr.where(F.col("variant") != base).unionByName(more)
+    allv = allv.join(ref, keys) if keys else allv.crossJoin(F.broadcast(ref))
     relative = F.col("variant").startswith("param") | F.col("variant").startswith("delay")
-    return allv.select(F.col("variant").alias("test"), F.col("sharpe").alias("value"),
+    return allv.select(*keys, F.col("variant").alias("test"), F.col("sharpe").alias("value"),
                        F.when(relative, F.col("sharpe") >= 0.5 * F.col("_b")).otherwise(F.col("sharpe") > 0).alias("passed"))
 
 
 GATE = {"oos_sharpe": 0.5, "dsr": 0.95, "pbo": 0.2, "robustness": 0.8, "max_dd": -0.25}    # fixed values: pass levels
 
 
-def validation_gate(metrics: DataFrame, levels: dict | None = None) -> DataFrame:
-    """One row per check from a one-row table of metrics, plus the overall verdict on every row."""
+def validation_gate(metrics: DataFrame, levels: dict | None = None, keys: list[str] | None = None) -> DataFrame:
+    """One row per key and check from a table of metrics with one row per key, plus the overall verdict on every row."""
     lv = {**GATE, **(levels or {})}
     rows = F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).cast("double").alias("value"),
                               (F.col(k) <= lv[k] if k == "pbo" else F.col(k) >= lv[k]).alias("passed")) for k in lv])
@@ -393,7 +400,7 @@ def validation_gate(metrics: DataFrame, levels: dict | None = None) -> DataFrame
     for k in lv:
         c = F.col(k) <= lv[k] if k == "pbo" else F.col(k) >= lv[k]
         ok = c if ok is None else ok & c
-    return metrics.select(F.coalesce(ok, F.lit(False)).alias("all_passed"), F.inline(rows))
+    return metrics.select(*(keys or []), F.coalesce(ok, F.lit(False)).alias("all_passed"), F.inline(rows))
 
 
 def total_return(df: DataFrame, by: list[str], r="ret") -> DataFrame:

@@ -1,8 +1,11 @@
 """Text and retrieval jobs over document tables."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import div
 from ..joins import asof_join
@@ -158,11 +161,32 @@ def top_k(scores: DataFrame, query: str, doc: str, k: int, score="score") -> Dat
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense_scores(queries: DataFrame, query: str, qvec: str, docs: DataFrame, doc: str, dvec: str, scope: list[str]) -> DataFrame:
-    """Dot products inside a scope (vectors are unit length)."""
-    j = queries.select(*scope, query, F.col(qvec).alias("_q")).join(docs.select(*scope, doc, F.col(dvec).alias("_d")), scope)
-    dot = F.aggregate(F.zip_with("_q", "_d", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return j.select(query, doc, dot.alias("score"))
+def dense_top_k(queries: DataFrame, query: str, qvec: str, docs: DataFrame, doc: str, dvec: str, scope: list[str], k: int, block=1024) -> DataFrame:
+    """The k documents with the largest dot product per query inside a scope: (query, doc, score, rank), ties by document id.
+
+    Both sides are packed into blocks of at most about `block` vectors; a pair of blocks is one matrix product in a task and
+    leaves k candidates per query, so no pair of vectors is ever a row.
+    """
+    kinds = {f.name: f.dataType for f in [*queries.schema.fields, *docs.schema.fields]}
+
+    def packed(df, key, vec, side):
+        n = df.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / block).alias("_n")) if scope else df.agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
+        d = df.join(n, scope) if scope else df.crossJoin(F.broadcast(n))
+        d = d.select(*scope, F.pmod(F.xxhash64(key), F.greatest("_n", F.lit(1))).alias("_b"), F.struct(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec")).alias("_r"))
+        return d.groupBy(*scope, "_b").agg(F.collect_list("_r").alias(side)).drop("_b")
+
+    def best(batches):
+        for b in batches:
+            for q, d in zip(b["_q"], b["_d"]):
+                ids, names = np.array([r["key"] for r in d]), [r["key"] for r in q]
+                g = np.array([r["vec"] for r in q], float) @ np.array([r["vec"] for r in d], float).T
+                order = np.lexsort((np.broadcast_to(ids, g.shape), -g), axis=1)[:, :k]
+                yield pd.DataFrame({query: np.repeat(names, order.shape[1]), doc: ids[order].ravel(), "score": np.take_along_axis(g, order, 1).ravel()})
+
+    a, z = packed(queries, query, qvec, "_q"), packed(docs, doc, dvec, "_d")
+    pairs = a.join(z, scope) if scope else a.crossJoin(z)            # blocks of a stated query set against blocks of all rows
+    sch = T.StructType([T.StructField(query, kinds[query]), T.StructField(doc, kinds[doc]), T.StructField("score", T.DoubleType())])
+    return top_k(pairs.select("_q", "_d").mapInPandas(best, sch), query, doc, k)
 
 
 def rank_fusion(rankings: list[DataFrame], query: str, doc: str, k=60) -> DataFrame:
@@ -243,6 +267,6 @@ def usable_at(published: str, scored: str) -> Column:
 
 def brief_lines(alerts: DataFrame, day: str, ticker: str, sentiment: str, headline: str) -> DataFrame:
     """One formatted line per alert, strongest first inside a day."""
-    w = Window.partitionBy(day).orderBy(F.abs(F.col(sentiment)).desc(), ticker)
+    w = Window.partitionBy(day).orderBy(F.abs(F.col(sentiment)).desc(), ticker, headline)
     line = F.format_string("%s %+.2f %s", F.col(ticker), F.col(sentiment), F.col(headline))
     return alerts.select(day, F.row_number().over(w).alias("line_no"), line.alias("line"))

@@ -48,11 +48,6 @@ class Tables:
         if name not in SCHEMAS:
             raise AttributeError(name)
         df = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf}/{name}.parquet")
-        if name == "documents":
-            # long texts in one small file would be one task; a table with enough splits is left as it is
-            want = self.spark.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < want:
-                df = df.repartition(want, "doc_id")
         return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields
                                if isinstance(f.dataType, T.TimestampNTZType)})
 

@@ -406,7 +406,7 @@ def _(t):
 
 @query("johansen_trace", None)
 def _(t):
-    p = t.panel().withColumn("lc", F.log("close")).where(C("symbol").isin("NATION_0", "NATION_5", "NATION_10", "NATION_15", "NATION_20", "NATION_1", "NATION_6", "NATION_11"))
+    p = t.panel().withColumn("lc", F.log("close"))
     return Q.johansen_trace(p.select("sector", "symbol", "month", "lc"), ["sector"], "month", "symbol", "lc")
 
 
@@ -488,10 +488,13 @@ def _(t):
     return t.documents.select("doc_id", (F.size(X.injection_hits("text")) > 0).alias("flagged"))
 
 
-@query("text_checks", sel("conv_id i, turn i, amount f, loose i, quoted b", "(SELECT conv_id, turn, (turn + 1234.5)::DOUBLE AS amount, 1 AS loose, TRUE AS quoted FROM conversations)"))
+@query("text_checks", """WITH f AS (SELECT *, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS head FROM conversations), x AS (SELECT *, list_distinct(list_transform(regexp_extract_all(text, '[0-9][0-9,]*(?:[.][0-9]+)?'), lambda v: replace(v, ',', ''))) AS a, list_transform(regexp_extract_all(head, '[0-9][0-9,]*(?:[.][0-9]+)?'), lambda v: replace(v, ',', '')) AS z FROM f) """
+       + sel("conv_id i, turn i, loose i, quoted b", "(SELECT conv_id, turn, len(list_filter(a, lambda v: NOT list_contains(z, v))) AS loose, contains(trim(regexp_replace(head, '\\s+', ' ', 'g')), trim(regexp_replace(substr(text, 1, 20), '\\s+', ' ', 'g'))) AS quoted FROM x)"))
 def _(t):
-    d = t.conversations.withColumn("_msg", F.concat(L("revenue $"), F.format_number(C("turn") + 1234.5, 1), L(" million and 77777777 ")))
-    return d.select("conv_id", "turn", X.first_amount("_msg").alias("amount"), F.size(X.ungrounded_numbers("_msg", F.format_number(C("turn") + 1234.5, 1))).alias("loose"), X.quoted_in(F.substring("text", 1, 40), "text").alias("quoted"))
+    """Numbers of a turn that its conversation's first turn does not hold, and whether its opening is quoted from there."""
+    head = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("head"))
+    d = t.conversations.join(head, "conv_id")
+    return d.select("conv_id", "turn", F.size(X.ungrounded_numbers("text", "head")).alias("loose"), X.quoted_in(F.substring("text", 1, 20), "head").alias("quoted"))
 
 
 @query("read_structured", sel("event_id i, status s, k i", "(SELECT event_id, CASE WHEN event_type = 'error' THEN 'refusal' WHEN event_type = 'view' THEN 'truncated' ELSE 'ok' END AS status, CASE WHEN event_type NOT IN ('error', 'view') THEN (props::JSON->>'k')::BIGINT END AS k FROM events)"))
@@ -501,33 +504,54 @@ def _(t):
     return r.select("event_id", "status", F.when(C("status") == "ok", C("parsed.k")).alias("k"))
 
 
-@query("dense_retrieval", """WITH q AS (SELECT label, vec_id AS qid, embedding FROM embeddings WHERE vec_id % 10 = 0), s AS (SELECT q.qid, e.vec_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM q JOIN embeddings e ON e.label = q.label), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) """ + sel("qid i, vec_id i, rank i, score f", "r", "rank <= 5"))
+@query("dense_retrieval", """WITH s AS (SELECT q.vec_id AS qid, e.vec_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON e.label = q.label), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) """ + sel("qid i, vec_id i, rank i, score f", "r", "rank <= 5"))
 def _(t):
-    q = t.embeddings.where(C("vec_id") % 10 == 0).select("label", C("vec_id").alias("qid"), "embedding")
-    s = X.dense_scores(q, "qid", "embedding", t.embeddings, "vec_id", "embedding", ["label"])
-    return X.top_k(s, "qid", "vec_id", 5)
+    q = t.embeddings.select("label", C("vec_id").alias("qid"), "embedding")
+    return X.dense_top_k(q, "qid", "embedding", t.embeddings, "vec_id", "embedding", ["label"], 5)
+
+
+def _lexical(t, k):
+    return X.top_k(X.bm25(t.benchmark, "item_id", "text", t.documents, "doc_id", "text", []), "item_id", "doc_id", k)
+
+
+def _dense(t, k):
+    """Best documents by latent vectors; items and documents are projected together."""
+    both = t.documents.select(C("doc_id").alias("id"), "text", L(False).alias("item")).unionByName(t.benchmark.select(C("item_id").alias("id"), "text", L(True).alias("item")))
+    v = kept(X.lsa_vectors(both.withColumn("key", F.struct("item", "id")), "key", "text", 16, 1024).select("key.item", "key.id", "v"))
+    return X.dense_top_k(v.where("item").select(C("id").alias("item_id"), "v"), "item_id", "v", v.where("not item").select(C("id").alias("doc_id"), "v"), "doc_id", "v", [], k)
 
 
 @query("hybrid_retrieval", None)
 def _(t):
-    a = X.top_k(X.bm25(t.benchmark, "item_id", "text", t.documents, "doc_id", "text", []), "item_id", "doc_id", 20)
-    b = a.withColumn("score", C("doc_id") % 13 * 1.0)
-    f = X.rank_fusion([a, X.top_k(b.drop("rank"), "item_id", "doc_id", 20)], "item_id", "doc_id")
+    f = X.rank_fusion([_lexical(t, 20), _dense(t, 20)], "item_id", "doc_id")
     return f.where(C("rank") <= 5).select("item_id", "doc_id", "rank", "score")
 
 
+def _relevant(t, words=8):
+    """(item, document) pairs that share a run of `words` words: documents that hold a passage of the item."""
+    def runs(df, key):
+        w = F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")
+        d = df.select(key, w.alias("_w"))
+        return d.select(key, F.explode(F.transform(F.sequence(L(1), F.greatest(F.size("_w") - words + 1, L(1))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, words), " ")))).alias("run")).distinct()
+    return runs(t.benchmark, "item_id").join(runs(t.documents, "doc_id"), "run").select("item_id", "doc_id").distinct()
+
+
 @query("retrieval_metrics", None)
 def _(t):
-    a = X.top_k(X.bm25(t.benchmark, "item_id", "text", t.documents, "doc_id", "text", []), "item_id", "doc_id", 5)
-    # relevance is a judgement table; here every document belongs to one item by its number
-    rel = t.benchmark.select("item_id").join(t.documents.select("doc_id", (C("doc_id") % 40).alias("item_id")), "item_id")
-    return X.retrieval_metrics(a, rel, "item_id", "doc_id")
+    """Recall and reciprocal rank of the three retrievers against documents that really hold a passage of the item."""
+    rel, a, b = kept(_relevant(t)), kept(_lexical(t, 20)), kept(_dense(t, 20))
+    u = None
+    for name, r in (("lexical", a), ("dense", b), ("hybrid", X.rank_fusion([a, b], "item_id", "doc_id"))):
+        m = X.retrieval_metrics(r.where(C("rank") <= 5), rel, "item_id", "doc_id").withColumn("mode", L(name))
+        u = m if u is None else u.unionByName(m)
+    return u
 
 
 @query("lsa_vectors", None)
 def _(t):
+    """Length and number of coordinates of every document's latent vector."""
     v = X.lsa_vectors(t.documents, "doc_id", "text", 8, 512)
-    return v.select("doc_id", F.size("v").alias("dim"))
+    return v.select("doc_id", F.size("v").alias("dim"), F.sqrt(F.aggregate("v", L(0.0), lambda a, b: a + b * b)).alias("norm"))
 
 
 @query("field_scores", sel("field s, precision f, recall f", "(WITH x AS (SELECT n_chars AS g1, CASE WHEN doc_id % 3 <> 0 THEN n_chars * 1.001 END AS p1, doc_id + 1 AS g2, (doc_id + 1) * CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS p2 FROM documents) SELECT 'q' AS field, count(*) FILTER (WHERE abs(p1 - g1) <= 0.005 * abs(g1)) / count(p1)::DOUBLE AS precision, count(*) FILTER (WHERE abs(p1 - g1) <= 0.005 * abs(g1)) / count(g1)::DOUBLE AS recall FROM x UNION ALL SELECT 't', count(*) FILTER (WHERE abs(p2 - g2) <= 0.005 * abs(g2)) / count(p2)::DOUBLE, count(*) FILTER (WHERE abs(p2 - g2) <= 0.005 * abs(g2)) / count(g2)::DOUBLE FROM x)"))
@@ -559,19 +583,20 @@ def _(t):
 @query("faithfulness", None)
 def _(t):
     d = t.documents.select(C("doc_id").cast("string").alias("title"), C("text").alias("doc_text"))
-    c = t.documents.where(C("doc_id") % 2 == 0).select((C("doc_id") % 50).alias("answer"), C("doc_id").alias("claim"), L("claim text").alias("text"), C("doc_id").cast("string").alias("title"),
+    c = t.documents.select((C("doc_id") % 50).alias("answer"), C("doc_id").alias("claim"), L("claim text").alias("text"), C("doc_id").cast("string").alias("title"),
                                                      F.when(C("doc_id") % 6 == 0, L("not in any text")).otherwise(F.substring("text", 5, 30)).alias("cited"))
     return X.faithfulness(c, d, "answer", "claim")
 
 
-@query("score_requests", sel("custom_id s", "(SELECT DISTINCT source || '/' || lang AS custom_id FROM documents)"))
+@query("score_requests", sel("custom_id s, content s", "(SELECT doc_id::VARCHAR AS custom_id, text AS content FROM documents)"))
 def _(t):
-    return X.score_requests(t.documents.withColumn("k", F.concat_ws("/", "source", "lang")), "k", "text").select("custom_id")
+    r = X.score_requests(t.documents.withColumn("k", C("doc_id").cast("string")), "k", "text")
+    return r.select("custom_id", F.get_json_object("body", "$.content").alias("content"))
 
 
-@query("brief_lines", sel("d d, line_no i, line s", "(SELECT ts::DATE AS d, row_number() OVER (PARTITION BY ts::DATE ORDER BY abs(value - 50) DESC, event_type) AS line_no, event_type || ' ' || printf('%+.2f', value - 50) || ' ' || props AS line FROM events WHERE value > 150)"))
+@query("brief_lines", sel("d d, line_no i, line s", "(SELECT ts::DATE AS d, row_number() OVER (PARTITION BY ts::DATE ORDER BY abs(value - 50) DESC, event_type, props) AS line_no, event_type || ' ' || printf('%+.2f', value - 50) || ' ' || props AS line FROM events)"))
 def _(t):
-    e = t.events.where(C("value") > 150).select(F.to_date("ts").alias("d"), "event_type", (C("value") - 50).alias("s"), "props")
+    e = t.events.select(F.to_date("ts").alias("d"), "event_type", (C("value") - 50).alias("s"), "props")
     return X.brief_lines(e, "d", "event_type", "s", "props")
 
 
@@ -592,44 +617,58 @@ def _(t):
 FEATS = ["ret5", "ret20", "vol20", "vol_ratio", "er10"]
 
 
+def _placed(d):
+    """Row count per symbol and each row's place in it, 0 to 1: folds are shares of the data."""
+    n = d.groupBy("symbol").agg(F.count(L(1)).alias("n"), F.min("rn").alias("_first"))
+    return d.join(n, "symbol").withColumn("rn", C("rn") - C("_first")).withColumn("place", C("rn") / C("n")).withColumn("row", F.concat_ws(":", "symbol", "rn")).drop("_first")
+
+
 def _dataset(t):
     s = I.ml_features(bars(t, 20, 1))
-    d = s.add(fwd=F.log(s.lead("close", 1) / C("close"))).done(keep_rn=True).where((C("symbol") == "2-HIGH") & C("fwd").isNotNull()).dropna(subset=FEATS)
-    return kept(d.withColumn("y", (C("fwd") > 0).cast("int")).withColumnRenamed(RN, "rn").select("symbol", "rn", "fwd", "y", *FEATS))
+    d = s.add(fwd=F.log(s.lead("close", 1) / C("close"))).done(keep_rn=True).where(C("fwd").isNotNull()).dropna(subset=FEATS)
+    d = d.withColumn("y", (C("fwd") > 0).cast("int")).withColumnRenamed(RN, "rn").select("symbol", "rn", "fwd", "y", *FEATS)
+    return kept(_placed(d))
+
+
+TRAIN, TEST = "place < 0.7", "place >= 0.7"        # shares of each symbol's rows
 
 
 @query("walk_forward_logit", None)
 def _(t):
     d = ML.assemble(_dataset(t), FEATS)
-    return ML.walk_forward_logit(d, "rn", 1725, 900, 400).agg(F.avg(((C("pos") > 0).cast("int") == C("y")).cast("double")).alias("accuracy"), F.sum("net").alias("net"), F.count(L(1)).alias("n"))
+    p = ML.walk_forward_logit(d, ["symbol"], "rn", "place", [0.5, 0.75])
+    return p.groupBy("symbol").agg(F.avg(((C("pos") > 0).cast("int") == C("y")).cast("double")).alias("accuracy"), F.sum("net").alias("net"), F.count(L(1)).alias("n"))
 
 
 @query("cv_scores", None)
 def _(t):
-    """Out-of-fold AUC of contiguous purged folds."""
+    """Out-of-fold AUC of contiguous purged folds, by fold and symbol; every row is tested once."""
     d = ML.assemble(_dataset(t), FEATS)
-    folds = [((C("rn") + 5 < lo) | (C("rn") > lo + 573 + 18), C("rn").between(lo, lo + 573)) for lo in (0, 574, 1148)]
-    return ML.auc(ML.cv_predictions(d, folds), by=("fold",))
+    return ML.auc(ML.cv_predictions(d, ML.purged_predicates("rn", "n", 3)), by=("symbol", "fold"))
 
 
 @query("importance", None)
 def _(t):
     d = _dataset(t)
-    tr, te = C("rn") < 1200, C("rn") >= 1200
-    mda = ML.mda_importance(d, FEATS, {"momentum": ["ret5", "ret20"], "vol": ["vol20", "vol_ratio"]}, tr, te, "rn").withColumn("kind", L("mda"))
-    mdi = ML.mdi_importance(d.where(tr), FEATS).withColumn("kind", L("mdi"))
+    mda = ML.mda_importance(d, FEATS, {"momentum": ["ret5", "ret20"], "vol": ["vol20", "vol_ratio"]}, TRAIN, TEST, "row").withColumn("kind", L("mda"))
+    mdi = ML.mdi_importance(d.where(TRAIN), FEATS).withColumn("kind", L("mdi"))
     cl = ML.cluster_features(d, FEATS).select("feature", C("cluster").cast("double").alias("importance"), L("cluster").alias("kind"))
     return mda.unionByName(mdi).unionByName(cl)
 
 
+@query("single_feature_importance", None)
+def _(t):
+    return ML.sfi_importance(_dataset(t), FEATS, TRAIN, TEST)
+
+
 @query("leakage_audit", None)
 def _(t):
-    return ML.leakage_audit(_dataset(t), FEATS, C("rn") < 1200, C("rn") >= 1200, "rn")
+    return ML.leakage_audit(_dataset(t), FEATS, TRAIN, TEST, "row")
 
 
 @query("gmm_regimes", None)
 def _(t):
-    return ML.gmm_regimes(_dataset(t), ["vol20", "er10"]).groupBy("state").agg(F.count(L(1)).alias("n"), F.avg("vol20").alias("vol"))
+    return ML.gmm_regimes(_dataset(t), ["vol20", "er10"]).groupBy("symbol", "state").agg(F.count(L(1)).alias("n"), F.avg("vol20").alias("vol"))
 
 
 @query("hmm_regimes", None)
@@ -640,8 +679,8 @@ def _(t):
 @query("vol_forecasts", None)
 def _(t):
     s = bars(t, 21, 1).add(absret=F.abs(F.log(C("close") / C("open"))))
-    d = kept(I.har_features(s).done(keep_rn=True).dropna(subset=["d", "w", "m", "target"]).select("symbol", RN, "d", "w", "m", "target"))
-    f = ML.vol_forecasts(d, C(RN) < 1200, C(RN) >= 1200)
+    d = kept(_placed(I.har_features(s).done(keep_rn=True).dropna(subset=["d", "w", "m", "target"]).select("symbol", C(RN).alias("rn"), "d", "w", "m", "target")))
+    f = ML.vol_forecasts(d, TRAIN, TEST)
     q = lambda c: S.qlike(C("label") + 0.01, F.abs(C(c)) + 0.01).alias(c)
     return f.groupBy("symbol").agg(q("naive"), q("linear"), q("boosted"))
 
@@ -649,56 +688,28 @@ def _(t):
 @query("crash_warning", None)
 def _(t):
     s = I.ml_features(bars(t, 20, 5)).add(ret=F.log(C("close") / C("open")) * 0.05)
-    d = kept(I.crash_labels(s, threshold=0.04).done(keep_rn=True).dropna(subset=FEATS))
-    p = ML.crash_warning(d, FEATS, C(RN) < 1200, C(RN) >= 1200)
+    d = kept(_placed(I.crash_labels(s, threshold=0.04).done(keep_rn=True).dropna(subset=FEATS).withColumnRenamed(RN, "rn")))
+    p = ML.crash_warning(d, FEATS, TRAIN, TEST)
     return S.average_precision(p, ["symbol"], "prob", "y")
 
 
 @query("calibration", None)
 def _(t):
     d = ML.assemble(_dataset(t), FEATS)
-    m = ML.make_model("rf").fit(d.where(C("rn") < 900))
-    p = kept(ML.prob1(m, d.where(C("rn") >= 900)).select("rn", "y", "prob"))
-    c = ML.calibrate(p.where(C("rn") < 1300), p.where(C("rn") >= 1300))
+    m = ML.make_model("rf").fit(d.where(C("place") < 0.5))
+    p = kept(ML.prob1(m, d.where(C("place") >= 0.5)).select("place", "y", "prob"))
+    c = ML.calibrate(p.where(C("place") < 0.75), p.where(C("place") >= 0.75))
     return B.reliability_table(c.withColumn("calibrated", C("calibrated").cast("double")), "calibrated", "y")
 
 
 @query("seed_ensemble", None)
 def _(t):
     d = ML.assemble(_dataset(t), FEATS)
-    e = ML.seed_ensemble(d.where(C("rn") < 1200), d.where(C("rn") >= 1200), "rn", seeds=(0, 1))
+    e = ML.seed_ensemble(d.where(TRAIN), d.where(TEST), "row", seeds=(0, 1))
     return e.agg(F.count(L(1)).alias("n"), F.avg("prob").alias("mean_prob"))
 
 
-@query("sequential_bootstrap", None)
-def _(t):
-    from .stats_queries import _spans
-    return ML.sequential_bootstrap(_spans(t), ["symbol"]).groupBy("symbol").agg(F.count(L(1)).alias("draws"), F.countDistinct("t0_rn").alias("distinct"))
-
-
 # ---------------------------------------------------------------- ledger and audits
-def _run(t, bps=0.0):
-    from ..operators.backtest import engine_returns, run_backtest
-    s = bars(t, 1).add(decided=0.1 * F.signum(C("close") - C("open")), volume=C("volume") * 1e6)
-    return engine_returns(run_backtest(s, slippage_bps=bps))
-
-
-@query("run_backtest", None)
-def _(t):
-    return _run(t, 5.0).done().select("symbol", "ts", "position", "equity_open", "equity", "engine_ret")
-
-
-@query("engine_parity", None)
-def _(t):
-    """Ledger returns against next-open P&L of the same decisions, and Sharpe by cost multiple."""
-    from ..operators.backtest import parity_report
-    u = None
-    for m in (0, 2):
-        s = _run(t, 5.0 * m).halo(2, 1)
-        s = ST.next_bar_pnl(s, "decided", cost_bps=5.0 * m)
-        d = parity_report(s).withColumn("multiple", L(m))
-        u = d if u is None else u.unionByName(d)
-    return u
 
 
 @query("indicator_audit", None)
@@ -711,15 +722,6 @@ def _(t):
     return u
 
 
-@query("indicator_catalog", None)
-def _(t):
-    """Every registered indicator with its look-back, checked against the rows a symbol offers."""
-    from ..operators.registry import catalog
-    n = t.bars().groupBy("symbol").agg(F.count(L(1)).alias("rows"))
-    return catalog(t.spark).crossJoin(F.broadcast(n.agg(F.min("rows").alias("min_rows")))).withColumn("usable", C("lookback") < C("min_rows"))
-
-
-# ---------------------------------------------------------------- plain DataFrame and SQL shapes
 @query("sql_view_summary", sel("symbol s, n i, mean f, top f", "(SELECT event_type AS symbol, count(*) AS n, avg(value) AS mean, max(value) AS top FROM events GROUP BY 1)"))
 def _(t):
     t.trades().createOrReplaceTempView("tickloom_trades")

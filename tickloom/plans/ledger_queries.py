@@ -235,10 +235,13 @@ def _(t):
     return L.phase_violations(d)
 
 
-@query("trace_and_timeline", sel("user_id i, event_id i, ts t, event_type s", "events", "user_id = 7 AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'"))
+@query("trace_and_timeline", """WITH top AS (SELECT user_id FROM events GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), e AS (SELECT e.* FROM events e JOIN top USING (user_id)) """
+       + sel("user_id i, event_id i, ts t, event_type s", "(SELECT * FROM e WHERE ts >= (SELECT max(ts) - INTERVAL 7 days FROM e))"))
 def _(t):
-    lo, hi = F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-12").cast("timestamp")
-    return t.events.where((C("user_id") == 7) & C("ts").between(lo, hi)).orderBy("ts").select("user_id", "event_id", "ts", "event_type")
+    """The last week of the busiest user."""
+    top = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last")).orderBy(F.desc("n"), "user_id").limit(1)
+    e = t.events.join(F.broadcast(top.select("user_id", "last")), "user_id").where(C("ts") >= C("last") - F.expr("interval 7 days"))
+    return e.select("user_id", "event_id", "ts", "event_type")
 
 
 # ---------------------------------------------------------------- screens and risk

@@ -270,13 +270,14 @@ def _(t):
 
 
 @query("pit_join", f"""WITH {BARS_SQL}, r AS (SELECT n_name, o_orderdate + INTERVAL 10 days AS available_at, o_orderpriority AS symbol, max(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
- WHERE n_name = 'NATION_3' GROUP BY ALL) {sel('symbol s, ts t, v f', '(SELECT b.symbol, b.ts, r.v FROM b ASOF LEFT JOIN r ON b.symbol = r.symbol AND b.ts >= r.available_at)')}""")
+ GROUP BY ALL), g AS (SELECT b.symbol, b.ts, n_name FROM b, nation) {sel('symbol s, nation s, ts t, v f', '(SELECT g.symbol, g.n_name AS nation, g.ts, r.v FROM g ASOF LEFT JOIN r ON g.symbol = r.symbol AND g.n_name = r.n_name AND g.ts >= r.available_at)')}""")
 def _(t):
-    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).where(F.col("n_name") == "NATION_3").select("c_custkey")
+    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("nation"))
     r = (t.orders.join(c, F.col("o_custkey") == F.col("c_custkey"))
-         .groupBy(F.col("o_orderpriority").alias("symbol"), (F.col("o_orderdate") + F.expr("interval 10 days")).alias("available_at"))
+         .groupBy(F.col("o_orderpriority").alias("symbol"), "nation", (F.col("o_orderdate") + F.expr("interval 10 days")).alias("available_at"))
          .agg(F.max("o_totalprice").alias("v")))
-    return T.pit_join(t.bars().select("symbol", "ts"), r, ["symbol"], ["v"], bucket_us=365 * 86_400_000_000)
+    asked = t.bars().select("symbol", "ts").crossJoin(F.broadcast(t.nation.select(F.col("n_name").alias("nation"))))      # 25 nations
+    return T.pit_join(asked, r, ["symbol", "nation"], ["v"], bucket_us=365 * 86_400_000_000)
 
 
 @query("spread_measures", f"""WITH {_TQ}, a AS (SELECT tr.*, bid, ask, (bid + ask) / 2 AS mid FROM tr ASOF LEFT JOIN qu ON tr.user_id = qu.user_id AND tr.ts >= qu.ts),
@@ -377,11 +378,11 @@ def _(t):
     return T.growth_inflation_regime(s, "close", "n").done().select("symbol", "month", "yoy", "growth_up", "inflation_up", "regime")
 
 
-@query("intents_in_force", f"""WITH {BARS_SQL}, i AS (SELECT o_orderpriority AS symbol, o_orderdate AS ts, arg_max(o_totalprice / 1000, o_orderkey) AS w FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1, 2), j AS (SELECT b.symbol, b.ts, i.w FROM b LEFT JOIN i USING (symbol, ts))
+@query("intents_in_force", f"""WITH {BARS_SQL}, i AS (SELECT o_orderpriority AS symbol, o_orderdate AS ts, arg_max(o_totalprice / 1000, o_orderkey) AS w FROM orders GROUP BY 1, 2), j AS (SELECT b.symbol, b.ts, i.w FROM b LEFT JOIN i USING (symbol, ts))
  {sel('symbol s, ts t, decided f', '(SELECT symbol, ts, coalesce(last_value(w IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS decided FROM j)')}""")
 def _(t):
-    i = t.orders.where(F.col("o_orderkey") % 5 == 0).select(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts"),
-                                                           (F.col("o_totalprice") / 1000).alias("weight"), F.col("o_orderkey").alias("seq"))
+    i = t.orders.select(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts"),
+                        (F.col("o_totalprice") / 1000).alias("weight"), F.col("o_orderkey").alias("seq"))
     return T.intents_in_force(t.bars().select("symbol", "ts"), i, BARS_SPEC)
 
 

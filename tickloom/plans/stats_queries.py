@@ -9,7 +9,7 @@ from ..operators import resample as R
 from ..operators import stats as S
 from ..operators import strategies as P
 from ..operators import bars as B
-from ..series import RN, Series, SeriesSpec
+from ..series import RN, Series, SeriesSpec, kept
 from .base import BARS_SPEC, BARS_SQL, PANEL_SPEC, PANEL_SQL, TRADES_SQL, query, sel
 from .indicator_queries import W, bars, gate
 
@@ -240,19 +240,28 @@ def _(t):
     return S.net_sharpe_by_capital(d, ["symbol"], [1e5, 1e7, 1e9], 0.1, 1e8, 0.02)
 
 
-@query("psi", f"""WITH {BARS_SQL}, {_RET}, e AS (SELECT symbol, {', '.join(f'quantile_cont(ret, {i / 10}) AS q{i}' for i in range(1, 10))} FROM r WHERE rn < 800 GROUP BY 1),
- x AS (SELECT symbol, rn < 800 AS ex, {' + '.join(f'(ret >= q{i})::INT' for i in range(1, 10))} AS bk FROM r JOIN e USING (symbol)), c AS (SELECT symbol, bk, count(*) FILTER (WHERE ex) / sum(count(*) FILTER (WHERE ex)) OVER (PARTITION BY symbol) + 1e-6 AS e,
+_HALF = "h AS (SELECT *, 2 * rn < count(*) OVER (PARTITION BY symbol) AS ex FROM r)"
+
+
+def _halves(t):
+    """Returns with a mark for the first half of each symbol's rows."""
+    d = rets(t).df.select("symbol", "ret", RN)
+    n = d.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
+    return d.join(n, "symbol").select("symbol", "ret", (2 * C(RN) < C("_n")).alias("first"))
+
+
+@query("psi", f"""WITH {BARS_SQL}, {_RET}, {_HALF}, e AS (SELECT symbol, {', '.join(f'quantile_cont(ret, {i / 10}) AS q{i}' for i in range(1, 10))} FROM h WHERE ex GROUP BY 1),
+ x AS (SELECT symbol, ex, {' + '.join(f'(ret >= q{i})::INT' for i in range(1, 10))} AS bk FROM h JOIN e USING (symbol)), c AS (SELECT symbol, bk, count(*) FILTER (WHERE ex) / sum(count(*) FILTER (WHERE ex)) OVER (PARTITION BY symbol) + 1e-6 AS e,
  count(*) FILTER (WHERE NOT ex) / sum(count(*) FILTER (WHERE NOT ex)) OVER (PARTITION BY symbol) + 1e-6 AS a FROM x GROUP BY 1, 2) {sel('symbol s, psi f', '(SELECT symbol, sum((a - e) * ln(a / e)) AS psi FROM c GROUP BY 1)')}""")
 def _(t):
-    d = rets(t).df.select("symbol", "ret", RN)
-    return S.psi(d.where(C(RN) < 800), d.where(C(RN) >= 800), "ret", ["symbol"])
+    d = _halves(t)
+    return S.psi(d.where("first"), d.where("not first"), "ret", ["symbol"])
 
 
-@query("ks_two_sample", f"""WITH {BARS_SQL}, {_RET}, c AS (SELECT symbol, ret, count(*) FILTER (WHERE rn < 800) AS a, count(*) FILTER (WHERE rn >= 800) AS z FROM r GROUP BY 1, 2), k AS (SELECT symbol, abs(sum(a) OVER v / sum(a) OVER (PARTITION BY symbol) - sum(z) OVER v / sum(z) OVER (PARTITION BY symbol)) AS d FROM c WINDOW v AS (PARTITION BY symbol ORDER BY ret))
+@query("ks_two_sample", f"""WITH {BARS_SQL}, {_RET}, {_HALF}, c AS (SELECT symbol, ret, count(*) FILTER (WHERE ex) AS a, count(*) FILTER (WHERE NOT ex) AS z FROM h GROUP BY 1, 2), k AS (SELECT symbol, abs(sum(a) OVER v / sum(a) OVER (PARTITION BY symbol) - sum(z) OVER v / sum(z) OVER (PARTITION BY symbol)) AS d FROM c WINDOW v AS (PARTITION BY symbol ORDER BY ret))
  {sel('symbol s, ks f', '(SELECT symbol, max(d) AS ks FROM k GROUP BY 1)')}""")
 def _(t):
-    d = rets(t).df.withColumn("first", C(RN) < 800)
-    return S.ks_two_sample(d, ["symbol"], "ret", "first").drop("p_value")
+    return S.ks_two_sample(_halves(t), ["symbol"], "ret", "first").drop("p_value")
 
 
 @query("rank_ic", f"""WITH {PANEL_SQL}, x AS (SELECT month, close, n, rank() OVER (PARTITION BY month ORDER BY close) + (count(*) OVER (PARTITION BY month, close) - 1) / 2.0 AS a, rank() OVER (PARTITION BY month ORDER BY n) + (count(*) OVER (PARTITION BY month, n) - 1) / 2.0 AS z FROM panel)
@@ -421,9 +430,10 @@ def _(t):
     return R.backtest_band(_ret_df(t).select("symbol", "ts", "ret"), BARS_SPEC, reps=200)
 
 
-@query("inside_band", f"""WITH {BARS_SQL}, {_RET}, c AS (SELECT symbol, rn + 1 AS day, sum(ret) OVER w AS cum FROM r {W}) {sel('symbol s, day i, cum f, inside b', '(SELECT symbol, day, cum, cum BETWEEN -0.01 * sqrt(day) AND 0.01 * sqrt(day) AS inside FROM c WHERE day <= 250)')}""")
+@query("inside_band", f"""WITH {BARS_SQL}, {_RET}, c AS (SELECT symbol, rn + 1 AS day, sum(ret) OVER w AS cum FROM r {W}) {sel('symbol s, day i, cum f, inside b', '(SELECT symbol, day, cum, cum BETWEEN -0.01 * sqrt(day) AND 0.01 * sqrt(day) AS inside FROM c)')}""")
 def _(t):
-    band = t.spark.range(1, 251).select(C("id").alias("day"), (-0.01 * F.sqrt("id")).alias("lower"), (0.01 * F.sqrt("id")).alias("upper"))
+    last = t.bars().groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+    band = last.select(F.explode(F.sequence(F.lit(1).cast("bigint"), C("n"))).alias("day")).select("day", (-0.01 * F.sqrt("day")).alias("lower"), (0.01 * F.sqrt("day")).alias("upper"))
     return S.inside_band(rets(t), band).select("symbol", "day", "cum", "inside")
 
 
@@ -503,21 +513,37 @@ def _(t):
     return R.pareto_front(t.orders.select("o_orderkey", "o_totalprice", "o_custkey"), "o_totalprice", "o_custkey").select("o_orderkey")
 
 
-@query("grid_search", f"""WITH {BARS_SQL}, g AS (SELECT ((r1.k - 1) * 3 + (r2.k - 1)) AS config, r1.k * 5 AS n, r2.k AS q FROM range(1, 4) r1(k), range(1, 4) r2(k)) {sel('config i, symbol s, score f', '(SELECT config, symbol, avg(CASE WHEN volume >= q THEN ln(close / open) * n ELSE 0 END) AS score FROM b, g GROUP BY 1, 2)')}""")
+@query("grid_search", f"""WITH {BARS_SQL}, {_CFG} {sel('symbol s, config i, score f', '(SELECT symbol, config, avg(pnl) / stddev_samp(pnl) * sqrt(252) AS score FROM cf GROUP BY 1, 2)')}""")
 def _(t):
-    g = R.param_grid(t.spark, n=[5, 10, 15], q=[1, 2, 3])
-    d = t.bars().crossJoin(F.broadcast(g))
-    return d.groupBy("config", "symbol").agg(F.avg(F.when(C("volume") >= C("q"), F.log(C("close") / C("open")) * C("n")).otherwise(0.0)).alias("score"))
+    """Sharpe ratio of every rule of the grid on every symbol."""
+    return R.sharpe_by(_configs(t), ["symbol", "config"]).select("symbol", "config", C("sharpe").alias("score"))
+
+
+def _variants(t):
+    """P&L of one rule and of its neighbours: moved parameter, position one bar late, costs doubled."""
+    s = bars(t, 31, 1)
+    for n in (8, 10, 12):
+        s = I.sma(s, "close", n, f"m{n}")
+    s = s.add(_r=F.log(s.lead("close", 1) / C("close")) * 0.01, **{f"p{n}": F.coalesce(F.signum(C("close") - C(f"m{n}")), F.lit(0.0)) for n in (8, 10, 12)})
+    s = s.add(**{f"q{n}": F.coalesce(s.lag(f"p{n}"), F.lit(0.0)) for n in (8, 10, 12)}, late=F.coalesce(s.lag("p10", 2), F.lit(0.0)))
+    d = s.done().where(C("_r").isNotNull())
+    net = lambda p, before, bps: p * C("_r") - bps / 1e4 * F.abs(p - before)
+    cost = 0.5
+    rows = {"base": net(C("p10"), C("q10"), cost), "param -20%": net(C("p8"), C("q8"), cost), "param +20%": net(C("p12"), C("q12"), cost),
+            "delay 1 bar": net(C("q10"), C("late"), cost), "costs x2": net(C("p10"), C("q10"), 2 * cost)}
+    return d.select("symbol", "ts", F.inline(F.array(*[F.struct(F.lit(k).alias("variant"), v.alias("pnl")) for k, v in rows.items()])))
 
 
 @query("robustness_gate", None)
 def _(t):
-    """Scorecard of a rule (parameter moves, delay, double costs, trimmed days, halves) and the gate on its metrics."""
-    d = _configs(t).where(C("symbol") == "2-HIGH")
-    name = F.when(C("config") == 1, "base").when(C("config") == 0, "param -20%").when(C("config") == 2, "param +20%").when(C("config") == 3, "delay 1 bar").when(C("config") == 4, "costs x2")
-    p = d.where(C("config") <= 4).select("ts", name.alias("variant"), "pnl")
-    card = R.robustness_scorecard(p, SeriesSpec((), ("ts",), "year(ts)"))
-    m = S.sharpe_moments(p.where(C("variant") == "base").withColumnRenamed("pnl", "ret"), [])
-    x = m.select((C("sr") * 252 ** 0.5).alias("oos_sharpe"), S.psr().alias("dsr"), F.lit(0.3).alias("pbo"), F.lit(-0.1).alias("max_dd"))
-    x = x.crossJoin(card.agg(F.avg(C("passed").cast("double")).alias("robustness")))
-    return R.validation_gate(x).select("check", "value", "passed", "all_passed").unionByName(card.select(C("test").alias("check"), "value", "passed", F.lit(None).cast("boolean").alias("all_passed")))
+    """Scorecard of a rule per symbol and the gate on its metrics; overfitting from the grid, drawdown from the curve."""
+    p = kept(_variants(t))
+    card = R.robustness_scorecard(p, BARS_SPEC, keys=["symbol"])
+    base = p.where(C("variant") == "base").withColumnRenamed("pnl", "ret")
+    m = S.sharpe_moments(base, ["symbol"]).select("symbol", (C("sr") * 252 ** 0.5).alias("oos_sharpe"), S.psr().alias("dsr"))
+    curve = Series.of(base, BARS_SPEC).running({"equity": ("sum", C("ret"))}).running({"peak": ("max", F.greatest(C("equity"), F.lit(0.0)))}).df
+    dd = curve.groupBy("symbol").agg(F.min(F.exp(C("equity") - C("peak")) - 1).alias("max_dd"))
+    over = R.pbo(R.pbo_cscv(_configs(t), BARS_SPEC, 6), ["symbol"]).select("symbol", "pbo")
+    x = m.join(over, "symbol").join(dd, "symbol").join(card.groupBy("symbol").agg(F.avg(C("passed").cast("double")).alias("robustness")), "symbol")
+    gate = R.validation_gate(x, keys=["symbol"]).select("symbol", "check", "value", "passed", "all_passed")
+    return gate.unionByName(card.select("symbol", C("test").alias("check"), "value", "passed", F.lit(None).cast("boolean").alias("all_passed")))

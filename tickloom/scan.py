@@ -255,6 +255,8 @@ def sequential(s: Series, inputs: list[str], step: Callable, init: list[float],
             redo = (slim.join(todo, [*keys, BLK]).groupBy(*keys, BLK).applyInArrow(run_exit, exit_schema))
             kept = done.join(todo.select(*keys, BLK), [*keys, BLK], "left_anti")
             done = checkpointed(kept.unionByName(redo))
+        else:
+            raise RuntimeError(f"block states have not settled after {max_rounds} rounds")
         entries = done.select(*keys, BLK, "_entry")
 
     work = s.df.join(entries, [*keys, BLK]) if many else s.df.withColumn(

@@ -6,7 +6,6 @@ a short state; the same shape as `scan.sequential`, so batch rules such as stops
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..paths import reflected_alarms, trailing
-from ..session import ROCKSDB
+from ..session import ROCKSDB, shared_folder
 
 _STATE = T.StructType([T.StructField("v", T.ArrayType(T.DoubleType()))])
 
@@ -346,8 +345,7 @@ def read_files(spark: SparkSession, path: str, schema, per_trigger: int | None =
 def run_available(stream: DataFrame, mode="append") -> DataFrame:
     """Process what is there, then stop; the result is a table in the shared checkpoint folder."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).start()
     else:
