@@ -10,7 +10,7 @@ from ..operators import stats as S
 from ..operators import strategies as P
 from ..operators import bars as B
 from ..series import RN, Series, SeriesSpec, kept
-from .base import BARS_SPEC, BARS_SQL, PANEL_SPEC, PANEL_SQL, TRADES_SQL, query, sel
+from .base import BARS_SPEC, BARS_SQL, ORACLES, PANEL_SPEC, PANEL_SQL, TRADES_SQL, query, sel
 from .indicator_queries import W, bars, gate
 
 C = F.col
@@ -497,7 +497,7 @@ def _(t):
     return R.pbo_cscv(_configs(t), BARS_SPEC, 6)
 
 
-@query("pbo", None)
+@query("pbo", sel("symbol s, pbo f, splits i", f"(SELECT symbol, avg((logit <= 0)::INT) AS pbo, count(*) AS splits FROM ({ORACLES['pbo_cscv']}) GROUP BY 1)"))
 def _(t):
     return R.pbo(R.pbo_cscv(_configs(t), BARS_SPEC, 6), ["symbol"])
 

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from ..operators.ledger import NEXT
 from ..streaming import twins as TW
-from .base import SCHEMAS, TRADES_SQL, query, sel
+from .base import SCHEMAS, TRADES_SQL, query, sel, walk_sql
 from .ledger_queries import _OK, _RAW
 
 C = F.col
@@ -35,12 +35,21 @@ def _(t):
     return TW.run_available(TW.tick_bars(ticks(t), "1 hour"))
 
 
-@query("stream_ema", None)
+_ROWS = f"{TRADES_SQL}, tr AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) - 1 AS rn FROM trades)"
+_NEXT = "CASE WHEN p.n < 20 THEN (p.total + s.price) / 20 ELSE s.price * 2 / 21 + p.val * 19 / 21 END"
+
+
+@query("stream_ema", walk_sql(_ROWS, "tr", {"seq": ("s.seq", "s.seq"), "n": ("1", "p.n + 1"), "total": ("s.price", "p.total + s.price"), "val": ("s.price / 20", _NEXT),
+                                            "ema": ("NULL::DOUBLE", f"CASE WHEN p.n >= 19 THEN {_NEXT} END")}, "symbol s, seq i, ema f"))
 def _(t):
     return _scan(t, TW.ema_step("price", 20), {"ema": D})
 
 
-@query("stream_rsi", None)
+_GAIN, _LOSS = ("(CASE WHEN s.rn <= 14 THEN p.{0} + {1} / 14 ELSE (p.{0} * 13 + {1}) / 14 END)".format(c, f"greatest({x}, 0::DOUBLE)") for c, x in (("gain", "s.price - p.prev"), ("loss", "p.prev - s.price")))
+
+
+@query("stream_rsi", walk_sql(_ROWS, "tr", {"seq": ("s.seq", "s.seq"), "prev": ("s.price", "s.price"), "gain": ("0::DOUBLE", _GAIN), "loss": ("0::DOUBLE", _LOSS),
+                                            "rsi": ("NULL::DOUBLE", f"CASE WHEN s.rn >= 14 THEN CASE WHEN {_LOSS} = 0 THEN 100 ELSE 100 - 100 / (1 + {_GAIN} / {_LOSS}) END END")}, "symbol s, seq i, rsi f"))
 def _(t):
     return _scan(t, TW.rsi_step("price", 14), {"rsi": D})
 
@@ -65,7 +74,13 @@ def _(t):
     return _scan(t, TW.robust_z_step("price", 100), {"z": D, "flag": T.BooleanType()})
 
 
-@query("stream_cusum", None)
+_UP, _DOWN = "greatest(0::DOUBLE, p.up + (s.price - 50) / 50 - 0.5)", "greatest(0::DOUBLE, p.down - (s.price - 50) / 50 - 0.5)"
+_UP0, _DOWN0 = _UP.replace("p.up + ", ""), _DOWN.replace("p.down - ", "- ")
+
+
+@query("stream_cusum", walk_sql(_ROWS, "tr", {"seq": ("s.seq", "s.seq"), "up": (f"CASE WHEN greatest({_UP0}, {_DOWN0}) > 5 THEN 0 ELSE {_UP0} END", f"CASE WHEN greatest({_UP}, {_DOWN}) > 5 THEN 0 ELSE {_UP} END"),
+                                              "down": (f"CASE WHEN greatest({_UP0}, {_DOWN0}) > 5 THEN 0 ELSE {_DOWN0} END", f"CASE WHEN greatest({_UP}, {_DOWN}) > 5 THEN 0 ELSE {_DOWN} END"),
+                                              "alarm": (f"greatest({_UP0}, {_DOWN0}) > 5", f"greatest({_UP}, {_DOWN}) > 5")}, "symbol s, seq i, alarm b"))
 def _(t):
     return _scan(t, TW.cusum_step("price", 50.0, 50.0), {"alarm": T.BooleanType()})
 
