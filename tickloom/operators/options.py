@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import c as col
 from ..functions.scalar import div, minus_business_days, third_friday
-from ..functions.special import normal_cdf, normal_pdf
+from ..functions.special import cdf_values, normal_cdf, normal_pdf
 from ..joins import asof_join
 from ..series import RN, Series, SeriesSpec
 
@@ -78,8 +78,9 @@ def parity_gap(call, put, S, K, tau, r, q) -> Column:
     return col(call) - col(put) - (S * F.exp(-q * tau) - K * F.exp(-r * tau))
 
 
-def implied_vol(df: DataFrame, price, S, K, tau, r, q, cp, out="iv", steps=8, bisections=12) -> DataFrame:
-    """Implied volatility of a whole chain; NULL where the price is not strictly inside the no-arbitrage bounds.
+def implied_vol(df: DataFrame, price, S, K, tau, r, q, cp, out="iv", bisections=12, lowest=1e-4, highest=5.0) -> DataFrame:
+    """Implied volatility of a whole chain; NULL where the price is not strictly inside the no-arbitrage bounds or belongs to
+    no volatility between `lowest` and `highest`.
 
     One Arrow batch holds thousands of quotes; bisection brackets all of them at once, Newton polishes, and a quote that
     Newton would throw out of its bracket takes the bisection point instead.
@@ -95,15 +96,14 @@ def implied_vol(df: DataFrame, price, S, K, tau, r, q, cp, out="iv", steps=8, bi
         if m.any():
             x = [s.to_numpy(float)[m] for s in (price, S, K, tau, r, q, cp)]
             pr, s0, k, t, rr, qq, w = x
-            erfc = np.frompyfunc(math.erfc, 1, 1)
             dq, dr, sq = np.exp(-qq * t), np.exp(-rr * t), np.sqrt(t)
 
             def value(v):
                 d1 = (np.log(s0 / k) + (rr - qq + v * v / 2) * t) / (v * sq)
                 d2 = d1 - v * sq
-                cdf = lambda z: 0.5 * erfc(-z / math.sqrt(2)).astype(float)
-                return w * (s0 * dq * cdf(w * d1) - k * dr * cdf(w * d2)), s0 * dq * np.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi) * sq
-            a, b = np.full(pr.size, 1e-4), np.full(pr.size, 5.0)
+                return w * (s0 * dq * cdf_values(w * d1) - k * dr * cdf_values(w * d2)), s0 * dq * np.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi) * sq
+            a, b = np.full(pr.size, lowest), np.full(pr.size, highest)
+            none = (value(a)[0] > pr) | (value(b)[0] < pr)
             for _ in range(bisections):
                 mid = (a + b) / 2
                 high = value(mid)[0] > pr
@@ -121,27 +121,23 @@ def implied_vol(df: DataFrame, price, S, K, tau, r, q, cp, out="iv", steps=8, bi
                 v = nxt
                 if done.all():
                     break
-            out[m] = v
+            out[m] = np.where(none, np.nan, v)
         return pd.Series(out).where(~np.isnan(out))
-    del steps
     ok = (p > lo) & (p < hi) & (col(tau) > 0)
     return df.withColumn(out, solve(*[col(v).cast("double") for v in (price, S, K, tau, r, q, cp)], F.coalesce(ok, F.lit(False))))
 
 
 def bump_greeks(df: DataFrame, by: list[str], pricer, S, K, tau, r, q, sigma, cp, hs=1e-3, hv=1e-4, ht=1e-5, hr=1e-5) -> DataFrame:
-    """Central differences of any pricer: the chain is crossed with a table of bumps, priced once and pivoted."""
-    bumps = [("0", 0, 0, 0, 0), ("s+", 1, 0, 0, 0), ("s-", -1, 0, 0, 0), ("v+", 0, 1, 0, 0), ("v-", 0, -1, 0, 0), ("t+", 0, 0, 1, 0), ("t-", 0, 0, -1, 0), ("r+", 0, 0, 0, 1),
-             ("r-", 0, 0, 0, -1), ("s+v+", 1, 1, 0, 0), ("s+v-", 1, -1, 0, 0), ("s-v+", -1, 1, 0, 0), ("s-v-", -1, -1, 0, 0)]
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(a)).alias("s"), F.lit(float(b)).alias("v"), F.lit(float(t)).alias("t"), F.lit(float(x)).alias("r")) for n, a, b, t, x in bumps]))
-    d = df.withColumn("_b", rows)
-    dS = hs * col(S)
-    v = pricer(col(S) + F.col("_b.s") * dS, col(K), col(tau) + F.col("_b.t") * ht, col(r) + F.col("_b.r") * hr, col(q), col(sigma) + F.col("_b.v") * hv, col(cp))
-    g = d.withColumn("_v", v).withColumn("_n", F.col("_b.n")).withColumn("_dS", dS).groupBy(*by, "_dS").pivot("_n", [b[0] for b in bumps]).agg(F.first("_v"))
-    V = lambda n: F.col(f"`{n}`")
-    h = F.col("_dS")
-    return g.select(*by, ((V("s+") - V("s-")) / (2 * h)).alias("delta"), ((V("s+") - 2 * V("0") + V("s-")) / (h * h)).alias("gamma"), ((V("v+") - V("v-")) / (2 * hv)).alias("vega"),
-                    (-(V("t+") - V("t-")) / (2 * ht)).alias("theta"), ((V("r+") - V("r-")) / (2 * hr)).alias("rho"),
-                    ((V("s+v+") - V("s+v-") - V("s-v+") + V("s-v-")) / (4 * h * hv)).alias("vanna"), ((V("v+") - 2 * V("0") + V("v-")) / (hv * hv)).alias("volga"))
+    """Central differences of any pricer; all bumped prices are columns of the same row."""
+    step = hs * col(S)
+
+    def at(s=0, v=0, t=0, x=0):
+        return pricer(col(S) + s * step, col(K), col(tau) + t * ht, col(r) + x * hr, col(q), col(sigma) + v * hv, col(cp))
+    slope = lambda up, down, h: (up - down) / (2 * h)
+    curve = lambda up, mid, down, h: (up - 2 * mid + down) / (h * h)
+    out = {"delta": slope(at(s=1), at(s=-1), step), "gamma": curve(at(s=1), at(), at(s=-1), step), "vega": slope(at(v=1), at(v=-1), hv), "theta": -slope(at(t=1), at(t=-1), ht),
+           "rho": slope(at(x=1), at(x=-1), hr), "vanna": slope(slope(at(s=1, v=1), at(s=1, v=-1), hv), slope(at(s=-1, v=1), at(s=-1, v=-1), hv), step), "volga": curve(at(v=1), at(), at(v=-1), hv)}
+    return df.select(*by, *[c.alias(n) for n, c in out.items()])
 
 
 # ---------------------------------------------------------------- chain selection
