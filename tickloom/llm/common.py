@@ -1,12 +1,14 @@
 """Helpers the text operators share: inputs, written intermediate tables and connected components."""
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 BATCH_ROWS = "256"          # rows of one Arrow batch; long texts make wide batches
 
 
@@ -23,15 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path below the checkpoint folder of the session; one of its own only in local mode without that setting."""
-    at = spark.sparkContext._jsc.sc().getCheckpointDir()
-    named = spark.conf.get("spark.checkpoint.dir", None) or (at.get() if at.isDefined() else None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(named)
-    return f"{named.rstrip('/')}/table-{uuid.uuid4().hex}"
+    """A new path below the shared folder of the session."""
+    return f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -41,6 +36,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark deletes them once the driver has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of `edges` (a, b: long); component is the smallest node reachable.
 

@@ -2,15 +2,16 @@
 
 A perfect difference set D modulo `PERIOD` gives the sampled positions p with p mod PERIOD in D: whatever the offset of two
 equal strings of `LENGTH` bytes, some position of the one and the matching position of the other are both sampled within
-their first PERIOD bytes. So equal strings always show as equal sampled suffixes of `LENGTH - PERIOD + 1` bytes, and only 18
-of 307 suffixes need names.
+their first PERIOD bytes. So equal strings always show as equal sampled suffixes of `LENGTH - PERIOD + 1` bytes, and only 12
+of 133 suffixes need names.
 
 Names are made as in suffix sorting by triples: the name of 3 bytes is their value, the name of 9, 27, 81 and 243 bytes is a
 64-bit name of a triple of names, and a prefix of another length is named by two overlapping ones. Since only equality of
 prefixes of one fixed length matters, names need no ranks, and one distributed sort of the names replaces the rounds of the
 recursion: sorted names are compared with their neighbours, and names found in two places survive (`_repeated`). The
-remaining suffixes, those at any position within PERIOD before a surviving sample, are then named with all LENGTH bytes (96
-bits) and sorted and compared the same way. Each position whose name repeats covers LENGTH bytes.
+remaining suffixes, those at any position within PERIOD before a surviving sample, are then named with all LENGTH bytes and
+sorted and compared the same way; a second, independent name chooses their bucket, so that the bits a name effectively has
+grow with the number of buckets. Each position whose name repeats covers LENGTH bytes.
 
 Equal texts are one text throughout: they are found by their digest, and removed whole if they are long enough. A task sends
 each name at most once, so a passage that a third of all texts hold reaches a bucket once for every task, not for every text.
@@ -27,10 +28,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 from .hashing import BASE, U, mix
 
-LENGTH, PERIOD, ORDER = 400, 307, 17          # PERIOD = ORDER^2 + ORDER + 1
+LENGTH, PERIOD, ORDER = 400, 133, 11          # PERIOD = ORDER^2 + ORDER + 1
 WINDOW = LENGTH - PERIOD + 1                  # bytes that sampled suffixes must share
 FLUSH = 2_000_000                             # names a task holds before it sends them
 BUCKET_BYTES = 16 << 20                       # names of one bucket
@@ -79,6 +80,10 @@ def names81(n27: np.ndarray, at: np.ndarray, seed: int = 0) -> np.ndarray:
     return join3(n27[at], n27[at + 27], n27[at + 54], seed)
 
 
+def names243(n27: np.ndarray, at: np.ndarray, seed: int = 0) -> np.ndarray:
+    return join3(names81(n27, at, seed), names81(n27, at + 81, seed), names81(n27, at + 162, seed), seed)
+
+
 def samples(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(sampled positions, names of their WINDOW bytes), slice by slice."""
     places, names = [], []
@@ -90,13 +95,13 @@ def samples(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         n = names27(data[lo: hi + WINDOW])
         k = at - lo
         places.append(at)
-        names.append(mix(names81(n, k) * U(BASE) + names81(n, k + WINDOW - 81)))
+        names.append(mix(names243(n, k) * U(BASE) + names243(n, k + WINDOW - 243)))
     return (np.concatenate(places), np.concatenate(names)) if places else (np.empty(0, np.int64), np.empty(0, U))
 
 
 def long_names(data: bytes, runs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, 64-bit names, 32-bit checks) of the LENGTH bytes at every position of the runs [lo, hi)."""
-    places, names, checks = [np.empty(0, np.int64)], [np.empty(0, U)], [np.empty(0, np.uint32)]
+    """(positions, names, second names) of the LENGTH bytes at every position of the runs [lo, hi)."""
+    places, names, others = [np.empty(0, np.int64)], [np.empty(0, U)], [np.empty(0, U)]
     for start, stop in runs:
         for lo in range(start, stop, FILLED):
             hi = min(stop, lo + FILLED)
@@ -108,8 +113,8 @@ def long_names(data: bytes, runs: list[tuple[int, int]]) -> tuple[np.ndarray, np
                 both.append(mix(n[: hi - lo] * U(BASE) + n[LENGTH - 243: LENGTH - 243 + hi - lo]))
             places.append(np.arange(lo, hi))
             names.append(both[0])
-            checks.append((both[1] >> U(32)).astype(np.uint32))
-    return np.concatenate(places), np.concatenate(names), np.concatenate(checks)
+            others.append(both[1])
+    return np.concatenate(places), np.concatenate(names), np.concatenate(others)
 
 
 class Sender:
@@ -117,39 +122,36 @@ class Sender:
 
     def __init__(self, buckets: int):
         self.buckets, self.size = buckets, 0
-        self.keys, self.names, self.checks = [], [], []
+        self.keys, self.names, self.homes = [], [], []
 
-    def add(self, key: int, names: np.ndarray, checks: np.ndarray) -> None:
+    def add(self, key: int, names: np.ndarray, homes: np.ndarray) -> None:
         self.keys.append(np.full(len(names), key, np.int64))
         self.names.append(names)
-        self.checks.append(checks)
+        self.homes.append((homes % U(self.buckets)).astype(np.uint32))
         self.size += len(names)
 
     def flush(self) -> pd.DataFrame:
-        """Rows (bucket, keys, names, checks); buckets from `buckets` on hold names that are known to repeat, by text."""
-        keys, names, checks = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((self.keys, np.int64), (self.names, U), (self.checks, np.uint32)))
-        self.keys, self.names, self.checks, self.size = [], [], [], 0
-        order = np.lexsort((checks, names)) if checks.any() else np.argsort(names)
-        keys, names, checks = keys[order], names[order], checks[order]
+        """Rows (bucket, texts, runs, names): each name once, under text 0 if it already repeats here; and under buckets from
+        `buckets` on, by text, the names that are known to repeat."""
+        keys, names, homes = (np.concatenate(x) for x in (self.keys, self.names, self.homes))
+        self.keys, self.names, self.homes, self.size = [], [], [], 0
+        order = np.lexsort((names, homes))
+        keys, names, homes = keys[order], names[order], homes[order].astype(np.int64)
         same = np.zeros(len(names) + 1, bool)
-        same[1:-1] = (names[1:] == names[:-1]) & (checks[1:] == checks[:-1])
-        many = same[1:] | same[:-1]
-        first = ~same[:-1]
+        same[1:-1] = (names[1:] == names[:-1]) & (homes[1:] == homes[:-1])
+        many, first = same[1:] | same[:-1], ~same[:-1]
         out = []
-        for known in (False, True):
-            # to the buckets of names: each name once, without a key if it already repeats here; to those of texts: who holds it
-            pick = many if known else first
-            k, n, c = keys[pick], names[pick], checks[pick]
-            if not known:
-                k = np.where(many[pick], 0, k)
-            b = (mix(k.view(U)) if known else n) % U(self.buckets)
+        for pick, known in ((first, False), (many, True)):
+            k, n, b = (keys if known else np.where(many, 0, keys))[pick], names[pick], homes[pick]
+            if known:
+                b = (mix(k.view(U)) % U(self.buckets)).astype(np.int64) + self.buckets
             order = np.lexsort((k, b))
-            b, k, n, c = b[order], k[order], n[order], c[order]
-            edge = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else []
+            k, n, b = k[order], n[order], b[order]
+            edge = np.flatnonzero(np.diff(b, prepend=-1)) if len(b) else np.empty(0, int)
             for lo, hi in zip(edge, [*edge[1:], len(b)]):
                 u, r = _runs(k[lo:hi])
-                out.append((int(b[lo]) + self.buckets * known, u.tobytes(), r.tobytes(), n[lo:hi].tobytes(), c[lo:hi].tobytes() if c.any() else b""))
-        return pd.DataFrame(out, columns=["bucket", "texts", "runs", "names", "checks"])
+                out.append((int(b[lo]), u.tobytes(), r.tobytes(), n[lo:hi].tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "texts", "runs", "names"])
 
 
 def _runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,34 +159,53 @@ def _runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k[at], np.diff(np.append(at, len(k))).astype(np.uint32)
 
 
-SENT = "bucket long, texts binary, runs binary, names binary, checks binary"
+SENT = "bucket long, texts binary, runs binary, names binary"
+ANSWER = "text_key long, bucket long, rest boolean, names binary"
+
+
+def short(names: np.ndarray) -> np.ndarray:
+    """The low 48 bits, enough to tell the names of one text in one bucket apart."""
+    return names & U((1 << 48) - 1)
+
+
+def packed(names: np.ndarray) -> bytes:
+    return np.ascontiguousarray(names.view("<u2").reshape(-1, 4)[:, :3]).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 4), "<u2")
+    out[:, :3] = np.frombuffer(raw, "<u2").reshape(-1, 3)
+    return out.view(U).ravel()
 
 
 def _repeated(buckets: int):
-    """Sort a bucket's names, compare neighbours, and answer each text with its names that repeat: rows (text, names)."""
+    """Sort a bucket's names, compare neighbours, and answer each text: the names that repeat, or, where those are fewer, the
+    names that do not (`rest`)."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf["bucket"].iloc[0] >= buckets
+        bucket = int(pdf["bucket"].iloc[0])
         keys = np.concatenate([np.repeat(np.frombuffer(t, np.int64), np.frombuffer(r, np.uint32)) for t, r in zip(pdf["texts"], pdf["runs"])])
         names = np.concatenate([np.frombuffer(x, U) for x in pdf["names"]])
-        checks = np.concatenate([np.frombuffer(x, np.uint32) if x else np.zeros(len(y) // 8, np.uint32) for x, y in zip(pdf["checks"], pdf["names"])])
-        if known:
+        order = np.lexsort((keys, names))
+        keys, names = keys[order], names[order]
+        if bucket >= buckets:
             hit = np.ones(len(names), bool)
         else:
-            order = np.lexsort((keys, checks, names))
-            keys, names, checks = keys[order], names[order], checks[order]
-            new = np.concatenate(([True], (names[1:] != names[:-1]) | (checks[1:] != checks[:-1])))
-            group = np.cumsum(new) - 1
-            start = np.flatnonzero(new)
+            new = np.concatenate(([True], names[1:] != names[:-1]))
+            start, group = np.flatnonzero(new), np.cumsum(new) - 1
             last = np.append(start[1:], len(keys)) - 1
-            # held by two texts, or by one task that met it twice (key 0 sorts among the keys, so look at each row)
-            many = keys[start] != keys[last]
-            many |= np.maximum.reduceat(keys == 0, start)
-            hit = many[group] & (keys != 0)
-        order = np.argsort(keys[hit], kind="stable")
-        k, n = keys[hit][order], names[hit][order]
-        u, r = _runs(k) if len(k) else (k, np.empty(0, np.uint32))
-        cut = np.split(n, np.cumsum(r)[:-1]) if len(k) else []
-        return pd.DataFrame({"text_key": u, "names": [x.tobytes() for x in cut]})
+            # held by two texts, or met twice by one task (text 0)
+            hit = ((keys[start] != keys[last]) | np.logical_or.reduceat(keys == 0, start))[group]
+        hit, names, keys = hit[keys != 0], names[keys != 0], keys[keys != 0]
+        order = np.argsort(keys, kind="stable")
+        hit, names, keys = hit[order], names[order], keys[order]
+        out, at = [], 0
+        for k, n in zip(*(x.tolist() for x in _runs(keys))) if len(keys) else ():
+            h, x = hit[at: at + n], names[at: at + n]
+            at += n
+            if h.any():
+                rest = bucket < buckets and 2 * int(h.sum()) > n
+                out.append((k, bucket, rest, packed(np.unique(x[~h] if rest else x[h]))))
+        return pd.DataFrame(out, columns=["text_key", "bucket", "rest", "names"])
     return run
 
 
@@ -194,13 +215,12 @@ def _gather(buckets: int, names_of):
         sender, seen = Sender(buckets), set()
         for b in batches:
             for row in b.itertuples(index=False):
-                key = row.text_key
-                if key in seen:
+                if row.text_key in seen:
                     continue
-                seen.add(key)
-                names, checks = names_of(row)
+                seen.add(row.text_key)
+                names, homes = names_of(row)
                 if len(names):
-                    sender.add(key, names, checks)
+                    sender.add(row.text_key, names, homes)
                 if sender.size >= FLUSH:
                     yield sender.flush()
                     seen = set()
@@ -210,30 +230,42 @@ def _gather(buckets: int, names_of):
 
 
 def _answers(sent: DataFrame, buckets: int) -> DataFrame:
-    got = sent.groupBy("bucket").applyInPandas(_repeated(buckets), "text_key long, names binary")
-    return got.groupBy("text_key").agg(F.collect_list("names").alias("names"))
+    """One row for each text with a repeated name, written out, with all its answers."""
+    got = sent.groupBy("bucket").applyInPandas(_repeated(buckets), ANSWER)
+    return written(got.groupBy("text_key").agg(F.collect_list(F.struct("bucket", "rest", "names")).alias("answers")))
+
+
+def _answered(names: np.ndarray, homes: np.ndarray, buckets: int, answers) -> np.ndarray:
+    """Which of a text's names repeat, by its answers."""
+    home, low, hit = (homes % U(buckets)).astype(np.int64), short(names), np.zeros(len(names), bool)
+    direct = []
+    for a in answers:
+        if a["bucket"] >= buckets or not a["rest"]:
+            direct.append(unpacked(a["names"]))
+        else:
+            at = np.flatnonzero(home == a["bucket"])
+            hit[at[~np.isin(low[at], unpacked(a["names"]))]] = True
+    if direct:
+        hit |= np.isin(low, np.concatenate(direct))
+    return hit
 
 
-def _candidates(data: bytes, names) -> list[tuple[int, int]]:
+def _candidates(data: bytes, buckets: int, answers) -> list[tuple[int, int]]:
     """Runs of positions that lie within PERIOD before a sampled suffix whose name repeats."""
     at, n = samples(data)
-    hit = at[np.isin(n, np.frombuffer(b"".join(names), U))]
-    top = len(data) - LENGTH
-    out: list[list[int]] = []
-    for p in hit:
-        lo, hi = max(0, int(p) - PERIOD + 1), min(int(p), top) + 1
-        if lo < hi:
-            if out and lo <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], hi)
-            else:
-                out.append([lo, hi])
-    return [(a, b) for a, b in out]
-
-
-def _cut(data: bytes, runs, names) -> tuple[int, int, bytes]:
+    hit = at[_answered(n, n, buckets, answers)]
+    lo, hi = np.maximum(0, hit - PERIOD + 1), np.minimum(hit, len(data) - LENGTH) + 1
+    lo, hi = lo[lo < hi], hi[lo < hi]
+    if not len(lo):
+        return []
+    new = np.flatnonzero(lo[1:] > np.maximum.accumulate(hi)[:-1]) + 1
+    return list(zip(lo[np.append(0, new)].tolist(), np.append(np.maximum.accumulate(hi)[new - 1], hi.max()).tolist()))
+
+
+def _cut(data: bytes, runs, buckets: int, answers) -> tuple[int, int, bytes]:
     """(bytes removed, removed runs, bytes left) when every position of `runs` whose name repeats covers LENGTH bytes."""
-    at, n, _ = long_names(data, runs)
-    hit = at[np.isin(n, np.frombuffer(b"".join(names), U))]
+    at, n, homes = long_names(data, runs)
+    hit = at[_answered(n, homes, buckets, answers)]
     if not len(hit):
         return 0, 0, data
     new = np.flatnonzero(np.diff(hit) > LENGTH) + 1
@@ -246,33 +278,37 @@ def query(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("text_key", F.when(F.xxhash64("text") == 0, 1).otherwise(F.xxhash64("text"))).withColumn("n_bytes", F.octet_length("text").cast("long"))
     total = d.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(16, -(-total * 18 * 8 // (PERIOD * BUCKET_BYTES)))
+    buckets = max(16, -(-total * (ORDER + 1) * 8 // (PERIOD * BUCKET_BYTES)))
     long_texts = d.where(F.col("n_bytes") >= LENGTH).select("text_key", "text")
+    spark = docs.sparkSession
 
     def sampled(row):
         n = samples(row.text.encode("utf-8", "surrogatepass"))[1]
-        return n, np.zeros(len(n), np.uint32)
+        return n, n
 
     found = _answers(long_texts.mapInPandas(_gather(buckets, sampled), SENT), buckets)
+    released(spark)
     held = written(long_texts.join(found, "text_key"))
+    released(spark)
+    more = max(16, -(-(held.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 8 // BUCKET_BYTES))
 
     def starts(row):
         data = row.text.encode("utf-8", "surrogatepass")
-        _, n, c = long_names(data, _candidates(data, row.names))
-        return n, c
+        return long_names(data, _candidates(data, buckets, row.answers))[1:]
 
-    again = _answers(held.mapInPandas(_gather(buckets, starts), SENT), buckets).withColumnRenamed("names", "repeats")
+    again = _answers(held.mapInPandas(_gather(more, starts), SENT), more)
+    released(spark)
 
     def cut(batches):
         for b in batches:
             out = []
-            for t, names, repeats in zip(b["text"], b["names"], b["repeats"]):
+            for t, first, second in zip(b["text"], b["answers"], b["repeats"]):
                 data = t.encode("utf-8", "surrogatepass")
-                removed, spans, left = _cut(data, _candidates(data, names), repeats)
+                removed, spans, left = _cut(data, _candidates(data, buckets, first), more, second)
                 out.append((hashlib.sha256(data).hexdigest(), removed, spans, hashlib.sha256(left).hexdigest()))
             yield pd.DataFrame(out, columns=["sha", "n_removed", "n_spans", "kept"])
 
-    parts = held.join(again, "text_key").mapInPandas(cut, "sha string, n_removed long, n_spans long, kept string").dropDuplicates(["sha"])
+    parts = held.join(again.withColumnRenamed("answers", "repeats"), "text_key").mapInPandas(cut, "sha string, n_removed long, n_spans long, kept string").dropDuplicates(["sha"])
     rows = written(d.select("doc_id", "n_bytes", F.sha2("text", 256).alias("sha")))
     copies = rows.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     rows = rows.join(parts, "sha", "left").join(copies, "sha", "left")
