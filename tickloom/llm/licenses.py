@@ -94,11 +94,11 @@ def oracle() -> str:
         steps.append(f"l{i + 1} AS (SELECT *, replace(x{i}, '{want}', '|') AS x{i + 1} FROM l{i})")
         names.append(f"CASE WHEN contains(x{i}, '{want}') THEN '{licence}' END")
     names.append(f"CASE WHEN contains(x{len(RULES)}, ';unknown;') THEN 'unknown' END")
-    kept = f"list_filter([{', '.join(names)}], x -> x IS NOT NULL)"
-    once = f"list_filter({kept}, (x, i) -> list_position({kept}, x) = i)"
+    kept = f"list_filter([{', '.join(names)}], lambda x: x IS NOT NULL)"
+    once = f"list_filter({kept}, lambda x, i: list_position({kept}, x) = i)"
     return f"""WITH cut AS (SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '{HINT}') THEN
  list_transform(list_filter(list_transform(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.\\n]+', ' ', 'g'), '{CUT}'),
- x -> trim(x)), x -> regexp_matches(x, '{HINT}')), s -> CASE {case} ELSE 'unknown' END) ELSE [] END AS ids FROM documents),
+ lambda x: trim(x)), lambda x: regexp_matches(x, '{HINT}')), lambda s: CASE {case} ELSE 'unknown' END) ELSE [] END AS ids FROM documents),
  l0 AS (SELECT *, {left} AS x0 FROM cut), {', '.join(steps)}
  SELECT doc_id::BIGINT AS doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
  CASE WHEN len({kept}) = 0 THEN 'none' ELSE array_to_string({once}, ',') END AS licence FROM l{len(RULES)}"""
