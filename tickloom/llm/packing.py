@@ -12,7 +12,6 @@ Defined results: null text counts as empty, an empty document is the single clos
 """
 from __future__ import annotations
 
-import functools
 import os
 import zlib
 from struct import pack
@@ -79,9 +78,14 @@ class Words(dict):
         return (stem.lower(), mark) if mark else (stem.lower(),)
 
 
-@functools.cache
 def words(path: str) -> Words:
-    return Words(path)
+    """The words of a worker.  Functions of this library travel by value and are new in every task, so what outlives a task
+    hangs on a module that is imported there."""
+    import tokenizers
+    kept = vars(tokenizers).setdefault("_kept_words", {})
+    if path not in kept:
+        kept[path] = Words(path)
+    return kept[path]
 
 
 def _slices(text: str):
