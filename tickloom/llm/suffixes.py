@@ -160,7 +160,8 @@ def _runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 SENT = "bucket long, texts binary, runs binary, names binary"
-ANSWER = "text_key long, bucket long, rest boolean, names binary"
+PART = "slice long, bucket long, texts binary, runs binary, rest binary, names binary"
+ANSWER = "text_key long, direct binary, rest_buckets binary, rest_names binary"
 
 
 def short(names: np.ndarray) -> np.ndarray:
@@ -180,7 +181,7 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 def _repeated(buckets: int):
     """Sort a bucket's names, compare neighbours, and answer each text: the names that repeat, or, where those are fewer, the
-    names that do not (`rest`)."""
+    names that do not (`rest`).  Answers leave in slices of the texts, so that a bucket makes few rows."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
         keys = np.concatenate([np.repeat(np.frombuffer(t, np.int64), np.frombuffer(r, np.uint32)) for t, r in zip(pdf["texts"], pdf["runs"])])
@@ -196,19 +197,47 @@ def _repeated(buckets: int):
             # held by two texts, or met twice by one task (text 0)
             hit = ((keys[start] != keys[last]) | np.logical_or.reduceat(keys == 0, start))[group]
         hit, names, keys = hit[keys != 0], names[keys != 0], keys[keys != 0]
-        order = np.argsort(keys, kind="stable")
-        hit, names, keys = hit[order], names[order], keys[order]
-        out, at = [], 0
-        for k, n in zip(*(x.tolist() for x in _runs(keys))) if len(keys) else ():
-            h, x = hit[at: at + n], names[at: at + n]
-            at += n
-            if h.any():
-                rest = bucket < buckets and 2 * int(h.sum()) > n
-                out.append((k, bucket, rest, packed(np.unique(x[~h] if rest else x[h]))))
-        return pd.DataFrame(out, columns=["text_key", "bucket", "rest", "names"])
+        home = (mix(keys.view(U)) % U(buckets)).astype(np.int64)
+        order = np.lexsort((keys, home))
+        hit, names, keys, home = hit[order], names[order], keys[order], home[order]
+        if not hit.any():
+            return pd.DataFrame([], columns=[c.split()[0] for c in PART.split(", ")])
+        at = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+        size = np.diff(np.append(at, len(keys)))
+        found = np.add.reduceat(hit.astype(np.int64), at)
+        rest = (2 * found > size) & (bucket < buckets)
+        send = (hit != np.repeat(rest, size)) & np.repeat(found > 0, size)
+        sent, some = np.add.reduceat(send.astype(np.int64), at), found > 0
+        text, runs, flags, where = keys[at][some], sent[some].astype(np.uint32), rest[some], home[at][some]
+        low = names[send]
+        edge = np.flatnonzero(np.diff(where, prepend=-1))
+        ends, stops = np.append(edge[1:], len(where)), np.concatenate(([0], np.cumsum(runs, dtype=np.int64)))
+        return pd.DataFrame([(int(where[i]), bucket, text[i:j].tobytes(), runs[i:j].tobytes(), flags[i:j].tobytes(), packed(low[stops[i]: stops[j]])) for i, j in zip(edge, ends)],
+                            columns=[c.split()[0] for c in PART.split(", ")])
     return run
 
 
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All answers of each text of a slice as one row."""
+    text = [np.frombuffer(x, np.int64) for x in pdf["texts"]]
+    runs = [np.frombuffer(x, np.uint32) for x in pdf["runs"]]
+    flags = np.concatenate([np.frombuffer(x, bool) for x in pdf["rest"]])
+    bucket = np.repeat(pdf["bucket"].to_numpy(), [len(t) for t in text])
+    text, runs = np.concatenate(text), np.concatenate(runs)
+    names = np.concatenate([unpacked(x) for x in pdf["names"]])
+    owner, by_rest = np.repeat(text, runs), np.repeat(flags, runs)
+
+    def split(keys, values):
+        order = np.argsort(keys, kind="stable")
+        u, n = _runs(keys[order]) if len(keys) else (keys, [])
+        return dict(zip(u.tolist(), np.split(values[order], np.cumsum(n)[:-1]) if len(n) else []))
+
+    direct, left, homes = split(owner[~by_rest], names[~by_rest]), split(owner[by_rest], names[by_rest]), split(text[flags], bucket[flags])
+    none = np.empty(0, U)
+    return pd.DataFrame([(k, packed(direct.get(k, none)), homes.get(k, none).astype(np.int64).tobytes(), packed(left.get(k, none))) for k in np.unique(text).tolist()],
+                        columns=["text_key", "direct", "rest_buckets", "rest_names"])
+
+
 def _gather(buckets: int, names_of):
     """Send the names of each different text of a task."""
     def run(batches):
@@ -231,22 +260,22 @@ def _gather(buckets: int, names_of):
 
 def _answers(sent: DataFrame, buckets: int) -> DataFrame:
     """One row for each text with a repeated name, written out, with all its answers."""
-    got = sent.groupBy("bucket").applyInPandas(_repeated(buckets), ANSWER)
-    return written(got.groupBy("text_key").agg(F.collect_list(F.struct("bucket", "rest", "names")).alias("answers")))
+    parts = sent.groupBy("bucket").applyInPandas(_repeated(buckets), PART)
+    whole = parts.groupBy("slice").applyInPandas(_merged, ANSWER)
+    return written(whole.select("text_key", F.struct("direct", "rest_buckets", "rest_names").alias("answers")))
 
 
 def _answered(names: np.ndarray, homes: np.ndarray, buckets: int, answers) -> np.ndarray:
     """Which of a text's names repeat, by its answers."""
-    home, low, hit = (homes % U(buckets)).astype(np.int64), short(names), np.zeros(len(names), bool)
-    direct = []
-    for a in answers:
-        if a["bucket"] >= buckets or not a["rest"]:
-            direct.append(unpacked(a["names"]))
-        else:
-            at = np.flatnonzero(home == a["bucket"])
-            hit[at[~np.isin(low[at], unpacked(a["names"]))]] = True
-    if direct:
-        hit |= np.isin(low, np.concatenate(direct))
+    low, hit = short(names), np.zeros(len(names), bool)
+    if answers["direct"]:
+        hit = np.isin(low, unpacked(answers["direct"]))
+    if answers["rest_buckets"]:
+        told = np.zeros(buckets, bool)
+        told[np.frombuffer(answers["rest_buckets"], np.int64)] = True
+        told = told[(homes % U(buckets)).astype(np.int64)]
+        told[told] = ~np.isin(low[told], unpacked(answers["rest_names"]))
+        hit |= told
     return hit
 
 
