@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 SAMPLE = 40_000               # most labelled rows that are fitted on
 LEXICON = 20_000              # most tokens in the lexicon, the clearest first
 LEAST = 5                     # toxic documents a token must occur in
+LEAN = 1.3                    # times more frequent in toxic documents than in clean ones
 CLEAR = 4.0                   # standard errors that a lexicon token's log-odds lie above zero
 PRIOR = 200.0                 # weight of the prior, in documents
 REACH = 40                    # words without a lexicon token that undo a typical lexicon word
@@ -53,18 +54,35 @@ class Model:
     offset: float = -30.0
 
 
-class Scores(dict):
-    """Word scores, looked up in the lexicon once for each word."""
+class Affixes(dict):
+    """Values of words, made once for each word from a table of tokens (whole words, starts `abc*` and ends `*abc`)."""
 
-    def __init__(self, lexicon: dict[str, float], gap: float):
+    def __init__(self, table: dict, combine, none):
         super().__init__()
-        self.lexicon, self.gap = lexicon, gap
-
-    def __missing__(self, word: str) -> float:
-        s = max((self.lexicon.get(t, self.gap) for t in tokens(word)), default=self.gap)
+        self.combine, self.none = combine, none
+        self.whole = {t: v for t, v in table.items() if "*" not in t}
+        starts = {t[:-1]: v for t, v in table.items() if t.endswith("*")}
+        ends = {t[1:]: v for t, v in table.items() if t.startswith("*")}
+        self.starts = [(k, {t: v for t, v in starts.items() if len(t) == k}) for k in sorted({len(t) for t in starts})]
+        self.ends = [(k, {t: v for t, v in ends.items() if len(t) == k}) for k in sorted({len(t) for t in ends})]
+
+    def __missing__(self, word: str):
+        found = [self.whole[word]] if word in self.whole else []
+        n = len(word)
+        for k, d in self.starts:
+            if k < n and word[:k] in d:
+                found.append(d[word[:k]])
+        for k, d in self.ends:
+            if k < n and word[n - k:] in d:
+                found.append(d[word[n - k:]])
+        out = self.combine(found) if found else self.none
         if len(self) < KEPT_WORDS:
-            self[word] = s
-        return s
+            self[word] = out
+        return out
+
+
+def scores(m: Model) -> Affixes:
+    return Affixes(m.lexicon, max, m.gap)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -100,19 +118,18 @@ def surprise(found: list[tuple[int, int, float]], n: int, m: Model) -> float:
     return total
 
 
-def _counts(rows: DataFrame, wanted: dict | None = None) -> DataFrame:
-    """(token, n): documents that hold each token; without a list of tokens, those that a batch meets twice or more."""
+def _counts(rows: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """(token, n): documents that hold each token, of all tokens or of those wanted; the token '' counts documents."""
     def run(batches):
         total: Counter = Counter()
+        known = None if wanted is None else Affixes({t: t for t in wanted}, tuple, ())
         for b in batches:
-            n = 0
             for t in b["text"]:
                 seen = set()
                 for w in set(word_list(t)):
-                    seen.update(tokens(w) if wanted is None else [x for x in tokens(w) if x in wanted])
+                    seen.update(tokens(w) if known is None else known[w])
                 total.update(seen)
-                n += 1
-            total[""] += n
+            total[""] += len(b)
             if len(total) > 2_000_000:
                 yield pd.DataFrame(total.items(), columns=["token", "n"])
                 total = Counter()
@@ -138,10 +155,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n_bad = bad.pop("", 0)
     if not bad:
         return Model()
-    wanted = {**bad, "": 0}
-    good = {r["token"]: r["n"] for r in _counts(rows.where("toxic = 0"), wanted).collect()}       # tokens of `bad` only
-    every = {r["token"]: r["n"] for r in _counts(docs, wanted).collect()}
-    n_good, n_all = good.pop("", 0), every.pop("", 0)
+    good = {r["token"]: r["n"] for r in _counts(rows.where("toxic = 0"), list(bad)).collect()}       # tokens of `bad` only
+    n_good = good.pop("", 0)
+    # corpus frequencies are needed for tokens that lean towards toxic texts at all
+    bad = {t: y for t, y in bad.items() if (y + 1) * (n_good + 2) > LEAN * (good.get(t, 0) + 1) * (n_bad + 2)}
+    every = {r["token"]: r["n"] for r in _counts(docs, list(bad)).collect()} if bad else {}
+    n_all = every.pop("", 0)
     found = []
     for t, y in bad.items():
         a = PRIOR * (every.get(t, 0) + 0.5) / (n_all + 1.0)
@@ -180,23 +199,30 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _best(m: Model):
     def run(batches):
-        scores = Scores(m.lexicon, m.gap)
+        table = scores(m)
         for b in batches:
             out = []
             for t, y in zip(b["text"], b["toxic"]):
-                s = list(map(scores.__getitem__, word_list(t)))
-                out.append((y, len(s), max((x for *_, x in segments(np.array(s))), default=0.0) if s else 0.0))
+                s = list(map(table.__getitem__, word_list(t)))
+                out.append((y, len(s), max(x for *_, x in segments(np.array(s))) if s and max(s) > 0 else 0.0))
             yield pd.DataFrame(out, columns=["toxic", "n", "best"])
     return run
 
 
+def shared_scores(m: Model) -> Affixes:
+    """The word scores of a model, kept between the batches of a worker."""
+    if not hasattr(m, "_scores"):
+        m._scores = scores(m)
+    return m._scores
+
+
 def evidence(m: Model, text: Column) -> Column:
     @F.pandas_udf("double")
     def udf(texts: pd.Series) -> pd.Series:
-        scores, out = Scores(m.lexicon, m.gap), []
+        table, out = shared_scores(m), []
         for t in texts:
-            s = list(map(scores.__getitem__, word_list(t)))
-            out.append(surprise(segments(np.array(s)), len(s), m) if s else 0.0)
+            s = list(map(table.__getitem__, word_list(t)))
+            out.append(surprise(segments(np.array(s)), len(s), m) if s and max(s) > 0 else 0.0)
         return pd.Series(out, dtype=float)
     return udf(text)
 
