@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -29,79 +30,103 @@ from .common import connected_components, written
 
 COSINE = 0.9
 CENTRES, CELL, BLOCK = 512, 4096, 2048        # most top-level centres, points wished for in a cell, points in a block
-SLACK = 1e-9                                  # kept between a bound and the threshold
+DIRECT = 1 << 21                              # pairs of points of two nodes that are compared at once
+SLACK = 1e-3                                  # kept between a bound and the threshold: more than bounds in single precision err
 
 
-class Node:
-    """A ball: index of its centre, covering radius, all its points and its children (none: points are compared singly)."""
-    __slots__ = ("centre", "radius", "points", "children")
-
-    def __init__(self, centre, radius, points, children):
-        self.centre, self.radius, self.points, self.children = centre, radius, points, children
+# A node is (centre, covering radius, points, children, centres of the children, radii of the children); a node without
+# children is compared point by point. Plain tuples, so that a tree travels with its block.
+CENTRE, RADIUS, POINTS, CHILDREN, CENTRE_S, RADII = range(6)
 
 
 def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (x @ y.T), 0.0))
 
 
-def grow(x: np.ndarray, points: np.ndarray, centre: int, reach: float) -> Node:
+def grow(x: np.ndarray, points: np.ndarray, centre: int, reach: float) -> tuple:
     """Cover tree of `points`: centres at the next level are more than `reach` apart and cover everything within `reach`."""
-    radius = float(distance(x[points], x[[centre]]).max())
+    radius = float(distance(x[points], x[[centre]]).max()) if len(points) > 1 else 0.0
     if len(points) <= 8 or radius < 1e-6:
-        return Node(centre, radius, points, [])
-    children, left = [], points
+        return centre, radius, points, [], None, None
     while radius <= reach:
         reach /= 2
-    while len(left):
-        c = int(left[0])
-        near = distance(x[left], x[[c]])[:, 0] <= reach
-        near[0] = True
-        children.append((c, left[near]))
-        left = left[~near]
-    return Node(centre, radius, points, [grow(x, p, c, reach / 2) for c, p in children])
-
-
-def dual(x: np.ndarray, a: Node, y: np.ndarray, b: Node, far: float, cosine: float, count, join) -> None:
-    """Walk two trees; count(ia, ib, mask or None) and join(ia, ib) get the points that link. For x against itself pass the
-    same tree: each unordered pair of nodes is then met once."""
+    near = distance(x[points], x[points]) <= reach
+    np.fill_diagonal(near, True)
+    left, children = np.ones(len(points), bool), []
+    for i in range(len(points)):
+        if left[i]:
+            own = near[i] & left
+            left &= ~own
+            children.append(grow(x, points[own], int(points[i]), reach / 2))
+    return centre, radius, points, children, np.array([c[CENTRE] for c in children]), np.array([c[RADIUS] for c in children])
+
+
+def dual(x: np.ndarray, a: tuple, y: np.ndarray, b: tuple, far: float, cosine: float, count, join) -> None:
+    """Walk two trees; count(ia, ib, mask or None, own) and join(ia, ib, mask or None) get the points that link.  For x
+    against itself pass the same tree: each unordered pair of nodes is then met once."""
+    xs, ys = x.astype(np.float32), y.astype(np.float32)          # bounds need no more, with their slack
     stack = [(a, b)]
     while stack:
         p, q = stack.pop()
-        if p is q and 2 * p.radius < far - SLACK:
-            count(p.points, p.points, None, True)
-            join(p.points, p.points, None)
+        own = p is q
+        if own and 2 * p[RADIUS] < far - SLACK:
+            count(p[POINTS], p[POINTS], None, True)
+            join(p[POINTS], p[POINTS], None)
             continue
-        left, right = p.children, q.children
-        if not left and not right:
-            hit = (x[p.points] @ y[q.points].T) >= cosine
-            if p is q:
+        # opening small nodes costs more than comparing their points; the two whole blocks are always opened
+        if not p[CHILDREN] and not q[CHILDREN] or p is not a and len(p[POINTS]) * len(q[POINTS]) <= DIRECT:
+            hit = (x[p[POINTS]] @ y[q[POINTS]].T) >= cosine
+            if own:
                 np.fill_diagonal(hit, False)
             if hit.any():
-                count(p.points, q.points, hit, p is q)
-                join(p.points, q.points, hit)
+                count(p[POINTS], q[POINTS], hit, own)
+                join(p[POINTS], q[POINTS], hit)
             continue
-        left, right = left or [p], right or [q]
-        ca, cb = np.array([n.centre for n in left]), np.array([n.centre for n in right])
-        ra, rb = np.array([n.radius for n in left]), np.array([n.radius for n in right])
-        d = distance(x[ca], y[cb])
-        bound = ra[:, None] + rb[None, :]
-        near = d <= far + bound + SLACK
-        inside = d + bound < far - SLACK
-        if p is q:
-            near &= np.arange(len(left))[:, None] <= np.arange(len(right))[None, :]
-        for i, j in zip(*np.nonzero(near)):
-            u, v = left[i], right[j]
-            if inside[i, j] and u is not v:
-                count(u.points, v.points, None, False)
-                join(u.points, v.points, None)
-            elif len(u.points) == 1 and len(v.points) == 1:
-                if u is not v and float(x[u.centre] @ y[v.centre]) >= cosine:
-                    count(u.points, v.points, None, False)
-                    join(u.points, v.points, None)
+        left, ca, ra = (p[CHILDREN], p[CENTRE_S], p[RADII]) if p[CHILDREN] else ([p], np.array([p[CENTRE]]), np.array([p[RADIUS]]))
+        right, cb, rb = (q[CHILDREN], q[CENTRE_S], q[RADII]) if q[CHILDREN] else ([q], np.array([q[CENTRE]]), np.array([q[RADIUS]]))
+        g = xs[ca] @ ys[cb].T
+        reach = far + ra.max() + rb.max() + SLACK
+        i, j = np.nonzero(g >= 1 - min(reach, 2.0) ** 2 / 2)      # the widest balls first, then each pair's own
+        d, bound = np.sqrt(np.maximum(2.0 - 2.0 * g[i, j].astype(float), 0.0)), ra[i] + rb[j]
+        near = (d <= far + bound + SLACK) & (i <= j if own else True)
+        i, j, d, bound = i[near], j[near], d[near], bound[near]
+        alone = np.array([len(n[POINTS]) for n in left])[i] + np.array([len(n[POINTS]) for n in right])[j] == 2
+        inside = (d + bound < far - SLACK) & ~alone
+        one = np.flatnonzero(alone & ~((i == j) if own else np.zeros(len(i), bool)))
+        one = one[np.einsum("ij,ij->i", x[ca[i[one]]], y[cb[j[one]]]) >= cosine]
+        if len(one):                     # single points of both sides as one matrix of links
+            r, c = np.unique(i[one]), np.unique(j[one])
+            hit = np.zeros((len(r), len(c)), bool)
+            hit[np.searchsorted(r, i[one]), np.searchsorted(c, j[one])] = True
+            count(ca[r], cb[c], hit, False)
+            join(ca[r], cb[c], hit)
+        for k in np.flatnonzero(~alone):
+            u, v = left[i[k]], right[j[k]]
+            if inside[k] and u is not v:
+                count(u[POINTS], v[POINTS], None, False)
+                join(u[POINTS], v[POINTS], None)
             else:
                 stack.append((u, v))
 
 
+def spanning(hit: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, column) that join what the links of a matrix join: the smallest row spreads through each component, and
+    every column and row keeps one link to where its label came from."""
+    n, none = len(hit), len(hit)
+    rows, out = np.arange(n), []
+    while True:
+        cols = np.where(hit, rows[:, None], none).min(axis=0)
+        at = np.where(hit, rows[:, None], none).argmin(axis=0)
+        linked = cols < none
+        out += list(zip(at[linked].tolist(), np.flatnonzero(linked).tolist()))
+        seen = np.where(hit, cols[None, :], none)
+        new = np.minimum(rows, seen.min(axis=1))
+        out += [(i, int(seen[i].argmin())) for i in np.flatnonzero(hit.any(axis=1))]
+        if (new == rows).all():
+            return out
+        rows = new
+
+
 def _unit(raw: bytes, dim: int) -> np.ndarray:
     x = np.frombuffer(raw, np.float32).reshape(-1, dim).astype(np.float64)
     return x / np.sqrt((x * x).sum(1))[:, None]
@@ -157,13 +182,13 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     spark = vectors.sparkSession
     blocks = (placed.join(size.select("dim", "cell", F.ceil(F.col("k") / BLOCK).alias("cuts")), ["dim", "cell"])
               .withColumn("cut", F.pmod(F.xxhash64("node"), "cuts")).select("dim", "cell", "cut", "node", "weight", "raw"))
-    packed = written(blocks.groupBy("dim", "cell", "cut").applyInPandas(_pack, "dim int, cell long, cut long, nodes binary, weights binary, raw binary"))
-    p, q = (packed.select("dim", F.col("cell").alias(k + "cell"), F.col("cut").alias(k + "cut"), F.struct("nodes", "weights", "raw").alias(k)) for k in "ab")
+    packed = written(blocks.groupBy("dim", "cell", "cut").applyInPandas(_pack, "dim int, cell long, cut long, nodes binary, weights binary, raw binary, tree binary"))
+    p, q = (packed.select("dim", F.col("cell").alias(k + "cell"), F.col("cut").alias(k + "cut"), F.struct("nodes", "weights", "raw", "tree").alias(k)) for k in "ab")
     met = spark.createDataFrame(pairs, "dim int, acell long, bcell long") if pairs else spark.createDataFrame([], "dim int, acell long, bcell long")
     met = met.join(p.select("dim", "acell", "acut"), ["dim", "acell"]).join(q.select("dim", "bcell", "bcut"), ["dim", "bcell"])
     met = met.where("acell < bcell or acut <= bcut").repartition("acell", "acut", "bcell", "bcut")
     both = met.join(p, ["dim", "acell", "acut"]).join(q, ["dim", "bcell", "bcut"]).select(
-        "dim", (F.expr("acell = bcell and acut = bcut")).alias("same"), "a.nodes", "a.weights", "a.raw",
+        "dim", (F.expr("acell = bcell and acut = bcut")).alias("same"), "a.nodes", "a.weights", "a.raw", "a.tree", F.col("b.tree").alias("tree2"),
         F.col("b.nodes").alias("nodes2"), F.col("b.weights").alias("weights2"), F.col("b.raw").alias("raw2"))
 
     def meet(batches):
@@ -182,20 +207,23 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block as one row, with its cover tree."""
     pdf = pdf.sort_values("node")
-    return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "cell": [pdf["cell"].iloc[0]], "cut": [pdf["cut"].iloc[0]],
+    x = _unit(b"".join(pdf["raw"]), int(pdf["dim"].iloc[0]))
+    tree = grow(x, np.arange(len(x)), 0, 2.0)
+    return pd.DataFrame({"tree": [pickle.dumps(tree)], "dim": [pdf["dim"].iloc[0]], "cell": [pdf["cell"].iloc[0]], "cut": [pdf["cut"].iloc[0]],
                          "nodes": [pdf["node"].to_numpy(np.int64).tobytes()], "weights": [pdf["weight"].to_numpy(np.int64).tobytes()], "raw": [b"".join(pdf["raw"])]})
 
 
 def _meet(r, far: float, cosine: float) -> pd.DataFrame:
     x = _unit(r.raw, r.dim)
     ids, w = np.frombuffer(r.nodes, np.int64), np.frombuffer(r.weights, np.int64)
-    tree = grow(x, np.arange(len(x)), 0, 2.0)
+    tree = pickle.loads(r.tree)
     if r.same:
         y, ids2, w2, tree2, shift = x, ids, w, tree, 0
     else:
         y, ids2, w2 = _unit(r.raw2, r.dim), np.frombuffer(r.nodes2, np.int64), np.frombuffer(r.weights2, np.int64)
-        tree2, shift = grow(y, np.arange(len(y)), 0, 2.0), len(x)
+        tree2, shift = pickle.loads(r.tree2), len(x)
     n, n2 = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
     boss = np.arange(len(x) + (0 if r.same else len(y)))
 
@@ -214,7 +242,7 @@ def _meet(r, far: float, cosine: float) -> pd.DataFrame:
         if hit is None or (hit | (pa[:, None] == pb[None, :]) if r.same else hit).all():
             ties = [(i, pb[0]) for i in pa] + [(pa[0], j) for j in pb[1:]]
         else:
-            ties = [(pa[i], pb[j]) for i, j in zip(*np.nonzero(hit))]
+            ties = [(pa[i], pb[j]) for i, j in spanning(hit)]
         for i, j in ties:
             s, t = find(i), find(j + shift)
             if s != t:
