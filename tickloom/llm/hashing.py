@@ -1,8 +1,6 @@
 """64-bit hashes over byte strings as NumPy passes: words, runs of words, mixing."""
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 U = np.uint64
@@ -13,6 +11,17 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def remembered(f):
+    """Results of `f` by its arguments; unlike a cached function of functools it travels to workers by value."""
+    memo: dict = {}
+
+    def call(*args):
+        if args not in memo:
+            memo[args] = f(*args)
+        return memo[args]
+    return call
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a splitmix generator; a bijection on 64 bits."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -20,14 +29,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@functools.cache
+@remembered
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base & (2**64 - 1), U)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-@functools.cache
+@remembered
 def letters() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=U) * U(BASE))
 

@@ -21,7 +21,6 @@ rows share a component. A row without an id takes the component of its text, nul
 """
 from __future__ import annotations
 
-import functools
 import hashlib
 import uuid
 
@@ -40,7 +39,7 @@ WIDTH, PERCENT = 5, 75
 BLOCK = 128                      # members of a bucket in one block of step 3
 
 
-@functools.cache
+@hashing.remembered
 def table() -> np.ndarray:
     """The second permutation, with its start repeated so that every shift is a slice; a sliding view over it."""
     p = np.random.default_rng(20240229).permutation(RING).astype(np.uint32)

@@ -20,7 +20,6 @@ Defined results: null text is empty; texts shorter than LENGTH only lose nothing
 """
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import released, written
-from .hashing import BASE, U, mix
+from .hashing import BASE, U, mix, remembered
 
 LENGTH, PERIOD, ORDER = 400, 133, 11          # PERIOD = ORDER^2 + ORDER + 1
 WINDOW = LENGTH - PERIOD + 1                  # bytes that sampled suffixes must share
@@ -38,7 +37,7 @@ BUCKET_BYTES = 16 << 20                       # names of one bucket
 FILLED = 1 << 20                              # bytes named at once
 
 
-@functools.cache
+@remembered
 def cover() -> np.ndarray:
     """A perfect difference set: powers of a cubic root over the field of ORDER elements that lie in one plane (Singer)."""
     q = ORDER
@@ -51,7 +50,7 @@ def cover() -> np.ndarray:
     return np.array(out)
 
 
-@functools.cache
+@remembered
 def factors(seed: int) -> tuple:
     """Three odd multipliers and an addend for the names of a seed."""
     m = mix(np.arange(4, dtype=U) + U(4 * seed + 1)) | U(1)
