@@ -264,6 +264,32 @@ def test_licences(docs):
     assert got[88].licence == "none" and got[89].n_sentences == 0
 
 
+def test_licences_in_hard_wrapped_standard_texts(spark):
+    apache = ('# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n'
+              '#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an "AS IS" BASIS,\n'
+              '# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n# See the License for the specific language governing permissions and\n# limitations under the License.\n')
+    gpl = (' * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU {}General Public License as published by\n * the Free Software Foundation; either version {} of the License, or\n'
+           ' * (at your option) any later version.\n *\n * This program is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n'
+           ' * GNU {}General Public License for more details.\n *\n * You should have received a copy of the GNU {}General Public License\n * along with this program.  If not, see <http://www.gnu.org/licenses/>.\n')
+    mit = ('MIT License\n\nCopyright (c) 2020 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction.\n\n'
+           'The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n')
+    bsd = ('Copyright (c) 2010, Some One\nAll rights\nreserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n'
+           '    * Redistributions of source code must retain the above copyright\n      notice, this list of conditions and the following disclaimer.\n    * Redistributions in binary form must reproduce the above copyright\n      notice.\n')
+    name = '    * Neither the name of the holder nor the\n      names of its contributors may be used to endorse or promote products\n      derived from this software without specific prior written permission.\n'
+    isc = 'Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n'
+    mpl = 'This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.\n'
+    want = [(apache, "Apache-2.0"), (apache.replace("# ", "").replace("#", "").replace("\n", "\r\n"), "Apache-2.0"), (gpl.format("", "3", "", ""), "GPL-3.0-or-later"), (gpl.format("", "2", "", ""), "GPL-2.0-or-later"),
+            (gpl.format("Lesser ", "2.1", "Lesser ", "Lesser "), "LGPL-2.1-or-later"), (gpl.format("Affero ", "3", "Affero ", "Affero "), "AGPL-3.0-or-later"),
+            ("it under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.", "GPL-2.0-only"), (mit, "MIT"), (bsd, "BSD-2-Clause"), (bsd + name, "BSD-3-Clause"), (isc, "ISC"), (mpl, "MPL-2.0"),
+            ("words before\nthis work is licensed under a Creative Commons\nAttribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"), ("Licensed under CC BY 4.0", "CC-BY-4.0"),
+            ("This is free and unencumbered software released into the public domain.", "Unlicense"), ("// SPDX-License-Identifier: GPL-2.0+\n// Copyright 2020 Some One\nint x;", "GPL-2.0-or-later"),
+            ("/* SPDX-License-Identifier: BSD-3-Clause */\nint x;", "BSD-3-Clause"), ("# SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0"),
+            ("Licensed under either of the Apache License, Version 2.0\nor the MIT license at your option.", "MIT OR Apache-2.0"), ("Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file.", "BSD"),
+            ("This is not licensed under the MIT License.", "unknown"), ("The licence fee is due in May.", "unknown"), ("Apache 2.0 is a web server. BSD systems are old. The GPL.", "none")]
+    got = licenses.query(spark.createDataFrame([(i, x) for i, (x, _) in enumerate(want)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.licence, r.sentence_ids if r.licence != want[r.doc_id][1] else "") for r in got} == {(i, y, "") for i, (_, y) in enumerate(want)}
+
+
 def test_segments_are_maximal():
     rng = np.random.default_rng(5)
     for _ in range(200):
