@@ -85,6 +85,48 @@ def adf(s: Series, x: str, n_vars: int = 1, const: bool = True) -> DataFrame:
     return r.withColumn("adf_stat", stat).withColumn("p_value", mackinnon_pvalue(F.col("adf_stat"), n_vars)).select(*s.keys, "n", "adf_stat", "p_value")
 
 
+ORDERS = tuple(round(0.1 * k, 2) for k in range(11))
+
+
+def min_frac_diff(df: DataFrame, spec: SeriesSpec, x: str, ds: tuple[float, ...] = ORDERS, p: float = 0.05, thresh: float = 1e-4) -> DataFrame:
+    """Per key and difference order: unit-root p-value and correlation with the original on the same rows; the smallest order below `p`.
+
+    All orders share one layout whose halo is that of the longest filter; a key shorter than a filter has NULLs there.
+    """
+    from .indicators import ffd_weights
+    filters = [(float(d), np.array(ffd_weights(d, thresh))[::-1]) for d in ds]
+    keys = list(spec.keys)
+    back = max(len(w) for _, w in filters) + 1                       # the filter, and two lags of its result
+    base = df.select(*keys, *[c for c in spec.order if c not in keys], F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    rows = Series.of(base, spec, back)
+    own = (F.expr(f"{RN} div {rows.block}") == F.col("_blk")).alias("_own")
+    sch = T.StructType([*[rows.df.schema[k] for k in keys], *[T.StructField(c, T.DoubleType()) for c in ("d", "_x", "_f", "_d", "_l", "_dl")]])
+
+    def block(pdf):
+        v = pdf.sort_values(RN)
+        xx, mine, out = v["_x"].to_numpy(float), v["_own"].to_numpy(bool), []
+        for d, w in filters:
+            f = np.full(len(xx) + 2, np.nan)                         # two rows before the first have no value
+            if len(xx) >= len(w):
+                f[len(w) + 1:] = np.convolve(xx, w, mode="valid")
+            diff = np.diff(f)
+            o = v[keys].assign(d=d, _x=xx, _f=f[2:], _d=diff[1:], _l=f[1:-1], _dl=diff[:-1])
+            out.append(o[mine & ~np.isnan(f[2:])])
+        return pd.concat(out)[[f.name for f in sch.fields]]
+
+    long = rows.df.select(*keys, "_blk", RN, "_x", own).groupBy(*keys, "_blk").applyInPandas(block, sch)
+    clean = lambda c: F.when(~F.isnan(c), F.col(c))
+    long = kept(long.withColumns({c: clean(c) for c in ("_d", "_l", "_dl")}))
+    by = [*keys, "d"]
+    r = regress(long, by, F.col("_d"), [F.lit(1.0), F.col("_l"), F.col("_dl")])
+    test = r.select(*by, mackinnon_pvalue(F.col("coef")[1] / F.col("se")[1]).alias("adf_p"))
+    grid = base.select(*keys).distinct().withColumn("d", F.explode(F.array(*[F.lit(d) for d, _ in filters])))
+    corr = long.groupBy(*by).agg(F.corr("_f", "_x").alias("corr"))
+    u = kept(grid.join(corr, by, "left").join(test, by, "left"))
+    best = u.where(F.col("adf_p") < p).groupBy(*keys).agg(F.min("d").alias("min_d"))
+    return u.join(best, keys, "left").select(*keys, "corr", "adf_p", "d", "min_d")
+
+
 KPSS_TABLE = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))    # fixed values: published critical values
 
 

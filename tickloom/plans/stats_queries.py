@@ -96,15 +96,7 @@ def _(t):
 @query("min_frac_diff", None)
 def _(t):
     """ADF p-value and correlation with the original per difference order; the smallest order below 5 % per symbol."""
-    parts = []
-    for d in (0.0, 0.4):
-        s = I.frac_diff(bars(t, 60).add(lc=F.log("close")), "lc", d, 1e-2, "fd")
-        x = s.done().where(C("fd").isNotNull())
-        test = S.adf(Series.of(x, BARS_SPEC, 2), "fd").select("symbol", C("p_value").alias("adf_p"))
-        parts.append(x.groupBy("symbol").agg(F.corr("fd", "lc").alias("corr")).join(test, "symbol").withColumn("d", F.lit(d)))
-    u = parts[0].unionByName(parts[1])
-    best = u.where(C("adf_p") < 0.05).groupBy("symbol").agg(F.min("d").alias("min_d"))
-    return u.join(best, "symbol", "left")
+    return S.min_frac_diff(t.bars().withColumn("lc", F.log("close")), BARS_SPEC.with_(block_rows=1 << 14), "lc")
 
 
 @query("engle_granger", None)
