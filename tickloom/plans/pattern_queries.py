@@ -189,14 +189,14 @@ def _(t):
 _STEP = "(p.sar + p.af * (p.ep - p.sar))"
 _LINE = f"(CASE WHEN p.d > 0 THEN least({_STEP}, p.pl, p.ppl) ELSE greatest({_STEP}, p.ph, p.pph) END)"
 _FLIP = f"((p.d > 0 AND s.low < {_LINE}) OR (p.d < 0 AND s.high > {_LINE}))"
-_MORE = "((p.d > 0 AND s.high > p.ep) OR (p.d < 0 AND s.low < p.ep))"
+_FURTHER = "((p.d > 0 AND s.high > p.ep) OR (p.d < 0 AND s.low < p.ep))"
 _SAR = f"CASE WHEN {_FLIP} THEN p.ep ELSE {_LINE} END"
 
 
 @query("parabolic_sar", walk_sql(BARS_SQL, "b", {
     "d": ("1", f"CASE WHEN {_FLIP} THEN -p.d ELSE p.d END"), "sar": ("s.low", _SAR), "psar": ("NULL::DOUBLE", _SAR),
     "ep": ("s.high", f"CASE WHEN {_FLIP} = (p.d > 0) THEN CASE WHEN {_FLIP} OR s.low < p.ep THEN s.low ELSE p.ep END ELSE CASE WHEN {_FLIP} OR s.high > p.ep THEN s.high ELSE p.ep END END"),
-    "af": ("0.02::DOUBLE", f"CASE WHEN {_FLIP} THEN 0.02 WHEN {_MORE} THEN least(p.af + 0.02::DOUBLE, 0.2::DOUBLE) ELSE p.af END"),
+    "af": ("0.02::DOUBLE", f"CASE WHEN {_FLIP} THEN 0.02 WHEN {_FURTHER} THEN least(p.af + 0.02::DOUBLE, 0.2::DOUBLE) ELSE p.af END"),
     "ph": ("s.high", "s.high"), "pl": ("s.low", "s.low"), "pph": ("s.high", "p.ph"), "ppl": ("s.low", "p.pl")}, "symbol s, ts t, psar f"))
 def _(t):
     return show(P.parabolic_sar(bars(t)), "psar")
