@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, divergence, filter_audit, langid, licenses, merkle, minhash, mixing, packing, secret_scan, suffixes, toxicity
+from . import covertree, divergence, filter_audit, langid, licenses, merkle, minhash, mixing, packing, sanitise, secret_scan, suffixes, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_cover_tree_links": lambda spark, sf: covertree.query(table(spark, sf, "embeddings")),
     "op10_ftrl_language": lambda spark, sf: langid.query(table(spark, sf, "documents")),
     "op11_filter_orders": lambda spark, sf: filter_audit.query(table(spark, sf, "documents"), table(spark, sf, "labels")),
+    "op12_disclosing_terms": lambda spark, sf: sanitise.query(table(spark, sf, "documents")),
     "op13_source_divergence": lambda spark, sf: divergence.query(table(spark, sf, "documents")),
 }
 ORACLES: dict[str, str] = {
     "op8_licence_sentences": licenses.oracle(),
     "op11_filter_orders": filter_audit.oracle(),
+    "op12_disclosing_terms": sanitise.oracle(),
     "op13_source_divergence": divergence.oracle(),
 }
