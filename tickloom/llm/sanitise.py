@@ -3,8 +3,8 @@
 Base spans are found by four patterns.  Each distinct value (one address, one number) is a protected entity e.  A term t that
 stands near e in several places may reveal it even where e itself is taken out.  With N documents, n(e), n(t) that hold e or t,
 and n(e, t) that hold t near e, t tells PMI(e; t) = ln(N n(e, t) / (n(e) n(t))) of the information IC(e) = ln(N / n(e)) of e.
-A term with PMI >= DISCLOSED * IC, seen near e in at least SUPPORT different surroundings (copies of one passage are one
-surrounding), is sanitised wherever it stands: it is generalised to its class, the first three letters, where the class tells
+A term with PMI >= DISCLOSED * IC, seen near e in at least SUPPORT different surroundings (told apart by the smallest
+digest of their terms, so that copies and nearly all near copies of a passage are one), is sanitised wherever it stands: it is generalised to its class, the first three letters, where the class tells
 less than that about every such e, and removed where even the class tells as much.
 
 Inputs: a null text is the empty text.  Rows that repeat a doc_id, or a whole document, are rows of the result each; N and n(t)
@@ -118,8 +118,8 @@ def disclosing(d: DataFrame, found: DataFrame) -> DataFrame:
     """(term, action): terms that tell too much about an entity."""
     rows = found.select("key", F.explode(F.concat(*KINDS)).alias("s")).select("key", F.col("s.value").alias("entity"), F.concat_ws("\x01", "s.left", "s.right").alias("around"))
     of = rows.groupBy("entity").agg(F.count_distinct("key").alias("n_e"))
-    seen = F.regexp_replace("around", KINDS["email"][0], " ")
-    near = rows.select("entity", "key", F.md5("around").alias("place"), F.explode(terms(seen)).alias("unit"))
+    seen = rows.select("entity", "key", terms(F.regexp_replace("around", KINDS["email"][0], " ")).alias("units"))
+    near = seen.select("entity", "key", F.array_min(F.transform("units", lambda u: F.md5(u))).alias("place"), F.explode("units").alias("unit"))
     near = near.groupBy("entity", "unit").agg(F.count_distinct("key").alias("n_et"), F.count_distinct("place").alias("places"))
     counts = d.select("key", F.explode(terms(F.col("text"))).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n_t"))
     total = d.agg(F.count(F.lit(1)).alias("total"))
@@ -136,17 +136,22 @@ def disclosing(d: DataFrame, found: DataFrame) -> DataFrame:
 def added(d: DataFrame, flagged: DataFrame) -> DataFrame:
     """(key, more): spans of flagged terms outside addresses, for the texts that have some.
 
-    Terms meet the flagged ones without positions first, so only texts with a hit are cut in places.  Spark broadcasts the
-    written tables where their size allows it and sorts both sides otherwise.
+    Terms meet the flagged ones without positions first, so only texts with a hit are cut in places, and only places of their
+    own flagged terms leave the row.  Spark broadcasts the written tables where their size allows it and sorts both sides
+    otherwise.
     """
-    hits = written(d.select("key", F.explode(terms(F.col("text"))).alias("term")).join(flagged, "term", "left_semi").select("key").distinct())
+    hits = d.select("key", F.explode(terms(F.col("text"))).alias("term")).join(flagged, "term")
+    hits = written(hits.groupBy("key").agg(F.collect_set(F.struct("term", "action")).alias("flagged")))
     mails = placed(F.col("text"), KINDS["email"][0])
     masked = F.when(F.col("text").contains("@"), F.concat(
         F.array_join(F.transform(mails, lambda s: F.concat(s["left"], F.repeat(F.lit("0"), F.length(s["value"])))), ""),
         F.element_at(F.split("text", KINDS["email"][0], -1), -1))).otherwise(F.col("text"))
-    words = (d.join(hits, "key", "left_semi").dropDuplicates(["key"]).select("key", masked.alias("masked")).select("key", F.inline(placed(F.col("masked"), LETTERS)))
-             .select("key", F.translate("value", CAPITALS, SMALL).alias("term"), (F.col("end") - F.length("value")).alias("start"), "end"))
-    return words.join(flagged, "term").groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("action").alias("kind"), "start", "end", "term"))).alias("more"))
+    d = d.join(hits, "key").dropDuplicates(["key"]).select("key", masked.alias("masked"), F.transform("flagged", lambda f: f["term"]).alias("names"), "flagged")
+    low = lambda c: F.translate(c, CAPITALS, SMALL)
+    words = d.select("key", "flagged", F.filter(placed(F.col("masked"), LETTERS), lambda s: F.array_contains("names", low(s["value"]))).alias("words"))
+    action = lambda s: F.filter("flagged", lambda f: f["term"] == low(s["value"]))[0]["action"]
+    more = F.transform("words", lambda s: F.struct(action(s).alias("kind"), (s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), low(s["value"]).alias("term")))
+    return words.select("key", F.sort_array(more).alias("more")).where(F.size("more") > 0)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -218,7 +223,8 @@ def oracle() -> str:
  around AS (SELECT doc_id, t, entity, CASE WHEN length(a) <= {NEAR} THEN a ELSE regexp_replace(right(a, {NEAR}), '^[^\x20\x09-\x0D]*', '') END || chr(1) ||
  CASE WHEN length(b) <= {NEAR} THEN b ELSE regexp_replace(left(b, {NEAR}), '[^\x20\x09-\x0D]*$', '') END AS c FROM base),
  ne AS (SELECT entity, count(DISTINCT (doc_id, t)) AS n_e FROM around GROUP BY 1),
- net AS (SELECT entity, unit, count(DISTINCT (doc_id, t)) AS n_et FROM (SELECT doc_id, t, entity, c, unnest({units(f"regexp_replace(c, '{PLAIN['email']}', ' ', 'g')")}) AS unit FROM around) GROUP BY 1, 2 HAVING count(DISTINCT c) >= {SUPPORT}),
+ net AS (SELECT entity, unit, count(DISTINCT (doc_id, t)) AS n_et FROM (SELECT doc_id, t, entity, list_min(list_transform(us, lambda u: md5(u))) AS place, unnest(us) AS unit
+ FROM (SELECT *, {units(f"regexp_replace(c, '{PLAIN['email']}', ' ', 'g')")} AS us FROM around)) GROUP BY 1, 2 HAVING count(DISTINCT place) >= {SUPPORT}),
  nt AS (SELECT unit, count(*) AS n_t FROM (SELECT unnest({units('t')}) AS unit FROM d) GROUP BY 1),
  told AS (SELECT entity, unit FROM (SELECT *, greatest(coalesce(n_t, 0), n_et)::DOUBLE AS n, (SELECT count(*) FROM d)::DOUBLE AS total FROM net LEFT JOIN nt USING (unit) JOIN ne USING (entity))
  WHERE n_e < total AND 1 - ln(n / n_et) / ln(total / n_e) >= {DISCLOSED}),
