@@ -140,82 +140,6 @@ def gmm_regimes(df: DataFrame, cols: list[str], n=2, seed=0) -> DataFrame:
     return d.join(F.broadcast(order.select("prediction", "state")), "prediction").drop("_raw", "features", "prediction", "probability")
 
 
-def hmm_regimes(s: Series, x: str, n_iter=10, chunk=4096) -> DataFrame:
-    """Two-state Gaussian model by EM with a causal filter probability, states ordered by variance.
-
-    Forward and backward messages of a two-state chain forget their start quickly; each block starts from a halo of 200
-    rows, and every EM step is one pass whose expected counts are sums.  One model per key.
-    """
-    halo = 200
-    keys = s.keys
-    base = kept(s.flat().df.select(*keys, RN, F.col(x).alias("_x")).where(F.col("_x").isNotNull()))
-    blk = max(chunk, 4 * halo)
-    pos = F.col(RN) % blk
-    b = F.floor(F.col(RN) / blk).cast("bigint")
-    rows = base.withColumn("_own", b).withColumn("_blk", F.explode(F.array_compact(F.array(b, F.when(pos >= blk - halo, b + 1), F.when((pos < halo) & (b > 0), b - 1)))))
-    g = base.groupBy(*keys).agg(F.avg("_x").alias("m0"), F.stddev_pop("_x").alias("_sd"))
-    par = g.select(*keys, F.col("m0"), F.col("m0").alias("m1"), (F.col("_sd") * 0.6).alias("s0"), (F.col("_sd") * 1.6).alias("s1"), F.lit(0.95).alias("p00"), F.lit(0.95).alias("p11"))
-    names = ["m0", "m1", "s0", "s1", "p00", "p11"]
-    key_f = [rows.schema[c] for c in keys]
-
-    def messages(pdf):
-        v = pdf.sort_values(RN)
-        xx = v["_x"].to_numpy(float)
-        m0, m1, s0, s1, p00, p11 = (float(v[c].iloc[0]) for c in names)
-        A = np.array([[p00, 1 - p00], [1 - p11, p11]])
-        B = np.stack([np.exp(-0.5 * ((xx - m) / sd) ** 2) / sd for m, sd in ((m0, s0), (m1, s1))], axis=1) + 1e-300
-        f, c = np.empty_like(B), np.empty(len(xx))
-        st = np.array([1 - p11, 1 - p00])
-        st = st / st.sum()
-        for t in range(len(xx)):
-            st = (st @ A if t else st) * B[t]
-            c[t] = st.sum()
-            st = st / c[t]
-            f[t] = st
-        return v, xx, A, B, f, c
-
-    def estep(pdf):
-        v, xx, A, B, f, c = messages(pdf)
-        bt = np.ones(2)
-        gam, xi = np.empty_like(f), np.zeros((2, 2))
-        own = (v["_own"] == v["_blk"]).to_numpy()
-        for t in range(len(xx) - 1, -1, -1):
-            g = f[t] * bt
-            gam[t] = g / g.sum()
-            if t:
-                z = f[t - 1][:, None] * A * (B[t] * bt)[None, :]
-                if own[t]:
-                    xi += z / z.sum()
-                bt = A @ (B[t] * bt)
-                bt = bt / bt.sum()
-        gg, xo = gam[own], xx[own]
-        out = v.head(1)[[*keys]].copy()
-        for i in range(2):
-            out[f"w{i}"], out[f"wx{i}"], out[f"wxx{i}"] = gg[:, i].sum(), (gg[:, i] * xo).sum(), (gg[:, i] * xo * xo).sum()
-            out[f"x{i}0"], out[f"x{i}1"] = xi[i, 0], xi[i, 1]
-        return out
-    cols = [f"{a}{i}" for i in range(2) for a in ("w", "wx", "wxx")] + [f"x{i}{j}" for i in range(2) for j in range(2)]
-    sch = T.StructType([*key_f, *[T.StructField(c, T.DoubleType()) for c in [f"{a}{i}" for i in range(2) for a in ("w", "wx", "wxx")]], *[T.StructField(f"x{i}{j}", T.DoubleType()) for i in range(2) for j in range(2)]])
-    order = [f.name for f in sch.fields]
-    for _ in range(n_iter):
-        e = rows.join(F.broadcast(par), keys).groupBy(*keys, "_blk").applyInPandas(lambda p: estep(p)[order], sch)
-        t = e.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cols])
-        m = lambda i: F.col(f"wx{i}") / F.col(f"w{i}")
-        sd = lambda i: F.sqrt(F.greatest(F.col(f"wxx{i}") / F.col(f"w{i}") - m(i) * m(i), F.lit(1e-12)))
-        # a handful of numbers per key: fetched so that the next pass reads constants, not the lineage of all passes
-        new = t.select(*keys, m(0).alias("m0"), m(1).alias("m1"), sd(0).alias("s0"), sd(1).alias("s1"), (F.col("x00") / (F.col("x00") + F.col("x01"))).alias("p00"), (F.col("x11") / (F.col("x10") + F.col("x11"))).alias("p11"))
-        par = kept(new)
-    fsch = T.StructType([*key_f, T.StructField(RN, T.LongType()), T.StructField("p_high", T.DoubleType())])
-
-    def filt(pdf):
-        v, _, _, _, f, _ = messages(pdf)
-        hi = int(v["s1"].iloc[0] >= v["s0"].iloc[0])
-        out = v[[*keys, RN]].copy()
-        out["p_high"] = f[:, hi]
-        return out[(v["_own"] == v["_blk"]).to_numpy()]
-    return rows.join(F.broadcast(par), keys).groupBy(*keys, "_blk").applyInPandas(filt, fsch)
-
-
 def permuted(df: DataFrame, cols: list[str], row: str, seed: int) -> DataFrame:
     """Columns shuffled together over the rows by matching two hash orders."""
     from ..series import index_rows
@@ -311,25 +235,3 @@ def crash_warning(df: DataFrame, cols: list[str], train: Column, test: Column, l
     tr = tr.join(F.broadcast(n), "y").crossJoin(F.broadcast(tot)).withColumn("_w", F.col("_t") / (2 * F.col("_n")))
     return prob1(make_model("logit", weight="_w").fit(tr), x.where(test)).drop("features", "rawPrediction", "probability", "prediction")
 
-
-def sequential_bootstrap(spans: DataFrame, keys: list[str], max_labels=2000, seed=0) -> DataFrame:
-    """Uniqueness-weighted draws, one after another: every draw changes the next probabilities, so a set of labels is one
-    task.  Sets are parallel; split longer label tables by time into sets of at most `max_labels` first."""
-    sch = T.StructType([*[spans.schema[c] for c in keys], T.StructField("draw", T.IntegerType()), T.StructField("t0_rn", T.LongType())])
-
-    def fn(pdf):
-        if len(pdf) > max_labels:
-            raise ValueError(f"{len(pdf)} labels in one set; split the table by time first")
-        v = pdf.sort_values("t0_rn")
-        a, b = v["t0_rn"].to_numpy() - v["t0_rn"].min(), v["t1_rn"].to_numpy() - v["t0_rn"].min()
-        cover, rng, out = np.zeros(b.max() + 1), np.random.default_rng(seed), []
-        for _ in range(len(v)):
-            c = np.r_[0, np.cumsum(1 / (1 + cover))]
-            u = (c[b + 1] - c[a]) / (b - a + 1)
-            k = rng.choice(len(v), p=u / u.sum())
-            out.append(k)
-            cover[a[k]:b[k] + 1] += 1
-        r = v.iloc[out][[*keys, "t0_rn"]].copy()
-        r["draw"] = np.arange(len(out), dtype="int32")
-        return r[[*keys, "draw", "t0_rn"]]
-    return spans.groupBy(*keys).applyInPandas(fn, sch)

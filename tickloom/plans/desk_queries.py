@@ -671,11 +671,6 @@ def _(t):
     return ML.gmm_regimes(_dataset(t), ["vol20", "er10"]).groupBy("symbol", "state").agg(F.count(L(1)).alias("n"), F.avg("vol20").alias("vol"))
 
 
-@query("hmm_regimes", None)
-def _(t):
-    return ML.hmm_regimes(rets(t), "ret", 4).groupBy("symbol").agg(F.avg("p_high").alias("share_high"), F.count(L(1)).alias("n"))
-
-
 @query("vol_forecasts", None)
 def _(t):
     s = bars(t, 21, 1).add(absret=F.abs(F.log(C("close") / C("open"))))
