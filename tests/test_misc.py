@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scalar as S
 from tickloom.functions.special import betainc, normal_cdf, normal_ppf, normal_ppf_value
+from tickloom.operators import allocation as A
 from tickloom.operators import options as O
 from tickloom.operators import portfolio as P
 from tickloom.operators import stats as ST
@@ -67,7 +68,7 @@ def test_allocators_on_a_known_matrix(spark):
     w = {x.symbol: x.weight for x in P.solve_windows(m, [], P.min_variance).collect()}
     want = np.linalg.solve(cov, np.ones(4))
     assert np.allclose([w[f"s{j}"] for j in range(4)], want / want.sum())
-    rp = P.solve_windows(m, [], P.risk_parity).toPandas().sort_values("symbol").weight.to_numpy()
+    rp = P.solve_windows(m, [], A.weights(A.risk_parity_gap())).toPandas().sort_values("symbol").weight.to_numpy()
     rc = rp * (cov @ rp) / (rp @ cov @ rp)
     assert np.allclose(rc, 0.25, atol=1e-6)
     risk = P.portfolio_risk(P.solve_windows(m, [], P.hrp), m, []).toPandas()

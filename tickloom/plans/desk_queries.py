@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import special as SP
+from ..operators import allocation as A
 from ..operators import bars as B
 from ..operators import indicators as I
 from ..operators import ml as ML
@@ -275,7 +276,7 @@ def _(t):
 def _(t):
     m = kept(P.pair_moments(panel(t), [], "month", "symbol", "ret"))
     u = None
-    for name, fn in (("min_variance", P.min_variance), ("max_sharpe", P.max_sharpe), ("long_only", P.min_variance_long_only(0.1)), ("risk_parity", P.risk_parity), ("hrp", P.hrp),
+    for name, fn in (("min_variance", P.min_variance), ("max_sharpe", P.max_sharpe), ("long_only", A.weights(A.min_variance_gap(0.1))), ("risk_parity", A.weights(A.risk_parity_gap())), ("hrp", P.hrp),
                      ("black_litterman", P.black_litterman(lambda n: 0.04, P=[{"NATION_0": 1.0, "NATION_1": -1.0}], Q=[0.01])), ("frontier", P.frontier_point(0.0005, 0.2)), ("kelly", P.kelly())):
         d = P.solve_windows(m, [], fn).withColumn("method", L(name))
         u = d if u is None else u.unionByName(d)
@@ -294,13 +295,21 @@ def _(t):
 
 @query("walk_forward_allocation", None)
 def _(t):
-    w, oos = P.walk_forward_allocation(panel_rn(t), "rn", "symbol", "ret", P.min_variance_long_only(0.2, 500), 36, 6)
-    return oos.select("rn", "window", "ret").crossJoin(P.turnover(w))
+    w, oos = P.walk_forward_allocation(panel_rn(t), "rn", "symbol", "ret", A.min_variance_gap(0.2), 36, 6, A.solve_windows_gap)
+    return oos.select("rn", "window", "ret", "gap").crossJoin(P.turnover(w))
+
+
+@query("allocation_gaps", None)
+def _(t):
+    """Weights of the iterative allocators with what is left to gain."""
+    m = kept(P.pair_moments(panel(t), [], "month", "symbol", "ret"))
+    u = [A.solve_windows_gap(m, [], fn).withColumn("method", L(name)) for name, fn in (("long_only", A.min_variance_gap()), ("long_only_capped", A.min_variance_gap(0.1)), ("risk_parity", A.risk_parity_gap()))]
+    return u[0].unionByName(u[1]).unionByName(u[2]).select("method", "symbol", "weight", "gap")
 
 
 @query("min_cvar", None)
 def _(t):
-    return P.min_cvar(kept(panel(t).select("month", "symbol", "ret")), "month", "symbol", "ret", steps=5)
+    return A.min_cvar(panel(t).select("month", "symbol", "ret"), "month", "symbol", "ret").drop("passes")
 
 
 _SHOCKED = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in P.SHOCKS.items())
