@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import expanding as E
 from ..operators import hmm as H
 from ..operators import label_folds as LF
 from ..operators import ml as ML
@@ -11,7 +12,7 @@ from ..series import RN, SeriesSpec
 from ..session import checkpointed
 from .base import BARS_SPEC, BARS_SQL, query, sel
 from .desk_queries import ncdf
-from .indicator_queries import bars
+from .indicator_queries import ADX_SQL, bars
 from .stats_queries import rets
 
 C, L = F.col, F.lit
@@ -158,3 +159,20 @@ def _(t):
     ds = checkpointed(ds.join(checkpointed(S.avg_uniqueness(checkpointed(active), spans, BARS_SPEC)), ["symbol", "t0_rn", "t1_rn"]))
     feats = ["ret5", "ret20", "vol20", "vol_ratio", "er10", "volume_z", "side"]
     return LF.meta_summary(LF.walk_forward_meta(ds.dropna(subset=feats), EVENTS, "t0_rn", "t1_rn", feats, w="uniqueness", retrain_every=25), ["symbol"], 7.0)
+
+
+# ---------------------------------------------------------------- regimes by trend and volatility
+@query("expanding_median", f"WITH {BARS_SQL} {sel('symbol s, rn i, volume_median f, close_median f', '(SELECT symbol, rn, median(volume) OVER w AS volume_median, median(close) OVER w AS close_median FROM b WINDOW w AS (PARTITION BY symbol ORDER BY rn))')}")
+def _(t):
+    s = bars(t)
+    v, c = E.expanding_median(s, "volume", "volume_median", block=256), E.expanding_median(s, "close", "close_median", block=256)
+    return v.join(c, ["symbol", RN]).withColumnRenamed(RN, "rn")
+
+
+@query("regime_map", f"""WITH {BARS_SQL}, {ADX_SQL}, lr AS (SELECT symbol, rn, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY rn)) AS lr FROM b),
+ sd AS (SELECT symbol, rn, CASE WHEN count(lr) OVER w = 20 THEN stddev_samp(lr) OVER w END AS vol FROM lr WINDOW w AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+ me AS (SELECT *, median(vol) OVER (PARTITION BY symbol ORDER BY rn) AS vol_median FROM sd),
+ fl AS (SELECT b.symbol, b.ts, vol, CASE WHEN vol IS NOT NULL THEN vol_median END AS vol_median, coalesce((ax.y > 25)::INT, 0) AS trend, coalesce((vol > vol_median)::INT, 0) AS high_vol FROM b LEFT JOIN ax USING (symbol, rn) JOIN me USING (symbol, rn))
+ {sel('symbol s, ts t, vol f, vol_median f, trend i, high_vol i, regime s', "(SELECT *, CASE WHEN trend = 1 THEN 'trend' ELSE 'range' END || '/' || CASE WHEN high_vol = 1 THEN 'high vol' ELSE 'low vol' END AS regime FROM fl)")}""")
+def _(t):
+    return E.estimate_regimes(bars(t), block=256).select("symbol", "ts", "vol", "vol_median", "trend", "high_vol", "regime")
