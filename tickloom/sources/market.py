@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import OCC_PATTERN, parse_occ
 from ..series import Series, SeriesSpec, index_rows
@@ -23,7 +24,17 @@ def write_partitioned(bars: DataFrame, root: str, mode="append", files_per_day:
         d = d.repartition(F.col("symbol"), F.col("date"), F.pmod(F.xxhash64("ts"), F.lit(files_per_day)))
     else:
         d = d.repartition("symbol", "date")
-    d.sortWithinPartitions("symbol", "date", "ts").write.mode(mode).partitionBy("symbol", "date").parquet(root)
+    w = d.sortWithinPartitions("symbol", "date", "ts").write.mode(mode)
+    if mode == "overwrite":                      # only the partitions that `bars` has are replaced
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.partitionBy("symbol", "date").parquet(root)
+
+
+def read_partitioned(spark: SparkSession, root: str, schema: T.StructType, where: str | None = None) -> DataFrame:
+    """Rows of a partitioned folder with declared types; a condition on symbol or date prunes folders before any file is read."""
+    fields = [f for f in schema.fields if f.name not in ("symbol", "date")]
+    d = spark.read.schema(T.StructType([*fields, T.StructField("symbol", T.StringType()), T.StructField("date", T.DateType())])).parquet(root)
+    return d.where(where) if where else d
 
 
 def daily_summary(bars: DataFrame) -> DataFrame:
@@ -32,8 +43,8 @@ def daily_summary(bars: DataFrame) -> DataFrame:
                                               F.min("low").alias("low"), F.sum("volume").alias("volume"))
 
 
-def sma_scan(bars: DataFrame, n: int) -> DataFrame:
-    s = Series.of(bars, SeriesSpec(), back=n - 1)
+def sma_scan(bars: DataFrame, n: int, spec: SeriesSpec = SeriesSpec()) -> DataFrame:
+    s = Series.of(bars, spec, back=n - 1)
     return s.add({f"sma{n}": s.mean("close", n)}).done()
 
 
