@@ -4,7 +4,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..joins import interval_join
 from ..series import RN, Series, SeriesSpec, kept

@@ -8,6 +8,7 @@ from ..operators import hmm as H
 from ..operators import label_folds as LF
 from ..operators import ml as ML
 from ..operators import stats as S
+from ..operators import student as ST
 from ..series import RN, SeriesSpec
 from ..session import checkpointed
 from .base import BARS_SPEC, BARS_SQL, query, sel
@@ -176,3 +177,11 @@ def _(t):
  {sel('symbol s, ts t, vol f, vol_median f, trend i, high_vol i, regime s', "(SELECT *, CASE WHEN trend = 1 THEN 'trend' ELSE 'range' END || '/' || CASE WHEN high_vol = 1 THEN 'high vol' ELSE 'low vol' END AS regime FROM fl)")}""")
 def _(t):
     return E.estimate_regimes(bars(t), block=256).select("symbol", "ts", "vol", "vol_median", "trend", "high_vol", "regime")
+
+
+# ---------------------------------------------------------------- heavy tails
+@query("student_t_fit", None)
+def _(t):
+    """Student-t fit of the log values of each event type; `settled` says that the scores promise no more."""
+    d = t.events.where("value > 0").select("event_type", F.log("value").alias("v"))
+    return ST.fit(d, ["event_type"], "v").select("event_type", "n", "df", "loc", "scale", "loglik", "settled")
