@@ -8,6 +8,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tickloom.llm import langid, licenses, merkle, minhash, mixing, packing, secret_scan, suffixes, toxicity
 
 
@@ -360,6 +362,40 @@ def test_mixing_exponent_meets_its_target(spark):
         assert a == 0.0 or h(a - 1e-3) > share or rep(a - 1e-3) > reps
 
 
+def test_mixing_does_not_depend_on_partitions(spark, docs):
+    """Quotas are whole tokens; rows, places and the stage's rows are the same for every number of partitions."""
+    was, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (3, 8, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            d = docs.repartition(n)
+            seen.append((sorted(map(str, mixing.query(d).collect())), sorted(map(str, mixing.stage(d).collect()))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_mixing_quotas_add_up(spark):
+    d = spark.createDataFrame([(f"s{i}", 7 * i * i + 1) for i in range(30)] + [(None, 5), ("none", 0)], "source string, n_tokens long")
+    for budget, reps in ((None, 3.0), (1000, 0.5), (99_991, 50.0)):
+        got = mixing.plan(d, budget, reps).collect()
+        total = sum(r.tokens for r in got)
+        assert sum(r.quota for r in got) == (budget or total)
+        assert all(abs(r.quota - r.weight * (budget or total)) < 1 + 1e-6 for r in got)
+
+
+def test_mixing_repeats_count_against_the_quota(spark):
+    """A source of 90 % repeats of one row keeps to its quota, in the query and in the stage."""
+    text = " ".join(["word"] * 10)
+    rows = [(7, text, "big")] * 2700 + [(i, f"other {i} " + text, "big") for i in range(100, 400)] + [(i, f"small {i} text", "small") for i in range(1000, 1040)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    want = {r.source: r.quota for r in mixing.plan(d.select("source", mixing.tokens(d["text"]).alias("n_tokens"))).collect()}
+    assert want["big"] < 2700 * 10 + 300 * 12
+    for out in (mixing.query(d).select("source", "n_tokens"), mixing.stage(d).select("source", mixing.tokens(d["text"]).alias("n_tokens"))):
+        got = {r.source: r.t for r in out.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+        assert all(want[s] <= got[s] < want[s] + 12 for s in want)
+
+
 def test_mixing_stage(docs):
     out = mixing.stage(docs)
     assert out.columns == docs.columns and out.count() > 0
