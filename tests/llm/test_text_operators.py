@@ -29,8 +29,7 @@ def linked(rows):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            same_id = rows[i][0] is not None and rows[i][0] == rows[j][0] and a and sets[j]
-            if (a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j])) or same_id:
+            if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
                 boss[find(i)] = find(j)
     least = {}
     for i, r in enumerate(rows):
@@ -48,10 +47,29 @@ def test_minhash_components(docs, rows):
 def test_minhash_stage_keeps_one_of_each_group(docs, rows):
     out = minhash.stage(docs)
     assert out.columns == docs.columns
-    got = out.collect()
-    groups = {c for r, c in zip(rows, linked(rows)) if shingle_set(r[1]) and r[0] is not None}
-    assert sorted(r.doc_id for r in got if r.doc_id is not None and shingle_set(r.text)) == sorted(groups)
-    assert sum(not shingle_set(r.text) for r in got) == sum(not shingle_set(r[1]) for r in rows)
+    got = [tuple(r) for r in out.collect()]
+    mine = [r for r in got if shingle_set(r[1])]
+    # what is kept links with nothing that is kept, and every row links to something kept: one row a group of texts
+    sets = [shingle_set(r[1]) for r in mine]
+    assert all(100 * len(a & b) < 75 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    groups = {}
+    for r, c in zip(rows, linked(rows)):
+        if shingle_set(r[1]):
+            groups.setdefault((c, frozenset(shingle_set(r[1])) if c in (5, None) else 0), []).append(r)
+    assert len(mine) == len(groups)
+    assert {"another text under a known id", "no id here but words enough for it"} <= {r[1] for r in mine}
+    assert sorted(r[0] for r in mine if r[0] is not None) == sorted(c for c, _ in groups if c is not None)
+    assert sum(not shingle_set(r[1]) for r in got) == sum(not shingle_set(r[1]) for r in rows)
+
+
+def test_minhash_repeated_id_with_unlike_texts(spark):
+    """A and B share an id and nothing else; near copies of B under other ids lose to B, not to A."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, b + " more"), (None, b + " less"), (None, "only without an id here"), (None, "only without an id here")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in minhash.query(d).collect()}
+    assert got == {(1, 56, 1), (2, 57, 1), (None, 57, 1), (None, 1, None)}
+    assert sorted(minhash.stage(d).collect(), key=str) == sorted([(1, a), (1, b), (None, "only without an id here")], key=lambda r: str(spark.createDataFrame([r], d.schema).first()))
 
 
 def test_minhash_large_group_of_variants(spark):

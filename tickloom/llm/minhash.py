@@ -85,7 +85,7 @@ def set_key(s: np.ndarray) -> bytes | None:
 def _sets(batches):
     for b in batches:
         sets = [shingle_set(t) for t in b["text"]]
-        yield pd.DataFrame({"node": b["node"], "set_key": [set_key(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+        yield pd.DataFrame({"node": [set_key(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
 
 def similar(both: int, union: int) -> bool:
@@ -134,26 +134,31 @@ def _block(pdf: pd.DataFrame) -> pd.DataFrame:
             if nodes[i] != q and find(comps[i]) != find(c):
                 boss[find(comps[i])] = find(c)
                 out.append((q, nodes[i]))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    return pd.DataFrame(out, columns=["a", "b"])
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of `docs`: doc_id, row_hash (of id and text), n_shingles, component_id."""
+    """Per row of `docs`: doc_id, row_hash (of id and text), n_shingles, component_id and texts (the component's own name).
+
+    Nodes are sets of shingles, named by their digest: unlike texts under one id are not one node, and texts without an id
+    link like others. component_id is the smallest id of the component, null where none of its rows has one.
+    """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     d = d.withColumn("row_hash", F.xxhash64("doc_id", "text"))
     sig = written(d.mapInPandas(_signatures, "doc_id long, row_hash long, n_shingles long, set_key binary, bands array<long>"))
-    nodes = written(sig.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-                    .where("node is not null"))
+    nodes = written(sig.where("n_shingles > 0").groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     slots = nodes.select("node", F.explode("bands").alias("bucket"))
     full = slots.groupBy("bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     slots = written(slots.join(full, "bucket"))
 
     pairs = slots.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    named = slots.select("node").distinct()
-    sets = written(d.select(F.col("doc_id").alias("node"), "text").join(named, "node", "left_semi")
-                   .mapInPandas(_sets, "node long, set_key binary, shingles binary").dropDuplicates(["node", "set_key"]))
+    # one text of each set that shares a bucket
+    least = sig.where("n_shingles > 0").groupBy(F.col("set_key").alias("node")).agg(F.min("row_hash").alias("row_hash"))
+    named = least.join(slots.select("node").distinct(), "node", "left_semi").select("row_hash")
+    sets = written(d.select("row_hash", "text").join(named, "row_hash", "left_semi").dropDuplicates(["row_hash"]).select("text")
+                   .mapInPandas(_sets, "node binary, shingles binary").dropDuplicates(["node"]))
     x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    links = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(_verify, "a long, b long"))
+    links = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(_verify, "a binary, b binary"))
     found = connected_components(links)
 
     # buckets whose members are not yet together
@@ -170,14 +175,16 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                        F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"))
     cols = ["bucket", "row", "col", "query", "node", "component"]
     blocks = asks.select(cols).union(mems.select(cols)).join(sets, "node")
-    more = written(blocks.groupBy("bucket", "row", "col").applyInPandas(_block, "a long, b long"))
+    more = written(blocks.groupBy("bucket", "row", "col").applyInPandas(_block, "a binary, b binary"))
     if not more.isEmpty():
         found = connected_components(links.union(more))
 
-    by_set = nodes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
+    by_set = written(nodes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("texts")))
+    ids = by_set.groupBy("texts").agg(F.min("doc_id").alias("component_id"))
+    by_set = by_set.join(ids, "texts").select(F.col("node").alias("set_key"), "texts", "component_id")
     out = sig.select("doc_id", "row_hash", "n_shingles", "set_key")
-    linked = out.where("n_shingles > 0").join(by_set, "set_key", "left").select("doc_id", "row_hash", "n_shingles", "component_id")
-    return linked.union(out.where("n_shingles = 0").select("doc_id", "row_hash", "n_shingles", F.col("doc_id").alias("component_id")))
+    linked = out.where("n_shingles > 0").join(by_set, "set_key").select("doc_id", "row_hash", "n_shingles", "component_id", "texts")
+    return linked.union(out.where("n_shingles = 0").select("doc_id", "row_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("texts")))
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -185,12 +192,14 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One row of each group stays, with all its columns: the row with the smallest id, and of fully tied rows one. Rows
-    without a shingle stay; so do rows without an id whose group has none."""
+    """One row of each group of texts stays, with all its columns: the row with the smallest id (rows without an id come
+    last), and of rows with this id the one with the smallest hash. Unlike texts under one id are groups of their own. Rows
+    without a shingle stay."""
     c = components(docs)
-    rows = c.groupBy("doc_id", "row_hash", "component_id").agg(F.count(F.lit(1)).alias("ties"), F.max("n_shingles").alias("size"))
-    alone = rows.where("size = 0 or component_id is null").select("doc_id", "row_hash", F.lit(1).alias("ties"))
-    least = rows.where("size > 0 and doc_id = component_id").groupBy("doc_id").agg(F.min(F.struct("row_hash", "ties")).alias("m")).select("doc_id", "m.row_hash", "m.ties")
+    rows = c.groupBy("doc_id", "row_hash", "texts").agg(F.count(F.lit(1)).alias("ties"))
+    alone = rows.where("texts is null").select("doc_id", "row_hash", F.lit(1).cast("long").alias("ties"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "ties")).alias("m")
+    least = rows.where("texts is not null").groupBy("texts").agg(first).select("m.doc_id", "m.row_hash", "m.ties")
     keep = written(alone.union(least))
     mine, tag, same = (f"_{uuid.uuid4().hex}" for _ in range(3))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
