@@ -56,7 +56,7 @@ def test_tight_group_is_taken_whole():
     rng = np.random.default_rng(8)
     x = np.ones((400, 8)) + rng.normal(size=(400, 8)) * 1e-3
     x /= np.linalg.norm(x, axis=1)[:, None]
-    tree = covertree.grow(x, np.arange(400), 0, 2.0)
+    tree = covertree.grow(x)
     n, calls = np.zeros(400, int), [0]
 
     def count(a, b, hit, own):
@@ -69,5 +69,52 @@ def test_tight_group_is_taken_whole():
     assert (n == 399).all() and calls[0] == 1
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("dense", [1, 1 << 12, 1 << 40])
+def test_traversal_against_all_pairs(dense, monkeypatch):
+    """Spread points, one loose and one tight group, points on a line, and single points; both ways of opening a pair."""
+    monkeypatch.setattr(covertree, "DENSE", dense)
+    rng = np.random.default_rng(9)
+    hub = rng.normal(size=64)
+    spread, loose, tight = rng.normal(size=(300, 64)), hub + rng.normal(size=(150, 64)) * .3, hub + rng.normal(size=(150, 64)) * .02
+    line = np.c_[np.cos(np.linspace(0, 3, 200)), np.sin(np.linspace(0, 3, 200)), np.zeros((200, 62))]
+    left, right = unit(np.r_[spread, loose, tight, line]), unit(np.r_[loose[:70] + 1e-3, spread[:50] + .1, line[::3], tight[:9], -spread[:20]])
+    for x, y in ((left, left), (left, right), (right, left[:1]), (left[:1], left[:1])):
+        a = covertree.grow(x)
+        b = a if x is y else covertree.grow(y)
+        n, m = np.zeros(len(x), int), np.zeros(len(y), int)
+
+        def count(p, q, hit, own):
+            n[p] += len(q) - own if hit is None else hit.sum(1)
+            if not own:
+                (n if x is y else m)[q] += len(p) if hit is None else hit.sum(0)
+
+        covertree.dual(x, a, y, b, np.sqrt(0.2), 0.9, count, lambda *_: None)
+        hit = x @ y.T >= 0.9
+        if x is y:
+            np.fill_diagonal(hit, False)
+            assert (n == hit.sum(1)).all()
+        else:
+            assert (n == hit.sum(1)).all() and (m == hit.sum(0)).all()
+
+
+def test_tree_covers_its_points():
+    rng = np.random.default_rng(10)
+    x = unit(np.r_[rng.normal(size=(200, 3)), np.ones((20, 3)) + rng.normal(size=(20, 3)) * 1e-9])
+    t = covertree.grow(x)
+    assert sorted(t.order) == list(range(220))
+    for k in range(len(t.centre)):
+        p = t.points(k)
+        assert t.centre[k] in p and covertree.distance(x[p], x[[t.centre[k]]]).max() <= t.radius[k] + 1e-7
+        if t.size[k] > 1:
+            kids = range(t.first[k], t.first[k] + t.kids[k])
+            assert sorted(q for c in kids for q in t.points(c)) == sorted(p) and t.kids[k] > 1
+        else:
+            assert t.first[k] == k and t.kids[k] == 1
+
+
 def test_empty(spark):
     assert covertree.query(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

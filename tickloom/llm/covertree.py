@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,83 +31,145 @@ from .common import connected_components, written
 
 COSINE = 0.9
 CENTRES, CELL, BLOCK = 512, 4096, 2048        # most top-level centres, points wished for in a cell, points in a block
-DIRECT = 1 << 21                              # pairs of points of two nodes that are compared at once
+DENSE = 1 << 12                               # pairs of children from which two nodes are opened as one matrix product
 SLACK = 1e-3                                  # kept between a bound and the threshold: more than bounds in single precision err
 
 
-# A node is (centre, covering radius, points, children, centres of the children, radii of the children); a node without
-# children is compared point by point. Plain tuples, so that a tree travels with its block.
-CENTRE, RADIUS, POINTS, CHILDREN, CENTRE_S, RADII = range(6)
+class Tree(NamedTuple):
+    """A cover tree as arrays. Node 0 is the root, the children of a node follow each other, every leaf is one point."""
+    centre: np.ndarray
+    radius: np.ndarray       # true covering radius
+    first: np.ndarray        # first child, or the node itself where it is a leaf
+    kids: np.ndarray         # children, or 1 where it is a leaf
+    start: np.ndarray        # a node's points are order[start: start + size]
+    size: np.ndarray
+    order: np.ndarray
+
+    def points(self, node: int) -> np.ndarray:
+        return self.order[self.start[node]: self.start[node] + self.size[node]]
 
 
 def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (x @ y.T), 0.0))
 
 
-def grow(x: np.ndarray, points: np.ndarray, centre: int, reach: float) -> tuple:
-    """Cover tree of `points`: centres at the next level are more than `reach` apart and cover everything within `reach`."""
-    radius = float(distance(x[points], x[[centre]]).max()) if len(points) > 1 else 0.0
-    if len(points) <= 8 or radius < 1e-6:
-        return centre, radius, points, [], None, None
-    while radius <= reach:
-        reach /= 2
-    near = distance(x[points], x[points]) <= reach
-    np.fill_diagonal(near, True)
-    left, children = np.ones(len(points), bool), []
-    for i in range(len(points)):
-        if left[i]:
-            own = near[i] & left
-            left &= ~own
-            children.append(grow(x, points[own], int(points[i]), reach / 2))
-    return centre, radius, points, children, np.array([c[CENTRE] for c in children]), np.array([c[RADIUS] for c in children])
-
-
-def dual(x: np.ndarray, a: tuple, y: np.ndarray, b: tuple, far: float, cosine: float, count, join) -> None:
+def grow(x: np.ndarray) -> Tree:
+    """Cover tree of the rows of x: centres of a level are more than its reach apart and cover everything within it; the
+    reach halves from level to level. Groups of up to 8 points, and those closer than rounding, split into points at once."""
+    n = len(x)
+    order = np.arange(n)
+    centre, radius, first, kids, start, size = [0], [0.0], [0], [1], [0], [n]
+    reach, at = [2.0], 0
+    while at < len(centre):
+        if size[at] > 1:
+            lo, own = start[at], order[start[at]: start[at] + size[at]].copy()
+            radius[at] = float(distance(x[own], x[[centre[at]]]).max())
+            if len(own) <= 8 or radius[at] < 1e-6:
+                groups, level = [[p] for p in own], 0.0
+            else:
+                level = reach[at]
+                while radius[at] <= level:
+                    level /= 2
+                near = distance(x[own], x[own]) <= level
+                np.fill_diagonal(near, True)
+                left, groups = np.ones(len(own), bool), []
+                for i in range(len(own)):
+                    if left[i]:
+                        part = near[i] & left
+                        left &= ~part
+                        groups.append([own[i], *own[part & (own != own[i])]])
+            first[at], kids[at] = len(centre), len(groups)
+            for g in groups:
+                order[lo: lo + len(g)] = g
+                centre.append(int(g[0]))
+                radius.append(0.0)
+                first.append(len(first))
+                kids.append(1)
+                start.append(lo)
+                size.append(len(g))
+                reach.append(level / 2)
+                lo += len(g)
+        at += 1
+    whole = (np.array(v, np.int64) for v in (first, kids, start, size))
+    return Tree(np.array(centre, np.int64), np.array(radius), *whole, order)
+
+
+def dual(x: np.ndarray, a: Tree, y: np.ndarray, b: Tree, far: float, cosine: float, count, join) -> None:
     """Walk two trees; count(ia, ib, mask or None, own) and join(ia, ib, mask or None) get the points that link.  For x
-    against itself pass the same tree: each unordered pair of nodes is then met once."""
+    against itself pass the same tree: each unordered pair of nodes is then met once.
+
+    The pairs of nodes still open are held as arrays. Both nodes of a pair are opened into their children; a pair of children
+    is dropped when its balls are too far apart, taken whole when even its farthest points link, decided in double precision
+    when both are single points, and kept open otherwise."""
     xs, ys = x.astype(np.float32), y.astype(np.float32)          # bounds need no more, with their slack
-    stack = [(a, b)]
+    ra, rb = a.radius.astype(np.float32), b.radius.astype(np.float32)
+    own, step = a is b, max(1 << 8, (1 << 22) // x.shape[1])
+    linked, stack = np.zeros((len(x), len(y)), bool), []
+
+    def decide(i, j):
+        """Pairs of single points, as one product where they fill much of a matrix."""
+        r, c = np.unique(i), np.unique(j)
+        if 8 * len(i) > len(r) * len(c):
+            asked = np.zeros((len(r), len(c)), bool)
+            asked[np.searchsorted(r, i), np.searchsorted(c, j)] = True
+            linked[np.ix_(r, c)] |= asked & (x[r] @ y[c].T >= cosine)
+            return
+        for k in range(0, len(i), step):
+            p, q = i[k: k + step], j[k: k + step]
+            linked[p, q] |= np.einsum("ij,ij->i", x[p], y[q]) >= cosine
+
+    def settle(i, j, g):
+        bound = ra[i] + rb[j]
+        near = (far + SLACK + bound) ** 2 + 2 * g >= 2
+        i, j, g, bound = i[near], j[near], g[near], bound[near]
+        same = (i == j) if own else np.zeros(len(i), bool)
+        alone = (a.size[i] == 1) & (b.size[j] == 1)
+        one = alone & ~same
+        if one.any():
+            decide(a.centre[i[one]], b.centre[j[one]])
+        whole = ~alone & (np.sqrt(np.maximum(2 - 2 * g, 0)) + bound < far - SLACK)
+        for k in np.flatnonzero(whole):
+            p, q = a.points(i[k]), b.points(j[k])
+            count(p, q, None, bool(same[k]))
+            join(p, q, None)
+        rest = ~alone & ~whole
+        i, j = i[rest], j[rest]
+        wide = a.kids[i] * b.kids[j]
+        for k in np.flatnonzero(wide >= DENSE):
+            stack.append((i[[k]], j[[k]]))
+        i, j, wide = i[wide < DENSE], j[wide < DENSE], wide[wide < DENSE]
+        if len(i):
+            cuts = np.flatnonzero(np.diff(np.cumsum(wide) // step)) + 1
+            stack.extend(zip(np.split(i, cuts), np.split(j, cuts)))
+
+    root = np.zeros(1, np.int64)
+    settle(root, root, np.einsum("ij,ij->i", xs[a.centre[root]], ys[b.centre[root]]))
     while stack:
-        p, q = stack.pop()
-        own = p is q
-        if own and 2 * p[RADIUS] < far - SLACK:
-            count(p[POINTS], p[POINTS], None, True)
-            join(p[POINTS], p[POINTS], None)
+        u, v = stack.pop()
+        ku, kv = a.kids[u], b.kids[v]
+        if len(u) == 1 and ku[0] * kv[0] >= DENSE:
+            ci, cj = a.first[u[0]] + np.arange(ku[0]), b.first[v[0]] + np.arange(kv[0])
+            g = xs[a.centre[ci]] @ ys[b.centre[cj]].T
+            room = np.add.outer(ra[ci] + np.float32(far + SLACK), rb[cj])
+            room *= room
+            room += 2 * g
+            near = room >= 2
+            i, j = np.nonzero(np.triu(near) if own and u[0] == v[0] else near)
+            settle(ci[i], cj[j], g[i, j])
             continue
-        # opening small nodes costs more than comparing their points; the two whole blocks are always opened
-        if not p[CHILDREN] and not q[CHILDREN] or p is not a and len(p[POINTS]) * len(q[POINTS]) <= DIRECT:
-            hit = (x[p[POINTS]] @ y[q[POINTS]].T) >= cosine
-            if own:
-                np.fill_diagonal(hit, False)
-            if hit.any():
-                count(p[POINTS], q[POINTS], hit, own)
-                join(p[POINTS], q[POINTS], hit)
-            continue
-        left, ca, ra = (p[CHILDREN], p[CENTRE_S], p[RADII]) if p[CHILDREN] else ([p], np.array([p[CENTRE]]), np.array([p[RADIUS]]))
-        right, cb, rb = (q[CHILDREN], q[CENTRE_S], q[RADII]) if q[CHILDREN] else ([q], np.array([q[CENTRE]]), np.array([q[RADIUS]]))
-        g = xs[ca] @ ys[cb].T
-        reach = far + ra.max() + rb.max() + SLACK
-        i, j = np.nonzero(g >= 1 - min(reach, 2.0) ** 2 / 2)      # the widest balls first, then each pair's own
-        d, bound = np.sqrt(np.maximum(2.0 - 2.0 * g[i, j].astype(float), 0.0)), ra[i] + rb[j]
-        near = (d <= far + bound + SLACK) & (i <= j if own else True)
-        i, j, d, bound = i[near], j[near], d[near], bound[near]
-        alone = np.array([len(n[POINTS]) for n in left])[i] + np.array([len(n[POINTS]) for n in right])[j] == 2
-        inside = (d + bound < far - SLACK) & ~alone
-        one = np.flatnonzero(alone & ~((i == j) if own else np.zeros(len(i), bool)))
-        one = one[np.einsum("ij,ij->i", x[ca[i[one]]], y[cb[j[one]]]) >= cosine]
-        if len(one):                     # single points of both sides as one matrix of links
-            r, c = np.unique(i[one]), np.unique(j[one])
-            hit = np.zeros((len(r), len(c)), bool)
-            hit[np.searchsorted(r, i[one]), np.searchsorted(c, j[one])] = True
-            count(ca[r], cb[c], hit, False)
-            join(ca[r], cb[c], hit)
-        for k in np.flatnonzero(~alone):
-            u, v = left[i[k]], right[j[k]]
-            if inside[k] and u is not v:
-                count(u[POINTS], v[POINTS], None, False)
-                join(u[POINTS], v[POINTS], None)
-            else:
-                stack.append((u, v))
+        k = ku * kv
+        at = np.repeat(np.arange(len(u)), k)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)
+        i, j = a.first[u[at]] + nth // kv[at], b.first[v[at]] + nth % kv[at]
+        if own:
+            once = (u[at] != v[at]) | (i <= j)
+            i, j = i[once], j[once]
+        settle(i, j, np.einsum("ij,ij->i", xs[a.centre[i]], ys[b.centre[j]]))
+    r, c = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+    if len(r):
+        hit = linked[np.ix_(r, c)]
+        count(r, c, hit, False)
+        join(r, c, hit)
 
 
 def spanning(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -210,20 +273,19 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     """A block as one row, with its cover tree."""
     pdf = pdf.sort_values("node")
     x = _unit(b"".join(pdf["raw"]), int(pdf["dim"].iloc[0]))
-    tree = grow(x, np.arange(len(x)), 0, 2.0)
-    return pd.DataFrame({"tree": [pickle.dumps(tree)], "dim": [pdf["dim"].iloc[0]], "cell": [pdf["cell"].iloc[0]], "cut": [pdf["cut"].iloc[0]],
+    return pd.DataFrame({"tree": [pickle.dumps(tuple(grow(x)))], "dim": [pdf["dim"].iloc[0]], "cell": [pdf["cell"].iloc[0]], "cut": [pdf["cut"].iloc[0]],
                          "nodes": [pdf["node"].to_numpy(np.int64).tobytes()], "weights": [pdf["weight"].to_numpy(np.int64).tobytes()], "raw": [b"".join(pdf["raw"])]})
 
 
 def _meet(r, far: float, cosine: float) -> pd.DataFrame:
     x = _unit(r.raw, r.dim)
     ids, w = np.frombuffer(r.nodes, np.int64), np.frombuffer(r.weights, np.int64)
-    tree = pickle.loads(r.tree)
+    tree = Tree(*pickle.loads(r.tree))
     if r.same:
         y, ids2, w2, tree2, shift = x, ids, w, tree, 0
     else:
         y, ids2, w2 = _unit(r.raw2, r.dim), np.frombuffer(r.nodes2, np.int64), np.frombuffer(r.weights2, np.int64)
-        tree2, shift = pickle.loads(r.tree2), len(x)
+        tree2, shift = Tree(*pickle.loads(r.tree2)), len(x)
     n, n2 = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
     boss = np.arange(len(x) + (0 if r.same else len(y)))
 
