@@ -140,6 +140,25 @@ def test_secrets(docs, rows):
     assert sum(w[1] for w in want) == 2 and sum(w[2] for w in want) == 1
 
 
+@pytest.mark.parametrize("piece", [1, 5, 1 << 20])
+def test_postings_are_those_of_a_plain_search(piece, monkeypatch):
+    monkeypatch.setattr(secret_scan, "PIECE", piece)
+    texts = ["", "to", "Token=abcdef", "\u00e9token\u00e9", "tok", "en to ken", "ak", "ia akia", "x" * 50 + "TOKEN", "\u212aen"]
+    tris = ["tok", "oke", "ken", "aki", "n t", "zzz"]
+    named = np.zeros(1 << 24, bool)
+    named[[secret_scan.code(t) for t in tris]] = True
+    for shard in (secret_scan.Shard(texts, named), secret_scan.Shard(texts)):
+        for t in tris:
+            assert shard(t).tolist() == [i for i, x in enumerate(texts) if t.encode() in x.encode().lower()]
+    assert secret_scan.Shard([])("tok").tolist() == []
+
+
+def test_very_long_text_with_secrets_at_both_ends():
+    text = "password=hunter22 " + "plain words " * 400_000 + "api_key: abcdef1"
+    (spans,) = secret_scan.scan([text])
+    assert [(s, k, e) for s, _, k, e, _ in spans] == [(0, "assign", 17), (len(text) - 16, "assign", len(text))]
+
+
 def test_secret_stage_changes_only_texts_with_secrets(docs, rows):
     out = secret_scan.stage(docs)
     assert out.columns == docs.columns

@@ -1,8 +1,8 @@
 """Secret scan with a trigram inverted index.
 
-Every rule's regular expression is parsed into a Boolean query over trigrams that any match must contain. Each shard of the
-table (one Arrow batch) builds postings for the trigrams the queries name, the queries intersect and unite postings, and
-only the surviving texts are verified by the expression itself. A rule without a mandatory trigram (long hexadecimal runs)
+Every rule's regular expression is parsed into a Boolean query over trigrams that any match must contain. One pass over the
+bytes of a shard of the table (one Arrow batch) builds sorted postings of the trigrams that the queries name, the queries
+intersect and unite postings, and only the surviving texts are verified by the expression itself. A rule without a mandatory trigram (long hexadecimal runs)
 scans every text. Sharding the index by document means that no posting list of a frequent trigram grows with the table.
 
 Kinds `assign`, `access` and `hex` are the base rules; the others come from public token formats. Matches are leftmost and
@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 ALL, NONE = ("and", ()), ("or", ())     # queries that every text and no text satisfies
 WIDEST, MOST = 12, 64                   # largest class and largest set of strings kept exactly
+PIECE = 1 << 20                         # bytes of a shard that are turned into trigrams at once
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,7 @@ def _walk(nodes) -> tuple[set[str] | None, tuple]:
     for op, arg in nodes:
         exact, query = None, ALL
         if op is K.LITERAL:
-            exact = {chr(arg).lower()}
+            exact = {chr(arg).lower()} if arg < 128 else None        # postings know no case beyond ASCII
         elif op is K.IN:
             chars = _members(arg)
             exact = chars if chars is not None and len(chars) <= WIDEST else None
@@ -118,9 +119,9 @@ def _walk(nodes) -> tuple[set[str] | None, tuple]:
 def _members(arg) -> set[str] | None:
     out: set[str] = set()
     for op, v in arg:
-        if op is K.LITERAL:
+        if op is K.LITERAL and v < 128:
             out.add(chr(v).lower())
-        elif op is K.RANGE and v[1] - v[0] < 128:
+        elif op is K.RANGE and v[1] < 128:
             out |= {chr(c).lower() for c in range(v[0], v[1] + 1)}
         else:
             return None
@@ -148,25 +149,53 @@ def evaluate(query, postings, every: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([evaluate(q, postings, every) for q in arg])) if arg else every[:0]
 
 
-class Shard:
-    """Postings of one batch of texts, made for a trigram when a query first asks for it."""
+def trigrams(query) -> set[str]:
+    op, arg = query
+    return {arg} if op == "tri" else set().union(*map(trigrams, arg))
+
+
+def code(tri: str) -> int:
+    return int.from_bytes(tri.encode(), "big")
 
-    def __init__(self, texts: list[str]):
-        self.low, self.lists = [t.lower() for t in texts], {}
+
+class Shard:
+    """Inverted index of one batch of texts over lower-cased (ASCII) bytes: for each trigram the sorted positions of the texts
+    that hold it. `named` marks the trigrams to keep (all where it is None)."""
+
+    def __init__(self, texts: list[str], named: np.ndarray | None = None):
+        parts = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        raw = np.frombuffer(b"\xff".join([*parts, b""]), np.uint8)          # a byte that no text holds ends each of them
+        self.texts, found = max(len(texts), 1), [np.zeros(0, np.int64)]
+        for k in range(0, len(raw) - 2, PIECE):
+            b = raw[k: k + PIECE + 2].astype(np.int32)
+            codes = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
+            at = np.arange(len(codes)) if named is None else np.flatnonzero(named[codes])
+            found.append(np.unique(codes[at].astype(np.int64) * self.texts + np.searchsorted(ends, at + k, "right")))
+        self.keys = np.unique(np.concatenate(found))                        # by trigram, then text
 
     def __call__(self, tri: str) -> np.ndarray:
-        if tri not in self.lists:
-            self.lists[tri] = np.array([i for i, t in enumerate(self.low) if tri in t], np.int64)
-        return self.lists[tri]
+        first = code(tri) * self.texts
+        lo, hi = np.searchsorted(self.keys, [first, first + self.texts])
+        return self.keys[lo:hi] - first
+
+
+def prepare(rules=RULES) -> tuple[np.ndarray, list]:
+    """(marks of the trigrams that the queries name, [(rule, query, expression)])."""
+    named, plan = np.zeros(1 << 24, bool), []
+    for r in rules:
+        query = trigram_query(r.pattern)
+        named[[code(t) for t in trigrams(query)]] = True
+        plan.append((r, query, re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.ignore_case else 0))))
+    return named, plan
 
 
-def scan(texts: list[str], rules=RULES) -> list[list[tuple[int, int, str, int, int]]]:
+def scan(texts: list[str], prepared=None) -> list[list[tuple[int, int, str, int, int]]]:
     """For each text its matches (start, rank of the kind, kind, end, start of what a redaction removes), in order."""
-    shard, every, found = Shard(texts), np.arange(len(texts)), [[] for _ in texts]
-    for rank, r in enumerate(rules):
-        at = evaluate(trigram_query(r.pattern), shard, every)
-        regex = re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.ignore_case else 0))
-        for i in at:
+    named, plan = prepared or prepare()
+    shard, every, found = Shard(texts, named), np.arange(len(texts)), [[] for _ in texts]
+    for rank, (r, query, regex) in enumerate(plan):
+        for i in evaluate(query, shard, every):
             for m in regex.finditer(texts[i]):
                 if m.end(r.group) - m.start(r.group) >= r.least:
                     found[i].append((m.start(), rank, r.kind, m.end(), m.start(r.secret)))
@@ -193,10 +222,11 @@ def redact(text: str, spans) -> str:
 
 
 def _rows(batches):
+    prepared = prepare()
     for b in batches:
         texts = [t or "" for t in b["text"]]
         out = []
-        for spans in scan(texts):
+        for spans in scan(texts, prepared):
             base = [s for s in spans if s[2] in BASE]
             kinds = [s[2] for s in base]
             out.append((*(kinds.count(k) for k in BASE), hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(spans)))
