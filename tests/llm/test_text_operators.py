@@ -343,6 +343,26 @@ def test_segments_are_maximal():
         assert all(k in covered for k in np.flatnonzero(x > 0))
 
 
+def test_segment_scan_is_linear_on_falling_runs():
+    """Hits whose sums fall from one to the next leave every segment apart; a last high one then swallows none or all."""
+    x = np.tile([1.0, -1.5], 100_000)
+    assert len(toxicity.segments(x)) == 100_000
+    assert toxicity.segments(np.r_[np.tile([1.0, -0.9], 100_000), 5.0])[0][:2] == (0, 200_001)
+
+
+def test_no_token_of_the_lexicon_is_cut_before_its_corpus_count():
+    rng = np.random.default_rng(11)
+    n_bad, n_good = 2000, 38000
+    y = np.concatenate([rng.integers(5, 40, 300), rng.integers(40, n_bad + 1, 300), [1000, 5, n_bad]]).astype(float)
+    g = np.concatenate([rng.integers(0, 60, 300), rng.integers(0, n_good + 1, 300), [15000, 0, 0]]).astype(float)
+    can = toxicity.can_stand_out(y, g, n_bad, n_good)
+    best = np.full(len(y), -np.inf)
+    for a in np.geomspace(1e-9, toxicity.PRIOR, 5000):
+        odds = np.log((y + a) / np.maximum(n_bad + toxicity.PRIOR - y - a, .5)) - np.log((g + a) / np.maximum(n_good + toxicity.PRIOR - g - a, .5))
+        best = np.maximum(best, odds / np.sqrt(1 / (y + a) + 1 / (g + a)))
+    assert can[best >= toxicity.CLEAR].all() and can[600] and not can[best < toxicity.CLEAR - 1.5].any() and not can.all()
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(6)
     vocab = [f"word{i}" for i in range(300)]
