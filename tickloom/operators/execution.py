@@ -133,13 +133,15 @@ def replay_chase(orders: DataFrame, quotes: DataFrame, on: list[str], schedule=(
     later = q.select(*on, F.col("_s").alias("_m"), F.col("mid").alias("mid_later"))
     d = d.withColumn("_m", F.least(F.col("_s") + markout, F.col("_last"))).join(later, [*on, "_m"], "left")
     sign = F.when(F.col("side") == "BUY", 1).otherwise(-1)
-    cost = sign * (F.col("limit") - F.col("mid0")) / F.col("mid0") * 1e4
+    # a move from a price of zero has no size in basis points: NULL
+    moved = lambda to, base: sign * div(col(to) - F.col(base), base) * 1e4
+    cost = moved("limit", "mid0")
     cross = F.when(F.col("side") == "BUY", F.col("ea")).otherwise(F.col("eb"))
     filled = F.col("limit").isNotNull()
     return d.select("order_id", *on, "side", filled.alias("filled"), F.col("limit").alias("price"),
                     F.when(filled, F.col("_s") - F.col("start")).otherwise(F.col("_e") - F.col("start")).alias("seconds"), "aggr",
-                    cost.alias("cost_bps"), (sign * (F.col("mid_later") - F.col("limit")) / F.col("limit") * 1e4).alias("markout_bps"),
-                    F.when(filled, cost).otherwise(sign * (cross - F.col("mid0")) / F.col("mid0") * 1e4).alias("all_in_bps"))
+                    cost.alias("cost_bps"), moved("mid_later", "limit").alias("markout_bps"),
+                    F.when(filled, cost).otherwise(moved(cross, "mid0")).alias("all_in_bps"))
 
 
 def chase_report(chases: DataFrame, by: list[str]) -> DataFrame:
