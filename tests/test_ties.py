@@ -13,3 +13,11 @@ def test_book_once_takes_the_first_row_of_the_files(spark, tmp_path):
     out("b.parquet", [row(9, float(q)) for q in range(10, 9000)])                   # the larger file is read first
     got = QUERIES["book_once"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [(5, 7.0)]
+
+
+def test_brief_lines_orders_equal_alerts_by_event(spark, tmp_path):
+    n = 200
+    d = pd.DataFrame({"event_id": range(n - 1, -1, -1), "ts": pd.Timestamp("2024-01-01 10:00"), "user_id": 1, "event_type": "a", "value": [50.5 if i % 2 else 49.5 for i in range(n - 1, -1, -1)], "props": "{}"})
+    d.astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    got = QUERIES["brief_lines"](spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [r.line for r in got] == ["a +0.50 {}" if i % 2 else "a -0.50 {}" for i in range(n)]

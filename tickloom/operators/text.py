@@ -265,8 +265,8 @@ def usable_at(published: str, scored: str) -> Column:
     return F.greatest(published, scored)
 
 
-def brief_lines(alerts: DataFrame, day: str, ticker: str, sentiment: str, headline: str) -> DataFrame:
-    """One formatted line per alert, strongest first inside a day."""
-    w = Window.partitionBy(day).orderBy(F.abs(F.col(sentiment)).desc(), ticker, headline)
+def brief_lines(alerts: DataFrame, day: str, ticker: str, sentiment: str, headline: str, tie: tuple[str, ...] = ()) -> DataFrame:
+    """One formatted line per alert, strongest first inside a day; `tie` names the columns that order equal ones."""
+    w = Window.partitionBy(day).orderBy(F.abs(F.col(sentiment)).desc(), ticker, headline, *tie)
     line = F.format_string("%s %+.2f %s", F.col(ticker), F.col(sentiment), F.col(headline))
     return alerts.select(day, F.row_number().over(w).alias("line_no"), line.alias("line"))
