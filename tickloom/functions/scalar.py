@@ -20,6 +20,18 @@ def div(a, b, fallback=None) -> Column:
     return F.coalesce(F.try_divide(c(a), c(b)), F.lit(fallback)) if fallback is not None else F.try_divide(c(a), c(b))
 
 
+def ln(a) -> Column:
+    """Natural logarithm by IEEE rules: -infinity at zero and NaN below, where `F.log` gives NULL."""
+    return F.when(c(a) > 0, F.log(c(a))).when(c(a) == 0, F.lit(float("-inf"))).when(c(a) < 0, F.lit(float("nan")))
+
+
+def ratio(a, b) -> Column:
+    """a / b of doubles by IEEE rules: a signed infinity or NaN over zero, where `/` fails."""
+    n = c(a).cast("double")
+    over = F.when(n > 0, F.lit(float("inf"))).when(n < 0, F.lit(float("-inf"))).when(n == 0, F.lit(float("nan")))
+    return F.when(c(b) == 0, F.when(F.isnan(n), n).otherwise(over)).otherwise(F.try_divide(n, c(b).cast("double")))
+
+
 # ------------------------------------------------------------------ ticks and money
 def round_to_tick(price, tick: str) -> Column:
     """Nearest multiple of the tick, half up, exact decimals."""
