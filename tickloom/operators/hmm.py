@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..series import BLK, RN, Series, kept
-from ..session import checkpointed
+from ..session import at_most, checkpointed
 
 BLOCK = 1 << 16
 FLOOR = 1e-12                      # least variance
@@ -208,7 +208,9 @@ class Chain:
         self.keys, self.n, self.column = s.keys, states, x
         d = s.flat().df.select(*s.keys, F.col(RN), F.expr(f"{RN} div {block}").alias(BLK), F.col(x).cast("double").alias("_x")).where("_x is not null and not isnan(_x)")
         mean = d.groupBy(*s.keys).agg(F.avg("_x").alias("_mean"))        # sums of squares are taken around it
-        self.rows = kept(self._on(d, mean).withColumn("_x", F.col("_x") - F.col("_mean")).repartition(*s.keys, BLK))
+        d = kept(self._on(d, mean).withColumn("_x", F.col("_x") - F.col("_mean")).drop("_mean"))
+        self.parts = max(1, min(d.select(*s.keys, BLK).distinct().count(), int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        self.rows = kept(d.repartition(self.parts, *s.keys, BLK))
         firsts = self.rows.groupBy(*s.keys).agg(F.min(BLK).alias("_first"))
         self.blocks = kept(self._on(self.rows.select(*s.keys, BLK).distinct(), firsts).withColumn("_first", F.col("_first") == F.col(BLK)))
         self.fields = [d.schema[k] for k in s.keys]
@@ -279,6 +281,10 @@ class Chain:
 
         Keys that settled keep their row and are not read again.  Each pass cuts the lineage in the shared folder.
         """
+        with at_most(self.rows.sparkSession, self.parts):
+            return self._passes(limit, tol)
+
+    def _passes(self, limit: int, tol: float) -> DataFrame:
         n = self.n
         open_ = checkpointed(self.start(limit, tol).withColumn("loglik", F.lit(float("-inf"))))
         done = None
@@ -335,8 +341,9 @@ class Chain:
             return pd.DataFrame({RN: v[RN].to_numpy(), "state": path, "filtered": list(b.flat(f)[:, o]), "smoothed": list(b.flat(g)[:, o])})
 
         cols = ((BLK, T.LongType()), ("_first", T.BooleanType()), ("par", _ARR), ("left", _ARR), ("right", _ARR))
-        made = self._blockwise(checkpointed(self.entries(par)), best, *cols, ("_m", _ARR))
-        info = checkpointed(self._keywise(made, combine, *cols, ("score", _ARR), ("last", T.LongType())))
+        with at_most(self.rows.sparkSession, self.parts):
+            made = self._blockwise(checkpointed(self.entries(par)), best, *cols, ("_m", _ARR))
+            info = checkpointed(self._keywise(made, combine, *cols, ("score", _ARR), ("last", T.LongType())))
         return self._blockwise(info, rows, (RN, T.LongType()), ("state", T.LongType()), ("filtered", _ARR), ("smoothed", _ARR))
 
 

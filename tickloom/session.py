@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+@contextmanager
+def at_most(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """No more shuffle partitions than there is work for: each task of an iterative job costs the driver a report."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(1, min(int(before), partitions))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
