@@ -20,8 +20,7 @@ POS = "pos"
 
 def positions(labels: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Position of each label in its key, and the labels of the key (`n`)."""
-    d = index_rows(labels, spec, POS)
-    return d.join(d.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n")), list(spec.keys))
+    return index_rows(labels, spec, POS, "n")
 
 
 def fold_of(pos: Column, n: Column, k: int) -> Column:
