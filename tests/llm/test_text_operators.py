@@ -385,6 +385,24 @@ def test_toxicity(spark):
     assert len(none) == len(rows) and not any(r.predicted for r in none)
 
 
+def test_frequent_weak_words_do_not_hide_short_insults(spark):
+    """Of two languages one holds more of the toxic texts, so all its words lean slightly: long texts in it must not outdo two insults."""
+    rng = np.random.default_rng(8)
+    vocab = [[f"{a}{b}{c}" for a in "bdfgklmnpr" for b in "aeiou"] for c in "xq"]
+    rows, marks = [], []
+    for i in range(4000):
+        bad = i % 5 == 0
+        w = list(rng.choice(vocab[int(rng.random() < (0.35 if bad else 0.6))], int(rng.choice([8, 15, 400]))))
+        if bad and i % 2:
+            w[3:5] = ["vilest", "awfulness"]
+        rows.append((i, " ".join(w)))
+        marks.append((i, int(bad)))
+    d, m = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = [r for r in toxicity.query(d, m).collect() if r.held_out]
+    line = np.quantile([r.score for r in got if r.doc_id % 5], 0.9)
+    assert np.mean([r.score > line for r in got if r.doc_id % 10 == 5]) > 0.9
+
+
 def test_mixing(docs, rows):
     got = mixing.query(docs).collect()
     tokens = collections.Counter()

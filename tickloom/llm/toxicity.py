@@ -2,8 +2,9 @@
 
 Tokens are lower-cased words and, for longer words, their starts and ends of 3 to 6 letters. A token's log-odds between toxic
 and clean documents carry a Dirichlet prior proportional to the token's frequency in the whole corpus; tokens whose log-odds
-stand out by their own standard error form the lexicon, and a word scores the best of its tokens. All other words score
-slightly below zero, so a linear scan finds every maximal-scoring segment of a text. A segment's score is turned into a
+stand out by their own standard error form the lexicon, and a word scores the best of its tokens. All words are lowered by as
+much as makes clean texts lose score on the whole, so a linear scan finds every maximal-scoring segment of a text and only
+passages that stand out of clean texts are long ones. A segment's score is turned into a
 p-value by an extreme-value (Gumbel) fit to clean documents, corrected for text length; the surprise of a document's
 segments adds up, and a logistic curve fitted on the training labels maps it to a probability.
 
@@ -19,18 +20,21 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 SAMPLE = 40_000               # most labelled rows that are fitted on
 LEXICON = 20_000              # most tokens in the lexicon, the clearest first
 LEAST = 5                     # toxic documents a token must occur in
 CLEAR = 4.0                   # standard errors that a lexicon token's log-odds lie above zero
 PRIOR = 200.0                 # weight of the prior, in documents
-REACH = 40                    # words without a lexicon token that undo a typical lexicon word
+REACH = 40                    # at most so many words without a lexicon token undo a typical lexicon word
 BINS = 400
 WORD = re.compile(r"[^\W\d_]+")
 KEPT_WORDS = 300_000
@@ -46,7 +50,7 @@ def tokens(word: str) -> list[str]:
 @dataclass
 class Model:
     lexicon: dict[str, float] = field(default_factory=dict)
-    gap: float = -1.0                    # score of a word outside the lexicon
+    gap: float = -1.0                    # score of a word outside the lexicon, the drop of every word
     rate: float = 1.0                    # 1 / scale of the Gumbel law of the best segment
     shift: float = 0.0                   # its place for a text of one word
     slope: float = 0.0
@@ -60,20 +64,17 @@ class Affixes(dict):
         super().__init__()
         self.combine, self.none = combine, none
         self.whole = {t: v for t, v in table.items() if "*" not in t}
-        starts = {t[:-1]: v for t, v in table.items() if t.endswith("*")}
-        ends = {t[1:]: v for t, v in table.items() if t.startswith("*")}
-        self.starts = [(k, {t: v for t, v in starts.items() if len(t) == k}) for k in sorted({len(t) for t in starts})]
-        self.ends = [(k, {t: v for t, v in ends.items() if len(t) == k}) for k in sorted({len(t) for t in ends})]
+        self.starts = {t[:-1]: v for t, v in table.items() if t.endswith("*")}
+        self.ends = {t[1:]: v for t, v in table.items() if t.startswith("*")}
 
     def __missing__(self, word: str):
+        starts, ends, n = self.starts, self.ends, len(word)
         found = [self.whole[word]] if word in self.whole else []
-        n = len(word)
-        for k, d in self.starts:
-            if k < n and word[:k] in d:
-                found.append(d[word[:k]])
-        for k, d in self.ends:
-            if k < n and word[n - k:] in d:
-                found.append(d[word[n - k:]])
+        for k in range(3, min(7, n)):
+            if (t := word[:k]) in starts:
+                found.append(starts[t])
+            if (t := word[n - k:]) in ends:
+                found.append(ends[t])
         out = self.combine(found) if found else self.none
         if len(self) < KEPT_WORDS:
             self[word] = out
@@ -86,13 +87,13 @@ def scores(m: Model) -> Affixes:
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score) in one pass over the runs of equal sign."""
-    hits = np.flatnonzero(scores > 0)
+    up = np.concatenate(([False], scores > 0, [False]))
+    starts, ends = np.flatnonzero(~up[:-1] & up[1:]), np.flatnonzero(up[:-1] & ~up[1:])
     sums = np.concatenate(([0.0], np.cumsum(scores)))
     # start, end, sum before it, sum after it, nearest earlier segment that starts lower: with that link no segment is looked
     # at twice, so the scan is linear
     held: list[tuple[int, int, float, float, int]] = []
-    for i in hits:
-        s, e, low, high = int(i), int(i) + 1, float(sums[i]), float(sums[i + 1])
+    for s, e, low, high in zip(starts.tolist(), ends.tolist(), sums[starts].tolist(), sums[ends].tolist()):
         k = len(held) - 1
         while True:
             while k >= 0 and held[k][2] >= low:
@@ -132,10 +133,10 @@ def word_list(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def surprise(found: list[tuple[int, int, float]], n: int, m: Model) -> float:
-    """Sum over segments of -log p, p the chance that a clean text of n words has a segment of this score or more."""
+def surprise(found: list[float], n: int, m: Model) -> float:
+    """Sum over segment scores of -log p, p the chance that a clean text of n words has a segment of this score or more."""
     total = 0.0
-    for _, _, s in found:
+    for s in found:
         z = m.rate * s - math.log1p(n) - m.shift
         total += -math.log(max(-math.expm1(-math.exp(min(50.0, -z))), 1e-300))
     return total
@@ -143,14 +144,13 @@ def surprise(found: list[tuple[int, int, float]], n: int, m: Model) -> float:
 
 def _counts(rows: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """(token, n): documents that hold each token, of all tokens or of those wanted; the token '' counts documents."""
-    def run(batches):
+    def every(batches):
         total: Counter = Counter()
-        known = None if wanted is None else Affixes({t: t for t in wanted}, tuple, ())
         for b in batches:
             for t in b["text"]:
                 seen = set()
                 for w in set(word_list(t)):
-                    seen.update(tokens(w) if known is None else known[w])
+                    seen.update(tokens(w))
                 total.update(seen)
             total[""] += len(b)
             if len(total) > 2_000_000:
@@ -159,6 +159,19 @@ def _counts(rows: DataFrame, wanted: list[str] | None = None) -> DataFrame:
         if total:
             yield pd.DataFrame(total.items(), columns=["token", "n"])
 
+    def known(batches):
+        # a word's wanted tokens are an array of their numbers
+        numbers = Affixes({t: i for i, t in enumerate(wanted)}, partial(np.array, dtype=np.int32), np.empty(0, np.int32))
+        total, n = np.zeros(len(wanted), np.int64), 0
+        for b in batches:
+            for t in b["text"]:
+                if found := [numbers[w] for w in set(word_list(t))]:
+                    total[np.unique(np.concatenate(found))] += 1
+            n += len(b)
+        held = np.flatnonzero(total)
+        yield pd.DataFrame({"token": ["", *map(wanted.__getitem__, held)], "n": np.concatenate(([n], total[held]))})
+
+    run = every if wanted is None else known
     return rows.select("text").mapInPandas(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
@@ -196,15 +209,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not found:
         return Model()
     lexicon = {t: odds for _, t, odds in found}
-    m = Model(lexicon, -float(np.median(list(lexicon.values()))) / REACH)
+    m = drifting_down(Model(lexicon, -float(np.median(list(lexicon.values()))) / REACH), rows.where("toxic = 0"))
     # extreme-value law of the best segment of clean texts, by moments
-    best = rows.mapInPandas(_best(m), "toxic int, n int, best double")
+    best = written(rows.mapInPandas(_found(m), "toxic int, n int, best double, found array<double>"))     # of the bounded sample
     r = best.where("toxic = 0 and best > 0").agg(F.stddev("best").alias("sd"), F.avg("best").alias("mean"), F.avg(F.log1p("n")).alias("len")).first()
     sd = r["sd"] if r["sd"] and r["sd"] > 1e-6 else 1.0
     m.rate = math.pi / (math.sqrt(6) * sd)
     m.shift = m.rate * (r["mean"] or 0.0) - 0.5772 - (r["len"] or 0.0)
     # logistic curve over the binned surprise
-    bins = (rows.select("toxic", evidence(m, F.col("text")).alias("x"))
+    told = F.pandas_udf(lambda found, n: pd.Series([surprise(f, k, m) for f, k in zip(found, n)], dtype=float), "double")
+    bins = (best.select("toxic", told("found", "n").alias("x"))
             .groupBy("toxic", F.least(F.floor(F.log1p("x") * 50), F.lit(BINS)).alias("bin")).count().collect())
     x = np.array([(b["bin"] + 0.5) / 50 for b in bins])
     y, k = np.array([float(b["toxic"]) for b in bins]), np.array([float(b["count"]) for b in bins])
@@ -220,15 +234,33 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return m
 
 
-def _best(m: Model):
+def drifting_down(m: Model, clean: DataFrame) -> Model:
+    """The model with all words lowered so far that clean texts lose score on the whole.
+
+    Where lexicon words are frequent, a gap by their median alone is made up for by weak ones: texts drift upwards, whole texts
+    become one segment and length decides. The drop is twice the mean score a word that all but 1 % of clean texts keep below.
+    """
+    def gains(batches):
+        table = Affixes(m.lexicon, max, 0.0)
+        for b in batches:
+            words = [w for w in map(word_list, b["text"]) if w]
+            yield pd.DataFrame({"gain": [sum(map(table.__getitem__, w)) / len(w) for w in words]}, dtype=float)
+
+    usual = clean.select("text").mapInPandas(gains, "gain double").agg(F.percentile_approx("gain", 0.99, 10_000).alias("q")).first()["q"] or 0.0
+    drop = max(2.0 * usual, -m.gap)
+    return Model({t: odds - drop for t, odds in m.lexicon.items() if odds > drop}, -drop)
+
+
+def _found(m: Model):
     def run(batches):
         table = scores(m)
         for b in batches:
             out = []
             for t, y in zip(b["text"], b["toxic"]):
                 s = list(map(table.__getitem__, word_list(t)))
-                out.append((y, len(s), max(x for *_, x in segments(np.array(s))) if s and max(s) > 0 else 0.0))
-            yield pd.DataFrame(out, columns=["toxic", "n", "best"])
+                found = [x for *_, x in segments(np.array(s))] if s and max(s) > 0 else []
+                out.append((y, len(s), max(found, default=0.0), found))
+            yield pd.DataFrame(out, columns=["toxic", "n", "best", "found"])
     return run
 
 
@@ -245,7 +277,7 @@ def evidence(m: Model, text: Column) -> Column:
         table, out = shared_scores(m), []
         for t in texts:
             s = list(map(table.__getitem__, word_list(t)))
-            out.append(surprise(segments(np.array(s)), len(s), m) if s and max(s) > 0 else 0.0)
+            out.append(surprise([x for *_, x in segments(np.array(s))], len(s), m) if s and max(s) > 0 else 0.0)
         return pd.Series(out, dtype=float)
     return udf(text)
 
