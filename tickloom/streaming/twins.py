@@ -20,6 +20,7 @@ from ..paths import reflected_alarms, trailing
 from ..session import ROCKSDB, shared_folder
 
 _STATE = T.StructType([T.StructField("v", T.ArrayType(T.DoubleType()))])
+SLICE = 1 << 16               # rows a step is given at once
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -38,14 +39,19 @@ class Scan(StatefulProcessor):
         self.state = handle.getValueState("state", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        # columns without an index or a sorted copy; the step sees slices, so what it makes of them is bounded
+        parts: dict[str, list[np.ndarray]] = {}
+        for pdf in rows:
+            for c in pdf.columns:
+                parts.setdefault(c, []).append(pdf[c].to_numpy())
+        cols = {c: np.concatenate(parts.pop(c)) for c in list(parts)}
+        at = np.lexsort([cols[c] for c in reversed(self.order)])
         st = list(self.state.get()[0]) if self.state.exists() else list(self.init0)
-        out, st = self.step({c: pdf[c].to_numpy() for c in pdf.columns}, st)
+        for i in range(0, len(at), SLICE):
+            part = {c: v[at[i:i + SLICE]] for c, v in cols.items()}
+            out, st = self.step(part, st)
+            yield pd.DataFrame({**{c: part[c] for c in self.keep}, **{n: out[n] for n in self.outputs}})
         self.state.update(([float(x) for x in st],))
-        res = pdf[self.keep].copy()
-        for n in self.outputs:
-            res[n] = out[n]
-        yield res
 
     def close(self) -> None:
         pass
