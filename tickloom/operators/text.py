@@ -22,9 +22,8 @@ INJECTION = (r"ignore (all )?(previous|prior|above) instructions", r"system (pro
 
 
 def tokens(text, stop=STOPWORDS) -> Column:
-    """Lowercase alphanumeric tokens without stop words, repeats kept; one regular expression does both."""
-    skip = f"(?!(?:{'|'.join(stop)})(?![a-z0-9]))" if stop else ""
-    return F.regexp_extract_all(F.lower(col(text)), F.lit(f"(?<![a-z0-9]){skip}[a-z0-9]+"), F.lit(0))
+    """Lowercase alphanumeric tokens without stop words, repeats kept."""
+    return F.filter(F.split(F.lower(col(text)), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*stop) if stop else w != "")
 
 
 def lexicon_clauses(text, positive: list[str], negative: list[str], window=2) -> Column:
@@ -113,46 +112,69 @@ def chunk_filings(df: DataFrame, doc: str, text: str, meta: list[str], max_words
 
 
 # ---------------------------------------------------------------- retrieval
-def postings(docs: DataFrame, doc: str, text: str, scope: list[str], terms: DataFrame | None = None) -> DataFrame:
-    """(scope, doc, len, term, tf): one row per distinct term of a document, for the wanted terms only where given.
-
-    Terms nobody asks for are dropped by a semi join before anything is shuffled by document.
-    """
-    t = docs.select(*scope, doc, tokens(text).alias("_t")).select(*scope, doc, F.size("_t").alias("len"), F.explode("_t").alias("term"))
-    if terms is not None:
-        t = t.join(terms, [*scope, "term"], "left_semi")
-    return t.groupBy(*scope, doc, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25(queries: DataFrame, query: str, qtext: str, docs: DataFrame, doc: str, text: str, scope: list[str], as_of: tuple[str, str] | None = None, k1=1.5, b=0.75) -> DataFrame:
-    """Okapi scores (query, doc, score) of documents that share a term with the query.
+def bm25_top_k(queries: DataFrame, query: str, qtext: str, docs: DataFrame, doc: str, text: str, scope: list[str], k: int, as_of: tuple[str, str] | None = None, k1=1.5, b=0.75, block=4096, words=1 << 21) -> DataFrame:
+    """The k best documents by Okapi score per query: (query, doc, score, rank), of documents that share a term with it, ties by id.
 
     Statistics belong to the documents a query may see: its scope and, with `as_of` = (query time, document time), only
-    documents filed by then.  Without as_of they are per scope; with it the document counts per (query, term) come from
-    the joined postings.
+    documents filed by then.  Documents are tokenized once and stay one row each, with their terms as 64-bit numbers.  They are
+    dealt to blocks of about `block` rows or `words` words; a block meets the weighted terms of its queries in one task and
+    leaves k candidates per query, so no (query, document) pair is ever a shuffled row.
     """
-    q = queries.select(*scope, query, *([as_of[0]] if as_of else []), F.explode(tokens(qtext)).alias("term")).groupBy(*scope, query, *([as_of[0]] if as_of else []), "term").agg(F.count(F.lit(1)).alias("qf"))
-    p = kept(postings(docs, doc, text, scope, q.select(*scope, "term").distinct()))
-    size = docs.select(*scope, doc, *([as_of[1]] if as_of else []), F.size(tokens(text)).alias("len"))
+    asked, filed = ([as_of[0]], [as_of[1]]) if as_of else ([], [])
+    numbers = lambda c: F.transform(tokens(c), lambda w: F.xxhash64(w))
+    q = queries.select(*scope, query, *asked, F.explode(numbers(qtext)).alias("term")).groupBy(*scope, query, *asked, "term").agg(F.count(F.lit(1)).alias("qf"))
+    t = kept(docs.select(*scope, F.col(doc).alias("_id"), *filed, F.coalesce(numbers(text), F.array().cast("array<long>")).alias("_t")).withColumn("len", F.size("_t")))
+    wanted = q.select(*scope, "term").distinct()
+    held = t.select(*scope, *filed, F.explode(F.array_distinct("_t")).alias("term")).join(wanted, [*scope, "term"], "left_semi").groupBy(*scope, *filed, "term").agg(F.count(F.lit(1)).alias("n"))
     if as_of:
-        when = docs.select(doc, as_of[1])
         # what a query may see is a prefix of its scope in filing order: running totals, then one as-of join
-        per = size.groupBy(*scope, as_of[1]).agg(F.count(F.lit(1)).alias("_c"), F.sum("len").alias("_w"))
+        per = t.groupBy(*scope, *filed).agg(F.count(F.lit(1)).alias("_c"), F.sum("len").alias("_w"))
         run = Series.of(per, SeriesSpec(tuple(scope), (as_of[1],), f"unix_micros({as_of[1]}) div 86400000000")).running({"_cn": ("sum", F.col("_c")), "_cw": ("sum", F.col("_w"))}).done()
         stat = asof_join(queries.select(*scope, query, as_of[0]), run.select(*scope, as_of[1], F.col("_cn").alias("_n1"), F.col("_cw").alias("_w1")), scope, as_of[0], as_of[1], ["_n1", "_w1"], bucket_us=30 * 86_400_000_000)
         stat = stat.select(query, F.col("_n1").alias("_N"), (F.col("_w1") / F.col("_n1")).alias("avgdl"))
-        j = q.join(p, [*scope, "term"]).join(when, doc).where(F.col(as_of[1]) <= F.col(as_of[0]))
-        df_ = j.groupBy(query, "term").agg(F.count(F.lit(1)).alias("n"))
-        j = j.join(df_, [query, "term"]).join(stat, query)
+        seen = q.join(held, [*scope, "term"]).where(F.col(as_of[1]) <= F.col(as_of[0])).groupBy(query, "term").agg(F.sum("n").alias("n"))
+        j = q.join(seen, [query, "term"]).join(stat, query)
     else:
-        stat = size.groupBy(*scope).agg(F.count(F.lit(1)).alias("_N"), F.avg("len").alias("avgdl"))
-        df_ = p.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("n"))
-        j = q.join(df_, [*scope, "term"]).join(p, [*scope, "term"])
+        stat = t.groupBy(*scope).agg(F.count(F.lit(1)).alias("_N"), F.avg("len").alias("avgdl"))
+        j = q.join(held, [*scope, "term"])
         j = j.join(stat, scope) if scope else j.crossJoin(F.broadcast(stat))
     idf = F.log((F.col("_N") - F.col("n") + 0.5) / (F.col("n") + 0.5) + 1)
-    f = F.col("tf")
-    s = F.col("qf") * idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    return j.groupBy(query, doc).agg(F.sum(s).alias("score"))
+    j = j.select(*scope, F.col(query).alias("_q"), *asked, "term", "avgdl", (F.col("qf") * idf * (k1 + 1)).alias("_w"))
+    size = t.groupBy(*scope).agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("len") / words, F.lit(1.0))).alias("_n"))
+    meet = lambda d: d.join(size, scope) if scope else d.crossJoin(F.broadcast(size))
+    left = meet(t).withColumn("_b", F.pmod(F.xxhash64("_id"), "_n")).drop("_n")
+    right = meet(j).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))).drop("_n")
+
+    def best(d, w):
+        # postings of the block in order of term, then one sum over documents per query
+        known = np.unique(w["term"])
+        term, at = np.concatenate([np.empty(0, np.int64), *d["_t"]]), np.repeat(np.arange(len(d)), d["len"])
+        i = np.searchsorted(known, term)
+        asked_for = known[np.minimum(i, len(known) - 1)] == term if len(known) else np.zeros(len(term), bool)
+        code, tf = np.unique(i[asked_for] * max(len(d), 1) + at[asked_for], return_counts=True)
+        term, row = known[code // max(len(d), 1)], code % max(len(d), 1)
+        ids, length = d["_id"].to_numpy(), d["len"].to_numpy(float)
+        out = []
+        for name, g in w.sort_values(["_q", "term"]).groupby("_q", sort=False):
+            lo, hi = np.searchsorted(term, g["term"], "left"), np.searchsorted(term, g["term"], "right")
+            n = hi - lo
+            pick = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            r, f = row[pick], tf[pick]
+            s = np.repeat(g["_w"].to_numpy(), n) * f / (f + k1 * (1 - b + b * length[r] / g["avgdl"].iloc[0]))
+            if as_of:
+                ok = (d[as_of[1]] <= g[as_of[0]].iloc[0]).to_numpy()[r]
+                r, s = r[ok], s[ok]
+            hit = np.flatnonzero(np.bincount(r, minlength=len(d)))
+            score = np.bincount(r, s, len(d))[hit]
+            if len(hit) > k:
+                near = score >= np.partition(score, len(hit) - k)[len(hit) - k]
+                hit, score = hit[near], score[near]
+            o = np.lexsort((ids[hit], -score))[:k]
+            out.append(pd.DataFrame({query: name, doc: ids[hit][o], "score": score[o]}))
+        return pd.concat(out) if out else pd.DataFrame({query: [], doc: [], "score": []})
+
+    sch = T.StructType([T.StructField(query, queries.schema[query].dataType), T.StructField(doc, docs.schema[doc].dataType), T.StructField("score", T.DoubleType())])
+    return top_k(left.groupBy(*scope, "_b").cogroup(right.groupBy(*scope, "_b")).applyInPandas(best, sch), query, doc, k)
 
 
 def top_k(scores: DataFrame, query: str, doc: str, k: int, score="score") -> DataFrame:
@@ -172,21 +194,32 @@ def dense_top_k(queries: DataFrame, query: str, qvec: str, docs: DataFrame, doc:
     def packed(df, key, vec, side):
         n = df.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / block).alias("_n")) if scope else df.agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
         d = df.join(n, scope) if scope else df.crossJoin(F.broadcast(n))
-        d = d.select(*scope, F.pmod(F.xxhash64(key), F.greatest("_n", F.lit(1))).alias("_b"), F.struct(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec")).alias("_r"))
-        return d.groupBy(*scope, "_b").agg(F.collect_list("_r").alias(side)).drop("_b")
+        d = d.select(*scope, F.pmod(F.xxhash64(key), F.greatest("_n", F.lit(1))).alias("_b"), F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec"))
+        fields = [*[kinds[c] for c in scope], T.ArrayType(kinds[key]), T.BinaryType()]
+        sch = T.StructType([T.StructField(c, f) for c, f in zip([*scope, f"{side}i", f"{side}v"], fields)])
+
+        def pack(g):
+            # vectors as bytes: no Python number for each coordinate
+            return pd.DataFrame({**{c: g[c].iloc[:1] for c in scope}, f"{side}i": [g["key"].to_numpy()], f"{side}v": [np.stack(g["vec"].to_list()).astype(float).tobytes()]})
+        return d.groupBy(*scope, "_b").applyInPandas(pack, sch)
 
     def best(batches):
         for b in batches:
-            for q, d in zip(b["_q"], b["_d"]):
-                ids, names = np.array([r["key"] for r in d]), [r["key"] for r in q]
-                g = np.array([r["vec"] for r in q], float) @ np.array([r["vec"] for r in d], float).T
-                order = np.lexsort((np.broadcast_to(ids, g.shape), -g), axis=1)[:, :k]
-                yield pd.DataFrame({query: np.repeat(names, order.shape[1]), doc: ids[order].ravel(), "score": np.take_along_axis(g, order, 1).ravel()})
+            for qi, qv, di, dv in zip(b["_qi"], b["_qv"], b["_di"], b["_dv"]):
+                names, ids = np.asarray(qi), np.asarray(di)
+                g = np.frombuffer(qv).reshape(len(names), -1) @ np.frombuffer(dv).reshape(len(ids), -1).T
+                h = np.where(np.isnan(g), -np.inf, g)
+                row, at = np.nonzero(h >= np.partition(h, -k, axis=1)[:, -k, None]) if len(ids) > k else np.indices(h.shape).reshape(2, -1)
+                o = np.lexsort((ids[at], -h[row, at], row))
+                row, at = row[o], at[o]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, at = row[first], at[first]
+                yield pd.DataFrame({query: names[row], doc: ids[at], "score": g[row, at]})
 
     a, z = packed(queries, query, qvec, "_q"), packed(docs, doc, dvec, "_d")
     pairs = a.join(z, scope) if scope else a.crossJoin(z)            # blocks of a stated query set against blocks of all rows
     sch = T.StructType([T.StructField(query, kinds[query]), T.StructField(doc, kinds[doc]), T.StructField("score", T.DoubleType())])
-    return top_k(pairs.select("_q", "_d").mapInPandas(best, sch), query, doc, k)
+    return top_k(pairs.select("_qi", "_qv", "_di", "_dv").mapInPandas(best, sch), query, doc, k)
 
 
 def rank_fusion(rankings: list[DataFrame], query: str, doc: str, k=60) -> DataFrame:
@@ -209,15 +242,47 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, query: str, doc: s
 
 
 def lsa_vectors(docs: DataFrame, doc: str, text: str, dim=16, features=4096) -> DataFrame:
-    """TF-IDF projected on its leading directions (distributed PCA on hashed terms), unit length."""
-    from pyspark.ml.feature import IDF, PCA, HashingTF
+    """TF-IDF of hashed terms projected on its leading principal directions, unit length.
+
+    Documents are tokenized once and kept as sparse counts.  Tasks add up products of batches of counts (whole numbers, so in
+    any order the same); the driver receives the sums (`features` squared numbers), weights them and takes the directions from a
+    symmetric eigenvalue solver, which always converges.
+    """
+    from pyspark.ml.feature import HashingTF
     from pyspark.ml.functions import vector_to_array
-    t = docs.select(doc, tokens(text).alias("_t"))
-    tf = HashingTF(numFeatures=features, inputCol="_t", outputCol="_tf").transform(t)
-    x = IDF(inputCol="_tf", outputCol="_x").fit(tf).transform(tf)
-    v = PCA(k=dim, inputCol="_x", outputCol="_v").fit(x).transform(x).select(doc, vector_to_array("_v").alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b))
-    return v.withColumn("v", F.transform("v", lambda e: F.coalesce(F.try_divide(e, norm), F.lit(0.0))))
+    t = docs.select(doc, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("_t"))
+    t = kept(HashingTF(numFeatures=features, inputCol="_t", outputCol="_tf").transform(t).select(doc, "_tf"))
+    counts = vector_to_array("_tf", "float32")
+
+    def slices(lists):
+        return (np.stack(lists[i:i + 1024]).astype(float) for i in range(0, len(lists), 1024))
+
+    def products(batches):
+        total = np.zeros((features + 3, features))            # products, then sums, documents that hold a term, documents
+        for b in batches:
+            for x in slices(b["c"].to_list()):
+                total[:-3] += x.T @ x
+                total[-3:] += np.stack([x.sum(axis=0), (x > 0).sum(axis=0), np.full(features, len(x))])
+        yield pd.DataFrame({"i": np.arange(features + 3), "v": list(map(np.ndarray.tobytes, total))})
+
+    def added(g):
+        return pd.DataFrame({"i": g["i"].iloc[:1], "v": [sum(map(np.frombuffer, g["v"])).tobytes()]})
+
+    sums = {r["i"]: np.frombuffer(r["v"]) for r in t.select(counts.alias("c")).mapInPandas(products, "i int, v binary").groupBy("i").applyInPandas(added, "i int, v binary").collect()}
+    lead = np.zeros((features, dim))
+    if sums and sums[features + 2][0] > 1:
+        total, held, n = sums[features], sums[features + 1], sums[features + 2][0]
+        idf = np.log((n + 1) / (held + 1))
+        cov = (np.stack([sums[i] for i in range(features)]) - np.outer(total, total) / n) * np.outer(idf, idf) / (n - 1)
+        lead = idf[:, None] * np.linalg.eigh(cov)[1][:, ::-1][:, :dim]
+
+    @F.pandas_udf("array<double>")
+    def project(lists: pd.Series) -> pd.Series:
+        v = np.concatenate([np.empty((0, dim)), *[x @ lead for x in slices(lists.to_list())]])
+        size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return pd.Series(list(np.divide(v, size, out=np.zeros_like(v), where=size > 0)))
+
+    return t.select(doc, project(counts).alias("v"))
 
 
 def faithfulness(claims: DataFrame, docs: DataFrame, answer: str, claim: str, text="text", title="title", cited="cited", doc_title="title", doc_text="doc_text") -> DataFrame:
