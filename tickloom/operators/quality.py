@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import div
 from ..series import Series, col
-from .patterns import robust_z
+from .patterns import frame_medians, robust_z
 
 BAR_RULES = ("not increasing", "duplicate timestamps", "high below open/close", "low above open/close", "negative volume")
 
@@ -51,11 +52,11 @@ def stale_gaps(s: Series, max_gap: float, ts="ts") -> DataFrame:
 
 
 def bad_ticks(s: Series, x="price", window=21, stream=500, threshold=8.0) -> Series:
-    """Deviation from the centred median, then a robust z over earlier deviations."""
+    """Deviation from the centred median (none from a median of zero), then a robust z over earlier deviations."""
     h = window // 2
     s = s.ready([x], stream + h, h)
-    med = F.percentile(col(x), 0.5).over(s.rows(-h, h))
-    s = s.add(_dev=col(x) / med - 1, back=h, uses=[x])
+    s = frame_medians(s, x, {"_med": (-h, h)})
+    s = s.add(_dev=div(col(x), F.col("_med")) - 1, back=h, uses=[x]).drop("_med")
     return robust_z(s, "_dev", stream, 50, threshold, "bad").drop("_dev", "bad").add(
         bad_tick=F.col("bad_flag")).drop("bad_flag")
 
