@@ -6,22 +6,22 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import div, session_date
 from ..scan import states
-from ..series import RN, Series, SeriesSpec
+from ..series import RN, Series, SeriesSpec, kept, running_in_buckets
 
 
 # ---------------------------------------------------------------- FIFO lots
-def _lots(fills: DataFrame, spec: SeriesSpec, qty="qty") -> Series:
+def _lots(fills: DataFrame, spec: SeriesSpec, qty="qty") -> DataFrame:
     """Split every fill in a closing and an opening part and place both on cumulative quantity axes per side."""
-    s = Series.of(fills, spec).running({"_pos": ("sum", F.col(qty))})
+    d = running_in_buckets(fills, spec, {RN: F.lit(1), "_pos": F.col(qty)}).withColumn(RN, F.col(RN) - 1)
     prev = F.col("_pos") - F.col(qty)
     opposite = (F.signum(prev) * F.signum(qty)) < 0
     close = F.when(opposite, F.least(F.abs(F.col(qty)), F.abs(prev))).otherwise(F.abs(F.col(qty)) * 0)
-    s = s.add(_close=close).add(_open=F.abs(F.col(qty)) - F.col("_close"))
+    d = kept(d.withColumn("_close", close).withColumn("_open", F.abs(F.col(qty)) - F.col("_close")).drop("_pos"))
     up = F.col(qty) > 0
     # a buy opens long lots and closes short ones
-    s = s.running({"_ol": ("sum", F.when(up, F.col("_open"))), "_os": ("sum", F.when(~up, F.col("_open"))),
-                   "_cl": ("sum", F.when(~up, F.col("_close"))), "_cs": ("sum", F.when(up, F.col("_close")))})
-    return s
+    return running_in_buckets(d, spec, {
+        "_ol": F.when(up, F.col("_open")), "_os": F.when(~up, F.col("_open")),
+        "_cl": F.when(~up, F.col("_close")), "_cs": F.when(up, F.col("_close"))}, [RN]).drop("_tb")
 
 
 def fifo_match(fills: DataFrame, spec: SeriesSpec, qty="qty", price="price", per_bucket=16) -> DataFrame:
@@ -32,9 +32,9 @@ def fifo_match(fills: DataFrame, spec: SeriesSpec, qty="qty", price="price", per
     equality join with a residual, whatever the size of a symbol.
     """
     keys = list(spec.keys)
-    s = _lots(fills, spec, qty).shared()
-    d = s.df.drop("_blk")
-    d = d.join(d.groupBy(*keys).agg((F.avg(F.abs(F.col(qty))) * per_bucket).cast("double").alias("_w")), keys)
+    fills = fills.select(*dict.fromkeys([*keys, "ts", *spec.order, qty, price]))
+    width = fills.groupBy(*keys).agg((F.avg(F.abs(F.col(qty))) * per_bucket).cast("double").alias("_w"))
+    d = kept(_lots(fills, spec, qty).join(width, keys))
     up = F.col(qty) > 0
     opens = d.where(F.col("_open") > 0).select(
         *keys, "_w", F.when(up, 1).otherwise(-1).alias("side"), F.col(RN).alias("open_rn"), F.col(price).alias("open_price"),
@@ -71,7 +71,7 @@ def realized_pnl(fills: DataFrame, spec: SeriesSpec, multiplier=1, tz: str | Non
 def open_lots(fills: DataFrame, spec: SeriesSpec, qty="qty", price="price") -> DataFrame:
     """What is left of every opening fill after all closes."""
     keys = list(spec.keys)
-    d = _lots(fills, spec, qty).df
+    d = _lots(fills, spec, qty)
     tot = d.groupBy(*keys).agg(F.max("_cl").alias("_tl"), F.max("_cs").alias("_ts"))
     up = F.col(qty) > 0
     d = d.where(F.col("_open") > 0).join(tot, keys)
