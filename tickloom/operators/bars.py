@@ -244,6 +244,17 @@ def weekly_decisions(inside: DataFrame, incidents: DataFrame, by: list[str]) ->
     return d.withColumn("decision", F.when((s < 0.5) | (i >= 2), "demote").when((s == 1.0) & (i == 0), "scale").otherwise("hold"))
 
 
+def largest_remainder_profile(orders: DataFrame, weights: str, qty: str, seq="slice", out="child") -> DataFrame:
+    """`largest_remainder` where each order brings its profile as an array: one row per slice, without an exchange or a sort."""
+    total = F.aggregate(F.transform(weights, lambda w: w.cast("double")), F.lit(0.0), lambda a, w: a + w)
+    raw = F.transform(weights, lambda w: F.col(qty) * w / F.col("_total"))
+    ranked = F.array_sort(F.transform("_raws", lambda x, i: F.struct((F.floor(x) - x).alias("f"), i.cast("int").alias("seq"), F.floor(x).alias("base"))))
+    d = orders.withColumn("_total", total).withColumn("_raws", raw)
+    d = d.withColumn("_left", F.col(qty) - F.aggregate("_raws", F.lit(0).cast("bigint"), lambda a, x: a + F.floor(x)))
+    d = d.select(*orders.columns, "_left", F.posexplode(ranked).alias("_rank", "_s"))
+    return d.select(*orders.columns, F.col("_s.seq").alias(seq), (F.col("_s.base") + (F.col("_rank") < F.col("_left")).cast("int")).alias(out))
+
+
 def largest_remainder(df: DataFrame, order: str, weight: str, qty: str, seq: str, out="child") -> DataFrame:
     """Integer sizes in proportion to a profile; the rest goes to the largest fractions, earlier rows first on ties."""
     w = Window.partitionBy(order)

@@ -47,13 +47,17 @@ def breakevens(grid: DataFrame, by: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- schedules
+def twap_size(qty: str, slices: int, slice="slice") -> Column:
+    """Shares of one slice of an equal split, the remainder one each to the first slices."""
+    base = F.floor(F.col(qty) / slices)
+    return (base + (F.col(slice) < F.col(qty) - base * slices).cast("int")).cast("bigint")
+
+
 def twap(orders: DataFrame, qty: str, slices: int, start: str, end: str) -> DataFrame:
     """Equal integer slices, the remainder one share each to the first slices."""
-    base = F.floor(F.col(qty) / slices)
     d = orders.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     at = F.unix_micros(start) + ((F.unix_micros(end) - F.unix_micros(start)) * F.col("slice") / slices).cast("bigint")
-    return d.withColumn("at", F.timestamp_micros(at)).withColumn(
-        "child", (base + (F.col("slice") < F.col(qty) - base * slices).cast("int")).cast("bigint"))
+    return d.withColumn("at", F.timestamp_micros(at)).withColumn("child", twap_size(qty, slices))
 
 
 def pov(session: DataFrame, spec: SeriesSpec, qty: str, volume: str, participation=0.1) -> DataFrame:
@@ -77,15 +81,21 @@ def almgren_chriss(orders: DataFrame, n: int, qty="qty", sigma="sigma", eta="eta
     return d.withColumn("child", F.when(k < 1e-9, F.col(qty) / n).otherwise(left(j) - left(j + 1)))
 
 
-def cost_moments(children: DataFrame, by: list[str], sigma="sigma", eta="eta", gamma="gamma", child="child", order="slice") -> DataFrame:
-    """Mean and variance of the cost of a schedule (permanent and temporary impact, price risk of what remains)."""
-    w = Window.partitionBy(*by).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    d = children.withColumn("_left", F.coalesce(F.sum(child).over(w), F.lit(0.0)))
-    tot = F.sum(child)
-    g = d.groupBy(*by).agg(
-        (F.first(gamma) / 2 * tot * tot + (F.first(eta) - F.first(gamma) / 2) * F.sum(F.col(child) * F.col(child))).alias("mean"),
-        (F.first(sigma) * F.first(sigma) * F.sum(F.col("_left") * F.col("_left"))).alias("variance"))
-    return g
+def cost_moments(schedules: DataFrame, by: list[str], sigma="sigma", eta="eta", gamma="gamma", child="child") -> DataFrame:
+    """Mean and variance of the cost of a schedule (permanent and temporary impact, price risk of what remains).
+
+    One row per schedule; `child` is the array of its sizes in slice order, so nothing is sorted or exchanged."""
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("sum"), zero.alias("squares"), zero.alias("risk"), F.lit(0).alias("n"))
+
+    def add(a, c):                                            # from the last slice on: `sum` is what is left after this one
+        x = F.coalesce(c, zero)
+        return F.struct((a["sum"] + x).alias("sum"), (a["squares"] + x * x).alias("squares"),
+                        (a["risk"] + a["sum"] * a["sum"]).alias("risk"), (a["n"] + c.isNotNull().cast("int")).alias("n"))
+    d = schedules.withColumn("_a", F.aggregate(F.reverse(child), start, add))
+    tot = F.col("_a.sum")
+    mean = F.col(gamma) / 2 * tot * tot + (F.col(eta) - F.col(gamma) / 2) * F.col("_a.squares")
+    return d.select(*by, F.when(F.col("_a.n") > 0, mean).alias("mean"), (F.col(sigma) * F.col(sigma) * F.col("_a.risk")).alias("variance"))
 
 
 def execute_schedule(children: DataFrame, session: DataFrame, on: list[str], side: str, eta=0.02) -> DataFrame:
