@@ -321,9 +321,12 @@ _VT = """v AS (SELECT p.l_partkey AS series, date_trunc('month', l_shipdate)::DA
 
 def vintages(t):
     from pyspark.sql import Window
-    d = t.lineitem.groupBy(F.col("l_partkey").alias("series"), F.to_date("l_shipdate").alias("realtime_start")).agg(
-        F.min_by("l_extendedprice", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("value"))
-    d = d.withColumn("date", F.trunc("realtime_start", "month"))
+    day = F.to_date("l_shipdate")
+    rows = t.lineitem.select(F.col("l_partkey").alias("series"), F.trunc(day, "month").alias("date"), day.alias("realtime_start"),
+                             "l_extendedprice", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_k"))
+    # dealt once by series and month, in as many parts as the rows need; all that follows stays in them
+    d = (rows.repartition(max(8, rows.count() >> 18), "series", "date").groupBy("series", "date", "realtime_start")
+         .agg(F.min_by("l_extendedprice", "_k").alias("value")).select("series", "realtime_start", "value", "date"))
     # releases of one series and month: at most one per day
     w = Window.partitionBy("series", "date").orderBy("realtime_start")
     return d.withColumn("realtime_end", F.coalesce(F.date_sub(F.lead("realtime_start").over(w), 1), F.lit("9999-12-31").cast("date")))
