@@ -256,13 +256,13 @@ class Orders(StatefulProcessor):
         self.names, self.allowed = states, allowed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("order", "state string, filled double, notional double")
-        self.seen = handle.getMapState("execs", "exec_id string", "one int")
+        # one read and one write per order and micro-batch: a call to the store costs more than the list
+        self.state = handle.getValueState("order", "state string, filled double, notional double, execs array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-        st, filled, notional = self.state.get() if self.state.exists() else (self.names[0], 0.0, 0.0)
-        out = []
+        st, filled, notional, execs = self.state.get() or (self.names[0], 0.0, 0.0, [])
+        seen, out = set(execs), []
         for r in pdf.itertuples(index=False):
             bad = None
             if r.kind == "status":
@@ -270,8 +270,8 @@ class Orders(StatefulProcessor):
                     st = r.state
                 elif r.state != st:
                     bad = f"illegal transition {st}->{r.state}"
-            elif not self.seen.containsKey((r.exec_id,)):
-                self.seen.updateValue((r.exec_id,), (1,))
+            elif r.exec_id not in seen:
+                seen.add(r.exec_id)
                 filled, notional = filled + r.qty, notional + r.qty * r.price
                 new = "FILLED" if filled >= r.order_qty else "PARTIALLY_FILLED"
                 bad = "overfill" if filled > r.order_qty else None
@@ -281,7 +281,7 @@ class Orders(StatefulProcessor):
                     else:
                         bad = "fill after terminal"
             out.append((key[0], r.seq, st, filled, bad))
-        self.state.update((st, filled, notional))
+        self.state.update((st, filled, notional, list(seen)))
         yield pd.DataFrame(out, columns=["coid", "seq", "order_state", "filled", "anomaly"])
 
     def close(self) -> None:
