@@ -16,6 +16,11 @@ grow with the number of buckets. Each position whose name repeats covers LENGTH
 Equal texts are one text throughout: they are found by their digest, and removed whole if they are long enough. A task sends
 each name at most once, so a passage that a third of all texts hold reaches a bucket once for every task, not for every text.
 
+Passages of PASSAGE words may be shorter than LENGTH bytes. On request they are found the same way at the same time, over
+words in place of bytes: a cover modulo WORD_PERIOD samples runs of SHARED words, and passages near a run that another text
+holds are named in full. Words are compared with A-Z lower-cased and whatever white space is between them, and a passage counts
+only if another text holds it. A text sends each name of words once.
+
 Defined results: null text is empty; texts shorter than LENGTH only lose nothing; repeated rows remove each other.
 """
 from __future__ import annotations
@@ -28,22 +33,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import released, written
-from .hashing import BASE, U, mix, remembered
+from .hashing import BASE, U, mix, remembered, word_hashes
 
 LENGTH, PERIOD, ORDER = 400, 133, 11          # PERIOD = ORDER^2 + ORDER + 1
 WINDOW = LENGTH - PERIOD + 1                  # bytes that sampled suffixes must share
+PASSAGE, WORD_PERIOD, WORD_ORDER = 50, 31, 5
+SHARED = PASSAGE - WORD_PERIOD + 1            # words that sampled runs must share
 FLUSH = 2_000_000                             # names a task holds before it sends them
 BUCKET_BYTES = 16 << 20                       # names of one bucket
 FILLED = 1 << 20                              # bytes named at once
 
 
 @remembered
-def cover() -> np.ndarray:
-    """A perfect difference set: powers of a cubic root over the field of ORDER elements that lie in one plane (Singer)."""
-    q = ORDER
+def cover(q: int = ORDER) -> np.ndarray:
+    """A perfect difference set: powers of a cubic root over the field of q elements that lie in one plane (Singer)."""
     c = next(c for c in range(1, q) if all((x**3 - x - c) % q for x in range(q)))     # x^3 = x + c without a root
     v, out = (1, 0, 0), []
-    for i in range(PERIOD):
+    for i in range(q * q + q + 1):
         if v[2] == 0:
             out.append(i)
         v = (c * v[2] % q, (v[0] + v[2]) % q, v[1])
@@ -116,6 +122,30 @@ def long_names(data: bytes, runs: list[tuple[int, int]]) -> tuple[np.ndarray, np
     return np.concatenate(places), np.concatenate(names), np.concatenate(others)
 
 
+def word_samples(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sampled places, names of their SHARED words)."""
+    if len(words) < PASSAGE:
+        return np.empty(0, np.int64), np.empty(0, U)
+    at = (np.arange(0, len(words), WORD_PERIOD)[:, None] + cover(WORD_ORDER)[None, :]).ravel()
+    at = at[at <= len(words) - SHARED]
+    n = triple(words, 1, len(words) - 2, 3)
+    n = triple(n, 3, len(words) - 8, 3)
+    return at, mix(join3(n[at], n[at + 9], n[at + SHARED - 9], 3))
+
+
+def passage_names(words: np.ndarray, runs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, names, second names) of the PASSAGE words at every place of the runs [lo, hi)."""
+    if not runs:
+        return np.empty(0, np.int64), np.empty(0, U), np.empty(0, U)
+    at, both = np.concatenate([np.arange(lo, hi) for lo, hi in runs]), []
+    for seed in (4, 5):
+        n = triple(words, 1, len(words) - 2, seed)
+        n = triple(n, 3, len(words) - 8, seed)
+        n = triple(n, 9, len(words) - 26, seed)
+        both.append(mix(n[at] * U(BASE) + n[at + PASSAGE - 27]))
+    return at, both[0], both[1]
+
+
 class Sender:
     """Names of a task on their way to buckets: a name met twice is known to repeat, the others are sent once."""
 
@@ -278,11 +308,9 @@ def _answered(names: np.ndarray, homes: np.ndarray, buckets: int, answers) -> np
     return hit
 
 
-def _candidates(data: bytes, buckets: int, answers) -> list[tuple[int, int]]:
-    """Runs of positions that lie within PERIOD before a sampled suffix whose name repeats."""
-    at, n = samples(data)
-    hit = at[_answered(n, n, buckets, answers)]
-    lo, hi = np.maximum(0, hit - PERIOD + 1), np.minimum(hit, len(data) - LENGTH) + 1
+def _runs_before(hit: np.ndarray, period: int, last: int) -> list[tuple[int, int]]:
+    """Runs [lo, hi) of the places within `period` before a hit, up to `last`."""
+    lo, hi = np.maximum(0, hit - period + 1), np.minimum(hit, last) + 1
     lo, hi = lo[lo < hi], hi[lo < hi]
     if not len(lo):
         return []
@@ -290,39 +318,76 @@ def _candidates(data: bytes, buckets: int, answers) -> list[tuple[int, int]]:
     return list(zip(lo[np.append(0, new)].tolist(), np.append(np.maximum.accumulate(hi)[new - 1], hi.max()).tolist()))
 
 
-def _cut(data: bytes, runs, buckets: int, answers) -> tuple[int, int, bytes]:
-    """(bytes removed, removed runs, bytes left) when every position of `runs` whose name repeats covers LENGTH bytes."""
-    at, n, homes = long_names(data, runs)
-    hit = at[_answered(n, homes, buckets, answers)]
-    if not len(hit):
-        return 0, 0, data
-    new = np.flatnonzero(np.diff(hit) > LENGTH) + 1
-    start, end = hit[np.append(0, new)], hit[np.append(new - 1, len(hit) - 1)] + LENGTH
+def _covered(hit: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of what pieces of a length at the hits cover."""
+    new = np.flatnonzero(np.diff(hit) > length) + 1
+    return hit[np.append(0, new)], hit[np.append(new - 1, len(hit) - 1)] + length
+
+
+def _words(data: bytes, passages: bool) -> np.ndarray:
+    return word_hashes(data.lower()) if passages else np.empty(0, U)
+
+
+def _once(names: np.ndarray, homes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    names, first = np.unique(names, return_index=True)
+    return names, homes[first]
+
+
+def _candidates(data: bytes, words: np.ndarray, buckets: int, answers) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Runs of positions, and of words, that lie within a period before a sample whose name repeats."""
+    (at, n), (place, m) = samples(data) if len(data) >= LENGTH else word_samples(words[:0]), word_samples(words)
+    names = np.concatenate((n, m))
+    hit = _answered(names, names, buckets, answers)
+    return _runs_before(at[hit[: len(n)]], PERIOD, len(data) - LENGTH), _runs_before(place[hit[len(n):]], WORD_PERIOD, len(words) - PASSAGE)
+
+
+def _cut(data: bytes, words: np.ndarray, runs, buckets: int, answers) -> tuple[int, int, bytes, int]:
+    """(bytes removed, removed runs, bytes left, words in passages) when every place of `runs` whose name repeats covers LENGTH
+    bytes or PASSAGE words."""
+    (at, n, homes), (place, m, others) = long_names(data, runs[0]), passage_names(words, runs[1])
+    hit = _answered(np.concatenate((n, m)), np.concatenate((homes, others)), buckets, answers)
+    at, place = at[hit[: len(n)]], place[hit[len(n):]]
+    shared = 0
+    if len(place):
+        start, end = _covered(place, PASSAGE)
+        shared = int((end - start).sum())
+    if not len(at):
+        return 0, 0, data, shared
+    start, end = _covered(at, LENGTH)
     left = [data[a:b] for a, b in zip(np.append(0, end), np.append(start, len(data)))]
-    return int((end - start).sum()), len(start), b"".join(left)
+    return int((end - start).sum()), len(start), b"".join(left), shared
 
 
-def query(docs: DataFrame) -> DataFrame:
+def query(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `passages` also n_passage_words, the words of a document that lie in
+    a run of PASSAGE words which another document holds as well."""
+    least = 2 * PASSAGE - 1 if passages else LENGTH                    # bytes of the shortest text that can lose or share
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("text_key", F.when(F.xxhash64("text") == 0, 1).otherwise(F.xxhash64("text"))).withColumn("n_bytes", F.octet_length("text").cast("long"))
     total = d.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(16, -(-total * (ORDER + 1) * 8 // (PERIOD * BUCKET_BYTES)))
-    long_texts = d.where(F.col("n_bytes") >= LENGTH).select("text_key", "text")
+    share = (ORDER + 1) / PERIOD + passages * (WORD_ORDER + 1) / WORD_PERIOD / 6          # names a byte, at six bytes a word
+    buckets = max(16, -int(-total * share * 8 // BUCKET_BYTES))
+    long_texts = d.where(F.col("n_bytes") >= least).select("text_key", "text")
     spark = docs.sparkSession
 
     def sampled(row):
-        n = samples(row.text.encode("utf-8", "surrogatepass"))[1]
+        data = row.text.encode("utf-8", "surrogatepass")
+        n = samples(data)[1] if len(data) >= LENGTH else np.empty(0, U)
+        n = np.concatenate((n, np.unique(word_samples(_words(data, passages))[1])))
         return n, n
 
     found = _answers(long_texts.mapInPandas(_gather(buckets, sampled), SENT), buckets)
     released(spark)
     held = written(long_texts.join(found, "text_key"))
     released(spark)
-    more = max(16, -(-(held.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 8 // BUCKET_BYTES))
+    more = max(16, -(-(held.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * (8 + 2 * passages) // BUCKET_BYTES))
 
     def starts(row):
         data = row.text.encode("utf-8", "surrogatepass")
-        return long_names(data, _candidates(data, buckets, row.answers))[1:]
+        words = _words(data, passages)
+        runs = _candidates(data, words, buckets, row.answers)
+        once = _once(*passage_names(words, runs[1])[1:])
+        return tuple(np.concatenate(x) for x in zip(long_names(data, runs[0])[1:], once))
 
     again = _answers(held.mapInPandas(_gather(more, starts), SENT), more)
     released(spark)
@@ -332,16 +397,21 @@ def query(docs: DataFrame) -> DataFrame:
             out = []
             for t, first, second in zip(b["text"], b["answers"], b["repeats"]):
                 data = t.encode("utf-8", "surrogatepass")
-                removed, spans, left = _cut(data, _candidates(data, buckets, first), more, second)
-                out.append((hashlib.sha256(data).hexdigest(), removed, spans, hashlib.sha256(left).hexdigest()))
-            yield pd.DataFrame(out, columns=["sha", "n_removed", "n_spans", "kept"])
-
-    parts = held.join(again.withColumnRenamed("answers", "repeats"), "text_key").mapInPandas(cut, "sha string, n_removed long, n_spans long, kept string").dropDuplicates(["sha"])
-    rows = written(d.select("doc_id", "n_bytes", F.sha2("text", 256).alias("sha")))
-    copies = rows.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+                words = _words(data, passages)
+                removed, spans, left, shared = _cut(data, words, _candidates(data, words, buckets, first), more, second)
+                out.append((hashlib.sha256(data).hexdigest(), removed, spans, hashlib.sha256(left).hexdigest(), shared))
+            yield pd.DataFrame(out, columns=["sha", "n_removed", "n_spans", "kept", "shared"])
+
+    parts = held.join(again.withColumnRenamed("answers", "repeats"), "text_key").mapInPandas(cut, "sha string, n_removed long, n_spans long, kept string, shared long").dropDuplicates(["sha"])
+    n_words = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")) if passages else F.lit(0)
+    rows = written(d.select("doc_id", "n_bytes", F.sha2("text", 256).alias("sha"), n_words.cast("long").alias("n_words")))
+    copies = rows.where(F.col("n_bytes") >= least).groupBy("sha").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     rows = rows.join(parts, "sha", "left").join(copies, "sha", "left")
-    whole = F.col("copies").isNotNull()
+    again_whole = F.col("copies").isNotNull()
+    whole = again_whole & (F.col("n_bytes") >= LENGTH)
+    shared = F.when(again_whole & (F.col("n_words") >= PASSAGE), F.col("n_words")).otherwise(F.coalesce("shared", F.lit(0)))
     return rows.select("doc_id", "n_bytes",
                        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
                        F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-                       F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"))
+                       F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+                       *([shared.cast("long").alias("n_passage_words")] if passages else []))
