@@ -13,8 +13,8 @@ Defined results: null text counts as empty, an empty document is the single clos
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -25,9 +25,12 @@ from .common import written
 
 CAPACITY = 4096
 CLOSING = 1
-CACHED, LONGEST = 300_000, 40         # words kept per worker and their largest length
+CACHED, LONGEST = 1_000_000, 40       # tokens kept per worker and their largest length
+JOINED = 5_000                        # new tokens encoded as one text
 SLICE = 1 << 21                       # characters of a text encoded at once
-GATHERED = 3 << 20                    # characters of the texts whose words are looked up together
+GATHERED = 8 << 20                    # characters of the texts whose new tokens are encoded together
+# a token of lower-cased Latin-1 text: the tokenizer's own expression with its classes written out
+TOKEN = re.compile(r"[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|'(?:s|t|re|ve|m|ll|d)|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾\x09-\x0D\x20\x85\xA0]+")
 RANKED = 20_000                       # rows of one length numbered in one group
 
 
@@ -37,45 +40,101 @@ def default_vocabulary() -> str:
 
 
 class Words(dict):
-    """Ids of white-space separated words: the tokenizer never merges across white space, so words can be kept."""
+    """Numbers of tokens, and the ids of each number.  Number 0 is the closing id.  Tokens are what the tokenizer splits a text
+    into before it merges: white space always splits, and in texts of Latin-1 characters lower-casing and splitting are those of
+    `TOKEN`.  Other words stay whole (`odd`)."""
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.rare = Tokenizer.from_file(path), {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.rare[word]
-
-    def learn(self, words: set[str]) -> None:
-        self.rare = {}
-        plain, new = [], set()
-        for w in words.difference(self):
-            p = self.parts(w)
-            if p:
-                plain.append((w, p))
-                new.update(p)
+        self.tokenizer, self.fresh, self.odd = Tokenizer.from_file(path), {}, set()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)          # ids that end a token
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.ids, self.first, self.size = np.array([CLOSING], "<u4"), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def __missing__(self, token: str) -> int:
+        n = self.fresh.get(token)
+        if n is None:
+            n = self.fresh[token] = len(self.first) + len(self.fresh)
+        return n
+
+    def numbers(self, text: str, closes: bool) -> np.ndarray:
+        """Numbers of the tokens of a text, and 0 where it closes."""
+        if plain(text):
+            tokens = TOKEN.findall(text.lower())
+        else:
+            tokens = []
+            for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
+                if plain(w):
+                    tokens += TOKEN.findall(w.lower())
+                else:
+                    self.odd.add(w)
+                    tokens.append(w)
+        out = np.zeros(len(tokens) + closes, np.int64)
+        out[: len(tokens)] = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return out
+
+    def learn(self) -> None:
+        """Ids of the tokens met since the last call."""
+        def encoded(texts):
+            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        tokens = list(self.fresh)
+        whole = [i for i, t in enumerate(tokens) if t in self.odd] if self.odd else []
+        split = [i for i, t in enumerate(tokens) if t not in self.odd] if self.odd else range(len(tokens))
+        order, ids, sizes = [], [], []
+        groups = [split[i: i + JOINED] for i in range(0, len(split), JOINED)]
+        for group, x in zip(groups, encoded([" ".join([tokens[i] for i in g]) for g in groups])):
+            ends = np.flatnonzero(self.last[x])
+            if len(ends) == len(group) and ends[-1] == len(x) - 1:
+                order.append(np.asarray(group, np.int64))
+                ids.append(x)
+                sizes.append(np.diff(ends, prepend=-1))
             else:
-                new.add(w)
-        fresh = list(new.difference(self))
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.keep(w, pack(f"<{len(e.ids)}I", *e.ids))
-        for w, p in plain:
-            if p != (w,):
-                self.keep(w, self[p[0]] + self[p[1]] if len(p) > 1 else self[p[0]])
-
-    def keep(self, word: str, ids: bytes) -> None:
-        (self if len(self) < CACHED and len(word) <= LONGEST else self.rare)[word] = ids
-
-    @staticmethod
-    def parts(word: str) -> tuple[str, ...] | None:
-        """Lower-cased letters and a closing mark, where the tokenizer certainly splits and folds the same way."""
-        mark = word[-1:] if word[-1:] in (".", ",", "!", "?", ";", ":") else ""
-        stem = word[: len(word) - len(mark)]
-        if not stem.isalpha() or max(stem) >= "İ":
-            return None
-        return (stem.lower(), mark) if mark else (stem.lower(),)
+                whole += group
+        if whole:
+            each = encoded([tokens[i] for i in whole])
+            order.append(np.asarray(whole, np.int64))
+            ids += each
+            sizes.append(np.array([len(x) for x in each], np.int64))
+        if tokens:
+            order, size = np.concatenate(order), np.concatenate(sizes)
+            new = np.empty((2, len(tokens)), np.int64)
+            new[:, order] = len(self.ids) + np.cumsum(size) - size, size
+            self.ids = np.concatenate((self.ids, *ids))
+            self.first, self.size = np.concatenate((self.first, new[0])), np.concatenate((self.size, new[1]))
+
+    def spread(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all numbers, where those of each end)."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.first[numbers] - ends + size, size) + np.arange(int(size.sum()))], ends
+
+    def keep(self) -> None:
+        """Keep short tokens as long as there is room, forget the others."""
+        base = len(self.first) - len(self.fresh)
+        kept = [(t, n) for t, n in self.fresh.items() if len(t) <= LONGEST][: max(0, CACHED - len(self))]
+        if self.fresh:
+            chosen = np.concatenate((np.arange(base), np.array([n for _, n in kept], np.int64)))
+            ids, ends = self.spread(chosen)
+            self.size = self.size[chosen]
+            self.ids, self.first = ids, ends - self.size
+            self.update((t, base + i) for i, (t, _) in enumerate(kept))
+        self.fresh, self.odd = {}, set()
+
+
+def plain(text: str) -> bool:
+    """Latin-1 only, and no special token of the vocabulary: folded and split the same way in any surroundings."""
+    if "<|" in text:
+        return False
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+    return True
 
 
 def words(path: str) -> Words:
@@ -102,22 +161,34 @@ def _slices(text: str):
 
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text and the closing id, as the tokenizer gives them for the whole text."""
-    known, out = words(path), []
-    plain = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
-    short = [t.split(" ") if len(t) <= SLICE else None for t in plain]
-    known.learn(set().union(*(s for s in short if s is not None)))
-    done = [None if s is None else b"".join(map(known.__getitem__, s)) for s in short]
-    close = np.array([CLOSING], "<u4").tobytes()
-    for t, ids in zip(plain, done):
-        if ids is None:
-            parts = []
-            for piece in _slices(t):
-                split = piece.split(" ")
-                known.learn(set(split))
-                parts.append(b"".join(map(known.__getitem__, split)))
-            ids = b"".join(parts)
-        out.append(ids + close)
-    return out
+    known, out = words(path), [[] for _ in texts]
+    held, owners, size = [], [], 0
+
+    def flush():
+        known.learn()
+        ids, ends = known.spread(np.concatenate(held))
+        stops = np.concatenate(([0], ends))[np.cumsum([0] + [len(x) for x in held])].tolist()
+        for k, lo, hi in zip(owners, stops, stops[1:]):
+            out[k].append(ids[lo:hi].tobytes())
+        known.keep()
+        held.clear()
+        owners.clear()
+
+    for k, t in enumerate(texts):
+        t = t or ""
+        if len(t) > SLICE:
+            t = t.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        slices = list(_slices(t)) or [""]
+        for i, x in enumerate(slices):
+            held.append(known.numbers(x, i == len(slices) - 1))
+            owners.append(k)
+            size += len(x)
+            if size >= GATHERED:
+                flush()
+                size = 0
+    if held:
+        flush()
+    return [b"".join(x) for x in out]
 
 
 class Stock:
