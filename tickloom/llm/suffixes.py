@@ -19,7 +19,10 @@ each name at most once, so a passage that a third of all texts hold reaches a bu
 Passages of PASSAGE words may be shorter than LENGTH bytes. On request they are found the same way at the same time, over
 words in place of bytes: a cover modulo WORD_PERIOD samples runs of SHARED words, and passages near a run that another text
 holds are named in full. Words are compared with A-Z lower-cased and whatever white space is between them, and a passage counts
-only if another text holds it. A text sends each name of words once.
+only if another text only if another text holds it. A text sends each name of words once. A name of a run of words is a difference of prefix sums.
+
+Names of the first round only tell where to look, so 48 bits of them are sent, and a text's runs of places are kept beside it for
+the second round and the cut.
 
 Defined results: null text is empty; texts shorter than LENGTH only lose nothing; repeated rows remove each other.
 """
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import released, written
-from .hashing import BASE, U, mix, remembered, word_hashes
+from .hashing import BASE, STEP, U, mix, powers, remembered, word_hashes
 
 LENGTH, PERIOD, ORDER = 400, 133, 11          # PERIOD = ORDER^2 + ORDER + 1
 WINDOW = LENGTH - PERIOD + 1                  # bytes that sampled suffixes must share
@@ -122,35 +125,41 @@ def long_names(data: bytes, runs: list[tuple[int, int]]) -> tuple[np.ndarray, np
     return np.concatenate(places), np.concatenate(names), np.concatenate(others)
 
 
+def run_names(words: np.ndarray, at: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """Names of the `width` words from each of the ascending places."""
+    base, out = int(factors(seed)[0]), [np.empty(0, U)]
+    up, down = powers(base, STEP), powers(pow(base, -1, 1 << 64), STEP)
+    for lo in range(0, len(words) - width + 1, STEP - width):
+        k = at[np.searchsorted(at, lo): np.searchsorted(at, lo + STEP - width)] - lo
+        part = words[lo: lo + STEP]
+        sums = np.zeros(len(part) + 1, U)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        out.append(mix((sums[k + width] - sums[k]) * down[k]))
+    return np.concatenate(out)
+
+
 def word_samples(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sampled places, names of their SHARED words)."""
     if len(words) < PASSAGE:
         return np.empty(0, np.int64), np.empty(0, U)
     at = (np.arange(0, len(words), WORD_PERIOD)[:, None] + cover(WORD_ORDER)[None, :]).ravel()
     at = at[at <= len(words) - SHARED]
-    n = triple(words, 1, len(words) - 2, 3)
-    n = triple(n, 3, len(words) - 8, 3)
-    return at, mix(join3(n[at], n[at + 9], n[at + SHARED - 9], 3))
+    return at, run_names(words, at, SHARED, 3)
 
 
 def passage_names(words: np.ndarray, runs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, names, second names) of the PASSAGE words at every place of the runs [lo, hi)."""
-    if not runs:
+    if not len(runs):
         return np.empty(0, np.int64), np.empty(0, U), np.empty(0, U)
-    at, both = np.concatenate([np.arange(lo, hi) for lo, hi in runs]), []
-    for seed in (4, 5):
-        n = triple(words, 1, len(words) - 2, seed)
-        n = triple(n, 3, len(words) - 8, seed)
-        n = triple(n, 9, len(words) - 26, seed)
-        both.append(mix(n[at] * U(BASE) + n[at + PASSAGE - 27]))
-    return at, both[0], both[1]
+    at = np.concatenate([np.arange(lo, hi) for lo, hi in runs])
+    return at, run_names(words, at, PASSAGE, 4), run_names(words, at, PASSAGE, 5)
 
 
 class Sender:
     """Names of a task on their way to buckets: a name met twice is known to repeat, the others are sent once."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.size = buckets, 0
+    def __init__(self, buckets: int, narrow: bool):
+        self.buckets, self.narrow, self.size = buckets, narrow, 0
         self.keys, self.names, self.homes = [], [], []
 
     def add(self, key: int, names: np.ndarray, homes: np.ndarray) -> None:
@@ -179,7 +188,7 @@ class Sender:
             edge = np.flatnonzero(np.diff(b, prepend=-1)) if len(b) else np.empty(0, int)
             for lo, hi in zip(edge, [*edge[1:], len(b)]):
                 u, r = _runs(k[lo:hi])
-                out.append((int(b[lo]), u.tobytes(), r.tobytes(), n[lo:hi].tobytes()))
+                out.append((int(b[lo]), u.tobytes(), r.tobytes(), packed(n[lo:hi]) if self.narrow else n[lo:hi].tobytes()))
         return pd.DataFrame(out, columns=["bucket", "texts", "runs", "names"])
 
 
@@ -208,13 +217,13 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view(U).ravel()
 
 
-def _repeated(buckets: int):
+def _repeated(buckets: int, narrow: bool):
     """Sort a bucket's names, compare neighbours, and answer each text: the names that repeat, or, where those are fewer, the
     names that do not (`rest`).  Answers leave in slices of the texts, so that a bucket makes few rows."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
         keys = np.concatenate([np.repeat(np.frombuffer(t, np.int64), np.frombuffer(r, np.uint32)) for t, r in zip(pdf["texts"], pdf["runs"])])
-        names = np.concatenate([np.frombuffer(x, U) for x in pdf["names"]])
+        names = np.concatenate([unpacked(x) if narrow else np.frombuffer(x, U) for x in pdf["names"]])
         order = np.lexsort((keys, names))
         keys, names = keys[order], names[order]
         if bucket >= buckets:
@@ -267,10 +276,10 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
                         columns=["text_key", "direct", "rest_buckets", "rest_names"])
 
 
-def _gather(buckets: int, names_of):
+def _gather(buckets: int, names_of, narrow: bool):
     """Send the names of each different text of a task."""
     def run(batches):
-        sender, seen = Sender(buckets), set()
+        sender, seen = Sender(buckets, narrow), set()
         for b in batches:
             for row in b.itertuples(index=False):
                 if row.text_key in seen:
@@ -287,9 +296,9 @@ def _gather(buckets: int, names_of):
     return run
 
 
-def _answers(sent: DataFrame, buckets: int) -> DataFrame:
+def _answers(sent: DataFrame, buckets: int, narrow: bool) -> DataFrame:
     """One row for each text with a repeated name, written out, with all its answers."""
-    parts = sent.groupBy("bucket").applyInPandas(_repeated(buckets), PART)
+    parts = sent.groupBy("bucket").applyInPandas(_repeated(buckets, narrow), PART)
     whole = parts.groupBy("slice").applyInPandas(_merged, ANSWER)
     return written(whole.select("text_key", F.struct("direct", "rest_buckets", "rest_names").alias("answers")))
 
@@ -374,35 +383,50 @@ def query(docs: DataFrame, passages: bool = False) -> DataFrame:
         data = row.text.encode("utf-8", "surrogatepass")
         n = samples(data)[1] if len(data) >= LENGTH else np.empty(0, U)
         n = np.concatenate((n, np.unique(word_samples(_words(data, passages))[1])))
-        return n, n
+        return short(n), n
 
-    found = _answers(long_texts.mapInPandas(_gather(buckets, sampled), SENT), buckets)
+    def located(batches):
+        seen: set[int] = set()
+        for b in batches:
+            out = []
+            for key, t, first in zip(b["text_key"], b["text"], b["answers"]):
+                if key not in seen:
+                    seen.add(key)
+                    data = t.encode("utf-8", "surrogatepass")
+                    runs = _candidates(data, _words(data, passages), buckets, first)
+                    if any(runs):
+                        out.append((key, t, *(np.array(r, np.int64).tobytes() for r in runs)))
+            yield pd.DataFrame(out, columns=["text_key", "text", "places", "word_places"])
+
+    def known(data, places, word_places):
+        runs = [np.frombuffer(x, np.int64).reshape(-1, 2).tolist() for x in (places, word_places)]
+        return _words(data, bool(runs[1])), runs
+
+    found = _answers(long_texts.mapInPandas(_gather(buckets, sampled, True), SENT), buckets, True)
     released(spark)
-    held = written(long_texts.join(found, "text_key"))
+    held = written(long_texts.join(found, "text_key").mapInPandas(located, "text_key long, text string, places binary, word_places binary"))
     released(spark)
     more = max(16, -(-(held.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * (8 + 2 * passages) // BUCKET_BYTES))
 
     def starts(row):
         data = row.text.encode("utf-8", "surrogatepass")
-        words = _words(data, passages)
-        runs = _candidates(data, words, buckets, row.answers)
+        words, runs = known(data, row.places, row.word_places)
         once = _once(*passage_names(words, runs[1])[1:])
         return tuple(np.concatenate(x) for x in zip(long_names(data, runs[0])[1:], once))
 
-    again = _answers(held.mapInPandas(_gather(more, starts), SENT), more)
+    again = _answers(held.mapInPandas(_gather(more, starts, False), SENT), more, False)
     released(spark)
 
     def cut(batches):
         for b in batches:
             out = []
-            for t, first, second in zip(b["text"], b["answers"], b["repeats"]):
+            for t, places, word_places, second in zip(b["text"], b["places"], b["word_places"], b["answers"]):
                 data = t.encode("utf-8", "surrogatepass")
-                words = _words(data, passages)
-                removed, spans, left, shared = _cut(data, words, _candidates(data, words, buckets, first), more, second)
+                removed, spans, left, shared = _cut(data, *known(data, places, word_places), more, second)
                 out.append((hashlib.sha256(data).hexdigest(), removed, spans, hashlib.sha256(left).hexdigest(), shared))
             yield pd.DataFrame(out, columns=["sha", "n_removed", "n_spans", "kept", "shared"])
 
-    parts = held.join(again.withColumnRenamed("answers", "repeats"), "text_key").mapInPandas(cut, "sha string, n_removed long, n_spans long, kept string, shared long").dropDuplicates(["sha"])
+    parts = held.join(again, "text_key").mapInPandas(cut, "sha string, n_removed long, n_spans long, kept string, shared long").dropDuplicates(["sha"])
     n_words = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")) if passages else F.lit(0)
     rows = written(d.select("doc_id", "n_bytes", F.sha2("text", 256).alias("sha"), n_words.cast("long").alias("n_words")))
     copies = rows.where(F.col("n_bytes") >= least).groupBy("sha").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
