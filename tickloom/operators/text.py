@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import div
 from ..joins import asof_join
-from ..series import Series, SeriesSpec, col, kept
+from ..series import Series, SeriesSpec, col, parked
 
 # fixed values: word lists and patterns
 STOPWORDS = ("the", "a", "an", "of", "and", "in", "to", "for", "was", "what", "is", "our", "we", "with", "on", "its", "does", "do", "by", "are", "as", "at", "or", "from")
@@ -123,7 +123,7 @@ def bm25_top_k(queries: DataFrame, query: str, qtext: str, docs: DataFrame, doc:
     asked, filed = ([as_of[0]], [as_of[1]]) if as_of else ([], [])
     numbers = lambda c: F.transform(tokens(c), lambda w: F.xxhash64(w))
     q = queries.select(*scope, query, *asked, F.explode(numbers(qtext)).alias("term")).groupBy(*scope, query, *asked, "term").agg(F.count(F.lit(1)).alias("qf"))
-    t = kept(docs.select(*scope, F.col(doc).alias("_id"), *filed, F.coalesce(numbers(text), F.array().cast("array<long>")).alias("_t")).withColumn("len", F.size("_t")))
+    t = parked(docs.select(*scope, F.col(doc).alias("_id"), *filed, F.coalesce(numbers(text), F.array().cast("array<long>")).alias("_t")).withColumn("len", F.size("_t")))
     wanted = q.select(*scope, "term").distinct()
     held = t.select(*scope, *filed, F.explode(F.array_distinct("_t")).alias("term")).join(wanted, [*scope, "term"], "left_semi").groupBy(*scope, *filed, "term").agg(F.count(F.lit(1)).alias("n"))
     if as_of:
@@ -148,10 +148,18 @@ def bm25_top_k(queries: DataFrame, query: str, qtext: str, docs: DataFrame, doc:
     def best(d, w):
         # postings of the block in order of term, then one sum over documents per query
         known = np.unique(w["term"])
-        term, at = np.concatenate([np.empty(0, np.int64), *d["_t"]]), np.repeat(np.arange(len(d)), d["len"])
-        i = np.searchsorted(known, term)
-        asked_for = known[np.minimum(i, len(known) - 1)] == term if len(known) else np.zeros(len(term), bool)
-        code, tf = np.unique(i[asked_for] * max(len(d), 1) + at[asked_for], return_counts=True)
+        codes, freqs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for lo in range(0, len(d) if len(known) else 0, 256):
+            # a slice of documents at a time: only terms that are asked for stay
+            term, at = np.concatenate(d["_t"].iloc[lo:lo + 256].to_list()), np.repeat(np.arange(lo, min(lo + 256, len(d))), d["len"].iloc[lo:lo + 256])
+            i = np.searchsorted(known, term)
+            asked_for = known[np.minimum(i, len(known) - 1)] == term
+            code, tf = np.unique(i[asked_for] * len(d) + at[asked_for], return_counts=True)
+            codes.append(code)
+            freqs.append(tf)
+        code, tf = np.concatenate(codes), np.concatenate(freqs)
+        o = np.argsort(code)
+        code, tf = code[o], tf[o]
         term, row = known[code // max(len(d), 1)], code % max(len(d), 1)
         ids, length = d["_id"].to_numpy(), d["len"].to_numpy(float)
         out = []
@@ -217,6 +225,8 @@ def dense_top_k(queries: DataFrame, query: str, qvec: str, docs: DataFrame, doc:
                 yield pd.DataFrame({query: names[row], doc: ids[at], "score": g[row, at]})
 
     a, z = packed(queries, query, qvec, "_q"), packed(docs, doc, dvec, "_d")
+    if not scope:
+        z = z.hint("rebalance")                                      # packing and products are tasks of their own, one Python worker each
     pairs = a.join(z, scope) if scope else a.crossJoin(z)            # blocks of a stated query set against blocks of all rows
     sch = T.StructType([T.StructField(query, kinds[query]), T.StructField(doc, kinds[doc]), T.StructField("score", T.DoubleType())])
     return top_k(pairs.select("_qi", "_qv", "_di", "_dv").mapInPandas(best, sch), query, doc, k)
@@ -244,23 +254,27 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, query: str, doc: s
 def lsa_vectors(docs: DataFrame, doc: str, text: str, dim=16, features=4096) -> DataFrame:
     """TF-IDF of hashed terms projected on its leading principal directions, unit length.
 
-    Documents are tokenized once and kept as sparse counts.  Tasks add up products of batches of counts (whole numbers, so in
-    any order the same); the driver receives the sums (`features` squared numbers), weights them and takes the directions from a
-    symmetric eigenvalue solver, which always converges.
+    Documents are tokenized once and kept as sparse counts, which also go to Python as such: a dense row is made there only in a
+    slice of 1,024 documents.  Tasks add up products of slices (whole numbers, so in any order the same); the driver receives the
+    sums (`features` squared numbers), weights them and takes the directions from a symmetric eigenvalue solver, which always
+    converges.
     """
     from pyspark.ml.feature import HashingTF
-    from pyspark.ml.functions import vector_to_array
     t = docs.select(doc, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("_t"))
-    t = kept(HashingTF(numFeatures=features, inputCol="_t", outputCol="_tf").transform(t).select(doc, "_tf"))
-    counts = vector_to_array("_tf", "float32")
+    t = HashingTF(numFeatures=features, inputCol="_t", outputCol="_tf").transform(t).withColumn("_tf", F.unwrap_udt("_tf"))
+    t = parked(t.select(doc, F.col("_tf.indices").alias("_i"), F.col("_tf.values").cast("array<int>").alias("_n")))
 
-    def slices(lists):
-        return (np.stack(lists[i:i + 1024]).astype(float) for i in range(0, len(lists), 1024))
+    def slices(terms, counts):
+        for lo in range(0, len(terms), 1024):
+            i, n = (x.iloc[lo:lo + 1024].to_list() for x in (terms, counts))
+            out = np.zeros((len(i), features))
+            out[np.repeat(np.arange(len(i)), [len(v) for v in i]), np.concatenate(i)] = np.concatenate(n)
+            yield out
 
     def products(batches):
         total = np.zeros((features + 3, features))            # products, then sums, documents that hold a term, documents
         for b in batches:
-            for x in slices(b["c"].to_list()):
+            for x in slices(b["_i"], b["_n"]):
                 total[:-3] += x.T @ x
                 total[-3:] += np.stack([x.sum(axis=0), (x > 0).sum(axis=0), np.full(features, len(x))])
         yield pd.DataFrame({"i": np.arange(features + 3), "v": list(map(np.ndarray.tobytes, total))})
@@ -268,7 +282,7 @@ def lsa_vectors(docs: DataFrame, doc: str, text: str, dim=16, features=4096) ->
     def added(g):
         return pd.DataFrame({"i": g["i"].iloc[:1], "v": [sum(map(np.frombuffer, g["v"])).tobytes()]})
 
-    sums = {r["i"]: np.frombuffer(r["v"]) for r in t.select(counts.alias("c")).mapInPandas(products, "i int, v binary").groupBy("i").applyInPandas(added, "i int, v binary").collect()}
+    sums = {r["i"]: np.frombuffer(r["v"]) for r in t.select("_i", "_n").mapInPandas(products, "i int, v binary").groupBy("i").applyInPandas(added, "i int, v binary").collect()}
     lead = np.zeros((features, dim))
     if sums and sums[features + 2][0] > 1:
         total, held, n = sums[features], sums[features + 1], sums[features + 2][0]
@@ -277,12 +291,12 @@ def lsa_vectors(docs: DataFrame, doc: str, text: str, dim=16, features=4096) ->
         lead = idf[:, None] * np.linalg.eigh(cov)[1][:, ::-1][:, :dim]
 
     @F.pandas_udf("array<double>")
-    def project(lists: pd.Series) -> pd.Series:
-        v = np.concatenate([np.empty((0, dim)), *[x @ lead for x in slices(lists.to_list())]])
+    def project(terms: pd.Series, counts: pd.Series) -> pd.Series:
+        v = np.concatenate([np.empty((0, dim)), *[x @ lead for x in slices(terms, counts)]])
         size = np.sqrt((v * v).sum(axis=1, keepdims=True))
         return pd.Series(list(np.divide(v, size, out=np.zeros_like(v), where=size > 0)))
 
-    return t.select(doc, project(counts).alias("v"))
+    return t.select(doc, project("_i", "_n").alias("v"))
 
 
 def faithfulness(claims: DataFrame, docs: DataFrame, answer: str, claim: str, text="text", title="title", cited="cited", doc_title="title", doc_text="doc_text") -> DataFrame:
