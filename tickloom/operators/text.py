@@ -345,7 +345,12 @@ def usable_at(published: str, scored: str) -> Column:
 
 
 def brief_lines(alerts: DataFrame, day: str, ticker: str, sentiment: str, headline: str, tie: tuple[str, ...] = ()) -> DataFrame:
-    """One formatted line per alert, strongest first inside a day; `tie` names the columns that order equal ones."""
-    w = Window.partitionBy(day).orderBy(F.abs(F.col(sentiment)).desc(), ticker, headline, *tie)
-    line = F.format_string("%s %+.2f %s", F.col(ticker), F.col(sentiment), F.col(headline))
-    return alerts.select(day, F.row_number().over(w).alias("line_no"), line.alias("line"))
+    """One formatted line per alert, strongest first inside a day and missing values last; `tie` names the columns that order equal ones.
+
+    A line with a missing part is NULL.  Sizes are rounded from their binary value, half to even, as printf does in C.
+    """
+    x = F.col(sentiment)
+    w = Window.partitionBy(day).orderBy(F.abs(x).desc(), F.col(ticker).asc_nulls_last(), F.col(headline).asc_nulls_last(), *tie)
+    size = (F.when(F.isnan(x), "+nan").when(x == float("inf"), "+inf").when(x == float("-inf"), "-inf")
+            .otherwise(F.call_function("format_number", x, F.lit("+0.00;-0.00"))))
+    return alerts.select(day, F.row_number().over(w).alias("line_no"), F.concat(ticker, F.lit(" "), size, F.lit(" "), headline).alias("line"))
