@@ -94,9 +94,13 @@ def positions_from_fills(fills: DataFrame, by: list[str], qty="qty") -> DataFram
 
 
 def book_once(fills: DataFrame, fill_id: str, symbol: str, qty="qty", arrival="seq") -> tuple[DataFrame, DataFrame]:
-    """(positions from the first delivery of every fill, ids delivered again with the number of extra deliveries)."""
-    g = fills.groupBy(fill_id).agg(F.min_by(F.struct(symbol, qty), arrival).alias("_f"), F.count(F.lit(1)).alias("_n"))
-    pos = g.select("_f.*").groupBy(symbol).agg(F.sum(qty).alias("position")).where(F.col("position") != 0)
+    """(positions from the first delivery of every fill, ids delivered again with the number of extra deliveries).
+
+    A delivery without a symbol, a quantity or a time of arrival does not say which comes first for what it lacks.
+    """
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(arrival))).alias(c)
+    g = fills.groupBy(fill_id).agg(first(symbol), first(qty), F.count(F.lit(1)).alias("_n"))
+    pos = g.groupBy(symbol).agg(F.sum(qty).alias("position")).where(F.col("position") != 0)
     return pos, g.where(F.col("_n") > 1).select(fill_id, (F.col("_n") - 1).alias("extra"))
 
 
